@@ -62,8 +62,8 @@ def blank_to_null(c: ColumnOrName) -> Column:
 
 
 def first_present(*cols: ColumnOrName) -> Column:
-    """``a || b || c``: first value that is neither NULL nor ''."""
-    return F.coalesce(*[blank_to_null(c) for c in cols])
+    """``a || b || c``: the first value that is neither NULL nor '', else the last one."""
+    return F.coalesce(*[blank_to_null(c) for c in cols[:-1]], _col(cols[-1]))
 
 
 def is_blank(c: ColumnOrName) -> Column:
