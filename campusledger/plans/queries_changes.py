@@ -617,3 +617,101 @@ def delete_users(t):
     u = t["users"]
     return C.delete_users(u, u.select(_user_seq().alias("seq"),
                                       F.col("u_email").alias("email"))).status
+
+
+# ---- bulk import (O60-O65) --------------------------------------------------------------------
+# The import file is derived from the case records: one row per case with the
+# student's fields, headers in mixed case and spacing, status left blank. A
+# student with several cases in one semester repeats in the file; keys already
+# stored in the student table are duplicates too.
+
+def _import_rows(cases):
+    from campusledger.operators import imports as IM
+    raw = cases.select(
+        F.col("cr_case_id").alias("pos"),
+        F.col("cr_student_id").alias(" ID Number "),
+        F.concat(F.lit(" "), F.col("cr_student_name")).alias("Student Name"),
+        F.col("cr_student_strand").alias("STRAND"),
+        F.col("cr_student_grade_level").alias("Grade"),
+        F.col("cr_student_section").alias("Section"),
+        F.lit("").alias("Status"),
+        F.col("cr_school_year_semester").alias("School Year and Semester"))
+    return IM.map_csv_rows(raw)
+
+
+_IMPORT_SQL = """
+WITH f AS (SELECT cr_case_id AS pos, trim(cr_student_id) AS id,
+                  trim(' ' || cr_student_name) AS name,
+                  trim(cr_school_year_semester) AS sem FROM tbl_case_records),
+v AS (SELECT * FROM f WHERE id <> '' AND name <> ''),
+firsts AS (SELECT lower(id) AS k1, lower(sem) AS k2, min(pos) AS mp FROM v GROUP BY 1, 2),
+stored AS (SELECT DISTINCT lower(sd_id_number) AS k1, lower(sd_school_year_semesterr) AS k2
+           FROM tbl_student_data),
+m AS (SELECT v.*, (v.pos <> firsts.mp OR stored.k1 IS NOT NULL) AS dup
+      FROM v JOIN firsts ON lower(v.id) = firsts.k1 AND lower(v.sem) = firsts.k2
+      LEFT JOIN stored ON lower(v.id) = stored.k1 AND lower(v.sem) = stored.k2)"""
+
+
+@register("import_students_summary", _IMPORT_SQL + """
+SELECT CAST(count(*) AS BIGINT) AS total_records,
+       CAST(count_if(NOT dup) AS BIGINT) AS successful_imports,
+       CAST(0 AS BIGINT) AS failed_imports,
+       CAST(count_if(dup) AS BIGINT) AS duplicates_found,
+       CASE WHEN count(*) = 0 THEN 'No valid student data found in the file.' END AS error
+FROM m""")
+def import_students_summary(t):
+    from campusledger.operators import imports as IM
+    return IM.import_students(t["tbl_student_data"],
+                              _import_rows(t["tbl_case_records"])).summary
+
+
+@register("import_students_inserted", _IMPORT_SQL + """
+SELECT m.id AS sd_id_number, m.name AS sd_student_name, c.cr_student_strand AS sd_strand,
+       c.cr_student_grade_level AS sd_grade_level, c.cr_student_section AS sd_section,
+       'Active' AS sd_status, m.sem AS sd_school_year_semesterr
+FROM m JOIN tbl_case_records c ON c.cr_case_id = m.pos WHERE NOT dup""")
+def import_students_inserted(t):
+    from campusledger.operators import imports as IM
+    res = IM.import_students(t["tbl_student_data"], _import_rows(t["tbl_case_records"]))
+    return res.inserted.select("sd_id_number", "sd_student_name", "sd_strand", "sd_grade_level",
+                               "sd_section", "sd_status", "sd_school_year_semesterr")
+
+
+@register("import_students_messages", _IMPORT_SQL + """
+SELECT pos, format('Duplicate: {} for semester {}', id, sem) AS message
+FROM m WHERE dup ORDER BY pos LIMIT 10""")
+def import_students_messages(t):
+    from campusledger.operators import imports as IM
+    return IM.import_students(t["tbl_student_data"],
+                              _import_rows(t["tbl_case_records"])).messages
+
+
+# Sheet form: the student table laid out as cells under a header row; the
+# birthdate is written as a spreadsheet day count.
+SHEET_HEADERS = ["ID Number", "Name", "Strand", "Grade", "Section", "Religion",
+                 "Previous School", "Gender", "Status", "Birthdate", "Semester"]
+
+
+@register("import_sheet_cells", """
+SELECT sd_id_number AS id, sd_student_name AS name, sd_strand AS strand,
+       sd_grade_level AS gradeLevel, sd_section AS section, sd_religion AS religion,
+       sd_previous_school AS previousSchool, sd_gender AS gender, sd_status AS status,
+       strftime(sd_birthdate, '%Y-%m-%d') AS birthdate, 0 AS schoolYearSem,
+       sd_school_year_semesterr AS schoolYearSemesterr
+FROM tbl_student_data""")
+def import_sheet_cells(t):
+    from campusledger.operators import imports as IM
+    from campusledger.sources.files import read_import_cells
+    s = t["tbl_student_data"]
+    spark = s.sparkSession
+    header = spark.createDataFrame([("0", SHEET_HEADERS)], "row_no string, cells array<string>")
+    serial = F.date_diff(F.col("sd_birthdate"), F.lit("1899-12-30").cast("date")).cast("string")
+    data = s.select(
+        F.concat(F.lit("1|"), "sd_id_number", F.lit("|"), "sd_school_year_semesterr")
+        .alias("row_no"),
+        F.array("sd_id_number", "sd_student_name", "sd_strand", "sd_grade_level", "sd_section",
+                "sd_religion", "sd_previous_school", "sd_gender", "sd_status", serial,
+                "sd_school_year_semesterr").alias("cells"))
+    headers, rows = read_import_cells(header.unionByName(data))
+    out = IM.map_sheet_cells(rows, headers)
+    return out.drop("pos").withColumn("birthdate", F.date_format("birthdate", "yyyy-MM-dd"))
