@@ -1,0 +1,85 @@
+"""Incremental inbox: unread counts kept up to date by Structured Streaming.
+
+The record screens poll the unread count (O34) and the inbox (O46). As a
+stream, two append-only event sources drive one aggregate:
+
+* ``created`` -- a notification was written (``n_id, n_receiver, n_type,
+  n_created_at``), counted +1;
+* ``reads``   -- a notification was marked read (``n_id, n_receiver, n_type,
+  read_at``), counted -1. Marking read twice must not count twice, so read
+  events are de-duplicated per ``n_id`` inside a watermark (state is dropped
+  once the watermark passes).
+
+The aggregate (per receiver and type) runs in ``update`` mode; each
+micro-batch's changed rows are written by ``foreachBatch`` to a versioned
+snapshot (or to any sink the caller passes). The query checkpoint lives under
+the cluster's shared checkpoint folder, so a restarted driver resumes.
+"""
+
+from __future__ import annotations
+
+import os
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
+
+from campusledger.session import checkpoint_dir
+
+CREATED_SCHEMA = ("n_id bigint, n_sender string, n_receiver string, n_type string, "
+                  "n_message string, n_is_read string, n_created_at timestamp_ntz, "
+                  "n_related_record_id bigint, n_related_record_type string")
+READ_SCHEMA = "n_id bigint, n_receiver string, n_type string, read_at timestamp_ntz"
+
+
+def read_events(spark: SparkSession, path: str, schema: str,
+                max_files_per_trigger: int | None = None) -> DataFrame:
+    """A parquet folder as an append-only event stream."""
+    reader = spark.readStream.schema(schema).format("parquet")
+    if max_files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", str(max_files_per_trigger))
+    return reader.load(path)
+
+
+def unread_deltas(created: DataFrame, reads: DataFrame, watermark: str = "7 days") -> DataFrame:
+    """+1 per new unread notification, -1 per first read of a notification."""
+    new = (created.where(F.lower(F.coalesce("n_is_read", F.lit("No"))) == "no")
+           .select(F.lower("n_receiver").alias("receiver"), "n_type", F.lit(1).alias("delta")))
+    done = (reads.withColumn("read_at", F.col("read_at").cast("timestamp"))
+            .withWatermark("read_at", watermark)
+            .dropDuplicatesWithinWatermark(["n_id"])
+            .select(F.lower("n_receiver").alias("receiver"), "n_type",
+                    F.lit(-1).alias("delta")))
+    return new.unionByName(done)
+
+
+def unread_counts_stream(created: DataFrame, reads: DataFrame,
+                         watermark: str = "7 days") -> DataFrame:
+    """Streaming aggregate: unread notifications per receiver and type."""
+    return (unread_deltas(created, reads, watermark)
+            .groupBy("receiver", "n_type")
+            .agg(F.sum("delta").cast("bigint").alias("unread")))
+
+
+def inbox_feed(created: DataFrame, receiver: str) -> DataFrame:
+    """New notifications of one receiver, as they arrive (append mode)."""
+    return created.where(F.lower("n_receiver") == receiver.lower())
+
+
+def start_unread_counts(spark: SparkSession, created_path: str, reads_path: str,
+                        sink=None, name: str = "unread_counts",
+                        trigger_seconds: int | None = None) -> StreamingQuery:
+    """Start the unread-count stream.
+
+    ``sink(batch_df, batch_id)`` receives each micro-batch's updated rows; by
+    default they go to an in-memory table named ``name`` (tests, notebooks).
+    """
+    counts = unread_counts_stream(read_events(spark, created_path, CREATED_SCHEMA),
+                                  read_events(spark, reads_path, READ_SCHEMA))
+    ckpt = os.path.join(checkpoint_dir(spark), "streams", name)
+    writer = counts.writeStream.outputMode("update").option("checkpointLocation", ckpt)
+    if trigger_seconds:
+        writer = writer.trigger(processingTime=f"{trigger_seconds} seconds")
+    if sink is None:
+        return writer.outputMode("complete").format("memory").queryName(name).start()
+    return writer.foreachBatch(sink).start()
