@@ -149,6 +149,25 @@ def _attachments(mode: str, keep_missing: bool, stored: str | None, **kw) -> Col
     return merged
 
 
+def _merge_on_change_side(ch: DataFrame, mode: str, keep_missing: bool, stored: str,
+                          **kw) -> tuple[DataFrame, Column]:
+    """Compute the merged attachment text on the request rows, before the join.
+
+    The merge only reads request fields, so it runs once per request on the
+    (smaller) change side instead of inside the join's projection; the
+    stored value is consulted after the join only for ``keep_missing``.
+    """
+    merged = merged_json(_c("existingAttachments"), _c("filesToDelete"), _c("newFiles"), mode,
+                         **kw)
+    none_sent = _c("existingAttachments").isNull() & \
+        (F.coalesce(F.size(_c("newFiles")), F.lit(0)) <= 0)
+    ch = ch.withColumns({"_att": merged, "_none_sent": none_sent})
+    value = F.col("_att")
+    if keep_missing:
+        value = F.when(F.col("_none_sent"), F.col(stored)).otherwise(value)
+    return ch, value
+
+
 def insert_cases(cases: DataFrame, changes: DataFrame, as_of=None) -> Written:
     """New case rows (O48a) and their referral notifications."""
     ts = as_of_column(as_of)
@@ -177,7 +196,8 @@ def update_cases(cases: DataFrame, changes: DataFrame, as_of=None,
     ts = as_of_column(as_of)
     ch = with_optional(changes).withColumnRenamed("caseId", "cr_case_id")
     sets = _case_fields()
-    sets["cr_attachments"] = _attachments("case_update", keep_missing, "cr_attachments")
+    ch, sets["cr_attachments"] = _merge_on_change_side(ch, "case_update", keep_missing,
+                                                       "cr_attachments")
     sets["cr_edit_history"] = append_edit_history(
         F.col("cr_edit_history"), F.coalesce(_c("userType"), F.lit("OPD")), ts)
     table, rows, status = _apply(cases, ch, "cr_case_id", sets, CASE_ORDER)
@@ -240,7 +260,8 @@ def update_counseling(counseling: DataFrame, changes: DataFrame, as_of=None,
     ch = ch.withColumn("_missing", required_fields(ch, "counseling"))
     valid = ch.where(F.size("_missing") == 0).drop("_missing")
     sets = _counseling_fields()
-    sets["cor_attachments"] = _attachments("counseling_update", keep_missing, "cor_attachments")
+    valid, sets["cor_attachments"] = _merge_on_change_side(valid, "counseling_update",
+                                                           keep_missing, "cor_attachments")
     sets["cor_edit_history"] = append_edit_history(
         F.col("cor_edit_history"), F.coalesce(_c("userType"), F.lit("GCO")), ts)
     table, rows, _ = _apply(counseling, valid, "cor_record_id", sets, COUNSELING_ORDER)
@@ -330,9 +351,10 @@ def update_medical(medical: DataFrame, changes: DataFrame, as_of=None,
     sets["mr_referred"] = F.coalesce(blank_to_null(_c("referredToGCO")), F.lit("No"))
     sets["mr_school_year_semester"] = blank_to_null(_c("schoolYearSemester"))
     sets["mr_additional_remarks"] = F.coalesce(blank_to_null(_c("remarks")), F.lit(""))
-    sets["mr_attachments"] = _attachments(
-        "medical_update", keep_missing, "mr_attachments", classes=_c("fileClassifications"),
-        uploader=uploader, upload_date=F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"))
+    valid, sets["mr_attachments"] = _merge_on_change_side(
+        valid, "medical_update", keep_missing, "mr_attachments",
+        classes=_c("fileClassifications"), uploader=uploader,
+        upload_date=F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"))
     sets["mr_edit_history"] = append_edit_history(F.col("mr_edit_history"), uploader, ts)
     extra = latest_per_key(valid.select("mr_medical_id", "seq", "newFiles", "uploaderType"),
                            "mr_medical_id")

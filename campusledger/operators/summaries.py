@@ -2,15 +2,15 @@
 
 Plan shape used by every summary, chosen for very large record tables:
 
-1. Records are aggregated first, by (student id, lower(status)): count of
-   distinct record ids, latest date, newest id, a representative spelling,
-   the semester / flag sets. Spark's partial aggregation collapses each
-   student inside each map task before the shuffle, and the distinct count is
-   planned on (student, status, id), so one student holding a third of all
-   records neither overloads a task nor the network.
-2. A second aggregate by student id turns the handful of status rows into
-   the ordered status list. The list is built from at most one entry per
-   distinct status, so its size is bounded by the status vocabulary.
+1. Records are aggregated first, by (student id, status, semester, flags):
+   row count, latest date, newest id -- fixed-width buffers, so a
+   code-generated hash aggregate with map-side partial aggregation. One
+   student holding a third of all records is collapsed inside each map task
+   before the shuffle, so it overloads neither a task nor the network.
+2. The small level-1 result is repartitioned once by student id; on that
+   partitioning a status merge (ignoring case) and the per-student lists run
+   without further exchanges. Each list holds at most one entry per distinct
+   status / semester, so its size is bounded by the vocabulary, not the data.
 3. The per-student rows are joined to the DISTINCT student key tuples
    (id, name, strand, grade, section). Joining after aggregating avoids the
    semester fan-out of the raw join; a student listed with two grades still
@@ -68,20 +68,31 @@ def _sorted_join(c) -> F.Column:
 
 
 def _per_student(records: DataFrame, kind: RecordKind, with_semesters: bool) -> DataFrame:
-    extra = []
+    keys = [F.col(kind.student).alias("id"), F.col(kind.status).alias("_status")]
     if with_semesters:
-        extra.append(F.collect_set(kind.semester).alias("_sem"))
-    for name, src in kind.flag_lists:
-        extra.append(F.collect_set(src).alias("_" + name))
-
-    per_status = (records
-                  .groupBy(F.col(kind.student).alias("id"), F.lower(kind.status).alias("_sk"))
-                  .agg(F.count_distinct(kind.id).alias("_n"),
-                       F.max(kind.date).alias("_last_date"),
-                       F.max(kind.id).alias("_last_id"),
-                       F.max_by(kind.status, kind.id).alias("_status"),
-                       *extra))
-
+        keys.append(F.col(kind.semester).alias("_sem"))
+    keys += [F.col(src).alias("_" + name) for name, src in kind.flag_lists]
+
+    # Level 1 over the records: fixed-width buffers only (count, max), so it is
+    # a code-generated hash aggregate with map-side partial aggregation.
+    # Record ids are the tables' primary keys, so counting rows per student
+    # before any join equals the distinct count of ids.
+    level1 = records.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"),
+                                        F.max(kind.date).alias("_last_date"),
+                                        F.max(kind.id).alias("_last_id"))
+
+    # The level-1 output is small (students x statuses x semesters). One
+    # explicit exchange by student id serves the two small aggregates below
+    # and the final join: hash partitioning on the id satisfies all three.
+    small = level1.repartition("id")
+    sets = [F.collect_set("_sem").alias("_sem")] if with_semesters else []
+    sets += [F.collect_set("_" + name).alias("_" + name) for name, _ in kind.flag_lists]
+    per_status = (small.groupBy("id", F.lower("_status").alias("_sk"))
+                  .agg(F.sum("_n").alias("_n"),
+                       F.max("_last_date").alias("_last_date"),
+                       F.max("_last_id").alias("_last_id"),
+                       F.max_by("_status", "_last_id").alias("_status"),
+                       *sets))
     entry = F.struct(F.col("_last_date").isNotNull().alias("dated"),
                      F.col("_last_date").alias("last_date"),
                      F.col("_last_id").alias("last_id"),

@@ -192,11 +192,36 @@ def source_views(spark: SparkSession, sf_dir: str) -> dict[str, str]:
     return names
 
 
+class _LazyTables(dict):
+    """Builds (and keeps) a record table's plan on first access."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        super().__init__()
+        self._spark, self._dir = spark, sf_dir
+
+    def __missing__(self, name: str) -> DataFrame:
+        if name not in FIXTURE_SQL:
+            raise KeyError(name)
+        names = source_views(self._spark, self._dir)
+        df = self._spark.sql(render(FIXTURE_SQL[name], names, "timestamp_ntz"))
+        self[name] = df
+        return df
+
+
+_FIXTURE_CACHE: dict = {}
+
+
 def fixture_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """The six record tables derived from the driver parquet in ``sf_dir``."""
-    names = source_views(spark, sf_dir)
-    return {name: spark.sql(render(sql, names, "timestamp_ntz"))
-            for name, sql in FIXTURE_SQL.items()}
+    """The six record tables derived from the driver parquet in ``sf_dir``.
+
+    Plans are built lazily and reused per session and folder (a DataFrame is
+    an immutable plan; nothing is cached in memory).
+    """
+    key = (id(spark._jsparkSession), os.path.abspath(sf_dir))
+    tables = _FIXTURE_CACHE.get(key)
+    if tables is None:
+        tables = _FIXTURE_CACHE[key] = _LazyTables(spark, sf_dir)
+    return tables
 
 
 def load_tables(spark: SparkSession, root: str) -> dict[str, DataFrame]:
