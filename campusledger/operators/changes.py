@@ -108,7 +108,11 @@ def _apply(table: DataFrame, changes: DataFrame, key: str, set_cols: dict[str, C
 
 def _status(changes: DataFrame, table: DataFrame, key: str,
             reject: Column | None = None) -> DataFrame:
-    known = table.select(key).distinct().withColumn("_known", F.lit(True))
+    # Only the requested keys are looked up: the table's key column is
+    # semi-joined to the (smaller) request keys before the distinct.
+    wanted = changes.select(key).distinct()
+    known = (table.select(key).join(wanted, key, "left_semi").distinct()
+             .withColumn("_known", F.lit(True)))
     out = changes.join(known, key, "left")
     st = F.when(F.col("_known"), F.lit("applied")).otherwise(F.lit("not_found"))
     if reject is not None:

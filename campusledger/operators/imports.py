@@ -152,8 +152,11 @@ def import_students(students: DataFrame, mapped: DataFrame) -> ImportResult:
     k_id, k_sem = F.lower("id"), F.lower("schoolYearSemesterr")
     keyed = valid.withColumns({"_k1": k_id, "_k2": k_sem})
     firsts = keyed.groupBy("_k1", "_k2").agg(F.min("pos").alias("_first_pos"))
+    # Stored keys are looked up only for the keys in the file: the table side
+    # is semi-joined to the file's distinct keys before its own distinct.
     stored = (students.select(F.lower("sd_id_number").alias("_k1"),
                               F.lower("sd_school_year_semesterr").alias("_k2"))
+              .join(firsts.select("_k1", "_k2"), ["_k1", "_k2"], "left_semi")
               .distinct().withColumn("_stored", F.lit(True)))
     marked = (keyed.join(firsts, ["_k1", "_k2"], "left").join(stored, ["_k1", "_k2"], "left")
               .withColumn("_dup", F.coalesce(F.col("_stored"), F.lit(False))

@@ -41,7 +41,8 @@ def mark_read(notifications: DataFrame, ids: DataFrame) -> ReadResult:
              .withColumn("n_is_read", F.when(F.col("_hit"), F.lit("Yes"))
                          .otherwise(F.col("n_is_read")))
              .select(notifications.columns))
-    known = notifications.select("n_id").distinct().withColumn("_known", F.lit(True))
+    known = (notifications.select("n_id").join(req.select("n_id"), "n_id", "left_semi")
+             .distinct().withColumn("_known", F.lit(True)))
     status = req.join(known, "n_id", "left").select(
         "n_id", F.when(F.col("_known"), F.lit("applied")).otherwise(F.lit("not_found"))
         .alias("status"))

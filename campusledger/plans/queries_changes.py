@@ -474,8 +474,9 @@ _STUDENT_API = (("sd_id_number", "id"), ("sd_student_name", "name"), ("sd_strand
 def _student_change(students, where, overrides):
     cols = [F.col(s).alias(a) if a not in overrides else overrides[a].alias(a)
             for s, a in _STUDENT_API]
+    # seq from the numeric student id: deterministic if a task is recomputed
     return students.where(where).select(
-        F.monotonically_increasing_id().alias("seq"), *cols,
+        F.col("sd_id_number").cast("bigint").alias("seq"), *cols,
         overrides.get("schoolYearSemesterr", F.col("sd_school_year_semesterr"))
         .alias("schoolYearSemesterr"))
 
@@ -526,7 +527,7 @@ def delete_students(t):
     s, cases = t["tbl_student_data"], t["tbl_case_records"]
     ids = s.select(F.col("sd_id_number").alias("id")).distinct() \
         .join(cases.select(F.col("cr_student_id").alias("id")), "id", "left_anti") \
-        .withColumn("seq", F.monotonically_increasing_id())
+        .withColumn("seq", F.col("id").cast("bigint"))
     return C.delete_students(s, ids).table.select("sd_id_number", "sd_school_year_semesterr")
 
 

@@ -445,3 +445,39 @@ WHERE lower(n_receiver) = 'inf' AND lower(n_type) = 'opd medical certificate'
   AND lower(n_sender) = 'opd'""")
 def certificate_inbox(t):
     return P.notification_projection(I.certificate_inbox(t["tbl_notifications"]))
+
+
+# ---- joins (O22) ---------------------------------------------------------------------------
+
+from campusledger.operators import joins as J  # noqa: E402
+
+_JOIN_STUDENT_COLS = ("sd_id_number", "sd_student_name", "sd_grade_level",
+                      "sd_school_year_semesterr")
+
+
+@register("students_join_cases", """
+SELECT sd.sd_id_number, sd.sd_student_name, sd.sd_grade_level, sd.sd_school_year_semesterr,
+       cr.cr_case_id, cr.cr_status
+FROM tbl_student_data sd JOIN tbl_case_records cr ON sd.sd_id_number = cr.cr_student_id""")
+def students_join_cases(t):
+    return J.students_join_cases(t["tbl_student_data"], t["tbl_case_records"]).select(
+        *_JOIN_STUDENT_COLS, "cr_case_id", "cr_status")
+
+
+@register("students_join_counseling", """
+SELECT sd.sd_id_number, sd.sd_student_name, sd.sd_grade_level, sd.sd_school_year_semesterr,
+       c.cor_record_id, c.cor_status
+FROM tbl_student_data sd
+JOIN tbl_counseling_records c ON sd.sd_id_number = c.cor_student_id_number""")
+def students_join_counseling(t):
+    return J.students_join_counseling(t["tbl_student_data"], t["tbl_counseling_records"]).select(
+        *_JOIN_STUDENT_COLS, "cor_record_id", "cor_status")
+
+
+@register("students_join_medical", """
+SELECT sd.sd_id_number, sd.sd_student_name, sd.sd_grade_level, sd.sd_school_year_semesterr,
+       m.mr_medical_id, m.mr_status
+FROM tbl_student_data sd JOIN tbl_medical_records m ON sd.sd_id_number = m.mr_student_id""")
+def students_join_medical(t):
+    return J.students_join_medical(t["tbl_student_data"], t["tbl_medical_records"]).select(
+        *_JOIN_STUDENT_COLS, "mr_medical_id", "mr_status")
