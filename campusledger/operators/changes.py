@@ -83,11 +83,16 @@ def new_ids(table: DataFrame, id_col: str, seq: str = "seq") -> Column:
 
 
 def latest_per_key(changes: DataFrame, key: str, seq: str = "seq") -> DataFrame:
-    """One request per key: the one with the highest ``seq``."""
-    others = [c for c in changes.columns if c != key]
-    return (changes.groupBy(key)
-            .agg(F.max_by(F.struct(*others), F.col(seq)).alias("_c"))
-            .select(key, "_c.*"))
+    """One request per key: the one with the highest ``seq``.
+
+    ``max(seq)`` per key is a fixed-width hash aggregate (partial, so a key
+    holding a third of the batch is collapsed map-side); joining it back
+    keeps the winning request without carrying whole rows through an
+    aggregation buffer. ``seq`` is unique within a batch.
+    """
+    last = changes.groupBy(key).agg(F.max(seq).alias("_last_seq"))
+    return (changes.join(last, [key], "inner")
+            .where(F.col(seq) == F.col("_last_seq")).drop("_last_seq"))
 
 
 def _apply(table: DataFrame, changes: DataFrame, key: str, set_cols: dict[str, Column],
