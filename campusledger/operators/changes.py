@@ -64,6 +64,13 @@ OPTIONAL_TYPES = {
     "time": T.StringType(), "psychologicalCondition": T.StringType(),
     "schoolYearSemester": T.StringType(), "password": T.StringType(),
     "username": T.StringType(), "name": T.StringType(), "department": T.StringType(),
+    # request fields that may be absent; required ones are then reported missing
+    "studentId": T.StringType(), "studentName": T.StringType(), "strand": T.StringType(),
+    "gradeLevel": T.StringType(), "section": T.StringType(), "violationLevel": T.StringType(),
+    "status": T.StringType(), "description": T.StringType(), "concern": T.StringType(),
+    "sessionNumber": T.StringType(), "subject": T.StringType(),
+    "medicalDetails": T.StringType(), "isPsychological": T.StringType(),
+    "isMedical": T.StringType(),
 }
 
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from campusledger.functions.semantics import ci_eq, ci_like_any, contains_pattern, escape_like, \
     unsigned
 from campusledger.operators import projections as P
+from campusledger.operators.validation import numeric_id
 
 # Filter arguments accepted by the record screens.
 CASE_LEVELS = {"MINOR": "Minor", "MAJOR": "Major", "SERIOUS": "Serious"}
@@ -119,12 +120,19 @@ RECORD_KEYS = {
 
 
 def record_by_id(df: DataFrame, kind: str, value) -> DataFrame:
-    """Rows whose key equals ``value`` (O17a). Students: the latest semester only."""
+    """Rows whose key equals ``value`` (O17a). Students: the latest semester only.
+
+    Numeric record ids are validated first (O70): a non-numeric id is an error.
+    """
     key = RECORD_KEYS[kind]
     if kind in ("student", "user"):
         out = df.where(ci_eq(key, str(value)))
     else:
-        out = df.where(F.col(key) == F.lit(value).cast("bigint"))
+        try:
+            float(str(value))
+        except ValueError:
+            raise ValueError("Record ID must be a number") from None
+        out = df.where(F.col(key) == F.lit(str(value)).try_cast("double").cast("bigint"))
     if kind == "student":
         latest = out.agg(F.max("sd_school_year_semesterr").alias("_m"))
         out = out.join(latest, F.col("sd_school_year_semesterr") == F.col("_m")).drop("_m")
@@ -132,8 +140,12 @@ def record_by_id(df: DataFrame, kind: str, value) -> DataFrame:
 
 
 def records_by_ids(df: DataFrame, kind: str, ids: DataFrame) -> DataFrame:
-    """Batch look-up: ``ids`` has one column named like the key (semi join)."""
-    return df.join(ids, RECORD_KEYS[kind], "left_semi")
+    """Batch look-up: ``ids`` has one column named like the key (semi join).
+    For numeric keys, requests whose id is not numeric are dropped (O70)."""
+    key = RECORD_KEYS[kind]
+    if kind not in ("student", "user"):
+        ids = ids.where(numeric_id(key)).select(F.col(key).cast("double").cast("bigint").alias(key))
+    return df.join(ids, key, "left_semi")
 
 
 def records_by_student(df: DataFrame, kind: str, student_id: str, *, referred: bool = False,

@@ -166,3 +166,79 @@ def test_update_students_overwrites_all_semesters(spark):
                   for r in w.table.collect())
     assert rows == [("1", "Ann B", "2025-2026-1"), ("1", "Ann B", "2025-2026-1"),
                     ("2", "Ben", "2024-2025-1")]
+
+
+def _med_requests(spark, rows):
+    return spark.createDataFrame(rows, (
+        "seq long, studentId string, studentName string, strand string, gradeLevel string, "
+        "section string, schoolYearSemester string, subject string, status string, "
+        "medicalDetails string, remarks string, referredToGCO string, isPsychological string, "
+        "isMedical string, uploaderType string, newFiles array<struct<filename:string,"
+        "originalname:string,mimetype:string,size:bigint,path:string>>, fileClassifications "
+        "array<struct<filename:string,isMedical:boolean,isPsychological:boolean>>"))
+
+
+def test_insert_medical_files_and_notices(spark, tables):
+    med = tables["tbl_medical_records"]
+    req = _med_requests(spark, [
+        (1, "000001", "Ann", "STEM", "11", "S1", "2024-2025-1", "flu", "Ongoing", "d", "",
+         "Yes", "Yes", "No", "OPD",
+         [("OPDMC_a-1.pdf", "a.pdf", "application/pdf", 10, "/u/a"),
+          ("OPDMC_b-1.pdf", "b.pdf", "application/pdf", 20, "/u/b")],
+         [("a.pdf", True, False)]),
+        (2, "", "Ben", None, None, None, None, None, None, None, None, "No", "No", "Yes", None,
+         None, None)])
+    w = C.insert_medical(med, req, "2025-06-01 09:00:00")
+    st = {r.seq: r.status for r in w.status.collect()}
+    assert st == {1: "applied", 2: "rejected:missing:studentId"}
+    row = w.rows.first()
+    base = med.agg(F.max("mr_medical_id")).first()[0]
+    assert row.mr_medical_id == base + 1 and row.mr_referral_confirmation == "Pending"
+    assert row.mr_record_date == dt.datetime(2025, 6, 1)
+    files = spark.createDataFrame([(row.mr_attachments,)], "t string").select(
+        F.from_json("t", "array<struct<filename:string,isMedical:boolean,uploadedBy:string,"
+                    "uploadDate:string>>").alias("f")).first().f
+    assert [(f.filename, f.isMedical, f.uploadedBy) for f in files] == \
+        [("OPDMC_a-1.pdf", True, "OPD"), ("OPDMC_b-1.pdf", False, "OPD")]
+    notes = sorted((r.n_type, r.n_receiver, r.n_message) for r in w.notifications.collect())
+    assert notes[0] == ("OPD Medical Certificate", "INF", 'OPD uploaded file "a.pdf" for Ann (000001)')
+    assert len(notes) == 5          # 2 files x (INF, OPD) + 1 referral
+    assert ("Referral", "GCO", "New psychological referral for Ann (000001)") in notes
+
+
+def test_update_medical_flags_only_set(spark):
+    from campusledger.sources.tables import SCHEMAS
+    old = ('[{"filename":"a","originalname":"A","isMedical":true,"isPsychological":false},'
+           '{"filename":"b","originalname":"B","isMedical":false}]')
+    med = spark.createDataFrame(
+        [(5, "000001", "Ann", "STEM", "11", "S1", "x", "s", "Ongoing", "d", "", "Yes",
+          "Accepted", "No", "Yes", old, dt.datetime(2024, 1, 1), dt.datetime(2024, 1, 1), "[]",
+          "INF")], SCHEMAS["tbl_medical_records"])
+    req = spark.createDataFrame(
+        [(1, 5, "000001", "Ann", "flu", "Treated", "d", "No", "Yes", None, old, ["b"],
+          [("A", False, True)])],
+        "seq long, recordId long, studentId string, studentName string, subject string, "
+        "status string, medicalDetails string, isPsychological string, isMedical string, "
+        "referredToGCO string, existingAttachments string, filesToDelete array<string>, "
+        "fileClassifications array<struct<filename:string,isMedical:boolean,"
+        "isPsychological:boolean>>")
+    w = C.update_medical(med, req, "2025-06-01 09:00:00")
+    row = w.table.first()
+    assert row.mr_status == "Treated" and row.mr_referred == "No"
+    assert row.mr_referral_confirmation == "Accepted"           # left as it was
+    assert row.mr_attachments == ('[{"filename":"a","originalname":"A","isMedical":true,'
+                                  '"isPsychological":true}]')
+    assert '"editedBy":"INF"' in row.mr_edit_history
+    bad = req.withColumn("isMedical", F.lit("No"))
+    st = C.update_medical(med, bad, "2025-06-01 09:00:00").status.first().status
+    assert st == "rejected:neither_medical_nor_psychological"
+
+
+def test_lookups_validate_numeric_ids(spark, tables):
+    import pytest
+    from campusledger.operators import filters as Fl
+    with pytest.raises(ValueError):
+        Fl.record_by_id(tables["tbl_medical_records"], "medical", "abc")
+    ids = spark.createDataFrame([("1",), ("x",)], "cr_case_id string")
+    got = Fl.records_by_ids(tables["tbl_case_records"], "case", ids)
+    assert [r.cr_case_id for r in got.collect()] == [1]
