@@ -242,3 +242,64 @@ def test_lookups_validate_numeric_ids(spark, tables):
     ids = spark.createDataFrame([("1",), ("x",)], "cr_case_id string")
     got = Fl.records_by_ids(tables["tbl_case_records"], "case", ids)
     assert [r.cr_case_id for r in got.collect()] == [1]
+
+
+def test_import_order_across_splits(spark, tmp_dir):
+    """A file read as several splits keeps file order in ``pos``: the earlier
+    row of a duplicate key wins even when the copies land in different tasks."""
+    path = os.path.join(tmp_dir, "big.csv")
+    n = 4000
+    with open(path, "w") as fh:
+        fh.write("ID Number,Student Name,Semester\n")
+        for i in range(n):
+            fh.write(f"{i % 1000},Name {i},2024-2025-1\n")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
+    try:
+        raw = read_import_csv(spark, path)
+        assert raw.rdd.getNumPartitions() > 4
+        empty = spark.createDataFrame([], SCHEMAS["tbl_student_data"])
+        res = IM.import_students(empty, IM.map_csv_rows(raw))
+        names = sorted((int(r.sd_id_number), r.sd_student_name) for r in res.inserted.collect())
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert names == [(i, f"Name {i}") for i in range(1000)]
+    assert res.summary.first().duplicates_found == n - 1000
+
+
+def test_search_wildcards(spark):
+    from campusledger.operators import filters as Fl
+    rows = []
+    for i, name in enumerate(["50% off", "50X off", "a_b", "axb", "back\\slash"], start=1):
+        rows.append((i, "000001", name, "STEM", "11", "S1", "x", "Minor", "Ongoing",
+                     dt.datetime(2024, 1, 1), "No", None, "d", "", None,
+                     dt.datetime(2024, 1, 1), "[]", "OPD"))
+    cases = spark.createDataFrame(rows, SCHEMAS["tbl_case_records"])
+    # unescaped: '%' and '_' stay wildcards
+    assert Fl.case_search(cases, "50%").count() == 2
+    assert Fl.case_search(cases, "a_b").count() == 2
+    med_rows = [(i, "000001", name, "STEM", "11", "S1", "x", "s", "Ongoing", "d", "", "No",
+                 "Pending", "No", "Yes", None, dt.datetime(2024, 1, 1), dt.datetime(2024, 1, 1),
+                 "[]", "INF") for i, name in enumerate(["50% off", "50X off", "a_b", "axb"], 1)]
+    med = spark.createDataFrame(med_rows, SCHEMAS["tbl_medical_records"])
+    # escaped in the medical search: they match literally
+    assert [r.mr_student_name for r in Fl.medical_search(med, "50%").collect()] == ["50% off"]
+    assert [r.mr_student_name for r in Fl.medical_search(med, "a_b").collect()] == ["a_b"]
+    import pytest
+    with pytest.raises(ValueError):
+        Fl.medical_search(med, "   ")
+
+
+def test_confirm_medical_condition(spark):
+    rows = []
+    for mid, psych in [(1, "Yes"), (2, "No"), (3, "YES")]:
+        rows.append((mid, "000001", "Ann", "STEM", "11", "S1", None, "s", "Ongoing", "d", "",
+                     "Yes", "Pending", psych, "Yes", None, dt.datetime(2024, 1, 1),
+                     dt.datetime(2024, 1, 1), "[]", "INF"))
+    med = spark.createDataFrame(rows, SCHEMAS["tbl_medical_records"])
+    req = spark.createDataFrame([(1,), (2,), (3,)], "record_id long")
+    res = R.confirm_medical_referrals(med, req)
+    got = {r.cor_origin_medical_id: r.cor_is_psychological_condition
+           for r in res.counseling.collect()}
+    assert got == {1: "YES", 2: "NO", 3: "NO"}     # exact 'Yes' only
+    assert {r.n_receiver for r in res.notifications.collect()} == {"INF"}
