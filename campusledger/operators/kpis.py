@@ -117,18 +117,24 @@ CERTIFICATE_TYPE = "OPD Medical Certificate"
 def unread_counts(notifications: DataFrame, receiver: str) -> DataFrame:
     """Unread notifications of one receiver, per type.
 
-    Rows: one per type (``count``, ``opd_certificate_count``) and, from the
-    same aggregate via ``rollup``, a total row (``is_total``) whose ``opd_certificate_count`` holds the exact-case certificate count
+    Types are grouped ignoring case (the database rule), spelled as their
+    smallest spelling. Rows: one per type (``count``, ``opd_certificate_count``)
+    and, from the same aggregate via ``rollup``, a total row (``is_total``)
+    whose ``opd_certificate_count`` holds the exact-case certificate count
     the handler reports.
     """
-    unread = notifications.where((F.col("n_receiver") == receiver) & ci_eq("n_is_read", "No"))
+    unread = notifications.where(ci_eq("n_receiver", receiver) & ci_eq("n_is_read", "No")) \
+        .withColumn("_type_key", F.lower("n_type"))
     exact_cert = F.col("n_type") == CERTIFICATE_TYPE
-    return (unread.rollup("n_type")
-            .agg(F.count(F.lit(1)).cast("bigint").alias("count"),
+    total = F.grouping("_type_key") == 1
+    return (unread.rollup("_type_key")
+            .agg(F.min("n_type").alias("_type"),
+                 F.count(F.lit(1)).cast("bigint").alias("count"),
                  _count_if(ci_eq("n_type", CERTIFICATE_TYPE)).alias("_ci_cert"),
                  _count_if(exact_cert).alias("_exact_cert"),
-                 F.grouping("n_type").alias("_total"))
-            .select("n_type", (F.col("_total") == 1).alias("is_total"), "count",
+                 F.grouping("_type_key").alias("_total"))
+            .select(F.when(F.col("_total") == 0, F.col("_type")).alias("n_type"),
+                    (F.col("_total") == 1).alias("is_total"), "count",
                     F.when(F.col("_total") == 1, F.col("_exact_cert"))
                     .otherwise(F.col("_ci_cert")).alias("opd_certificate_count")))
 

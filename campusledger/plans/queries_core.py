@@ -119,9 +119,9 @@ _UNREAD = (f"FROM tbl_notifications WHERE lower(n_receiver) = '{UNREAD_RECEIVER.
 
 
 @register("unread_counts", f"""
-SELECT n_type, false AS is_total, CAST(count(*) AS BIGINT) AS count,
+SELECT min(n_type) AS n_type, false AS is_total, CAST(count(*) AS BIGINT) AS count,
        {_cnt("lower(n_type) = 'opd medical certificate'", 'opd_certificate_count')}
-{_UNREAD} GROUP BY n_type
+{_UNREAD} GROUP BY lower(n_type)
 UNION ALL
 SELECT NULL, true, CAST(count(*) AS BIGINT),
        {_cnt("n_type = 'OPD Medical Certificate'", 'opd_certificate_count')}
