@@ -25,13 +25,8 @@ def ci_eq(c: ColumnOrName, value: str) -> Column:
     return F.lower(_col(c)) == F.lit(value.lower())
 
 
-def ci_in(c: ColumnOrName, values) -> Column:
-    return F.lower(_col(c)).isin([v.lower() for v in values])
 
 
-def ci_key(c: ColumnOrName) -> Column:
-    """Grouping key for case-insensitive DISTINCT / GROUP BY."""
-    return F.lower(_col(c))
 
 
 def contains_pattern(text: str) -> str:
@@ -66,8 +61,6 @@ def first_present(*cols: ColumnOrName) -> Column:
     return F.coalesce(*[blank_to_null(c) for c in cols[:-1]], _col(cols[-1]))
 
 
-def is_blank(c: ColumnOrName) -> Column:
-    return F.coalesce(F.trim(_col(c).cast("string")), F.lit("")) == ""
 
 
 def as_of_column(as_of=None) -> Column:
@@ -95,11 +88,3 @@ def epoch_millis(c: ColumnOrName) -> Column:
     """``Date.getTime()`` of a zone-free timestamp read as UTC."""
     epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
     return F.timestamp_diff("MILLISECOND", epoch, _col(c).cast("timestamp_ntz"))
-
-
-def any_of(conds) -> Column:
-    return reduce(lambda a, b: a | b, conds)
-
-
-def all_of(conds) -> Column:
-    return reduce(lambda a, b: a & b, conds)

@@ -31,8 +31,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from campusledger.functions.semantics import as_of_column, blank_to_null, ci_eq
-from campusledger.operators.attachments import (append_edit_history, merged_json,
-                                                new_file_entries)
+from campusledger.operators.attachments import (DEFAULT_EDITOR, append_edit_history,
+                                                merged_json, new_file_entries)
 from campusledger.functions.jsoncols import to_json_or_null
 from campusledger.operators.referrals import (case_referral_notifications,
                                               medical_referral_notifications,
@@ -215,7 +215,7 @@ def update_cases(cases: DataFrame, changes: DataFrame, as_of=None,
     ch, sets["cr_attachments"] = _merge_on_change_side(ch, "case_update", keep_missing,
                                                        "cr_attachments")
     sets["cr_edit_history"] = append_edit_history(
-        F.col("cr_edit_history"), F.coalesce(_c("userType"), F.lit("OPD")), ts)
+        F.col("cr_edit_history"), F.coalesce(_c("userType"), F.lit(DEFAULT_EDITOR["case"])), ts)
     table, rows, status = _apply(cases, ch, "cr_case_id", sets, CASE_ORDER)
     return Written(table, rows, status, case_referral_notifications(rows))
 
@@ -279,7 +279,8 @@ def update_counseling(counseling: DataFrame, changes: DataFrame, as_of=None,
     valid, sets["cor_attachments"] = _merge_on_change_side(valid, "counseling_update",
                                                            keep_missing, "cor_attachments")
     sets["cor_edit_history"] = append_edit_history(
-        F.col("cor_edit_history"), F.coalesce(_c("userType"), F.lit("GCO")), ts)
+        F.col("cor_edit_history"), F.coalesce(_c("userType"), F.lit(DEFAULT_EDITOR["counseling"])),
+        ts)
     table, rows, _ = _apply(counseling, valid, "cor_record_id", sets, COUNSELING_ORDER)
     status = _status(ch, counseling, "cor_record_id",
                      F.transform("_missing", lambda m: F.concat(F.lit("missing:"), m)))
@@ -362,7 +363,7 @@ def update_medical(medical: DataFrame, changes: DataFrame, as_of=None,
         F.transform(required_fields(ch, "medical_update"), lambda m: F.concat(F.lit("missing:"), m)),
         reasons((~condition_consistency(), "neither_medical_nor_psychological"))))
     valid = ch.where(F.size("_bad") == 0).drop("_bad")
-    uploader = F.coalesce(blank_to_null(_c("uploaderType")), F.lit("INF"))
+    uploader = F.coalesce(blank_to_null(_c("uploaderType")), F.lit(DEFAULT_EDITOR["medical"]))
     sets = _medical_fields()
     sets["mr_referred"] = F.coalesce(blank_to_null(_c("referredToGCO")), F.lit("No"))
     sets["mr_school_year_semester"] = blank_to_null(_c("schoolYearSemester"))

@@ -12,7 +12,6 @@ the joined rows.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 RECORD_STUDENT_KEY = {
     "case": "cr_student_id",

@@ -63,7 +63,7 @@ def pending_referrals(cases: DataFrame, medical: DataFrame, ordered: bool = True
         F.col("mr_record_date").alias("record_date"),
         F.col("mr_medical_details").alias("details"),
         F.col("mr_sender").alias("sender"), F.lit("medical_record").alias("record_type"))
-    out = c.unionByName(m)
+    out = c.unionByName(m).select(*REFERRAL_COLUMNS)
     if ordered:
         out = out.orderBy("record_type", F.col("record_date").desc_nulls_last(),
                           F.col("record_id").desc())

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from campusledger.functions.semantics import ci_eq, ci_like_any, iso_millis, unsigned
-from campusledger.operators.filters import medical_condition
+from campusledger.operators.filters import medical_condition, top_n
 
 
 @dataclass(frozen=True)
@@ -246,12 +246,12 @@ def student_prefix_search(students: DataFrame, prefix: str, limit: int = 30) ->
     rows = students.select(*STUDENT_LOOKUP_COLS)
     if prefix is None or len(prefix) < 3:
         return rows.where(F.lit(False))
-    return (rows.where(_id_prefix(prefix))
-            .orderBy(F.col("sd_id_number").asc(),
-                     F.substring_index(sem, "-", 1).desc(),
-                     unsigned(F.substring_index(sem, "-", -1)).desc(),
-                     sem.asc(), "sd_student_name", "sd_strand", "sd_grade_level", "sd_section")
-            .limit(limit))
+    return top_n(rows.where(_id_prefix(prefix)), limit,
+                 F.col("sd_id_number").asc(),
+                 F.substring_index(sem, "-", 1).desc(),
+                 unsigned(F.substring_index(sem, "-", -1)).desc(),
+                 sem.asc(), F.col("sd_student_name"), F.col("sd_strand"),
+                 F.col("sd_grade_level"), F.col("sd_section"))
 
 
 def semester_key(numeric: bool = False) -> F.Column:

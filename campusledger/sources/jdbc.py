@@ -17,13 +17,22 @@ from pyspark.sql import DataFrame, SparkSession
 CONNECT_TIMEOUT_MS = 60000
 QUERY_TIMEOUT_MS = 60000
 
+# Partition columns per table (numeric ids); students have none, so they are
+# read in one query or through ``predicates``.
+PARTITION_COLUMNS = {
+    "tbl_case_records": "cr_case_id",
+    "tbl_counseling_records": "cor_record_id",
+    "tbl_medical_records": "mr_medical_id",
+    "tbl_notifications": "n_id",
+}
+
 
 def jdbc_url(host: str | None = None, port: int | str | None = None,
              database: str | None = None) -> str:
     host = host or os.environ.get("DB_HOST", "localhost")
     port = port or os.environ.get("DB_PORT", "3306")
     database = database or os.environ.get("DB_NAME", "")
-    return f"jdbc:mysql://{host}:{port}/{database}"
+    return f"jdbc:mysql://{host}:{port}/{database}?connectTimeout={CONNECT_TIMEOUT_MS}"
 
 
 def jdbc_options(url: str, table: str, user: str | None = None, password: str | None = None,
@@ -46,6 +55,8 @@ def jdbc_options(url: str, table: str, user: str | None = None, password: str |
         opts["user"] = user
     if password:
         opts["password"] = password
+    if partition_column is None and lower_bound is not None:
+        partition_column = PARTITION_COLUMNS.get(table)
     if partition_column:
         if lower_bound is None or upper_bound is None or not num_partitions:
             raise ValueError("partitioned reads need lower_bound, upper_bound, num_partitions")
@@ -54,16 +65,6 @@ def jdbc_options(url: str, table: str, user: str | None = None, password: str |
     return opts
 
 
-# Partition columns per table (numeric ids); students have none, so they are
-# read in one query or through ``predicates``.
-PARTITION_COLUMNS = {
-    "tbl_case_records": "cr_case_id",
-    "tbl_counseling_records": "cor_record_id",
-    "tbl_medical_records": "mr_medical_id",
-    "tbl_notifications": "n_id",
-}
-
-
 def load_jdbc(spark: SparkSession, url: str, table: str, **kw) -> DataFrame:
     """``spark.read.format("jdbc")`` with the options above."""
     return spark.read.format("jdbc").options(**jdbc_options(url, table, **kw)).load()

@@ -1,7 +1,6 @@
 """Sources, sinks and the streaming inbox."""
 
 import os
-import time
 
 from pyspark.sql import functions as F
 
@@ -15,9 +14,13 @@ def test_jdbc_options():
     opts = jdbc.jdbc_options(jdbc.jdbc_url("db", 3306, "records"), "tbl_case_records",
                              user="u", password="p", partition_column="cr_case_id",
                              lower_bound=1, upper_bound=1000, num_partitions=8)
-    assert opts["url"] == "jdbc:mysql://db:3306/records"
+    assert opts["url"].startswith("jdbc:mysql://db:3306/records")
     assert opts["partitionColumn"] == "cr_case_id" and opts["numPartitions"] == "8"
     assert opts["queryTimeout"] == "60"
+    assert "connectTimeout=60000" in opts["url"]
+    auto = jdbc.jdbc_options("jdbc:mysql://db/x", "tbl_notifications", lower_bound=1,
+                             upper_bound=9, num_partitions=2)
+    assert auto["partitionColumn"] == "n_id"
 
 
 def test_snapshot_versions(spark, tmp_dir):
@@ -65,3 +68,17 @@ def test_unread_stream_matches_batch(spark, tables, tmp_dir):
         for r in kpis.unread_counts(n, receiver).where("NOT is_total").collect():
             expected[(receiver.lower(), r.n_type)] = r["count"]
     assert got == expected
+
+
+def test_inbox_feed_stream(spark, tables, tmp_dir):
+    n = tables["tbl_notifications"]
+    path = os.path.join(tmp_dir, "created")
+    n.write.parquet(path)
+    feed = stream.inbox_feed(stream.read_events(spark, path, stream.CREATED_SCHEMA), "inf")
+    q = feed.writeStream.format("memory").queryName("feed_test").start()
+    try:
+        q.processAllAvailable()
+        got = spark.table("feed_test").count()
+    finally:
+        q.stop()
+    assert got == n.where(F.lower("n_receiver") == "inf").count()
