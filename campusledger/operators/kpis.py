@@ -68,10 +68,16 @@ def user_totals(users: DataFrame) -> DataFrame:
 
 
 def user_status_breakdown(users: DataFrame) -> DataFrame:
-    """Accounts per status, statuses grouped ignoring case."""
-    return (users.groupBy(F.lower("u_status").alias("_k"))
+    """Accounts per status, statuses grouped ignoring case.
+
+    The rows are counted per exact spelling first (a hash aggregate with a
+    fixed-width buffer); only the handful of spellings are then merged
+    ignoring case, so no sort of the input is needed to pick a spelling.
+    """
+    per_spelling = users.groupBy("u_status").agg(F.count(F.lit(1)).alias("_n"))
+    return (per_spelling.groupBy(F.lower("u_status").alias("_k"))
             .agg(F.min("u_status").alias("u_status"),
-                 F.count(F.lit(1)).cast("bigint").alias("count"))
+                 F.sum("_n").cast("bigint").alias("count"))
             .drop("_k"))
 
 
@@ -119,24 +125,27 @@ def unread_counts(notifications: DataFrame, receiver: str) -> DataFrame:
 
     Types are grouped ignoring case (the database rule), spelled as their
     smallest spelling. Rows: one per type (``count``, ``opd_certificate_count``)
-    and, from the same aggregate via ``rollup``, a total row (``is_total``)
-    whose ``opd_certificate_count`` holds the exact-case certificate count
-    the handler reports.
+    plus a total row (``is_total``, ``n_type`` NULL) whose
+    ``opd_certificate_count`` holds the exact-case certificate count the
+    handler reports; the total row exists even when nothing is unread.
+    Rows are first counted per exact spelling (hash aggregate); both
+    outputs are then computed from those few rows.
     """
-    unread = notifications.where(ci_eq("n_receiver", receiver) & ci_eq("n_is_read", "No")) \
-        .withColumn("_type_key", F.lower("n_type"))
-    exact_cert = F.col("n_type") == CERTIFICATE_TYPE
-    total = F.grouping("_type_key") == 1
-    return (unread.rollup("_type_key")
-            .agg(F.min("n_type").alias("_type"),
-                 F.count(F.lit(1)).cast("bigint").alias("count"),
-                 _count_if(ci_eq("n_type", CERTIFICATE_TYPE)).alias("_ci_cert"),
-                 _count_if(exact_cert).alias("_exact_cert"),
-                 F.grouping("_type_key").alias("_total"))
-            .select(F.when(F.col("_total") == 0, F.col("_type")).alias("n_type"),
-                    (F.col("_total") == 1).alias("is_total"), "count",
-                    F.when(F.col("_total") == 1, F.col("_exact_cert"))
-                    .otherwise(F.col("_ci_cert")).alias("opd_certificate_count")))
+    unread = notifications.where(ci_eq("n_receiver", receiver) & ci_eq("n_is_read", "No"))
+    per_spelling = unread.groupBy("n_type").agg(F.count(F.lit(1)).alias("_n"))
+    ci_cert = F.when(ci_eq("n_type", CERTIFICATE_TYPE), F.col("_n")).otherwise(0)
+    exact_cert = F.when(F.col("n_type") == CERTIFICATE_TYPE, F.col("_n")).otherwise(0)
+    per_type = (per_spelling.groupBy(F.lower("n_type").alias("_k"))
+                .agg(F.min("n_type").alias("n_type"),
+                     F.sum("_n").cast("bigint").alias("count"),
+                     F.sum(ci_cert).cast("bigint").alias("opd_certificate_count"))
+                .select("n_type", F.lit(False).alias("is_total"), "count",
+                        "opd_certificate_count"))
+    total = per_spelling.agg(
+        F.lit(None).cast("string").alias("n_type"), F.lit(True).alias("is_total"),
+        F.coalesce(F.sum("_n"), F.lit(0)).cast("bigint").alias("count"),
+        F.coalesce(F.sum(exact_cert), F.lit(0)).cast("bigint").alias("opd_certificate_count"))
+    return per_type.unionByName(total)
 
 
 def active_admin_count(users: DataFrame) -> DataFrame:

@@ -149,6 +149,9 @@ def test_empty_tables_give_zero(spark):
                      (kpis.certificate_totals, "tbl_medical_records")]:
         row = fn(empty_table(spark, name)).first()
         assert all(v == 0 for v in row), (name, row)
+    inbox = kpis.unread_counts(empty_table(spark, "tbl_notifications"), "GCO").collect()
+    assert [(r.n_type, r.is_total, r["count"], r.opd_certificate_count) for r in inbox] == \
+        [(None, True, 0, 0)]
 
 
 def test_import_dates(spark):
