@@ -1,15 +1,22 @@
 """Versioned table snapshots.
 
-A batch change produces a whole new table. It is written to a **new**
-version folder under the table's root, and only after the write succeeded a
-small ``_CURRENT`` pointer file is replaced. Readers resolve the pointer, so
+A batch change produces whole new tables. They are written to **new**
+version folders, and only after every write succeeded one small pointer file
+is replaced, with an atomic overwrite-rename. Readers resolve the pointer, so
 they never see a half-written version and never read a path that is being
-overwritten. The written version also cuts the lineage of long change chains
+overwritten. A written version also cuts the lineage of long change chains
 (the write is the checkpoint; no local checkpointing is used).
+
+* ``write_snapshot(df, root)`` / ``read_snapshot(spark, root)``: one table;
+  ``root/_CURRENT`` names the live version folder.
+* ``write_batch(outputs, root)`` / ``read_batch_table(spark, root, name)``:
+  several tables switched together; ``root/_CURRENT`` names a manifest that
+  maps each table to its version folder.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import time
 import uuid
@@ -17,28 +24,61 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 POINTER = "_CURRENT"
+MANIFESTS = "_manifests"
+
+
+def _new_version() -> str:
+    return f"v{int(time.time() * 1000)}-{uuid.uuid4().hex[:8]}"
 
 
-def _fs(spark: SparkSession, path: str):
+def _hadoop(spark: SparkSession, path: str):
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
     p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(conf), p, jvm
+    return jvm, conf, p
 
 
-def current_version(spark: SparkSession, root: str) -> str | None:
-    fs, _, jvm = _fs(spark, root)
-    ptr = jvm.org.apache.hadoop.fs.Path(root.rstrip("/") + "/" + POINTER)
-    if not fs.exists(ptr):
+def _write_text_atomic(spark: SparkSession, path: str, text: str) -> None:
+    """Write a small file next to ``path`` and rename it over ``path`` in one step."""
+    jvm, conf, target = _hadoop(spark, path)
+    tmp = jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}.tmp")
+    fs = tmp.getFileSystem(conf)
+    out = fs.create(tmp, True)
+    try:
+        out.write(bytearray(text.encode("utf-8")))
+    finally:
+        out.close()
+    fc = jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri(), conf)
+    rename = jvm.org.apache.hadoop.fs.Options.Rename
+    opts = spark.sparkContext._gateway.new_array(rename, 1)
+    opts[0] = rename.OVERWRITE
+    fc.rename(tmp, target, opts)
+
+
+def _read_text(spark: SparkSession, path: str) -> str | None:
+    jvm, conf, p = _hadoop(spark, path)
+    fs = p.getFileSystem(conf)
+    if not fs.exists(p):
         return None
-    stream = fs.open(ptr)
+    stream = fs.open(p)
     try:
         reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(stream, "UTF-8"))
-        return reader.readLine()
+        lines = []
+        line = reader.readLine()
+        while line is not None:
+            lines.append(line)
+            line = reader.readLine()
+        return "\n".join(lines)
     finally:
         stream.close()
 
 
+# ---- one table --------------------------------------------------------------------
+
+def current_version(spark: SparkSession, root: str) -> str | None:
+    return _read_text(spark, os.path.join(root, POINTER))
+
+
 def read_snapshot(spark: SparkSession, root: str) -> DataFrame:
     version = current_version(spark, root)
     if version is None:
@@ -48,52 +88,49 @@ def read_snapshot(spark: SparkSession, root: str) -> DataFrame:
 
 def write_snapshot(df: DataFrame, root: str, partition_by: list[str] | None = None,
                    max_records_per_file: int | None = None) -> str:
-    """Write ``df`` as a new version and switch the pointer; returns the version."""
-    spark = df.sparkSession
-    version = f"v{int(time.time() * 1000)}-{uuid.uuid4().hex[:8]}"
+    """Write ``df`` as a new version of one table and switch its pointer."""
+    version = _new_version()
     writer = df.write.mode("errorifexists")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     if max_records_per_file:
         writer = writer.option("maxRecordsPerFile", str(max_records_per_file))
     writer.parquet(os.path.join(root, version))
-    fs, _, jvm = _fs(spark, root)
-    tmp = jvm.org.apache.hadoop.fs.Path(root.rstrip("/") + f"/{POINTER}.{version}.tmp")
-    out = fs.create(tmp, True)
-    try:
-        out.write(bytearray(version.encode("utf-8")))
-    finally:
-        out.close()
-    ptr = jvm.org.apache.hadoop.fs.Path(root.rstrip("/") + "/" + POINTER)
-    if fs.exists(ptr):
-        fs.delete(ptr, False)
-    fs.rename(tmp, ptr)
+    _write_text_atomic(df.sparkSession, os.path.join(root, POINTER), version)
     return version
 
 
+# ---- several tables, switched together ---------------------------------------------
+
 def write_batch(outputs: dict[str, DataFrame], root: str) -> dict[str, str]:
-    """Write all outputs of one batch (new tables, derived rows) as versions.
+    """Write every output of one batch (new tables, derived rows) as a new
+    version, then publish them with one pointer switch.
 
-    Pointers are switched only after every output is written, so a failed
-    batch leaves every table at its previous version.
+    Tables not in ``outputs`` keep their current version in the new manifest.
+    A failure before the switch leaves every table at its previous version.
     """
     spark = next(iter(outputs.values())).sparkSession
-    staged = {}
+    manifest = dict(current_manifest(spark, root) or {})
     for name, df in outputs.items():
-        version = f"v{int(time.time() * 1000)}-{uuid.uuid4().hex[:8]}"
+        version = _new_version()
         df.write.mode("errorifexists").parquet(os.path.join(root, name, version))
-        staged[name] = version
-    for name, version in staged.items():
-        fs, _, jvm = _fs(spark, root)
-        base = os.path.join(root, name)
-        tmp = jvm.org.apache.hadoop.fs.Path(f"{base}/{POINTER}.{version}.tmp")
-        out = fs.create(tmp, True)
-        try:
-            out.write(bytearray(version.encode("utf-8")))
-        finally:
-            out.close()
-        ptr = jvm.org.apache.hadoop.fs.Path(f"{base}/{POINTER}")
-        if fs.exists(ptr):
-            fs.delete(ptr, False)
-        fs.rename(tmp, ptr)
-    return staged
+        manifest[name] = f"{name}/{version}"
+    batch_id = _new_version()
+    _write_text_atomic(spark, os.path.join(root, MANIFESTS, f"{batch_id}.json"),
+                       json.dumps(manifest, sort_keys=True))
+    _write_text_atomic(spark, os.path.join(root, POINTER), batch_id)
+    return manifest
+
+
+def current_manifest(spark: SparkSession, root: str) -> dict[str, str] | None:
+    batch_id = _read_text(spark, os.path.join(root, POINTER))
+    if batch_id is None:
+        return None
+    return json.loads(_read_text(spark, os.path.join(root, MANIFESTS, f"{batch_id}.json")))
+
+
+def read_batch_table(spark: SparkSession, root: str, name: str) -> DataFrame:
+    manifest = current_manifest(spark, root) or {}
+    if name not in manifest:
+        raise FileNotFoundError(f"table {name} not published under {root}")
+    return spark.read.parquet(os.path.join(root, manifest[name]))

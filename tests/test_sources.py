@@ -31,8 +31,13 @@ def test_snapshot_versions(spark, tmp_dir):
     v2 = snapshots.write_snapshot(df.where("id < 2"), root)
     assert v1 != v2 and snapshots.current_version(spark, root) == v2
     assert snapshots.read_snapshot(spark, root).count() == 2
-    staged = snapshots.write_batch({"a": df, "b": df.limit(1)}, os.path.join(tmp_dir, "batch"))
-    assert set(staged) == {"a", "b"}
+    broot = os.path.join(tmp_dir, "batch")
+    first = snapshots.write_batch({"a": df, "b": df.limit(1)}, broot)
+    assert set(first) == {"a", "b"}
+    second = snapshots.write_batch({"b": df.limit(3)}, broot)
+    assert second["a"] == first["a"] and second["b"] != first["b"]     # a is carried over
+    assert snapshots.read_batch_table(spark, broot, "a").count() == 5
+    assert snapshots.read_batch_table(spark, broot, "b").count() == 3
 
 
 def test_case_file_listing(spark, tmp_dir):
