@@ -589,3 +589,31 @@ def delete_users(users: DataFrame, requests: DataFrame) -> Written:
     table = keyed.join(done, "_e", "left_anti").select(*USER_ORDER)
     rows = keyed.join(done, "_e", "left_semi").select(*USER_ORDER)
     return Written(table, rows, status)
+
+
+def sequence_ids(df: DataFrame, order_cols: list[str], base: Column, name: str,
+                 partitions: int | None = None) -> DataFrame:
+    """Dense ids ``base + 1 .. base + n`` in the order of ``order_cols`` (which
+    must be unique), for derived rows that carry no request ``seq``.
+
+    No single-partition window over the rows: they are range-partitioned on
+    the order columns, numbered inside each partition, and shifted by the row
+    counts of the earlier partitions (a table with one row per partition).
+    The numbered rows are checkpointed to the shared checkpoint folder first,
+    so the counts and the rows come from the same partitioning even if a task
+    is recomputed.
+    """
+    from pyspark.sql import Window
+    n = partitions or df.sparkSession.sparkContext.defaultParallelism
+    numbered = (df.repartitionByRange(n, *order_cols)
+                .withColumn("_p", F.spark_partition_id())
+                .withColumn("_r", F.row_number().over(
+                    Window.partitionBy("_p").orderBy(*order_cols)))
+                .checkpoint(eager=True))
+    earlier = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (numbered.groupBy("_p").agg(F.max("_r").alias("_c"))
+               .withColumn("_off", F.coalesce(F.sum("_c").over(earlier), F.lit(0)))
+               .select("_p", "_off"))
+    return (numbered.join(F.broadcast(offsets), "_p")
+            .withColumn(name, (base + F.col("_off") + F.col("_r")).cast("bigint"))
+            .drop("_p", "_r", "_off"))

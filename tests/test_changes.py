@@ -303,3 +303,34 @@ def test_confirm_medical_condition(spark):
            for r in res.counseling.collect()}
     assert got == {1: "YES", 2: "NO", 3: "NO"}     # exact 'Yes' only
     assert {r.n_receiver for r in res.notifications.collect()} == {"INF"}
+
+
+def test_sequence_ids_dense_and_ordered(spark):
+    df = spark.range(0, 5000).selectExpr("id * 7 % 5000 AS k")
+    out = C.sequence_ids(df, ["k"], F.lit(100), "new_id", partitions=6)
+    rows = sorted((r.k, r.new_id) for r in out.collect())
+    assert rows == [(k, 101 + k) for k in range(5000)]
+
+
+def test_batch_jobs_publish_together(spark, tables, tmp_dir):
+    from campusledger.plans import jobs
+    from campusledger.sources.snapshots import read_batch_table
+    root = os.path.join(tmp_dir, "published")
+    jobs.publish_tables({k: tables[k] for k in ("tbl_case_records", "tbl_medical_records",
+                                                "tbl_counseling_records", "tbl_notifications")},
+                        root)
+    cases = read_batch_table(spark, root, "tbl_case_records")
+    pending = cases.where("cr_referral_confirmation = 'Pending'").select(
+        F.col("cr_case_id").alias("record_id"))
+    n_pending = pending.count()
+    before_sessions = tables["tbl_counseling_records"].count()
+    before_notes = tables["tbl_notifications"].count()
+    jobs.run_referral_confirmations(spark, root, pending, None, "2025-06-01 09:00:00")
+    sessions = read_batch_table(spark, root, "tbl_counseling_records")
+    notes = read_batch_table(spark, root, "tbl_notifications")
+    assert sessions.count() == before_sessions + n_pending
+    assert sessions.select("cor_record_id").distinct().count() == sessions.count()
+    assert notes.count() == before_notes + n_pending
+    assert notes.select("n_id").distinct().count() == notes.count()
+    assert read_batch_table(spark, root, "tbl_case_records") \
+        .where("cr_referral_confirmation = 'Pending'").count() == 0
