@@ -211,3 +211,21 @@ def test_stored_names_and_checks(spark):
         "path:string>>")
     got = [r[0] for r in files.select(A.attachment_checks(F.col("f"))).collect()]
     assert got == [[], ["file_type", "file_size"]]
+
+
+def test_summary_with_one_hot_student(spark, tables):
+    """One student holds a third of all case rows: counts stay exact and the
+    records are aggregated map-side before any shuffle (partial aggregate)."""
+    cases, students = tables["tbl_case_records"], tables["tbl_student_data"]
+    hot = (cases
+           .withColumn("cr_case_id", F.col("cr_case_id") + F.lit(10 ** 9))
+           .withColumn("cr_student_id", F.lit("000001")))
+    skewed = cases.unionByName(hot)
+    total = skewed.count()
+    hot_rows = skewed.where(F.col("cr_student_id") == "000001").count()
+    assert hot_rows * 3 >= total
+    out = summaries.student_case_summary(students, skewed)
+    got = {r.caseCount for r in out.where(F.col("id") == "000001").collect()}
+    assert got == {hot_rows}
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "partial_count" in plan
