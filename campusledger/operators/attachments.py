@@ -76,9 +76,12 @@ def attachment_files(medical: DataFrame, ordered: bool = True) -> DataFrame:
         F.from_json(text, ATTACHMENTS).alias("_files"))
     files = recs.select("*", F.posexplode("_files").alias("_idx", "f"))
     out = files.select(
+        # the id's time part is the record date's epoch milliseconds at whole
+        # seconds (the date is re-read from its text form, which has no ms)
         F.concat(F.col("mr_medical_id").cast("string"), F.lit("-file-"),
                  F.col("_idx").cast("string"), F.lit("-"),
-                 epoch_millis("mr_record_date").cast("string")).alias("fileId"),
+                 (F.floor(epoch_millis("mr_record_date") / 1000) * 1000).cast("bigint")
+                 .cast("string")).alias("fileId"),
         F.col("mr_medical_id").alias("recordId"),
         F.col("mr_student_id").alias("studentId"),
         F.col("mr_student_name").alias("studentName"),

@@ -53,6 +53,14 @@ def case_projection(cases: DataFrame, date_pattern: str = SCREEN_DATE,
     )
 
 
+def session_time(c: str):
+    """``TIME_FORMAT(t, '%H:%i')`` on stored time text (``9:30:00`` -> ``09:30``)."""
+    t = F.col(c)
+    return F.coalesce(F.date_format(F.try_to_timestamp(t, F.lit("H:mm:ss")), "HH:mm"),
+                      F.date_format(F.try_to_timestamp(t, F.lit("H:mm")), "HH:mm"),
+                      F.substring(t, 1, 5))
+
+
 def counseling_projection(counseling: DataFrame, date_pattern: str = SCREEN_DATE,
                           parse_json: bool = True) -> DataFrame:
     """19 counselling columns (O8); ``date_pattern=FORM_DATE`` for the single-record form."""
@@ -70,7 +78,7 @@ def counseling_projection(counseling: DataFrame, date_pattern: str = SCREEN_DATE
         F.col("cor_school_year_semester").alias("schoolYearSemester"),
         F.col("cor_status").alias("status"),
         F.date_format("cor_date", date_pattern).alias("date"),
-        F.substring("cor_time", 1, 5).alias("time"),
+        session_time("cor_time").alias("time"),
         F.col("cor_general_concern").alias("concern"),
         F.col("cor_additional_remarks").alias("remarks"),
         att,
