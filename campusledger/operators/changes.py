@@ -155,14 +155,9 @@ def _case_fields() -> dict[str, Column]:
     }
 
 
-def _attachments(mode: str, keep_missing: bool, stored: str | None, **kw) -> Column:
-    merged = merged_json(_c("existingAttachments"), _c("filesToDelete"), _c("newFiles"), mode,
-                         **kw)
-    if keep_missing and stored is not None:
-        none_sent = _c("existingAttachments").isNull() & \
-            (F.coalesce(F.size(_c("newFiles")), F.lit(0)) <= 0)
-        return F.when(none_sent, F.col(stored)).otherwise(merged)
-    return merged
+def _new_record_attachments(mode: str) -> Column:
+    """Attachment text of an inserted record (no stored value to keep)."""
+    return merged_json(_c("existingAttachments"), _c("filesToDelete"), _c("newFiles"), mode)
 
 
 def _merge_on_change_side(ch: DataFrame, mode: str, keep_missing: bool, stored: str,
@@ -197,7 +192,7 @@ def insert_cases(cases: DataFrame, changes: DataFrame, as_of=None) -> Written:
         fields["cr_referral_confirmation"].alias("cr_referral_confirmation"),
         fields["cr_general_description"].alias("cr_general_description"),
         fields["cr_additional_remarks"].alias("cr_additional_remarks"),
-        _attachments("case_insert", False, None).alias("cr_attachments"),
+        _new_record_attachments("case_insert").alias("cr_attachments"),
         ts.alias("cr_create_date"), F.lit("[]").alias("cr_edit_history"),
         F.lit(None).cast("string").alias("cr_sender"))
     status = rows.select(F.col("cr_case_id"), F.lit("applied").alias("status"))
@@ -232,14 +227,14 @@ COUNSELING_ORDER = ["cor_record_id", "cor_origin_medical_id", "cor_origin_case_i
 
 def _counseling_fields() -> dict[str, Column]:
     return {
-        "cor_origin_medical_id": _c("originMedicalId").cast("bigint"),
-        "cor_origin_case_id": _c("originCaseId").cast("bigint"),
+        "cor_origin_medical_id": _c("originMedicalId").try_cast("bigint"),
+        "cor_origin_case_id": _c("originCaseId").try_cast("bigint"),
         "cor_student_id_number": _c("studentId"), "cor_student_name": _c("studentName"),
         "cor_student_strand": _c("strand"), "cor_student_grade_level": _c("gradeLevel"),
         "cor_student_section": _c("section"),
         "cor_school_year_semester": blank_to_null(_c("schoolYearSemester")),
-        "cor_session_number": _c("sessionNumber").cast("int"), "cor_status": _c("status"),
-        "cor_date": blank_to_null(_c("date")).cast("timestamp_ntz"),
+        "cor_session_number": _c("sessionNumber").try_cast("int"), "cor_status": _c("status"),
+        "cor_date": blank_to_null(_c("date")).try_cast("timestamp_ntz"),
         "cor_time": blank_to_null(_c("time")),
         "cor_general_concern": _c("concern"),
         "cor_additional_remarks": F.coalesce(blank_to_null(_c("remarks")), F.lit("")),
@@ -396,9 +391,9 @@ STUDENT_FIELDS = (("sd_id_number", "id"), ("sd_student_name", "name"), ("sd_stra
 
 def _student_value(col: str, field: str) -> Column:
     if col == "sd_birthdate":
-        return F.col(field).cast("date")
+        return F.col(field).try_cast("date")
     if col == "sd_school_year_sem":
-        return F.col(field).cast("int")
+        return F.col(field).try_cast("int")
     return F.col(field).cast("string")
 
 

@@ -132,7 +132,7 @@ def record_by_id(df: DataFrame, kind: str, value) -> DataFrame:
             float(str(value))
         except ValueError:
             raise ValueError("Record ID must be a number") from None
-        out = df.where(F.col(key) == F.lit(str(value)).try_cast("double").cast("bigint"))
+        out = df.where(F.col(key) == F.lit(str(value)).try_cast("double").try_cast("bigint"))
     if kind == "student":
         latest = out.agg(F.max("sd_school_year_semesterr").alias("_m"))
         out = out.join(latest, F.col("sd_school_year_semesterr") == F.col("_m")).drop("_m")
@@ -144,7 +144,7 @@ def records_by_ids(df: DataFrame, kind: str, ids: DataFrame) -> DataFrame:
     For numeric keys, requests whose id is not numeric are dropped (O70)."""
     key = RECORD_KEYS[kind]
     if kind not in ("student", "user"):
-        ids = ids.where(numeric_id(key)).select(F.col(key).cast("double").cast("bigint").alias(key))
+        ids = ids.where(numeric_id(key)).select(F.col(key).try_cast("double").try_cast("bigint").alias(key))
     return df.join(ids, key, "left_semi")
 
 

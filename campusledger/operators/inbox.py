@@ -36,7 +36,7 @@ class ReadResult(NamedTuple):
 
 def mark_read(notifications: DataFrame, ids: DataFrame) -> ReadResult:
     """Set ``n_is_read = 'Yes'`` for the requested ``n_id`` values."""
-    req = ids.select(F.col("n_id").cast("bigint")).distinct().withColumn("_hit", F.lit(True))
+    req = ids.select(F.col("n_id").try_cast("bigint").alias("n_id")).distinct().withColumn("_hit", F.lit(True))
     table = (notifications.join(req, "n_id", "left")
              .withColumn("n_is_read", F.when(F.col("_hit"), F.lit("Yes"))
                          .otherwise(F.col("n_is_read")))

@@ -136,7 +136,7 @@ class Confirmation(NamedTuple):
 
 def _confirm(records: DataFrame, requests: DataFrame, prefix: str, id_col: str,
              receiver: str, message: str, record_type: str, counseling_cols) -> Confirmation:
-    req = requests.select(F.col("record_id").cast("bigint").alias(id_col)).distinct()
+    req = requests.select(F.col("record_id").try_cast("bigint").alias(id_col)).distinct()
     eligible = records.where(_pending(prefix))
     picked = eligible.join(req, id_col, "left_semi")
     flag = req.join(eligible.select(id_col), id_col, "left_semi") \

@@ -334,3 +334,16 @@ def test_batch_jobs_publish_together(spark, tables, tmp_dir):
     assert notes.select("n_id").distinct().count() == notes.count()
     assert read_batch_table(spark, root, "tbl_case_records") \
         .where("cr_referral_confirmation = 'Pending'").count() == 0
+
+
+def test_bad_request_text_does_not_fail_the_batch(spark, tables):
+    """Under ANSI casts, one malformed request value must not fail the job."""
+    c = tables["tbl_counseling_records"]
+    req = spark.createDataFrame(
+        [(1, "S1", "Ann", "STEM", "11", "S1", "two", "TO SCHEDULE", "c", "not a date", "x1")],
+        "seq long, studentId string, studentName string, strand string, gradeLevel string, "
+        "section string, sessionNumber string, status string, concern string, date string, "
+        "originCaseId string")
+    row = C.insert_counseling(c, req, "2025-06-01 09:00:00").rows.first()
+    assert row.cor_session_number is None and row.cor_date is None
+    assert row.cor_origin_case_id is None
