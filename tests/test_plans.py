@@ -44,3 +44,14 @@ def test_summary_aggregates_records_with_hash_aggregate(spark):
     text = _formatted(spark, QUERIES["student_case_summary"](spark, SF_SMALL))
     assert "HashAggregate" in text
     assert "count(distinct" not in text.lower()
+
+
+def test_monthly_window_is_pushed_to_the_scan(spark):
+    text = _formatted(spark, QUERIES["monthly_cases_by_grade"](spark, SF_SMALL))
+    assert "GreaterThanOrEqual(o_orderdate,2001-02-15T00:00)" in text
+
+
+def test_batch_update_does_not_shuffle_the_table_for_small_batches(spark):
+    # the (small) request side is broadcast; the case table is scanned, not exchanged
+    plan = _plan(QUERIES["update_cases"](spark, SF_SMALL))
+    assert "BroadcastHashJoin" in plan and "LeftOuter" in plan
