@@ -347,3 +347,25 @@ def test_bad_request_text_does_not_fail_the_batch(spark, tables):
     row = C.insert_counseling(c, req, "2025-06-01 09:00:00").rows.first()
     assert row.cor_session_number is None and row.cor_date is None
     assert row.cor_origin_case_id is None
+
+
+def test_medical_kind_argument_is_exact_case(spark, tables):
+    from campusledger.operators import filters as Fl
+    med = tables["tbl_medical_records"]
+    assert Fl.medical_condition("medical") is None          # lower-case kind: no filter
+    assert Fl.medical_condition_filter(med, "medical").count() == med.count()
+    assert Fl.medical_condition_filter(med, "MEDICAL").count() < med.count()
+
+
+def test_case_update_keep_missing(spark):
+    cases = _case_rows(spark, [(1, "No", None, "x")]).withColumn(
+        "cr_attachments", F.lit('[{"filename":"k.pdf"}]'))
+    req = spark.createDataFrame(
+        [(1, 1, "000001", "Ann", "Resolved", "No")],
+        "seq long, caseId long, studentId string, studentName string, status string, "
+        "referredToGCO string")
+    cleared = C.update_cases(cases, req, "2025-06-01 09:00:00").table.first()
+    kept = C.update_cases(cases, req, "2025-06-01 09:00:00", keep_missing=True).table.first()
+    assert cleared.cr_attachments is None           # the screens' behaviour: no list sent
+    assert kept.cr_attachments == '[{"filename":"k.pdf"}]'
+    assert cleared.cr_status == "Resolved" and cleared.cr_referral_confirmation is None
