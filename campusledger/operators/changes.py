@@ -599,6 +599,8 @@ def sequence_ids(df: DataFrame, order_cols: list[str], base: Column, name: str,
     is recomputed.
     """
     from pyspark.sql import Window
+    from campusledger.session import checkpoint_dir
+    checkpoint_dir(df.sparkSession)           # the cluster's shared folder (set if absent locally)
     n = partitions or df.sparkSession.sparkContext.defaultParallelism
     numbered = (df.repartitionByRange(n, *order_cols)
                 .withColumn("_p", F.spark_partition_id())
