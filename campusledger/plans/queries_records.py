@@ -481,3 +481,53 @@ FROM tbl_student_data sd JOIN tbl_medical_records m ON sd.sd_id_number = m.mr_st
 def students_join_medical(t):
     return J.students_join_medical(t["tbl_student_data"], t["tbl_medical_records"]).select(
         *_JOIN_STUDENT_COLS, "mr_medical_id", "mr_status")
+
+
+# ---- upload rules over stored file lists (O68, O71) ---------------------------------------
+
+@register("attachment_checks", f"""WITH {_ANY_ARRAY_CTE},
+per_record AS (
+  SELECT mr_medical_id,
+         coalesce(bool_and(e->>'mimetype' IN ('application/pdf',
+           'application/vnd.openxmlformats-officedocument.wordprocessingml.document',
+           'application/msword')), true) AS ok_type,
+         coalesce(bool_and(coalesce(CAST(e->>'size' AS BIGINT), 0) <= 10485760), true) AS ok_size,
+         count(*) AS n
+  FROM g GROUP BY mr_medical_id)
+SELECT m.mr_medical_id AS record_id,
+       concat_ws(',', CASE WHEN NOT coalesce(p.ok_type, true) THEN 'file_type' END,
+                      CASE WHEN NOT coalesce(p.ok_size, true) THEN 'file_size' END,
+                      CASE WHEN coalesce(p.n, 0) > 5 THEN 'file_count' END) AS reasons
+FROM m LEFT JOIN per_record p ON p.mr_medical_id = m.mr_medical_id""")
+def attachment_checks(t):
+    from campusledger.functions.jsoncols import ATTACHMENTS, looks_like_array
+    med = t["tbl_medical_records"]
+    text = F.col("mr_attachments")
+    listed = med.where((F.coalesce(text, F.lit("")) != "") & looks_like_array(text))
+    files = F.from_json(text, ATTACHMENTS)
+    return listed.select(F.col("mr_medical_id").alias("record_id"),
+                         F.array_join(A.attachment_checks(files), ",").alias("reasons"))
+
+
+@register("stored_file_names", f"""WITH {_ANY_ARRAY_CTE},
+n AS (SELECT mr_medical_id, idx, e->>'uploadedBy' AS who,
+             regexp_extract(coalesce(nullif(e->>'originalname', ''), e->>'filename'),
+                            '([^/]*)$', 1) AS base
+      FROM g)
+SELECT mr_medical_id AS record_id, CAST(idx AS BIGINT) AS idx,
+       concat(CASE WHEN who = 'OPD' THEN 'OPDMC_' WHEN who = 'GCO' THEN 'GCO_' ELSE '' END,
+              left(base, length(base) - length(regexp_extract(base, '^.+(\\.[^.]*)$', 1))),
+              '-', CAST(mr_medical_id AS VARCHAR),
+              regexp_extract(base, '^.+(\\.[^.]*)$', 1)) AS stored_name
+FROM n""")
+def stored_file_names(t):
+    from campusledger.functions.jsoncols import ATTACHMENTS, looks_like_array
+    from campusledger.functions.semantics import first_present
+    med = t["tbl_medical_records"]
+    text = F.col("mr_attachments")
+    recs = med.where((F.coalesce(text, F.lit("")) != "") & looks_like_array(text)).select(
+        "mr_medical_id", F.posexplode(F.from_json(text, ATTACHMENTS)).alias("idx", "f"))
+    original = first_present(F.col("f.originalname"), F.col("f.filename"))
+    return recs.select(F.col("mr_medical_id").alias("record_id"), F.col("idx").cast("bigint"),
+                       A.stored_file_name(original, F.col("mr_medical_id").cast("string"),
+                                          F.col("f.uploadedBy")).alias("stored_name"))
