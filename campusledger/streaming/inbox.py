@@ -8,7 +8,10 @@ stream, two append-only event sources drive one aggregate:
 * ``reads``   -- a notification was marked read (``n_id, n_receiver, n_type,
   read_at``), counted -1. Marking read twice must not count twice, so read
   events are de-duplicated per ``n_id`` inside a watermark (state is dropped
-  once the watermark passes).
+  once the watermark passes). A read event later than the watermark is
+  dropped as late data, so the watermark must exceed the longest delay
+  between marking and the event's arrival; without a watermark the
+  de-duplication state would grow with every notification ever read.
 
 The aggregate (per receiver and type) runs in ``update`` mode; each
 micro-batch's changed rows are written by ``foreachBatch`` to a versioned
