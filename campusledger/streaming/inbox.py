@@ -14,8 +14,9 @@ stream, two append-only event sources drive one aggregate:
   de-duplication state would grow with every notification ever read.
 
 The aggregate (per receiver and type) runs in ``update`` mode; each
-micro-batch's changed rows are written by ``foreachBatch`` to a versioned
-snapshot (or to any sink the caller passes). The query checkpoint lives under
+micro-batch's changed rows go through ``foreachBatch`` to the caller's sink
+(for example an upsert into the serving table); without a sink the counts go
+to an in-memory table (tests, notebooks). The query checkpoint lives under
 the cluster's shared checkpoint folder, so a restarted driver resumes.
 """
 
