@@ -41,14 +41,17 @@ def main() -> None:
                         extra_conf={"spark.driver.memory": "16g",
                                     "spark.sql.files.maxPartitionBytes": "64m"})
     spark.sparkContext.setLogLevel("ERROR")
-    times = {}
+    times, errors = {}, {}
     for name in names:
         def run():
             t0 = time.perf_counter()
             QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
             return time.perf_counter() - t0
-        run()
-        times[name] = round(min(run() for _ in range(repeat)), 3)
+        try:
+            run()
+            times[name] = round(min(run() for _ in range(repeat)), 3)
+        except Exception as exc:  # keep timing the others; report the failure
+            errors[name] = f"{type(exc).__name__}: {str(exc)[:200]}"
     sf = os.path.basename(os.path.normpath(sf_dir)).replace("sf", "")
     print(json.dumps({
         "metric": "headline_queries_total_best_of_%d" % repeat,
@@ -58,6 +61,7 @@ def main() -> None:
         "sf": float(sf) if sf.replace(".", "").isdigit() else sf,
         "cpus": int(cpus),
         "spark": spark.version,
+        **({"errors": errors} if errors else {}),
     }))
     spark.stop()
 
