@@ -531,3 +531,17 @@ def stored_file_names(t):
     return recs.select(F.col("mr_medical_id").alias("record_id"), F.col("idx").cast("bigint"),
                        A.stored_file_name(original, F.col("mr_medical_id").cast("string"),
                                           F.col("f.uploadedBy")).alias("stored_name"))
+
+
+@register("counseling_forms_from_cases", f"""
+SELECT {COUNSELING_SQL.replace("strftime(cor_date, '%m/%d/%Y') AS date",
+                               "strftime(cor_date, '%Y-%m-%d') AS date")}
+FROM tbl_counseling_records WHERE cor_record_id IN (
+  SELECT cor_record_id FROM tbl_counseling_records WHERE cor_origin_case_id IS NOT NULL)""")
+def counseling_forms_from_cases(t):
+    """Single-record form (``yyyy-MM-dd`` dates, O8/O17a) for every session that
+    originates from a case, looked up as one batch."""
+    c = t["tbl_counseling_records"]
+    ids = c.where(F.col("cor_origin_case_id").isNotNull()).select("cor_record_id")
+    return P.counseling_projection(Fl.records_by_ids(c, "counseling", ids),
+                                   date_pattern=P.FORM_DATE, parse_json=False)
