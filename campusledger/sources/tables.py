@@ -232,6 +232,13 @@ def load_tables(spark: SparkSession, root: str) -> dict[str, DataFrame]:
     return {name: spark.read.parquet(os.path.join(root, name)) for name in RECORD_TABLES}
 
 
+def load_published_tables(spark: SparkSession, root: str) -> dict[str, DataFrame]:
+    """The six tables at the versions the current batch manifest under ``root``
+    names (see ``sources.snapshots.write_batch``)."""
+    from campusledger.sources.snapshots import read_batch_table
+    return {name: read_batch_table(spark, root, name) for name in RECORD_TABLES}
+
+
 # Explicit schemas for writers and for hand-made rows in tests. Types follow
 # the column use in the record screens (see README, "Data model").
 ATTACHMENT_FIELDS = T.StructType([

@@ -87,3 +87,14 @@ def test_inbox_feed_stream(spark, tables, tmp_dir):
     finally:
         q.stop()
     assert got == n.where(F.lower("n_receiver") == "inf").count()
+
+
+def test_load_published_tables(spark, tables, tmp_dir):
+    from campusledger.sources.tables import RECORD_TABLES, load_published_tables
+    root = os.path.join(tmp_dir, "pub")
+    snapshots.write_batch({name: tables[name] for name in RECORD_TABLES}, root)
+    loaded = load_published_tables(spark, root)
+    assert set(loaded) == set(RECORD_TABLES)
+    assert loaded["users"].count() == tables["users"].count()
+    assert kpis.case_totals(loaded["tbl_case_records"]).first() == \
+        kpis.case_totals(tables["tbl_case_records"]).first()
