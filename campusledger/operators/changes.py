@@ -437,11 +437,15 @@ def insert_users(users: DataFrame, changes: DataFrame, as_of=None) -> Written:
     ch = ch.withColumn("_missing", required_fields(ch, "user"))
     ch = first_in_batch(ch, [F.lower("email")], flag="_first_email")
     ch = first_in_batch(ch, [F.lower("username")], flag="_first_user")
-    taken_e = users.select(F.lower("u_email").alias("_e")).distinct().withColumn("_te", F.lit(True))
-    taken_u = users.select(F.lower("u_username").alias("_u")).distinct() \
-        .withColumn("_tu", F.lit(True))
-    ch = (ch.withColumn("_e", F.lower("email")).withColumn("_u", F.lower("username"))
-          .join(taken_e, "_e", "left").join(taken_u, "_u", "left"))
+    ch = ch.withColumn("_e", F.lower("email")).withColumn("_u", F.lower("username"))
+    # taken keys are looked up only for the requested ones (semi join first)
+    taken_e = (users.select(F.lower("u_email").alias("_e"))
+               .join(ch.select("_e"), "_e", "left_semi").distinct()
+               .withColumn("_te", F.lit(True)))
+    taken_u = (users.select(F.lower("u_username").alias("_u"))
+               .join(ch.select("_u"), "_u", "left_semi").distinct()
+               .withColumn("_tu", F.lit(True)))
+    ch = ch.join(taken_e, "_e", "left").join(taken_u, "_u", "left")
     dup_email = F.coalesce(F.col("_te"), F.lit(False)) | ~F.coalesce(F.col("_first_email"), F.lit(True))
     dup_user = F.coalesce(F.col("_tu"), F.lit(False)) | ~F.coalesce(F.col("_first_user"), F.lit(True))
     st = (F.when(F.size("_missing") > 0, F.lit("rejected:missing_fields"))
