@@ -369,3 +369,40 @@ def test_case_update_keep_missing(spark):
     assert cleared.cr_attachments is None           # the screens' behaviour: no list sent
     assert kept.cr_attachments == '[{"filename":"k.pdf"}]'
     assert cleared.cr_status == "Resolved" and cleared.cr_referral_confirmation is None
+
+
+def test_case_and_inbox_jobs(spark, tables, tmp_dir):
+    from campusledger.plans import jobs
+    from campusledger.sources.snapshots import read_batch_table
+    root = os.path.join(tmp_dir, "pub2")
+    jobs.publish_tables({k: tables[k] for k in ("tbl_case_records", "tbl_notifications",
+                                                "tbl_student_data")}, root)
+    n_cases = tables["tbl_case_records"].count()
+    n_notes = tables["tbl_notifications"].count()
+    inserts = spark.createDataFrame(
+        [(1, "000001", "Ann", "STEM", "11", "S1", "2025-2026-1", "Minor", "Ongoing", "d", "",
+          "Yes"),
+         (2, "000002", "Ben", "ABM", "12", "S2", "2025-2026-1", "Major", "Ongoing", "d", "",
+          "No")],
+        "seq long, studentId string, studentName string, strand string, gradeLevel string, "
+        "section string, schoolYearSemester string, violationLevel string, status string, "
+        "description string, remarks string, referredToGCO string")
+    jobs.run_case_changes(spark, root, inserts, None, "2025-06-01 09:00:00")
+    cases = read_batch_table(spark, root, "tbl_case_records")
+    notes = read_batch_table(spark, root, "tbl_notifications")
+    assert cases.count() == n_cases + 2
+    assert notes.count() == n_notes + 1                    # one referral notice
+    assert notes.select("n_id").distinct().count() == notes.count()
+    assert read_batch_table(spark, root, "case_insert_status").count() == 2
+    jobs.run_mark_all_read(spark, root, "GCO")
+    unread = read_batch_table(spark, root, "tbl_notifications") \
+        .where("lower(n_receiver) = 'gco' AND lower(n_is_read) = 'no'").count()
+    assert unread == 0
+    mapped = IM.map_csv_rows(spark.createDataFrame(
+        [(1, "900001", "New Kid", "2025-2026-1"), (2, "900001", "Again", "2025-2026-1")],
+        "pos long, `ID Number` string, `Student Name` string, Semester string"))
+    jobs.run_student_import(spark, root, mapped)
+    summary = read_batch_table(spark, root, "import_summary").first()
+    assert (summary.successful_imports, summary.duplicates_found) == (1, 1)
+    assert read_batch_table(spark, root, "tbl_student_data") \
+        .where("sd_id_number = '900001'").count() == 1
