@@ -4,7 +4,9 @@ Each query runs once as warm-up, then ``$BENCH_REPEAT`` times (default 3);
 the best time counts. Every run executes the whole plan through the ``noop``
 sink (nothing is collected to the driver). Prints one JSON line.
 
-Set ``BENCH_ALL=1`` to time every registered query instead of the headline set.
+Set ``BENCH_ALL=1`` to time every registered query instead of the headline set,
+and ``BENCH_EVENT_LOG_DIR`` to a scratch folder to keep Spark's event log
+(stage and task times) for the run.
 """
 
 from __future__ import annotations
@@ -36,10 +38,12 @@ def main() -> None:
     repeat = int(os.environ.get("BENCH_REPEAT", "3"))
     load_all()
     names = sorted(QUERIES) if os.environ.get("BENCH_ALL") else HEADLINE
+    conf = {"spark.driver.memory": "16g", "spark.sql.files.maxPartitionBytes": "64m"}
+    event_dir = os.environ.get("BENCH_EVENT_LOG_DIR")
+    if event_dir:      # stage and task times, read from the event log afterwards
+        conf.update({"spark.eventLog.enabled": "true", "spark.eventLog.dir": event_dir})
     spark = get_session(f"local[{cpus}]", app_name="campusledger-bench",
-                        shuffle_partitions=int(cpus) * 2,
-                        extra_conf={"spark.driver.memory": "16g",
-                                    "spark.sql.files.maxPartitionBytes": "64m"})
+                        shuffle_partitions=int(cpus) * 2, extra_conf=conf)
     spark.sparkContext.setLogLevel("ERROR")
     times, errors = {}, {}
     for name in names:
