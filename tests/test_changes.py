@@ -406,3 +406,17 @@ def test_case_and_inbox_jobs(spark, tables, tmp_dir):
     assert (summary.successful_imports, summary.duplicates_found) == (1, 1)
     assert read_batch_table(spark, root, "tbl_student_data") \
         .where("sd_id_number = '900001'").count() == 1
+
+
+def test_validation_split(spark):
+    from campusledger.operators import validation as V
+    req = spark.createDataFrame(
+        [(1, "S1", "Ann", "Yes", "No"), (2, "", "Ben", "No", "No"), (3, "S3", None, "Yes", "Yes")],
+        "seq long, studentId string, studentName string, isMedical string, "
+        "isPsychological string")
+    reasons = F.concat(V.required_fields(req, "medical_insert"),
+                       V.reasons((~V.condition_consistency(), "neither")))
+    valid, rejected = V.split(req, reasons)
+    assert [r.seq for r in valid.collect()] == [1]
+    got = {r.seq: list(r.reasons) for r in rejected.collect()}
+    assert got == {2: ["studentId", "neither"], 3: ["studentName"]}
