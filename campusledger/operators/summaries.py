@@ -112,12 +112,15 @@ def _per_student(records: DataFrame, kind: RecordKind, with_semesters: bool) ->
 
 def student_summary(students: DataFrame, records: DataFrame, kind: RecordKind, *,
                     with_date: bool = True, with_semesters: bool = True,
-                    search: str | None = None, limit: int | None = None) -> DataFrame:
+                    search: str | None = None, limit: int | None = None,
+                    ordered: bool = True) -> DataFrame:
     """Shared builder behind O23-O25.
 
     ``search`` is a LIKE pattern matched (ignoring case) against the student's
     id, name and strand; the matching ids also prune the records before
     aggregation (a semi join that AQE broadcasts when the match set is small).
+    ``ordered=False`` skips the screen's global sort by name (for callers that
+    write the summary rather than display it); a ``limit`` always orders.
     """
     keys = student_keys(students)
     if search is not None:
@@ -138,8 +141,10 @@ def student_summary(students: DataFrame, records: DataFrame, kind: RecordKind, *
         cols.append(_sorted_join(F.col("_sem")).alias("allSemesters"))
     cols.append(F.try_element_at(ordered, F.lit(1))["status"].alias("latestStatus"))
     out = keys.join(agg, "id", "inner").select(cols)
-    out = out.orderBy("name", "id", "strand", "gradeLevel", "section")
-    return out.limit(limit) if limit is not None else out
+    order = ("name", "id", "strand", "gradeLevel", "section")
+    if limit is not None:
+        return out.orderBy(*order).limit(limit)
+    return out.orderBy(*order) if ordered else out
 
 
 # ---- O23 --------------------------------------------------------------------

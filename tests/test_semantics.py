@@ -229,3 +229,11 @@ def test_summary_with_one_hot_student(spark, tables):
     assert got == {hot_rows}
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "partial_count" in plan
+
+
+def test_unordered_summary_has_same_rows(spark, tables):
+    st, cases = tables["tbl_student_data"], tables["tbl_case_records"]
+    a = summaries.student_summary(st, cases, summaries.CASES)
+    b = summaries.student_summary(st, cases, summaries.CASES, ordered=False)
+    assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
+    assert "rangepartitioning" not in b._jdf.queryExecution().executedPlan().toString()
