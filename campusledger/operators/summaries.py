@@ -128,18 +128,18 @@ def student_summary(students: DataFrame, records: DataFrame, kind: RecordKind, *
         records = records.join(keys.select(F.col("id").alias(kind.student)).distinct(),
                                kind.student, "left_semi")
     agg = _per_student(records, kind, with_semesters)
-    ordered = F.col("_ordered")
+    status_list = F.col("_ordered")
     cols = [F.col(a) for _, a in STUDENT_KEYS] + [F.col(kind.count_name)]
     if with_date:
         cols.append(iso_millis("_latest").alias(kind.date_name))
-    cols.append(F.when(F.size(ordered) > 0,
-                       F.array_join(F.transform(ordered, lambda e: e["status"]), ","))
+    cols.append(F.when(F.size(status_list) > 0,
+                       F.array_join(F.transform(status_list, lambda e: e["status"]), ","))
                 .alias("statuses"))
     for name, _ in kind.flag_lists:
         cols.append(_sorted_join(F.col("_" + name)).alias(name))
     if with_semesters:
         cols.append(_sorted_join(F.col("_sem")).alias("allSemesters"))
-    cols.append(F.try_element_at(ordered, F.lit(1))["status"].alias("latestStatus"))
+    cols.append(F.try_element_at(status_list, F.lit(1))["status"].alias("latestStatus"))
     out = keys.join(agg, "id", "inner").select(cols)
     order = ("name", "id", "strand", "gradeLevel", "section")
     if limit is not None:
