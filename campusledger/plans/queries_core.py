@@ -162,7 +162,8 @@ def _summary_sql(records: str, rid: str, sid: str, date: str, status: str, sem:
                         f"OR sd.sd_strand ILIKE {p})")
     tail = ""
     if search is not None:
-        tail = "ORDER BY name, id, strand, gradeLevel, section LIMIT 50"
+        tail = ("ORDER BY name ASC NULLS FIRST, id ASC NULLS FIRST, strand ASC NULLS FIRST, "
+                "gradeLevel ASC NULLS FIRST, section ASC NULLS FIRST LIMIT 50")
     return f"""
 WITH r AS (SELECT * FROM {records} {where_r}),
 per_status AS (
