@@ -545,3 +545,31 @@ def counseling_forms_from_cases(t):
     ids = c.where(F.col("cor_origin_case_id").isNotNull()).select("cor_record_id")
     return P.counseling_projection(Fl.records_by_ids(c, "counseling", ids),
                                    date_pattern=P.FORM_DATE, parse_json=False)
+
+
+# ---- further filter arguments ---------------------------------------------------------------
+
+@register("case_level_filter_serious",
+          f"SELECT {CASE_SQL} FROM tbl_case_records WHERE lower(cr_violation_level) = 'serious'")
+def case_level_filter_serious(t):
+    return _cases(Fl.case_level_filter(t["tbl_case_records"], "SERIOUS"))
+
+
+@register("counseling_status_filter_done", f"""SELECT {COUNSELING_SQL}
+FROM tbl_counseling_records WHERE lower(cor_status) = 'done'""")
+def counseling_status_filter_done(t):
+    return _counseling(Fl.counseling_status_filter(t["tbl_counseling_records"], "Done"))
+
+
+@register("medical_records_both_conditions", f"""SELECT {MEDICAL_SQL} FROM tbl_medical_records
+WHERE {_kind_sql('MEDICALPSYCHOLOGICAL')}""")
+def medical_records_both_conditions(t):
+    return _medical(Fl.medical_list(t["tbl_medical_records"], "MEDICALPSYCHOLOGICAL"))
+
+
+@register("medical_search_psychological", f"""SELECT {MEDICAL_SQL} FROM tbl_medical_records
+WHERE {_like_any(Fl.MEDICAL_SEARCH, '%' + _esc('Customer#00000') + '%', escape=True)}
+  AND {_kind_sql('PSYCHOLOGICAL')}""")
+def medical_search_psychological(t):
+    return _medical(Fl.medical_search(t["tbl_medical_records"], "Customer#00000",
+                                      "PSYCHOLOGICAL"))
