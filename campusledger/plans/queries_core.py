@@ -299,3 +299,12 @@ ORDER BY {", ".join("r." + c + " ASC NULLS FIRST" for c in _LOOKUP.split(", "))}
 LIMIT 10""")
 def latest_semester_per_student(t):
     return S.latest_semester_per_student(t["tbl_student_data"], ID_PREFIX)
+
+
+@register("student_counseling_summary_search_psychological",
+          _summary_sql(**_COUNSELING, **_SEARCH,
+                       where="lower(cor_is_psychological_condition) = 'yes'"))
+def student_counseling_summary_search_psychological(t):
+    return S.student_counseling_summary_search(t["tbl_student_data"],
+                                               t["tbl_counseling_records"], SUMMARY_SEARCH,
+                                               psychological=True)

@@ -573,3 +573,10 @@ WHERE {_like_any(Fl.MEDICAL_SEARCH, '%' + _esc('Customer#00000') + '%', escape=T
 def medical_search_psychological(t):
     return _medical(Fl.medical_search(t["tbl_medical_records"], "Customer#00000",
                                       "PSYCHOLOGICAL"))
+
+
+@register("case_search_wildcard", f"""SELECT {CASE_SQL} FROM tbl_case_records
+WHERE {_like_any(Fl.CASE_SEARCH, '%S_EM%')}""")
+def case_search_wildcard(t):
+    """User text is not escaped: ``_`` in ``S_EM`` matches any one character."""
+    return _cases(Fl.case_search(t["tbl_case_records"], "S_EM"))
