@@ -15,7 +15,8 @@ Steps, all linear in the input but for the residual one:
 4. verified links are joined to components;
 5. residual: sets that share a band but are in different components yet are
    held against each other too, so that a band whose smallest member is not
-   similar to the others loses no link;
+   similar to the others loses no link. A crowded band is dealt into blocks and
+   worked through block by block, where only links leave a task;
 6. components of all verified links; documents follow their set.
 
 Cases: a null text or one without words has an empty set, links with nothing
@@ -30,6 +31,7 @@ import hashlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -43,6 +45,8 @@ PERMUTATIONS = 48     # 96 signature values: a minimum and a maximum of each
 BAND_VALUES = 6       # three permutations a band: 16 bands
 THRESHOLD_PERCENT = 85
 
+BLOCK = 128           # sets held against each other at once in a crowded band
+
 _CHUNK = 4096
 
 
@@ -115,19 +119,71 @@ def _verifier(percent: int):
     return run
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """Of the stored pairs ``(a, b)`` of set ids, those whose full sets reach the threshold."""
+def _set_table(pairs: DataFrame, docs: DataFrame, size: int) -> DataFrame:
+    """The full shingle sets of all documents that stand in a pair."""
     ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    sets = stored(docs.join(ids, "doc_id", "left_semi").mapInArrow(_set_maker(size), "sid long, shingles binary"),
-                  "sets")
-    both = (pairs.join(sets.select(F.col("sid").alias("a"), F.col("shingles").alias("x")), "a")
-            .join(sets.select(F.col("sid").alias("b"), F.col("shingles").alias("y")), "b")
-            .select("a", "b", "x", "y"))
+    some = docs.join(ids.hint("merge"), "doc_id", "left_semi")
+    return stored(some.mapInArrow(_set_maker(size), "sid long, shingles binary"), "sets")
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Of the pairs ``(a, b)`` of set ids, those whose full sets reach the threshold."""
+    x = sets.select(F.col("sid").alias("a"), F.col("shingles").alias("x"))
+    y = sets.select(F.col("sid").alias("b"), F.col("shingles").alias("y"))
+    both = pairs.join(x.hint("merge"), "a").join(y.hint("merge"), "b").select("a", "b", "x", "y")
     return stored(both.mapInArrow(_verifier(percent), "a long, b long"), "confirmed")
 
 
+def _overlaps(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of every set of ``x`` with every set of ``y``."""
+    values, column = np.unique(np.concatenate([*x, *y]), return_inverse=True)
+    row = np.repeat(np.arange(len(x) + len(y)), [len(v) for v in (*x, *y)])
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    total = np.zeros((len(x), len(y)), np.float64)
+    for at in range(0, len(values), _CHUNK):
+        s, e = np.searchsorted(column, [at, at + _CHUNK])
+        part = np.zeros((len(x) + len(y), min(_CHUNK, len(values) - at)), np.float32)
+        part[row[s:e], column[s:e] - at] = 1
+        total += part[:len(x)] @ part[len(x):].T
+    return total
+
+
+def _block_linker(percent: int):
+    def run(group):
+        low, high = group["i"].iloc[0], group["j"].iloc[0]
+        x, y = group[group["part"] == low], group[group["part"] == high]
+        sx, sy = ([np.frombuffer(v, U) for v in g["shingles"]] for g in (x, y))
+        if not sx or not sy:
+            return group.iloc[:0][["sid", "root"]].set_axis(["a", "b"], axis=1)
+        both = _overlaps(sx, sy)
+        nx, ny = (np.array([len(v) for v in s]) for s in (sx, sy))
+        rx, ry = x["root"].to_numpy(), y["root"].to_numpy()
+        linked = (100 * both >= percent * (nx[:, None] + ny[None, :] - both)) & (rx[:, None] != ry[None, :])
+        i, j = np.nonzero(linked)
+        found = pd.DataFrame({"a": x["sid"].to_numpy()[i], "b": y["sid"].to_numpy()[j], "ra": rx[i], "rb": ry[j]})
+        return found.drop_duplicates(["ra", "rb"])[["a", "b"]]
+    return run
+
+
+def _block_links(members: DataFrame, sets: DataFrame, block: int, percent: int) -> DataFrame:
+    """Links between components inside crowded bands.
+
+    The members of a band are dealt into blocks; each pair of blocks is one
+    small group, so no task ever holds a whole band, and only links leave it.
+    """
+    parts = F.ceil(F.col("members") / block)
+    m = (members.withColumn("part", F.pmod(F.xxhash64("sid"), parts).cast("long"))
+         .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
+         .select("key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"),
+                 "part", "sid", "root"))
+    m = m.join(sets.hint("merge"), "sid")
+    return stored(m.groupBy("key", "i", "j").applyInPandas(_block_linker(percent), "a long, b long"), "confirmed")
+
+
 def near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, permutations: int = PERMUTATIONS,
-                    band_values: int = BAND_VALUES, percent: int = THRESHOLD_PERCENT) -> DataFrame:
+                    band_values: int = BAND_VALUES, percent: int = THRESHOLD_PERCENT,
+                    block: int = BLOCK) -> DataFrame:
     """``docs`` (doc_id, text) -> doc_id, n_shingles, component_id, kept.
 
     ``component_id`` is the smallest ``doc_id`` reachable over links of Jaccard
@@ -151,23 +207,25 @@ def near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, permuta
     stars = (bands.join(lead, "key").where(F.col("sid") != F.col("lead"))
              .select(F.col("lead").alias("a"), F.col("sid").alias("b")).distinct())
     stars = stored(stars, "pairs")
-    links = _confirmed(stars, docs, shingle_words, percent)
+    shingles = _set_table(stars, docs, shingle_words)
+    links = _confirmed(stars, shingles, percent)
     roots = stored(components(links), "roots")
 
-    # Residual: members of one band in different components, size ratio allowing.
+    # Residual: members of one band in different components.
     placed = (bands.join(lead.select("key"), "key")
               .join(roots.withColumnRenamed("node", "sid"), "sid", "left")
               .select("key", "sid", "n", F.coalesce("root", "sid").alias("root")))
-    split = (placed.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1"))
-             .where("r0 != r1").select("key"))
-    open_ = stored(placed.join(split, "key"), "open")
-    x, y = open_.alias("x"), open_.alias("y")
+    split = (placed.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1"),
+                                       F.count("*").alias("members")).where("r0 != r1"))
+    open_ = stored(placed.join(split.select("key", "members"), "key"), "open")
+    few, many = open_.where(F.col("members") <= block), open_.where(F.col("members") > block)
+    x, y = few.alias("x"), few.alias("y")
     rest = (x.join(y, F.col("x.key") == F.col("y.key"))
             .where((F.col("x.sid") < F.col("y.sid")) & (F.col("x.root") != F.col("y.root"))
                    & (100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n")))
             .select(F.col("x.sid").alias("a"), F.col("y.sid").alias("b")).distinct()
             .join(stars, ["a", "b"], "left_anti"))
-    more = _confirmed(stored(rest, "pairs"), docs, shingle_words, percent)
+    more = _confirmed(rest, shingles, percent).unionByName(_block_links(many, shingles, block, percent))
     roots = components(links.unionByName(more))
 
     placed = sets.join(roots.withColumnRenamed("node", "sid"), "sid", "left")
