@@ -8,6 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from campusledger.llm.common import read_table
 from campusledger.llm.minmax_dedup import near_duplicates
+from campusledger.llm.toxicity import fit_from_tables, score_documents
+
+
+def op9_compression_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return score_documents(docs, fit_from_tables(docs, read_table(spark, sf_dir, "labels")))
 
 
 def op10_minmax_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,6 +21,7 @@ def op10_minmax_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op9_compression_toxicity": op9_compression_toxicity,
     "op10_minmax_dedup": op10_minmax_dedup,
 }
 
