@@ -7,10 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from campusledger.llm.common import read_table
+from campusledger.llm.decontaminate import contaminated
 from campusledger.llm.minmax_dedup import near_duplicates
+from campusledger.llm.secrets import digest, scan
 from campusledger.llm.toxicity import fit_from_tables, score_documents
 
 
+def op7_pigeonhole_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digest(scan(read_table(spark, sf_dir, "documents")))
+
+
 def op9_compression_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     return score_documents(docs, fit_from_tables(docs, read_table(spark, sf_dir, "labels")))
@@ -21,6 +31,8 @@ def op10_minmax_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op7_pigeonhole_decontamination": op7_pigeonhole_decontamination,
+    "op8_secret_scan": op8_secret_scan,
     "op9_compression_toxicity": op9_compression_toxicity,
     "op10_minmax_dedup": op10_minmax_dedup,
 }
