@@ -8,11 +8,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 from campusledger.llm.common import read_table
 from campusledger.llm.decontaminate import contaminated
+from campusledger.llm.language_id import predict, train
 from campusledger.llm.minmax_dedup import near_duplicates
 from campusledger.llm.secrets import digest, scan
 from campusledger.llm.toxicity import fit_from_tables, score_documents
 
 
+def op5_hyperdimensional_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return predict(docs, train(docs))
+
+
 def op7_pigeonhole_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
@@ -31,6 +37,7 @@ def op10_minmax_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op5_hyperdimensional_language": op5_hyperdimensional_language,
     "op7_pigeonhole_decontamination": op7_pigeonhole_decontamination,
     "op8_secret_scan": op8_secret_scan,
     "op9_compression_toxicity": op9_compression_toxicity,
