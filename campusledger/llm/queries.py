@@ -10,10 +10,16 @@ from campusledger.llm.common import read_table
 from campusledger.llm.decontaminate import contaminated
 from campusledger.llm.language_id import predict, train
 from campusledger.llm.minmax_dedup import near_duplicates
+from campusledger.llm.quality import ORACLE_SQL as QUALITY_SQL
+from campusledger.llm.quality import quality_rules
 from campusledger.llm.secrets import digest, scan
 from campusledger.llm.toxicity import fit_from_tables, score_documents
 
 
+def op1_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(read_table(spark, sf_dir, "documents"))
+
+
 def op5_hyperdimensional_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     return predict(docs, train(docs))
@@ -37,6 +43,7 @@ def op10_minmax_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_host_quality": op1_host_quality,
     "op5_hyperdimensional_language": op5_hyperdimensional_language,
     "op7_pigeonhole_decontamination": op7_pigeonhole_decontamination,
     "op8_secret_scan": op8_secret_scan,
@@ -44,4 +51,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_minmax_dedup": op10_minmax_dedup,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op1_host_quality": QUALITY_SQL,
+}
