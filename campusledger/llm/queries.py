@@ -10,6 +10,7 @@ from campusledger.llm.common import read_table
 from campusledger.llm.decontaminate import contaminated
 from campusledger.llm.language_id import predict, train
 from campusledger.llm.minmax_dedup import near_duplicates
+from campusledger.llm.packing import pack
 from campusledger.llm.quality import ORACLE_SQL as QUALITY_SQL
 from campusledger.llm.quality import quality_rules
 from campusledger.llm.secrets import digest, scan
@@ -20,6 +21,10 @@ def op1_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(read_table(spark, sf_dir, "documents"))
 
 
+def op4_bin_completion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(read_table(spark, sf_dir, "documents"))
+
+
 def op5_hyperdimensional_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     return predict(docs, train(docs))
@@ -44,6 +49,7 @@ def op10_minmax_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_host_quality": op1_host_quality,
+    "op4_bin_completion": op4_bin_completion,
     "op5_hyperdimensional_language": op5_hyperdimensional_language,
     "op7_pigeonhole_decontamination": op7_pigeonhole_decontamination,
     "op8_secret_scan": op8_secret_scan,
