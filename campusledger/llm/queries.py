@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from campusledger.llm.common import read_table
 from campusledger.llm.decontaminate import contaminated
 from campusledger.llm.language_id import predict, train
+from campusledger.llm.line_dedup import line_classes
 from campusledger.llm.minmax_dedup import near_duplicates
 from campusledger.llm.packing import pack
 from campusledger.llm.quality import ORACLE_SQL as QUALITY_SQL
@@ -30,6 +31,10 @@ def op5_hyperdimensional_language(spark: SparkSession, sf_dir: str) -> DataFrame
     return predict(docs, train(docs))
 
 
+def op6_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_classes(read_table(spark, sf_dir, "documents"))
+
+
 def op7_pigeonhole_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
@@ -51,6 +56,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_host_quality": op1_host_quality,
     "op4_bin_completion": op4_bin_completion,
     "op5_hyperdimensional_language": op5_hyperdimensional_language,
+    "op6_fuzzy_lines": op6_fuzzy_lines,
     "op7_pigeonhole_decontamination": op7_pigeonhole_decontamination,
     "op8_secret_scan": op8_secret_scan,
     "op9_compression_toxicity": op9_compression_toxicity,
