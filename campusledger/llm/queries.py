@@ -16,12 +16,17 @@ from campusledger.llm.quality import ORACLE_SQL as QUALITY_SQL
 from campusledger.llm.quality import quality_rules
 from campusledger.llm.secrets import digest, scan
 from campusledger.llm.toxicity import fit_from_tables, score_documents
+from campusledger.llm.wrapper import extract
 
 
 def op1_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(read_table(spark, sf_dir, "documents"))
 
 
+def op2_wrapper_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(read_table(spark, sf_dir, "pages"))
+
+
 def op4_bin_completion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read_table(spark, sf_dir, "documents"))
 
@@ -54,6 +59,7 @@ def op10_minmax_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_host_quality": op1_host_quality,
+    "op2_wrapper_extraction": op2_wrapper_extraction,
     "op4_bin_completion": op4_bin_completion,
     "op5_hyperdimensional_language": op5_hyperdimensional_language,
     "op6_fuzzy_lines": op6_fuzzy_lines,
