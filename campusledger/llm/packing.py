@@ -35,23 +35,28 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from campusledger.llm.common import each_batch, record_batch, small_batches, stored, texts
+from campusledger.llm.words import word_hashes, word_spans
 
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 1
 SEQUENCE_TOKENS = 4096
 BLOCK_PIECES = 20_000
 
-_KEPT_WORDS = 400_000
-_LONG_WORD = 64          # longer words are tokenised, but not kept
+_KEPT_WORDS = 1_000_000   # distinct words a task keeps the ids of (about 50 MB)
 
 
 class WordTokenizer:
     """Ids of whole texts as little-endian unsigned 32-bit bytes.
 
-    The vocabulary's own pattern parts a text into words; ids of a word do not
-    depend on its neighbours, so they are kept in a bounded table. Texts for
-    which this short way could differ from the tokenizer (not NFC, capital
-    sigma, separator controls, text of special tokens) go through it whole.
+    The tokenizer's ids of a word between spaces do not depend on its
+    neighbours. So the words of a batch are hashed in numpy, the ids of each
+    distinct word are looked up in a bounded sorted table, and only words new to
+    the table reach the tokenizer, many in one text. There they are parted again
+    by counting tokens that end a word of the vocabulary's pattern (runs of
+    letters, single digits, runs of anything else). Words with an apostrophe,
+    which the pattern treats by case, go alone. Texts for which this could
+    differ from the tokenizer (not NFC, capital sigma, separator controls, the
+    text of special tokens) go through it whole.
     """
 
     def __init__(self, vocabulary: str = VOCABULARY):
@@ -59,72 +64,92 @@ class WordTokenizer:
         import os
 
         import public_tokenizers
-        import regex
         from tokenizers import Tokenizer
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_file(public_tokenizers.path(vocabulary))
-        own = json.loads(self.tokenizer.to_str())
-        self.words = regex.compile(own["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
-        suffix = own["model"]["end_of_word_suffix"]
+        suffix = json.loads(self.tokenizer.to_str())["model"]["end_of_word_suffix"]
         self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
         self.ends[[i for w, i in self.tokenizer.get_vocab().items() if w.endswith(suffix)]] = True
         special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.unusual = [*special, "\u03a3", "\x1c", "\x1d", "\x1e", "\x1f"]
-        self.parts: dict[str, bytes] = {}      # ids of the words of the pattern
-        self.known: dict[str, bytes] = {}      # ids of what stands between two spaces
-
-    def _single(self, many: list[str]) -> Iterator[bytes]:
-        for e in self.tokenizer.encode_batch_fast(many, add_special_tokens=False):
-            yield np.array(e.ids, "<u4").tobytes()
-
-    def _each(self, words: list[str]) -> Iterator[tuple[str, bytes]]:
-        """Ids of each word: words of letters many at a time, parted at their last tokens."""
-        plain = [w for w in words if w.isalpha()]
-        other = [w for w in words if not w.isalpha()]
-        parts = [plain[at:at + 512] for at in range(0, len(plain), 512)]
-        joined = self.tokenizer.encode_batch_fast([" ".join(p) for p in parts], add_special_tokens=False)
-        for part, e in zip(parts, joined):
-            ids = np.array(e.ids, "<u4")
-            cuts = np.flatnonzero(self.ends[ids]) + 1
-            if len(cuts) != len(part):
-                other += part
-                continue
-            data, at = ids.tobytes(), 0
-            for w, end in zip(part, (cuts * 4).tolist()):
-                yield w, data[at:end]
-                at = end
-        yield from zip(other, self._single(other))
+        self.kind = np.zeros(0x110000, np.uint8)      # of a code point: 0 not looked up, 1-3 see _kinds, 4 space
+        self._clear()
+
+    def _clear(self) -> None:
+        self.hashes = np.empty(0, np.uint64)          # sorted; of each word its ids' start and length
+        self.start, self.length = np.empty(0, np.int64), np.empty(0, np.int64)
+        self.ids = np.empty(0, "<u4")
 
     def _usual(self, text: str) -> bool:
         return not any(u in text for u in self.unusual) and (text.isascii() or unicodedata.is_normalized("NFC", text))
 
-    def _learn(self, new: list[str]) -> dict[str, bytes]:
-        split = {w: self.words.findall(w.lower()) for w in new}
-        wanted = set().union(*split.values())
-        ids = {w: self.parts[w] for w in wanted if w in self.parts}
-        if len(self.parts) + len(wanted) - len(ids) > _KEPT_WORDS:
-            self.parts.clear()
-        for w, b in self._each(list(wanted - ids.keys())):
-            ids[w] = b
-            if len(w) <= _LONG_WORD:
-                self.parts[w] = b
-        return {w: b"".join(map(ids.__getitem__, ws)) for w, ws in split.items()}
+    def _kinds(self, codes: np.ndarray) -> np.ndarray:
+        """1 letter, 2 number, 3 other, 4 white space."""
+        kinds = self.kind[codes]
+        if not kinds.all():
+            for c in np.unique(codes[kinds == 0]).tolist():
+                category = unicodedata.category(chr(c))[0]
+                self.kind[c] = 4 if chr(c).isspace() else {"L": 1, "N": 2}.get(category, 3)
+            kinds = self.kind[codes]
+        return kinds
+
+    def _alone(self, words: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
+    def _together(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words without an apostrophe, tokenised as one text, and the length of each."""
+        text = " ".join(words)
+        codes = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
+        kinds = self._kinds(codes)
+        begins = kinds != 4
+        begins[1:] &= (kinds[1:] != kinds[:-1]) | (kinds[1:] == 2)
+        tokens = np.bincount(np.cumsum(codes == 0x20)[begins], minlength=len(words))
+        ids = self._alone([text])[0]
+        ends = np.flatnonzero(self.ends[ids]) + 1
+        if len(ends) != tokens.sum():
+            found = self._alone(words)
+            return np.concatenate(found), np.array([len(x) for x in found], np.int64)
+        return ids, np.diff(np.concatenate([[0], ends])[np.cumsum(tokens)], prepend=0)
+
+    def _learn(self, hashes: np.ndarray, words: list[str]) -> None:
+        """Add words to the table; ``hashes`` are sorted."""
+        plain = [i for i, w in enumerate(words) if "'" not in w]
+        quoted = [i for i, w in enumerate(words) if "'" in w]
+        found = [self._together([words[i] for i in plain[at:at + 2048]]) for at in range(0, len(plain), 2048)]
+        alone = self._alone([words[i] for i in quoted])
+        ids = np.concatenate([np.empty(0, "<u4"), *(i for i, _ in found), *alone])
+        lengths = np.concatenate([np.empty(0, np.int64), *(n for _, n in found), [len(x) for x in alone]]).astype(np.int64)
+        length, start = np.empty((2, len(words)), np.int64)
+        order = np.array(plain + quoted, np.int64)
+        length[order] = lengths
+        start[order] = len(self.ids) + np.cumsum(lengths) - lengths
+        place = np.searchsorted(self.hashes, hashes)
+        self.hashes = np.insert(self.hashes, place, hashes)
+        self.start = np.insert(self.start, place, start)
+        self.length = np.insert(self.length, place, length)
+        self.ids = np.concatenate([self.ids, ids])
 
     def encode(self, many: list[str]) -> list[bytes]:
         usual = [self._usual(t) for t in many]
-        split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") if ok else []
-                 for t, ok in zip(many, usual)]
-        wanted = set().union(*split)
-        new = wanted - self.known.keys()
-        if len(self.known) + len(new) > _KEPT_WORDS:
-            self.known.clear()
-            new = wanted
-        found = self._learn(list(new))
-        self.known |= {w: b for w, b in found.items() if len(w) <= _LONG_WORD}
-        extra = {w: b for w, b in found.items() if len(w) > _LONG_WORD}
-        look = {**{w: self.known[w] for w in wanted - extra.keys()}, **extra} if extra else self.known
-        whole = self._single([t for t, ok in zip(many, usual) if not ok])
-        return [b"".join(map(look.__getitem__, ws)) if ok else next(whole) for ws, ok in zip(split, usual)]
+        parts = [t.encode("utf-8", "replace") if ok else b"" for t, ok in zip(many, usual)]
+        data = b"\n".join(parts)
+        first, last = word_spans(data)
+        found, index, inverse = np.unique(word_hashes(data), return_index=True, return_inverse=True)
+        new = np.append(self.hashes, found[-1:])[np.searchsorted(self.hashes, found)] != found
+        new |= np.searchsorted(self.hashes, found) == len(self.hashes)
+        if len(self.hashes) + new.sum() > _KEPT_WORDS:
+            self._clear()
+            new[:] = True
+        at = index[new]
+        self._learn(found[new], [data[a:b].decode() for a, b in zip(first[at].tolist(), last[at].tolist())])
+        place = np.searchsorted(self.hashes, found)[inverse]
+        length = self.length[place]
+        before = np.concatenate([[0], np.cumsum(length)])
+        out = self.ids[np.repeat(self.start[place] - before[:-1], length) + np.arange(before[-1])]
+        text_ends = np.cumsum([len(p) + 1 for p in parts])
+        cuts = before[np.searchsorted(first, np.concatenate([[0], text_ends]))].tolist()
+        whole = iter(self._alone([t for t, ok in zip(many, usual) if not ok]))
+        return [out[a:b].tobytes() if ok else next(whole).tobytes() for a, b, ok in zip(cuts, cuts[1:], usual)]
 
 
 _PIECE = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()),
