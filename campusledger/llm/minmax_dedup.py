@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from campusledger.llm.common import each_batch, record_batch, small_batches, stored, texts
 from campusledger.llm.components import components
-from campusledger.llm.words import U, mix64, seeds, shingle_hashes, word_hashes
+from campusledger.llm.words import U, distinct, mix64, seeds, shingle_hashes, word_hashes
 
 SHINGLE_WORDS = 5
 PERMUTATIONS = 48     # 96 signature values: a minimum and a maximum of each
@@ -52,7 +52,7 @@ _CHUNK = 4096
 
 def shingle_set(text: str, size: int = SHINGLE_WORDS) -> np.ndarray:
     """Sorted distinct shingle hashes of a text, A-Z lower-cased."""
-    return np.unique(shingle_hashes(word_hashes(text.encode("utf-8", "surrogatepass").lower()), size))
+    return distinct(shingle_hashes(word_hashes(text.encode("utf-8", "surrogatepass").lower()), size))
 
 
 def min_max_signature(values: np.ndarray, multipliers: np.ndarray) -> np.ndarray:

@@ -108,3 +108,9 @@ def shingle_hashes(words: np.ndarray, size: int = 5) -> np.ndarray:
     for j in range(width):
         acc = mix64(acc * U(0xD6E8FEB86659FD93) + words[j:n - width + 1 + j])
     return acc
+
+
+def distinct(values: np.ndarray) -> np.ndarray:
+    """The distinct values, sorted."""
+    values = np.sort(values)
+    return values[np.concatenate([[True], values[1:] != values[:-1]])] if len(values) else values
