@@ -15,6 +15,7 @@ from campusledger.llm.packing import pack
 from campusledger.llm.quality import ORACLE_SQL as QUALITY_SQL
 from campusledger.llm.quality import quality_rules
 from campusledger.llm.secrets import digest, scan
+from campusledger.llm.substring_dedup import repeated_passages
 from campusledger.llm.toxicity import fit_from_tables, score_documents
 from campusledger.llm.wrapper import extract
 
@@ -27,6 +28,10 @@ def op2_wrapper_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(read_table(spark, sf_dir, "pages"))
 
 
+def op3_compact_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(read_table(spark, sf_dir, "documents"))
+
+
 def op4_bin_completion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read_table(spark, sf_dir, "documents"))
 
@@ -60,6 +65,7 @@ def op10_minmax_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_host_quality": op1_host_quality,
     "op2_wrapper_extraction": op2_wrapper_extraction,
+    "op3_compact_windows": op3_compact_windows,
     "op4_bin_completion": op4_bin_completion,
     "op5_hyperdimensional_language": op5_hyperdimensional_language,
     "op6_fuzzy_lines": op6_fuzzy_lines,
