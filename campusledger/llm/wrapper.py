@@ -33,6 +33,7 @@ row; extra columns are ignored. Nothing is cut off or capped.
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterable, Iterator
 from html.parser import HTMLParser
 
@@ -67,6 +68,9 @@ PART_NAMES = frozenset(
     "widgets pagination pager skip-link search contentinfo complementary".split())
 
 
+_CUT_TAG = re.compile(r"<[/!A-Za-z][^<>]*\Z")     # a tag that the end of the page cuts off
+
+
 class Node:
     """An element that holds blocks, or a block of text (``text`` set, no children)."""
 
@@ -141,7 +145,7 @@ class _Builder(HTMLParser):
 def parse(html: str) -> tuple[Node, list[Node]]:
     """The block tree of a page and its text blocks in page order, numbered."""
     builder = _Builder()
-    builder.feed(html)
+    builder.feed(_CUT_TAG.sub("", html))
     builder.close()
     builder._end_block()
     blocks: list[Node] = []
