@@ -38,7 +38,7 @@ def register(name: str, oracle: str | None = None):
     return deco
 
 
-_IDENTITY = {t: t for t in ("customer", "orders", "lineitem", "events", "supplier")}
+_IDENTITY = {t: t for t in ("customer", "orders", "events", "supplier")}
 
 
 def with_views(body: str) -> str:

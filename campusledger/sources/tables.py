@@ -2,19 +2,22 @@
 
 Production deployments point :func:`load_tables` at parquet folders holding
 the six tables. For verification the driver's synthetic parquet tables
-(``customer orders lineitem events supplier``) are viewed as the six record
+(``customer orders events supplier``) are viewed as the six record
 tables through portable SQL; the very same text is run by the DuckDB oracle,
 so both engines start from identical inputs.
 
 Placeholders: ``{customer}`` etc. name a source table; ``{timestamp}`` is the
 zone-free timestamp literal keyword (``timestamp_ntz`` in Spark, where a bare
-``timestamp`` literal would be zoned; ``timestamp`` in DuckDB).
+``timestamp`` literal would be zoned; ``timestamp`` in DuckDB);
+``{pad:column:width}`` is the number as text, zero-padded to ``width`` digits
+and never cut.
 """
 
 from __future__ import annotations
 
 import hashlib
 import os
+import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
@@ -28,13 +31,13 @@ RECORD_TABLES = (
     "users",
 )
 
-SOURCE_TABLES = ("customer", "orders", "lineitem", "events", "supplier")
+SOURCE_TABLES = ("customer", "orders", "events", "supplier")
 
 # The view definitions below fix the test inputs; they are the
 # same text for Spark and for the DuckDB oracle.
 FIXTURE_SQL: dict[str, str] = {
     "tbl_student_data": """
-SELECT lpad(cast(c_custkey AS string), 6, '0') AS sd_id_number,
+SELECT {pad:c_custkey:6} AS sd_id_number,
        c_name AS sd_student_name,
        c_mktsegment AS sd_strand,
        CASE WHEN s.i < 2 THEN '11' ELSE '12' END AS sd_grade_level,
@@ -47,14 +50,16 @@ SELECT lpad(cast(c_custkey AS string), 6, '0') AS sd_id_number,
        0 AS sd_school_year_sem,
        s.sem AS sd_school_year_semesterr
 FROM {customer}
-JOIN (VALUES (0, '2023-2024-1'), (1, '2023-2024-2'),
-             (2, '2024-2025-1'), (3, '2024-2025-2')) AS s(i, sem)
-  ON s.i <= c_custkey % 4
+JOIN (VALUES (0, 0, '2023-2024-1'),
+             (1, 0, '2023-2024-1'), (1, 1, '2023-2024-2'),
+             (2, 0, '2023-2024-1'), (2, 1, '2023-2024-2'), (2, 2, '2024-2025-1'),
+             (3, 0, '2023-2024-1'), (3, 1, '2023-2024-2'), (3, 2, '2024-2025-1'), (3, 3, '2024-2025-2')) AS s(m, i, sem)
+  ON s.m = c_custkey % 4
 """,
     "tbl_case_records": """
 SELECT o_orderkey AS cr_case_id,
-       lpad(cast(o_custkey AS string), 6, '0') AS cr_student_id,
-       concat('Customer#', lpad(cast(o_custkey AS string), 9, '0')) AS cr_student_name,
+       {pad:o_custkey:6} AS cr_student_id,
+       concat('Customer#', {pad:o_custkey:9}) AS cr_student_name,
        CASE o_custkey % 3 WHEN 0 THEN 'STEM' WHEN 1 THEN 'ABM' ELSE 'HUMSS' END AS cr_student_strand,
        CASE WHEN o_orderkey % 2 = 0 THEN '11' ELSE '12' END AS cr_student_grade_level,
        concat('S', cast(o_custkey % 5 AS string)) AS cr_student_section,
@@ -83,8 +88,8 @@ SELECT event_id AS cor_record_id,
        CASE WHEN event_id % 5 = 0 THEN event_id + 1 END AS cor_origin_medical_id,
        CASE WHEN event_id % 5 = 1 THEN event_id + 2 END AS cor_origin_case_id,
        cast(event_id % 4 + 1 AS int) AS cor_session_number,
-       lpad(cast(user_id AS string), 6, '0') AS cor_student_id_number,
-       concat('Customer#', lpad(cast(user_id AS string), 9, '0')) AS cor_student_name,
+       {pad:user_id:6} AS cor_student_id_number,
+       concat('Customer#', {pad:user_id:9}) AS cor_student_name,
        CASE user_id % 3 WHEN 0 THEN 'STEM' WHEN 1 THEN 'ABM' ELSE 'HUMSS' END AS cor_student_strand,
        CASE WHEN event_id % 2 = 0 THEN '11' ELSE '12' END AS cor_student_grade_level,
        concat('S', cast(user_id % 5 AS string)) AS cor_student_section,
@@ -103,37 +108,37 @@ FROM {events}
 WHERE event_type IN ('click', 'view', 'signup')
 """,
     "tbl_medical_records": """
-SELECT l_orderkey * 10 + l_linenumber AS mr_medical_id,
-       lpad(cast(o_custkey AS string), 6, '0') AS mr_student_id,
-       concat('Customer#', lpad(cast(o_custkey AS string), 9, '0')) AS mr_student_name,
+SELECT o_orderkey * 10 + slot AS mr_medical_id,
+       {pad:o_custkey:6} AS mr_student_id,
+       concat('Customer#', {pad:o_custkey:9}) AS mr_student_name,
        CASE o_custkey % 3 WHEN 0 THEN 'STEM' WHEN 1 THEN 'ABM' ELSE 'HUMSS' END AS mr_student_strand,
-       CASE WHEN l_orderkey % 2 = 0 THEN '11' ELSE '12' END AS mr_grade_level,
+       CASE WHEN o_orderkey % 2 = 0 THEN '11' ELSE '12' END AS mr_grade_level,
        concat('S', cast(o_custkey % 5 AS string)) AS mr_section,
-       CASE l_orderkey % 4 WHEN 0 THEN '2023-2024-1' WHEN 1 THEN '2023-2024-2'
+       CASE o_orderkey % 4 WHEN 0 THEN '2023-2024-1' WHEN 1 THEN '2023-2024-2'
                            WHEN 2 THEN '2024-2025-1' ELSE '2024-2025-2' END AS mr_school_year_semester,
-       concat('subject ', cast(l_linenumber AS string)) AS mr_subject,
+       concat('subject ', cast(slot AS string)) AS mr_subject,
        CASE rf WHEN 'A' THEN 'Ongoing' WHEN 'N' THEN 'Treated' ELSE 'For Treatment' END AS mr_status,
-       concat('50%_details ', cast(l_orderkey AS string)) AS mr_medical_details,
+       concat('50%_details ', cast(o_orderkey AS string)) AS mr_medical_details,
        '' AS mr_additional_remarks,
-       CASE WHEN l_orderkey % 3 = 0 THEN 'Yes' ELSE 'No' END AS mr_referred,
-       CASE WHEN l_orderkey % 6 = 0 THEN 'Accepted' ELSE 'Pending' END AS mr_referral_confirmation,
+       CASE WHEN o_orderkey % 3 = 0 THEN 'Yes' ELSE 'No' END AS mr_referred,
+       CASE WHEN o_orderkey % 6 = 0 THEN 'Accepted' ELSE 'Pending' END AS mr_referral_confirmation,
        CASE WHEN rf = 'A' OR ls = 'O' THEN 'Yes' ELSE 'No' END AS mr_is_psychological,
        CASE WHEN rf = 'A' THEN 'No' ELSE 'Yes' END AS mr_is_medical,
-       CASE l_linenumber % 5
+       CASE slot % 5
          WHEN 0 THEN NULL
          WHEN 1 THEN '[]'
-         WHEN 2 THEN concat('[{"filename":"OPDMC_f', cast(l_orderkey AS string), '.pdf","originalname":"f', cast(l_orderkey AS string), '.pdf","mimetype":"application/pdf","size":', cast(pk AS string), ',"path":"/u/f.pdf","isMedical":true,"isPsychological":false,"uploadedBy":"OPD","uploadDate":"2024-01-02T03:04:05.000Z"}]')
-         WHEN 3 THEN concat('[{"filename":"a', cast(l_orderkey AS string), '.pdf","originalname":"a.pdf","mimetype":"application/pdf","size":1,"path":"/u/a.pdf","isMedical":false,"isPsychological":true,"uploadedBy":"INF"},{"filename":"b', cast(l_orderkey AS string), '.docx","originalname":"","mimetype":"application/msword","size":2,"path":"/u/b.docx","isMedical":true}]')
-         ELSE concat('[{"filename":"c', cast(l_orderkey AS string), '.pdf","size":3}]')
+         WHEN 2 THEN concat('[{"filename":"OPDMC_f', cast(o_orderkey AS string), '.pdf","originalname":"f', cast(o_orderkey AS string), '.pdf","mimetype":"application/pdf","size":', cast(o_custkey AS string), ',"path":"/u/f.pdf","isMedical":true,"isPsychological":false,"uploadedBy":"OPD","uploadDate":"2024-01-02T03:04:05.000Z"}]')
+         WHEN 3 THEN concat('[{"filename":"a', cast(o_orderkey AS string), '.pdf","originalname":"a.pdf","mimetype":"application/pdf","size":1,"path":"/u/a.pdf","isMedical":false,"isPsychological":true,"uploadedBy":"INF"},{"filename":"b', cast(o_orderkey AS string), '.docx","originalname":"","mimetype":"application/msword","size":2,"path":"/u/b.docx","isMedical":true}]')
+         ELSE concat('[{"filename":"c', cast(o_orderkey AS string), '.pdf","size":3}]')
        END AS mr_attachments,
-       sd AS mr_record_date,
-       sd AS mr_create_date,
+       o_orderdate AS mr_record_date,
+       o_orderdate AS mr_create_date,
        '[]' AS mr_edit_history,
        'INF' AS mr_sender
-FROM (SELECT l_orderkey, l_linenumber, min(l_returnflag) AS rf, min(l_linestatus) AS ls,
-             min(l_partkey) AS pk, min(l_shipdate) AS sd
-      FROM {lineitem} GROUP BY l_orderkey, l_linenumber) AS l
-JOIN {orders} ON l_orderkey = o_orderkey
+FROM (SELECT *, o_orderkey % 7 + 1 AS slot,
+             CASE o_orderkey % 3 WHEN 0 THEN 'A' WHEN 1 THEN 'N' ELSE 'R' END AS rf,
+             CASE WHEN o_orderstatus = 'O' AND o_orderkey % 2 = 0 THEN 'O' ELSE 'F' END AS ls
+      FROM {orders}) AS o
 """,
     "tbl_notifications": """
 SELECT event_id AS n_id,
@@ -163,9 +168,14 @@ FROM {supplier}
 }
 
 
+_PAD = re.compile(r"\{pad:(\w+):(\d+)\}")
+
+
 def render(sql: str, names: dict[str, str], timestamp_keyword: str) -> str:
     """Substitute the ``{table}`` and ``{timestamp}`` placeholders."""
-    out = sql.replace("{timestamp}", timestamp_keyword)
+    out = _PAD.sub(lambda m: (f"CASE WHEN length(cast({m[1]} AS string)) < {m[2]} "
+                              f"THEN lpad(cast({m[1]} AS string), {m[2]}, '0') ELSE cast({m[1]} AS string) END"), sql)
+    out = out.replace("{timestamp}", timestamp_keyword)
     for name, target in names.items():
         out = out.replace("{" + name + "}", target)
     return out
