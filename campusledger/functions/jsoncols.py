@@ -42,6 +42,19 @@ def parse_edit_history(c) -> Column:
     return F.coalesce(parse_json_array(c, EDIT_HISTORY), F.array().cast(EDIT_HISTORY))
 
 
+def raw_elements(c) -> Column:
+    """The JSON text of each element; empty for NULL or '', NULL for text that is no array."""
+    text = _c(c)
+    blank = F.coalesce(F.trim(text), F.lit("")) == ""
+    parts = F.when(looks_like_array(text), F.from_json(text, T.ArrayType(T.StringType())))
+    return F.when(blank, F.array().cast("array<string>")).otherwise(parts)
+
+
+def raw_array(parts: Column) -> Column:
+    """JSON text of an array from the texts of its elements."""
+    return F.concat(F.lit("["), F.array_join(parts, ","), F.lit("]"))
+
+
 def is_malformed(c, schema: T.ArrayType = ATTACHMENTS) -> Column:
     """True when the text is present but not parseable (audit flag)."""
     text = _c(c)

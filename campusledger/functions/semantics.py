@@ -21,11 +21,24 @@ def _col(c: ColumnOrName) -> Column:
 
 
 def ci_eq(c: ColumnOrName, value: str) -> Column:
-    """Database-style equality: ``'YES' = 'Yes'``."""
-    return F.lower(_col(c)) == F.lit(value.lower())
+    """Database-style equality: ``'YES' = 'Yes'``.
 
+    Text without letters is compared as it is, so the filter reaches the scan.
+    For ASCII text every spelling lies between the upper-case and the lower-case
+    one; that range is added, as the scan can use it to skip row groups.
+    """
+    c = _col(c)
+    if value.lower() == value.upper():
+        return c == F.lit(value)
+    same = F.lower(c) == F.lit(value.lower())
+    if value.isascii():
+        return (c >= F.lit(value.upper())) & (c <= F.lit(value.lower())) & same
+    return same
 
 
+def ci_key(c: ColumnOrName) -> Column:
+    """The form in which text keys are joined and grouped (rule S1)."""
+    return F.lower(_col(c))
 
 
 
@@ -79,6 +92,15 @@ def as_of_column(as_of=None) -> Column:
     return F.lit(str(as_of)).cast("timestamp_ntz")
 
 
+def exact_id(c: ColumnOrName) -> Column:
+    """A record id given as text or number: its whole value, NULL unless it is a whole number.
+
+    Decimal, not double: ids above 2**53 stay exact and ``12.7`` finds nothing.
+    """
+    number = F.trim(_col(c).cast("string")).try_cast("decimal(38,9)")
+    return F.when(number == F.floor(number), number.try_cast("bigint"))
+
+
 def iso_millis(c: ColumnOrName) -> Column:
     """JavaScript ``Date.toISOString()`` text of a zone-free timestamp."""
     return F.date_format(_col(c), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")

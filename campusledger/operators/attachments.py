@@ -12,8 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from campusledger.functions.jsoncols import (ATTACHMENTS, is_malformed, looks_like_array,
-                                             parse_attachments, parse_edit_history,
-                                             to_json_or_null, EDIT_HISTORY)
+                                             parse_attachments, parse_edit_history, raw_array,
+                                             raw_elements, to_json_or_null, EDIT_HISTORY)
 from campusledger.functions.semantics import epoch_millis, first_present, iso_millis
 
 # Accepted uploads.
@@ -190,6 +190,13 @@ def _flag_lookup(classes: Column, name: Column, field: str) -> Column:
     return hit[field]
 
 
+def plain_file_entries(new_files: Column) -> Column:
+    """Stored form of a new session's files: the five upload fields only."""
+    return F.transform(new_files, lambda f: F.struct(
+        f["filename"].alias("filename"), f["originalname"].alias("originalname"), f["mimetype"].alias("mimetype"),
+        f["size"].cast("bigint").alias("size"), f["path"].alias("path")))
+
+
 def new_file_entries(new_files: Column, classes: Column | None, uploader: Column | None,
                      upload_date: Column | None) -> Column:
     """Stored form of newly uploaded files (flags from the classification list)."""
@@ -267,21 +274,37 @@ def merged_json(existing, to_delete, new_files, mode, keep_missing: bool = True,
 
 def remove_attachment(records: DataFrame, id_col: str, attachments: str,
                       requests: DataFrame) -> DataFrame:
-    """Delete one file per request ``(record_id, filename)``; empty lists become NULL."""
+    """Delete files by request ``(record_id, filename)``; empty lists become NULL.
+
+    The other elements keep their text, unknown fields included. A list that
+    does not parse is left as it is. The names to delete are gathered per
+    record, so they are bounded by one record's requests.
+    """
     req = requests.groupBy("record_id").agg(F.collect_set("filename").alias("_del"))
     joined = records.join(req.withColumnRenamed("record_id", id_col), id_col, "left")
-    new = to_json_or_null(_without(parse_attachments(attachments), F.col("_del")))
-    return joined.withColumn(attachments, F.when(F.col("_del").isNull(), F.col(attachments))
+    parts = raw_elements(attachments)
+    left = F.filter(parts, lambda e: ~F.coalesce(
+        F.array_contains(F.col("_del"), F.get_json_object(e, "$.filename")), F.lit(False)))
+    new = F.when(F.size(left) > 0, raw_array(left))
+    return joined.withColumn(attachments, F.when(F.col("_del").isNull() | parts.isNull(), F.col(attachments))
                              .otherwise(new)).drop("_del")
 
 
 # ---- O52: edit history ----------------------------------------------------------
 
-def append_edit_history(history: Column, editor: Column, as_of: Column) -> Column:
-    """Append ``{editedBy, editedAt, timestamp}`` and return the JSON text."""
-    entry = F.struct(editor.alias("editedBy"), iso_millis(as_of).alias("editedAt"),
-                     epoch_millis(as_of).alias("timestamp"))
-    return F.to_json(F.array_append(parse_edit_history(history), entry))
+def append_edit_history(history: Column, editors: Column, as_of: Column) -> Column:
+    """Append ``{editedBy, editedAt, timestamp}`` and return the JSON text.
+
+    ``editors`` is an array: one entry per element, in order. Stored entries
+    keep their text, unknown fields included; text that does not parse is left
+    as it is (callers report the request as ``rejected:malformed``).
+    """
+    def entry(by):
+        return F.to_json(F.struct(by.alias("editedBy"), iso_millis(as_of).alias("editedAt"),
+                                  epoch_millis(as_of).alias("timestamp")))
+    added = F.transform(editors, entry)
+    old = raw_elements(history)
+    return F.when(old.isNull(), history).otherwise(raw_array(F.concat(old, added)))
 
 
 # ---- O68 / O71: upload checks and stored names --------------------------------------
@@ -297,17 +320,21 @@ def _basename_no_ext(name: Column) -> Column:
     return F.left(base, F.length(base) - F.length(_ext(name)))
 
 
+def _known(cond: Column) -> Column:
+    """An absent MIME type or name is in no list."""
+    return F.coalesce(cond, F.lit(False))
+
+
 def attachment_checks(files: Column, kind: str = "record", max_files: int = MAX_FILES) -> Column:
     """Array of rejection reasons for one request's upload list (empty = valid)."""
     files = F.coalesce(files, F.array())
     if kind == "record":
-        ok_type = F.forall(files, lambda f: f["mimetype"].isin(*RECORD_MIME_TYPES))
+        ok_type = F.forall(files, lambda f: _known(f["mimetype"].isin(*RECORD_MIME_TYPES)))
     elif kind == "case_file":
-        ok_type = F.forall(files, lambda f: F.lower(_ext(f["originalname"]))
-                           .isin(*CASE_FILE_EXTENSIONS))
+        ok_type = F.forall(files, lambda f: _known(F.lower(_ext(f["originalname"])).isin(*CASE_FILE_EXTENSIONS)))
     elif kind == "import":
-        ok_type = F.forall(files, lambda f: f["mimetype"].isin(*IMPORT_MIME_TYPES)
-                           | F.lower(_ext(f["originalname"])).isin(*IMPORT_EXTENSIONS))
+        ok_type = F.forall(files, lambda f: _known(f["mimetype"].isin(*IMPORT_MIME_TYPES))
+                           | _known(F.lower(_ext(f["originalname"])).isin(*IMPORT_EXTENSIONS)))
     else:
         raise ValueError(kind)
     ok_size = F.forall(files, lambda f: F.coalesce(f["size"], F.lit(0)) <= MAX_FILE_BYTES)

@@ -15,8 +15,12 @@ Rules shared by all operators:
 * new ids are ``max(existing id) + seq``; ``seq`` is the request's positive
   sequence number, unique within the batch (a dense 1..n numbering gives
   dense ids). The maximum is a scalar subquery, computed once.
-* when a batch holds several requests for the same key, the one with the
-  highest ``seq`` wins (``max_by`` aggregate: partial, skew-safe).
+* several requests for one key are applied in the order of ``seq``: a full
+  overwrite leaves the values of the last, a partial one (accounts) the last
+  sent value of each field; every request adds its history entry and its
+  notices. All of this comes from one aggregate per key over the batch.
+* a record whose stored history does not parse is not touched; its requests
+  are reported as ``rejected:malformed``.
 * request fields use the screens' names (``studentId``, ``referredToGCO``...);
   absent optional fields read as NULL.
 * the clock is the ``as_of`` argument (default: now).
@@ -30,10 +34,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from campusledger.functions.semantics import as_of_column, blank_to_null, ci_eq
-from campusledger.operators.attachments import (DEFAULT_EDITOR, append_edit_history,
-                                                merged_json, new_file_entries)
-from campusledger.functions.jsoncols import to_json_or_null
+from campusledger.functions.semantics import as_of_column, blank_to_null, ci_eq, ci_key
+from campusledger.operators.attachments import (DEFAULT_EDITOR, append_edit_history, merged_json,
+                                                new_file_entries, plain_file_entries)
+from campusledger.functions.jsoncols import raw_elements, to_json_or_null
 from campusledger.operators.referrals import (case_referral_notifications,
                                               medical_referral_notifications,
                                               upload_notifications)
@@ -89,37 +93,52 @@ def new_ids(table: DataFrame, id_col: str, seq: str = "seq") -> Column:
     return (F.coalesce(base, F.lit(0)).cast("bigint") + F.col(seq).cast("bigint"))
 
 
-def latest_per_key(changes: DataFrame, key: str, seq: str = "seq") -> DataFrame:
-    """One request per key: the one with the highest ``seq``.
+def one_per_key(changes: DataFrame, key: str, seq: str = "seq", editor: Column | None = None) -> DataFrame:
+    """One row per key: the request with the highest ``seq``, and ``_editors``,
+    the editors of all its requests in order.
 
-    ``max(seq)`` per key is a fixed-width hash aggregate (partial, so a key
-    holding a third of the batch is collapsed map-side); joining it back
-    keeps the winning request without carrying whole rows through an
-    aggregation buffer. ``seq`` is unique within a batch.
+    The row is carried through the aggregate as one struct (``max_by``); the
+    editors are bounded by the requests for one record.
     """
-    last = changes.groupBy(key).agg(F.max(seq).alias("_last_seq"))
-    return (changes.join(last, [key], "inner")
-            .where(F.col(seq) == F.col("_last_seq")).drop("_last_seq"))
+    editor = editor if editor is not None else F.lit(None).cast("string")
+    rest = [c for c in changes.columns if c != key]
+    one = changes.withColumn("_by", editor).groupBy(key).agg(
+        F.max_by(F.struct(*rest), F.col(seq)).alias("_last"),
+        F.transform(F.sort_array(F.collect_list(F.struct(F.col(seq).alias("s"), F.col("_by").alias("e")))),
+                    lambda x: x["e"]).alias("_editors"))
+    return one.select(key, "_last.*", "_editors")
 
 
 def _apply(table: DataFrame, changes: DataFrame, key: str, set_cols: dict[str, Column],
-           order: list[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Left-join the table to one change per key and overwrite ``set_cols``
-    on matched rows (NULLs in the change do overwrite). Returns the new
-    table, the updated rows and per-request status."""
-    ch = latest_per_key(changes, key).withColumn("_hit", F.lit(True))
+           order: list[str], editor: Column | None = None, history: str | None = None,
+           ts: Column | None = None) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """Left-join the table to its changes per key and overwrite ``set_cols`` on
+    matched rows (NULLs in the change do overwrite). With ``history`` each
+    request appends its entry, and rows whose history does not parse stay.
+    Returns the new table, the updated rows, and the keys of rows left alone."""
+    ch = one_per_key(changes, key, editor=editor).withColumn("_hit", F.lit(True))
     j = table.join(ch, key, "left")
     hit = F.coalesce(F.col("_hit"), F.lit(False))
+    bad = F.lit(False)
+    if history is not None:
+        bad = hit & raw_elements(history).isNull()
+        hit = hit & ~bad
+        set_cols = {**set_cols, history: append_edit_history(F.col(history), F.col("_editors"), ts)}
     cols = [F.when(hit, set_cols[c]).otherwise(F.col(c)).alias(c) if c in set_cols else F.col(c)
             for c in order]
-    new_table = j.select(*cols, hit.alias("_hit"))
-    rows = new_table.where("_hit").drop("_hit")
-    status = _status(changes, table, key)
-    return new_table.drop("_hit"), rows, status
+    new_table = j.select(*cols, hit.alias("_hit"), bad.alias("_bad"))
+    rows = new_table.where("_hit").drop("_hit", "_bad")
+    untouched = new_table.where("_bad").select(key) if history is not None else None
+    return new_table.drop("_hit", "_bad"), rows, untouched
+
+
+def _applied(changes: DataFrame, status: DataFrame) -> DataFrame:
+    """The requests that took effect, for what each of them sets off."""
+    return changes.join(status.where(F.col("status") == "applied").select("seq"), "seq", "left_semi")
 
 
 def _status(changes: DataFrame, table: DataFrame, key: str,
-            reject: Column | None = None) -> DataFrame:
+            reject: Column | None = None, malformed: DataFrame | None = None) -> DataFrame:
     # Only the requested keys are looked up: the table's key column is
     # semi-joined to the (smaller) request keys before the distinct.
     wanted = changes.select(key).distinct()
@@ -127,6 +146,9 @@ def _status(changes: DataFrame, table: DataFrame, key: str,
              .withColumn("_known", F.lit(True)))
     out = changes.join(known, key, "left")
     st = F.when(F.col("_known"), F.lit("applied")).otherwise(F.lit("not_found"))
+    if malformed is not None:
+        out = out.join(malformed.withColumn("_malformed", F.lit(True)), key, "left")
+        st = F.when(F.col("_malformed"), F.lit("rejected:malformed")).otherwise(st)
     if reject is not None:
         st = F.when(F.size(reject) > 0, F.concat(F.lit("rejected:"), F.array_join(reject, ",")))\
             .otherwise(st)
@@ -195,7 +217,7 @@ def insert_cases(cases: DataFrame, changes: DataFrame, as_of=None) -> Written:
         _new_record_attachments("case_insert").alias("cr_attachments"),
         ts.alias("cr_create_date"), F.lit("[]").alias("cr_edit_history"),
         F.lit(None).cast("string").alias("cr_sender"))
-    status = rows.select(F.col("cr_case_id"), F.lit("applied").alias("status"))
+    status = ch.select("seq", new_ids(cases, "cr_case_id").alias("cr_case_id"), F.lit("applied").alias("status"))
     return Written(cases.unionByName(rows), rows, status, case_referral_notifications(rows))
 
 
@@ -209,10 +231,11 @@ def update_cases(cases: DataFrame, changes: DataFrame, as_of=None,
     sets = _case_fields()
     ch, sets["cr_attachments"] = _merge_on_change_side(ch, "case_update", keep_missing,
                                                        "cr_attachments")
-    sets["cr_edit_history"] = append_edit_history(
-        F.col("cr_edit_history"), F.coalesce(_c("userType"), F.lit(DEFAULT_EDITOR["case"])), ts)
-    table, rows, status = _apply(cases, ch, "cr_case_id", sets, CASE_ORDER)
-    return Written(table, rows, status, case_referral_notifications(rows))
+    table, rows, bad = _apply(cases, ch, "cr_case_id", sets, CASE_ORDER, history="cr_edit_history", ts=ts,
+                              editor=F.coalesce(_c("userType"), F.lit(DEFAULT_EDITOR["case"])))
+    status = _status(ch, cases, "cr_case_id", malformed=bad)
+    done = _applied(ch, status).withColumns({k: v for k, v in _case_fields().items()})
+    return Written(table, rows, status, case_referral_notifications(done))
 
 
 # ---- counselling (O48b, O49b) ------------------------------------------------------
@@ -250,8 +273,7 @@ def insert_counseling(counseling: DataFrame, changes: DataFrame, as_of=None) ->
         with_optional(changes), "counseling"))
     ok = ch.where(F.size("_missing") == 0)
     f = _counseling_fields()
-    files = new_file_entries(_c("newFiles"), F.lit(None).cast(CLASS_LIST), F.lit("INF"),
-                             F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"))
+    files = plain_file_entries(_c("newFiles"))
     rows = ok.select(new_ids(counseling, "cor_record_id").alias("cor_record_id"),
                      *[f[c].alias(c) for c in COUNSELING_ORDER[1:15]],
                      to_json_or_null(files).alias("cor_attachments"),
@@ -273,12 +295,11 @@ def update_counseling(counseling: DataFrame, changes: DataFrame, as_of=None,
     sets = _counseling_fields()
     valid, sets["cor_attachments"] = _merge_on_change_side(valid, "counseling_update",
                                                            keep_missing, "cor_attachments")
-    sets["cor_edit_history"] = append_edit_history(
-        F.col("cor_edit_history"), F.coalesce(_c("userType"), F.lit(DEFAULT_EDITOR["counseling"])),
-        ts)
-    table, rows, _ = _apply(counseling, valid, "cor_record_id", sets, COUNSELING_ORDER)
+    table, rows, bad = _apply(counseling, valid, "cor_record_id", sets, COUNSELING_ORDER,
+                              history="cor_edit_history", ts=ts,
+                              editor=F.coalesce(_c("userType"), F.lit(DEFAULT_EDITOR["counseling"])))
     status = _status(ch, counseling, "cor_record_id",
-                     F.transform("_missing", lambda m: F.concat(F.lit("missing:"), m)))
+                     F.transform("_missing", lambda m: F.concat(F.lit("missing:"), m)), malformed=bad)
     return Written(table, rows, status)
 
 
@@ -367,15 +388,11 @@ def update_medical(medical: DataFrame, changes: DataFrame, as_of=None,
         valid, "medical_update", keep_missing, "mr_attachments",
         classes=_c("fileClassifications"), uploader=uploader,
         upload_date=F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"))
-    sets["mr_edit_history"] = append_edit_history(F.col("mr_edit_history"), uploader, ts)
-    extra = latest_per_key(valid.select("mr_medical_id", "seq", "newFiles", "uploaderType"),
-                           "mr_medical_id")
-    table, rows, _ = _apply(medical, valid, "mr_medical_id", sets, MEDICAL_ORDER)
-    up_rows = rows.join(extra, "mr_medical_id", "inner")
-    notes = upload_notifications(_uploads(
-        up_rows, "mr_medical_id", F.col("newFiles"),
-        F.coalesce(blank_to_null(F.col("uploaderType")), F.lit("INF"))))
-    status = _status(ch, medical, "mr_medical_id", F.col("_bad"))
+    table, rows, bad = _apply(medical, valid, "mr_medical_id", sets, MEDICAL_ORDER,
+                              editor=uploader, history="mr_edit_history", ts=ts)
+    status = _status(ch, medical, "mr_medical_id", F.col("_bad"), malformed=bad)
+    done = _applied(ch, status).withColumns({"mr_student_id": _c("studentId"), "mr_student_name": _c("studentName")})
+    notes = upload_notifications(_uploads(done, "mr_medical_id", F.col("newFiles"), uploader))
     return Written(table, rows, status, notes)
 
 
@@ -406,19 +423,27 @@ def insert_students(students: DataFrame, changes: DataFrame) -> Written:
 
 def update_students(students: DataFrame, changes: DataFrame) -> Written:
     """Overwrite by id: every semester row of the id, semester included (O49d)."""
-    ch = changes.withColumnRenamed("id", "sd_id_number")
+    ch = changes.withColumn("_id", ci_key("id"))
     sets = {c: _student_value(c, f) for c, f in STUDENT_FIELDS[1:]}
-    table, rows, status = _apply(students, ch, "sd_id_number", sets,
-                                 [c for c, _ in STUDENT_FIELDS])
-    return Written(table, rows, status)
+    keyed = students.withColumn("_id", ci_key("sd_id_number"))
+    table, rows, _ = _apply(keyed, ch, "_id", sets, [c for c, _ in STUDENT_FIELDS] + ["_id"])
+    return Written(table.drop("_id"), rows.drop("_id"), _student_status(ch, keyed))
 
 
 def delete_students(students: DataFrame, ids: DataFrame) -> Written:
     """Remove every semester row of the requested ids."""
-    req = ids.withColumnRenamed("id", "sd_id_number")
-    table = students.join(req.select("sd_id_number").distinct(), "sd_id_number", "left_anti")
-    removed = students.join(req.select("sd_id_number").distinct(), "sd_id_number", "left_semi")
-    return Written(table, removed, _status(req, students, "sd_id_number"))
+    req = ids.withColumn("_id", ci_key("id"))
+    keyed, wanted = students.withColumn("_id", ci_key("sd_id_number")), req.select("_id").distinct()
+    table = keyed.join(wanted, "_id", "left_anti").select(students.columns)
+    removed = keyed.join(wanted, "_id", "left_semi").select(students.columns)
+    return Written(table, removed, _student_status(req, keyed))
+
+
+def _student_status(requests: DataFrame, keyed: DataFrame) -> DataFrame:
+    """Status by request, with the id as it was sent."""
+    found = _status(requests.select("seq", "_id"), keyed, "_id")
+    return found.join(requests.select("seq", F.col("id").alias("sd_id_number")), "seq").select(
+        "seq", "sd_id_number", "status")
 
 
 # ---- users (O48e, O49e, O58, O59) -----------------------------------------------------------
@@ -435,8 +460,6 @@ def insert_users(users: DataFrame, changes: DataFrame, as_of=None) -> Written:
     ts = as_of_column(as_of)
     ch = with_optional(changes)
     ch = ch.withColumn("_missing", required_fields(ch, "user"))
-    ch = first_in_batch(ch, [F.lower("email")], flag="_first_email")
-    ch = first_in_batch(ch, [F.lower("username")], flag="_first_user")
     ch = ch.withColumn("_e", F.lower("email")).withColumn("_u", F.lower("username"))
     # taken keys are looked up only for the requested ones (semi join first)
     taken_e = (users.select(F.lower("u_email").alias("_e"))
@@ -446,8 +469,14 @@ def insert_users(users: DataFrame, changes: DataFrame, as_of=None) -> Written:
                .join(ch.select("_u"), "_u", "left_semi").distinct()
                .withColumn("_tu", F.lit(True)))
     ch = ch.join(taken_e, "_e", "left").join(taken_u, "_u", "left")
-    dup_email = F.coalesce(F.col("_te"), F.lit(False)) | ~F.coalesce(F.col("_first_email"), F.lit(True))
-    dup_user = F.coalesce(F.col("_tu"), F.lit(False)) | ~F.coalesce(F.col("_first_user"), F.lit(True))
+    # A rejected request takes no name: first among those that miss nothing and
+    # clash with no account; of these, first e-mails decide before usernames do.
+    could = (F.size("_missing") == 0) & F.col("_te").isNull() & F.col("_tu").isNull()
+    ch = first_in_batch(ch, [F.when(could, F.col("_e"))], flag="_first_email", among=could)
+    ch = first_in_batch(ch, [F.when(could & F.col("_first_email"), F.col("_u"))], flag="_first_user",
+                        among=could & F.col("_first_email"))
+    dup_email = F.coalesce(F.col("_te"), F.lit(False)) | (could & ~F.col("_first_email"))
+    dup_user = F.coalesce(F.col("_tu"), F.lit(False)) | (could & F.col("_first_email") & ~F.col("_first_user"))
     st = (F.when(F.size("_missing") > 0, F.lit("rejected:missing_fields"))
           .when(dup_email, F.lit("rejected:duplicate:email"))
           .when(dup_user, F.lit("rejected:duplicate:username"))
@@ -466,7 +495,7 @@ def update_users(users: DataFrame, changes: DataFrame) -> Written:
     no field is rejected; a username taken by another account is rejected."""
     ch = with_optional(changes)
     fields = {"u_username": "username", "u_name": "name", "u_department": "department",
-              "u_type": "userType"}
+              "u_type": "userType"}     # NULL: not sent; '' clears a field
     supplied = [F.col(f).isNotNull() for f in list(fields.values()) + ["password"]]
     any_supplied = supplied[0]
     for s in supplied[1:]:
@@ -476,14 +505,23 @@ def update_users(users: DataFrame, changes: DataFrame) -> Written:
              .join(others, F.lower(ch["username"]) == others["_u"], "inner")
              .where(F.lower("_owner") != F.lower("email"))
              .select("seq").distinct().withColumn("_clash", F.lit(True)))
-    ch = ch.join(clash, "seq", "left")
-    bad = reasons((~any_supplied, "no_fields"),
-                  (F.coalesce(F.col("_clash"), F.lit(False)), "duplicate:username"))
-    ch = ch.withColumn("_bad", bad).withColumn("u_email", F.lower("email"))
+    ch = ch.join(clash, "seq", "left").withColumn("_e", F.lower("email"))
+    # Of several accounts that ask for one username in a batch the first gets it.
+    wants = F.col("username").isNotNull() & F.col("_clash").isNull()
+    owner = (ch.where(wants).groupBy(F.lower("username").alias("_u"))
+             .agg(F.min_by("_e", "seq").alias("_first_owner")))
+    ch = ch.withColumn("_u", F.lower("username")).join(owner, "_u", "left")
+    taken = F.coalesce(F.col("_clash"), wants & (F.col("_first_owner") != F.col("_e")), F.lit(False))
+    bad = reasons((~any_supplied, "no_fields"), (taken, "duplicate:username"))
+    ch = ch.withColumn("_bad", bad).withColumn("u_email", F.col("_e")).drop("_u", "_first_owner", "_e")
     valid = ch.where(F.size("_bad") == 0)
+    # The last sent value of each field, whichever request of the account sent it.
+    last = valid.groupBy("u_email").agg(
+        F.max("seq").alias("seq"), *(F.max_by(f, F.when(F.col(f).isNotNull(), F.col("seq"))).alias(f)
+                                     for f in fields.values()))
     sets = {c: F.coalesce(F.col(f), F.col(c)) for c, f in fields.items()}
     keyed = users.withColumn("_orig_email", F.col("u_email")).withColumn("u_email", F.lower("u_email"))
-    table, rows, _ = _apply(keyed, valid.drop("_bad", "_clash", "email"), "u_email", sets,
+    table, rows, _ = _apply(keyed, last, "u_email", sets,
                             ["_orig_email"] + USER_ORDER[1:])
     table = table.withColumnRenamed("_orig_email", "u_email").select(*USER_ORDER)
     rows = rows.withColumnRenamed("_orig_email", "u_email").select(*USER_ORDER)
@@ -492,20 +530,19 @@ def update_users(users: DataFrame, changes: DataFrame) -> Written:
     return Written(table, rows, status)
 
 
-def _prior_consumption(r: DataFrame, guarded: Column, consumes: Column) -> DataFrame:
-    """For each guarded request, how many consuming requests come before it.
+def _guard_from(r: DataFrame, consumes: Column, available: Column) -> Column:
+    """The ``seq`` after which a guarded request would take the last administrator.
 
-    ``guarded`` rows are the first requests on administrator accounts, so the
-    ranking window (one partition) holds at most one row per administrator
-    account, however large the batch is.
+    ``available`` accounts, each consumed once at most, leave ``available - 1``
+    requests to grant. So only the last two consuming requests matter: without
+    a window, three scalar aggregates over the requests.
     """
-    from pyspark.sql import Window
-    w = Window.orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    admin_rows = (r.where(guarded)
-                  .select("seq", consumes.cast("int").alias("_c"))
-                  .withColumn("_prior", F.coalesce(F.sum("_c").over(w), F.lit(0)))
-                  .select("seq", "_prior"))
-    return r.join(admin_rows, "seq", "left")
+    used = r.where(consumes)
+    n, last = used.agg(F.count("*")).scalar(), used.agg(F.max("seq")).scalar()
+    before = used.where(F.col("seq") < last).agg(F.max("seq")).scalar()
+    never = F.lit((1 << 63) - 1)
+    return (F.when(available <= 1, F.lit(-(1 << 63) + 1)).when(n >= available, before)
+            .when(n == available - 1, last).otherwise(never))
 
 
 def _requests(users: DataFrame, requests: DataFrame, cols: list[str]) -> DataFrame:
@@ -513,7 +550,7 @@ def _requests(users: DataFrame, requests: DataFrame, cols: list[str]) -> DataFra
     first request per account. Later repeats are reported as duplicates."""
     req = first_in_batch(requests.withColumn("_e", F.lower("email")), [F.col("_e")],
                          flag="_first")
-    acct = users.select(F.lower("u_email").alias("_e"), *cols)
+    acct = users.select(F.lower("u_email").alias("_e"), *cols, F.lit(True).alias("_found"))
     return req.join(acct, "_e", "left")
 
 
@@ -541,11 +578,10 @@ def deactivate_users(users: DataFrame, requests: DataFrame, as_of=None) -> Writt
     first = F.coalesce(F.col("_first"), F.lit(False))
     is_admin = F.coalesce(F.col("u_type") == "Administrator", F.lit(False))
     active = F.coalesce(ci_eq("u_status", "Active"), F.lit(False))
-    r = _prior_consumption(r, is_admin & first, is_admin & first & active)
-    remaining = active_admins - F.least(F.col("_prior"), F.greatest(active_admins - 1, F.lit(0)))
-    st = (F.when(F.col("u_type").isNull() & F.col("u_status").isNull(), F.lit("not_found"))
+    guard = _guard_from(r, is_admin & first & active, active_admins)
+    st = (F.when(F.col("_found").isNull(), F.lit("not_found"))
           .when(~first, F.lit("rejected:duplicate_request"))
-          .when(is_admin & (remaining <= 1), F.lit("rejected:last_active_administrator"))
+          .when(is_admin & (F.col("seq") > guard), F.lit("rejected:last_active_administrator"))
           .when(~active, F.lit("rejected:already_inactive"))
           .otherwise(F.lit("applied")))
     status = r.select("seq", "email", st.alias("status"))
@@ -556,9 +592,9 @@ def deactivate_users(users: DataFrame, requests: DataFrame, as_of=None) -> Writt
 def activate_users(users: DataFrame, requests: DataFrame) -> Written:
     """Re-activate inactive accounts and clear the stamp."""
     r = _requests(users, requests, ["u_status"])
-    st = (F.when(F.col("u_status").isNull(), F.lit("not_found"))
+    st = (F.when(F.col("_found").isNull(), F.lit("not_found"))
           .when(~F.col("_first"), F.lit("rejected:duplicate_request"))
-          .when(~ci_eq("u_status", "Inactive"), F.lit("rejected:already_active"))
+          .when(~F.coalesce(ci_eq("u_status", "Inactive"), F.lit(False)), F.lit("rejected:already_active"))
           .otherwise(F.lit("applied")))
     status = r.select("seq", "email", st.alias("status"))
     table, rows = _set_users(users, status, {
@@ -574,13 +610,12 @@ def delete_users(users: DataFrame, requests: DataFrame) -> Written:
     r = _requests(users, requests, ["u_type", "u_status"])
     first = F.coalesce(F.col("_first"), F.lit(False))
     is_admin = F.coalesce(F.col("u_type") == "Administrator", F.lit(False))
-    deletable = F.coalesce(F.col("u_status") != "Active", F.lit(False))
-    r = _prior_consumption(r, is_admin & first & deletable, is_admin & first & deletable)
-    remaining = total_admins - F.col("_prior")
-    st = (F.when(F.col("u_type").isNull() & F.col("u_status").isNull(), F.lit("not_found"))
+    deletable = ~F.col("u_status").eqNullSafe("Active")     # no status is not 'Active'
+    guard = _guard_from(r, F.col("_found").isNotNull() & is_admin & first & deletable, total_admins)
+    st = (F.when(F.col("_found").isNull(), F.lit("not_found"))
           .when(~first, F.lit("rejected:duplicate_request"))
           .when(~deletable, F.lit("rejected:active_user"))
-          .when(is_admin & (remaining <= 1), F.lit("rejected:last_administrator"))
+          .when(is_admin & (F.col("seq") > guard), F.lit("rejected:last_administrator"))
           .otherwise(F.lit("applied")))
     status = r.select("seq", "email", st.alias("status"))
     done = status.where(F.col("status") == "applied").select(F.lower("email").alias("_e"))

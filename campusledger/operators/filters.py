@@ -10,9 +10,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from campusledger.functions.semantics import ci_eq, ci_like_any, contains_pattern, escape_like, \
-    unsigned
+from campusledger.functions.semantics import (ci_eq, ci_key, ci_like_any, contains_pattern, escape_like,
+                                              exact_id, unsigned)
 from campusledger.operators import projections as P
 from campusledger.operators.validation import numeric_id
 
@@ -29,7 +30,9 @@ MEDICAL_KINDS = {
 # ---- ordering helpers (O36-O38) --------------------------------------------
 
 def order_by_numeric_id(df: DataFrame, id_col: str) -> DataFrame:
-    """``ORDER BY CAST(id AS UNSIGNED) DESC``."""
+    """``ORDER BY CAST(id AS UNSIGNED) DESC`` (O36); a numeric column is its own order."""
+    if isinstance(df.schema[id_col].dataType, T.IntegralType):
+        return df.orderBy(F.col(id_col).desc())
     return df.orderBy(unsigned(id_col).desc(), F.col(id_col).desc())
 
 
@@ -132,10 +135,11 @@ def record_by_id(df: DataFrame, kind: str, value) -> DataFrame:
             float(str(value))
         except ValueError:
             raise ValueError("Record ID must be a number") from None
-        out = df.where(F.col(key) == F.lit(str(value)).try_cast("double").try_cast("bigint"))
+        out = df.where(F.col(key) == exact_id(F.lit(str(value))))
     if kind == "student":
+        # without any semester the latest one is NULL, and the rows still count
         latest = out.agg(F.max("sd_school_year_semesterr").alias("_m"))
-        out = out.join(latest, F.col("sd_school_year_semesterr") == F.col("_m")).drop("_m")
+        out = out.join(latest, F.col("sd_school_year_semesterr").eqNullSafe(F.col("_m"))).drop("_m")
     return out
 
 
@@ -144,8 +148,10 @@ def records_by_ids(df: DataFrame, kind: str, ids: DataFrame) -> DataFrame:
     For numeric keys, requests whose id is not numeric are dropped (O70)."""
     key = RECORD_KEYS[kind]
     if kind not in ("student", "user"):
-        ids = ids.where(numeric_id(key)).select(F.col(key).try_cast("double").try_cast("bigint").alias(key))
-    return df.join(ids, key, "left_semi")
+        ids = ids.where(numeric_id(key)).select(exact_id(key).alias(key))
+        return df.join(ids, key, "left_semi")
+    ids = ids.select(ci_key(key).alias("_id"))
+    return df.join(ids, ci_key(df[key]) == ids["_id"], "left_semi")
 
 
 def records_by_student(df: DataFrame, kind: str, student_id: str, *, referred: bool = False,

@@ -23,7 +23,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from campusledger.functions.dates import parse_import_date
+from campusledger.functions.dates import parse_import_date, unparsed
 from campusledger.operators.changes import STUDENT_FIELDS
 
 # Header aliases of delimited files (first non-empty wins) and
@@ -70,12 +70,18 @@ def _first_present(cols: list[Column]) -> Column:
     return F.coalesce(*[F.nullif(c, F.lit("")) for c in cols], F.lit(""))
 
 
+def _unread(text: Column, parsed: Column) -> Column:
+    """The text of a birth date that no listed form reads, for the messages."""
+    return F.when(unparsed(text, parsed), F.trim(text))
+
+
 def map_csv_rows(raw: DataFrame, pos: str = "pos") -> DataFrame:
     """Delimited rows to student fields (O60). Headers are matched after
-    lower-casing and trimming; the first non-empty alias wins."""
+    lower-casing and trimming; of two equal headers the last one counts, of
+    several aliases the first non-empty one."""
     by_key: dict[str, str] = {}
     for name in raw.columns:
-        by_key.setdefault(name.strip().lower(), name)
+        by_key[name.strip().lower()] = name
 
     def pick(field: str) -> list[Column]:
         return [F.col(f"`{by_key[a]}`") for a in CSV_ALIASES[field] if a in by_key]
@@ -86,6 +92,7 @@ def map_csv_rows(raw: DataFrame, pos: str = "pos") -> DataFrame:
                                             F.lit(DEFAULT_STATUS)))
     birth = pick("birthdate")
     cols["birthdate"] = parse_import_date(birth[0]) if birth else F.lit(None).cast("date")
+    cols["birthdateText"] = _unread(birth[0], cols["birthdate"]) if birth else F.lit(None).cast("string")
     sem = pick("schoolYearSemesterr")
     cols["schoolYearSemesterr"] = clean_value(F.coalesce(
         *[F.nullif(c, F.lit("")) for c in sem], F.lit(DEFAULT_SEMESTER)))
@@ -120,6 +127,8 @@ def map_sheet_cells(rows: DataFrame, headers: list[str], cells: str = "cells",
     cols["status"] = clean_value(cell("status")) if idx["status"] >= 0 else F.lit(DEFAULT_STATUS)
     cols["birthdate"] = (parse_import_date(cell("birthdate"), sheet_numbers=True)
                          if idx["birthdate"] >= 0 else F.lit(None).cast("date"))
+    cols["birthdateText"] = (_unread(cell("birthdate"), cols["birthdate"]) if idx["birthdate"] >= 0
+                             else F.lit(None).cast("string"))
     cols["schoolYearSem"] = F.lit(0)
     cols["schoolYearSemesterr"] = (clean_value(cell("schoolYearSemesterr"))
                                    if idx["schoolYearSemesterr"] >= 0 else F.lit(DEFAULT_SEMESTER))
@@ -142,16 +151,25 @@ class ImportResult(NamedTuple):
     inserted: DataFrame   # rows added, as stored
     duplicates: DataFrame  # pos, id, semester of skipped rows
     summary: DataFrame    # one row: totals and an error text when nothing was importable
-    messages: DataFrame   # first 10 duplicate messages in file order
+    messages: DataFrame   # first messages (failures and duplicates) in file order
+    failed: DataFrame     # pos, message of rows that could not be stored
     rejected: DataFrame   # incomplete rows (not counted)
 
 
-def import_students(students: DataFrame, mapped: DataFrame) -> ImportResult:
-    """Insert mapped rows that are neither stored nor repeated in the file."""
+def import_students(students: DataFrame, mapped: DataFrame, max_messages: int = 10) -> ImportResult:
+    """Insert mapped rows that are neither stored nor repeated in the file.
+
+    A row whose birth date cannot be read fails: it is counted, named in the
+    messages and not stored. A blank status is stored as the default.
+    """
     valid, rejected = reject_incomplete(mapped)
+    if "birthdateText" not in valid.columns:
+        valid = valid.withColumn("birthdateText", F.lit(None).cast("string"))
+    valid = valid.withColumn("status", F.coalesce(F.nullif(F.trim("status"), F.lit("")), F.lit(DEFAULT_STATUS)))
     k_id, k_sem = F.lower("id"), F.lower("schoolYearSemesterr")
-    keyed = valid.withColumns({"_k1": k_id, "_k2": k_sem})
-    firsts = keyed.groupBy("_k1", "_k2").agg(F.min("pos").alias("_first_pos"))
+    keyed = valid.withColumns({"_k1": k_id, "_k2": k_sem, "_unread": F.col("birthdateText").isNotNull()})
+    firsts = (keyed.groupBy("_k1", "_k2")
+              .agg(F.min(F.when(~F.col("_unread"), F.col("pos"))).alias("_first_pos")))
     # Stored keys are looked up only for the keys in the file: the table side
     # is semi-joined to the file's distinct keys before its own distinct.
     stored = (students.select(F.lower("sd_id_number").alias("_k1"),
@@ -160,21 +178,24 @@ def import_students(students: DataFrame, mapped: DataFrame) -> ImportResult:
               .distinct().withColumn("_stored", F.lit(True)))
     marked = (keyed.join(firsts, ["_k1", "_k2"], "left").join(stored, ["_k1", "_k2"], "left")
               .withColumn("_dup", F.coalesce(F.col("_stored"), F.lit(False))
-                          | (F.col("pos") != F.col("_first_pos"))))
-    ins = marked.where(~F.col("_dup"))
+                          | F.coalesce(F.col("pos") > F.col("_first_pos"), F.lit(False)))
+              .withColumn("_failed", ~F.col("_dup") & F.col("_unread")))
+    ins = marked.where(~F.col("_dup") & ~F.col("_failed"))
+    failed = marked.where("_failed").select(
+        "pos", F.format_string("Failed: %s has an unreadable birth date '%s'", "id", "birthdateText").alias("message"))
     inserted = ins.select(*[(F.col(f).cast("date") if c == "sd_birthdate" else
                              F.col(f).cast("int") if c == "sd_school_year_sem" else
                              F.col(f)).alias(c) for c, f in STUDENT_FIELDS])
     dups = marked.where("_dup").select("pos", "id", "schoolYearSemesterr")
     summary = marked.agg(
         F.count(F.lit(1)).cast("bigint").alias("total_records"),
-        F.count_if(~F.col("_dup")).cast("bigint").alias("successful_imports"),
-        F.lit(0).cast("bigint").alias("failed_imports"),
+        F.count_if(~F.col("_dup") & ~F.col("_failed")).cast("bigint").alias("successful_imports"),
+        F.count_if(F.col("_failed")).cast("bigint").alias("failed_imports"),
         F.count_if(F.col("_dup")).cast("bigint").alias("duplicates_found"),
     ).withColumn("error", F.when(F.col("total_records") == 0,
                                  F.lit("No valid student data found in the file.")))
-    messages = dups.orderBy("pos").limit(10).select(
-        "pos", F.format_string("Duplicate: %s for semester %s", "id", "schoolYearSemesterr")
-        .alias("message"))
+    doubled = dups.select("pos", F.format_string("Duplicate: %s for semester %s", "id", "schoolYearSemesterr")
+                          .alias("message"))
+    messages = failed.unionByName(doubled).orderBy("pos", "message").limit(max_messages)
     return ImportResult(students.unionByName(inserted), inserted, dups, summary, messages,
-                        rejected)
+                        failed, rejected)

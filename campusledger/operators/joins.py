@@ -13,6 +13,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
+from campusledger.functions.semantics import ci_key
+
 RECORD_STUDENT_KEY = {
     "case": "cr_student_id",
     "counseling": "cor_student_id_number",
@@ -21,14 +23,15 @@ RECORD_STUDENT_KEY = {
 
 
 def students_join_records(students: DataFrame, records: DataFrame, kind: str) -> DataFrame:
-    """Inner equi-join of students and one record table on the student id.
+    """Inner equi-join of students and one record table on the student id,
+    ignoring case (rule S1).
 
     Spark picks the strategy from sizes: a broadcast of the smaller side when
     it is under the broadcast threshold (checked at runtime by AQE), else a
     sort-merge join whose skewed partitions AQE splits.
     """
     key = RECORD_STUDENT_KEY[kind]
-    return students.join(records, students["sd_id_number"] == records[key], "inner")
+    return students.join(records, ci_key(students["sd_id_number"]) == ci_key(records[key]), "inner")
 
 
 def students_join_cases(students: DataFrame, cases: DataFrame) -> DataFrame:

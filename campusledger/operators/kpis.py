@@ -107,14 +107,14 @@ def _monthly_by_grade(df: DataFrame, date_col: str, grade_col: str, as_of,
                     .alias("month"), "grade_11", "grade_12"))
 
 
-def monthly_cases_by_grade(cases: DataFrame, as_of=None) -> DataFrame:
-    """Case counts per month and grade, newest 6 months since ``as_of``."""
-    return _monthly_by_grade(cases, "cr_case_date", "cr_student_grade_level", as_of)
+def monthly_cases_by_grade(cases: DataFrame, as_of=None, months: int = 6) -> DataFrame:
+    """Case counts per month and grade, newest ``months`` since ``as_of``."""
+    return _monthly_by_grade(cases, "cr_case_date", "cr_student_grade_level", as_of, months)
 
 
-def monthly_counseling_by_grade(counseling: DataFrame, as_of=None) -> DataFrame:
-    """Session counts per month and grade, newest 6 months since ``as_of``."""
-    return _monthly_by_grade(counseling, "cor_date", "cor_student_grade_level", as_of)
+def monthly_counseling_by_grade(counseling: DataFrame, as_of=None, months: int = 6) -> DataFrame:
+    """Session counts per month and grade, newest ``months`` since ``as_of``."""
+    return _monthly_by_grade(counseling, "cor_date", "cor_student_grade_level", as_of, months)
 
 
 CERTIFICATE_TYPE = "OPD Medical Certificate"

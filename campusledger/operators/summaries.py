@@ -29,7 +29,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from campusledger.functions.semantics import ci_eq, ci_like_any, iso_millis, unsigned
+from campusledger.functions.semantics import ci_eq, ci_key, ci_like_any, iso_millis, unsigned
 from campusledger.operators.filters import medical_condition, top_n
 
 
@@ -63,12 +63,14 @@ def student_keys(students: DataFrame) -> DataFrame:
 
 
 def _sorted_join(c) -> F.Column:
-    arr = F.array_sort(c)
+    """The distinct texts ignoring case (the smallest spelling of each), joined."""
+    keys = F.array_distinct(F.transform(c, F.lower))
+    arr = F.array_sort(F.transform(keys, lambda k: F.array_min(F.filter(c, lambda x: F.lower(x) == k))))
     return F.when(F.size(arr) > 0, F.array_join(arr, ","))
 
 
 def _per_student(records: DataFrame, kind: RecordKind, with_semesters: bool) -> DataFrame:
-    keys = [F.col(kind.student).alias("id"), F.col(kind.status).alias("_status")]
+    keys = [ci_key(kind.student).alias("id"), F.col(kind.status).alias("_status")]
     if with_semesters:
         keys.append(F.col(kind.semester).alias("_sem"))
     keys += [F.col(src).alias("_" + name) for name, src in kind.flag_lists]
@@ -125,9 +127,9 @@ def student_summary(students: DataFrame, records: DataFrame, kind: RecordKind, *
     keys = student_keys(students)
     if search is not None:
         keys = keys.where(ci_like_any(["id", "name", "strand"], search))
-        records = records.join(keys.select(F.col("id").alias(kind.student)).distinct(),
-                               kind.student, "left_semi")
-    agg = _per_student(records, kind, with_semesters)
+        wanted = keys.select(ci_key("id").alias("_id")).distinct()
+        records = records.join(wanted, ci_key(records[kind.student]) == wanted["_id"], "left_semi")
+    agg = _per_student(records, kind, with_semesters).withColumnRenamed("id", "_id")
     status_list = F.col("_ordered")
     cols = [F.col(a) for _, a in STUDENT_KEYS] + [F.col(kind.count_name)]
     if with_date:
@@ -140,7 +142,7 @@ def student_summary(students: DataFrame, records: DataFrame, kind: RecordKind, *
     if with_semesters:
         cols.append(_sorted_join(F.col("_sem")).alias("allSemesters"))
     cols.append(F.try_element_at(status_list, F.lit(1))["status"].alias("latestStatus"))
-    out = keys.join(agg, "id", "inner").select(cols)
+    out = keys.join(agg, ci_key("id") == F.col("_id"), "inner").select(cols)
     order = ("name", "id", "strand", "gradeLevel", "section")
     if limit is not None:
         return out.orderBy(*order).limit(limit)

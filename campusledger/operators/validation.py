@@ -11,6 +11,8 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from campusledger.functions.semantics import exact_id
+
 # Required request fields per screen.
 REQUIRED = {
     "counseling": ("studentId", "studentName", "strand", "gradeLevel", "section",
@@ -41,8 +43,8 @@ def condition_consistency() -> Column:
 
 
 def numeric_id(c: str) -> Column:
-    """The record id must be numeric."""
-    return F.col(c).cast("string").try_cast("double").isNotNull()
+    """The record id must be a whole number (O70); see ``semantics.exact_id``."""
+    return exact_id(c).isNotNull()
 
 
 def reasons(*pairs: tuple[Column, str]) -> Column:
@@ -64,8 +66,9 @@ def split(df: DataFrame, reason_col: Column) -> Split:
 
 
 def first_in_batch(df: DataFrame, keys: list[Column], seq: str = "seq",
-                   flag: str = "_first") -> DataFrame:
-    """Flag the earliest row (by ``seq``) of each key (O69 in-batch, O65).
+                   flag: str = "_first", among: Column | None = None) -> DataFrame:
+    """Flag the earliest row (by ``seq``) of each key (O69 in-batch, O65), of
+    the rows where ``among`` holds (others are not flagged).
 
     Aggregate-then-join instead of a window: the minimum is a partial
     aggregate and the join is split by AQE when one key is hot, so a key
@@ -73,7 +76,8 @@ def first_in_batch(df: DataFrame, keys: list[Column], seq: str = "seq",
     """
     names = [f"_k{i}" for i in range(len(keys))]
     keyed = df.withColumns({n: k for n, k in zip(names, keys)})
-    firsts = keyed.groupBy(*names).agg(F.min(seq).alias("_min_seq"))
+    pool = keyed if among is None else keyed.where(among)
+    firsts = pool.groupBy(*names).agg(F.min(seq).alias("_min_seq"))
     return (keyed.join(firsts, names, "left")
-            .withColumn(flag, F.col(seq) == F.col("_min_seq"))
+            .withColumn(flag, F.coalesce(F.col(seq) == F.col("_min_seq"), F.lit(False)))
             .drop(*names, "_min_seq"))

@@ -55,4 +55,5 @@ def with_views(body: str) -> str:
 
 def load_all() -> None:
     """Import every module that registers queries."""
-    from campusledger.plans import queries_core, queries_records, queries_changes  # noqa: F401
+    from campusledger.plans import (queries_changes, queries_core, queries_records,  # noqa: F401
+                                    queries_repairs)

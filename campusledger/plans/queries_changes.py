@@ -715,4 +715,4 @@ def import_sheet_cells(t):
                 "sd_school_year_semesterr").alias("cells"))
     headers, rows = read_import_cells(header.unionByName(data))
     out = IM.map_sheet_cells(rows, headers)
-    return out.drop("pos").withColumn("birthdate", F.date_format("birthdate", "yyyy-MM-dd"))
+    return out.drop("pos", "birthdateText").withColumn("birthdate", F.date_format("birthdate", "yyyy-MM-dd"))

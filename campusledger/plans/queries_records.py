@@ -488,9 +488,9 @@ def students_join_medical(t):
 @register("attachment_checks", f"""WITH {_ANY_ARRAY_CTE},
 per_record AS (
   SELECT mr_medical_id,
-         coalesce(bool_and(e->>'mimetype' IN ('application/pdf',
+         coalesce(bool_and(coalesce(e->>'mimetype' IN ('application/pdf',
            'application/vnd.openxmlformats-officedocument.wordprocessingml.document',
-           'application/msword')), true) AS ok_type,
+           'application/msword'), false)), true) AS ok_type,
          coalesce(bool_and(coalesce(CAST(e->>'size' AS BIGINT), 0) <= 10485760), true) AS ok_size,
          count(*) AS n
   FROM g GROUP BY mr_medical_id)

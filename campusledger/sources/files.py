@@ -11,12 +11,15 @@ def read_import_csv(spark: SparkSession, path: str) -> DataFrame:
 
     Every column stays text (no inference); header names keep their case and
     spaces (normalised later by ``map_csv_rows``); blank cells read as NULL.
-    ``pos`` orders rows as in the file(s): file path, then block offset, then
-    the row's place inside its split (``monotonically_increasing_id`` is
-    increasing within a task, and a split belongs to one task).
+    Quotes inside a quoted cell are doubled, and a quoted cell may hold line
+    breaks, so a file is read by one task (uploads are limited to 10 MiB; a
+    folder of them is read in parallel). All files share one header.
+    ``pos`` orders rows as in the file(s): file path, then the row's place
+    (``monotonically_increasing_id`` increases within a task).
     """
-    df = (spark.read.option("header", True).option("inferSchema", False)
-          .option("mode", "PERMISSIVE").csv(path))
+    df = (spark.read.option("header", True).option("inferSchema", False).option("multiLine", True)
+          .option("quote", '"').option("escape", '"').option("mode", "PERMISSIVE")
+          .option("enforceSchema", False).csv(path))
     meta = F.col("_metadata")
     return (df.withColumn("_file", meta["file_path"])
             .withColumn("_block", meta["file_block_start"])

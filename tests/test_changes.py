@@ -245,24 +245,26 @@ def test_lookups_validate_numeric_ids(spark, tables):
 
 
 def test_import_order_across_splits(spark, tmp_dir):
-    """A file read as several splits keeps file order in ``pos``: the earlier
-    row of a duplicate key wins even when the copies land in different tasks."""
-    path = os.path.join(tmp_dir, "big.csv")
+    """Several files keep their order in ``pos``: the earlier row of a duplicate
+    key wins even when the copies land in different tasks."""
+    folder = os.path.join(tmp_dir, "upload")
+    os.makedirs(folder)
     n = 4000
-    with open(path, "w") as fh:
-        fh.write("ID Number,Student Name,Semester\n")
-        for i in range(n):
-            fh.write(f"{i % 1000},Name {i},2024-2025-1\n")
-    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
-    spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
+    for part in range(5):
+        with open(os.path.join(folder, f"part{part}.csv"), "w") as fh:
+            fh.write("ID Number,Student Name,Semester\n")
+            for i in range(part * n // 5, (part + 1) * n // 5):
+                fh.write(f"{i % 1000},Name {i},2024-2025-1\n")
+    old = spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.openCostInBytes", "128m")     # one task per file
     try:
-        raw = read_import_csv(spark, path)
+        raw = read_import_csv(spark, folder)
         assert raw.rdd.getNumPartitions() > 4
         empty = spark.createDataFrame([], SCHEMAS["tbl_student_data"])
         res = IM.import_students(empty, IM.map_csv_rows(raw))
         names = sorted((int(r.sd_id_number), r.sd_student_name) for r in res.inserted.collect())
     finally:
-        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+        spark.conf.set("spark.sql.files.openCostInBytes", old)
     assert names == [(i, f"Name {i}") for i in range(1000)]
     assert res.summary.first().duplicates_found == n - 1000
 

@@ -192,7 +192,7 @@ def test_edit_history_json(spark):
     df = spark.createDataFrame([(None,), ("[]",), ('[{"editedBy":"GCO","editedAt":"x","timestamp":1}]',)],
                                "h string")
     out = [r[0] for r in df.select(A.append_edit_history(
-        F.col("h"), F.lit("OPD"), F.lit("2024-01-02 03:04:05").cast("timestamp_ntz"))).collect()]
+        F.col("h"), F.array(F.lit("OPD")), F.lit("2024-01-02 03:04:05").cast("timestamp_ntz"))).collect()]
     entry = '{"editedBy":"OPD","editedAt":"2024-01-02T03:04:05.000Z","timestamp":1704164645000}'
     assert out == [f"[{entry}]", f"[{entry}]",
                    f'[{{"editedBy":"GCO","editedAt":"x","timestamp":1}},{entry}]']
