@@ -9,12 +9,39 @@ a landing folder of JSON or parquet request files).
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame, SparkSession
 
 from campusledger.operators import changes as C, imports as IM, inbox as I, referrals as R
 from campusledger.sources.snapshots import read_batch_table, write_batch
 
 
+def _clock(as_of):
+    """One time for a whole job: every output of a batch carries the same."""
+    return as_of if as_of is not None else dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
+
+
+def _run(spark: SparkSession, root: str, table: str, steps: list, as_of=None) -> dict[str, str]:
+    """Apply ``(name, operator, requests)`` steps to one table, in order, and
+    publish the new table, the status of each step and the derived notices."""
+    current = _table(spark, root, table)
+    outputs, notes = {}, []
+    for name, operator, requests in steps:
+        if requests is None:
+            continue
+        written = operator(current, requests)
+        current, outputs[f"{name}_status"] = written.table, written.status
+        if written.notifications is not None:
+            notes.append(written.notifications)
+    if not outputs:
+        return {}
+    outputs[table] = current
+    if notes:
+        outputs["tbl_notifications"] = _with_notifications(spark, root, notes, as_of)
+    return write_batch(outputs, root)
+
+
 def _table(spark: SparkSession, root: str, name: str) -> DataFrame:
     return read_batch_table(spark, root, name)
 
@@ -24,25 +51,57 @@ def publish_tables(tables: dict[str, DataFrame], root: str) -> dict[str, str]:
     return write_batch(tables, root)
 
 
-def run_case_changes(spark: SparkSession, root: str, inserts: DataFrame | None,
-                     updates: DataFrame | None, as_of=None) -> dict[str, str]:
-    """Insert and update case records; referral notices are appended to the
-    notification table with new ids."""
-    cases = _table(spark, root, "tbl_case_records")
-    notes = []
-    status = {}
-    if inserts is not None:
-        w = C.insert_cases(cases, inserts, as_of)
-        cases, status["case_insert_status"] = w.table, w.status
-        notes.append(w.notifications)
-    if updates is not None:
-        w = C.update_cases(cases, updates, as_of)
-        cases, status["case_update_status"] = w.table, w.status
-        notes.append(w.notifications)
-    outputs = {"tbl_case_records": cases, **status}
-    if notes:
-        outputs["tbl_notifications"] = _with_notifications(spark, root, notes, as_of)
-    return write_batch(outputs, root)
+def run_case_changes(spark: SparkSession, root: str, inserts: DataFrame | None = None,
+                     updates: DataFrame | None = None, as_of=None) -> dict[str, str]:
+    """Insert and update case records, with their referral notices."""
+    ts = _clock(as_of)
+    return _run(spark, root, "tbl_case_records", [
+        ("case_insert", lambda t, r: C.insert_cases(t, r, ts), inserts),
+        ("case_update", lambda t, r: C.update_cases(t, r, ts), updates)], ts)
+
+
+def run_counseling_changes(spark: SparkSession, root: str, inserts: DataFrame | None = None,
+                           updates: DataFrame | None = None, as_of=None) -> dict[str, str]:
+    """Insert and update counselling sessions."""
+    ts = _clock(as_of)
+    return _run(spark, root, "tbl_counseling_records", [
+        ("counseling_insert", lambda t, r: C.insert_counseling(t, r, ts), inserts),
+        ("counseling_update", lambda t, r: C.update_counseling(t, r, ts), updates)], ts)
+
+
+def run_medical_changes(spark: SparkSession, root: str, inserts: DataFrame | None = None,
+                        updates: DataFrame | None = None, as_of=None) -> dict[str, str]:
+    """Insert and update medical records, with referral and upload notices."""
+    ts = _clock(as_of)
+    return _run(spark, root, "tbl_medical_records", [
+        ("medical_insert", lambda t, r: C.insert_medical(t, r, ts), inserts),
+        ("medical_update", lambda t, r: C.update_medical(t, r, ts), updates)], ts)
+
+
+def run_student_changes(spark: SparkSession, root: str, inserts: DataFrame | None = None,
+                        updates: DataFrame | None = None, deletes: DataFrame | None = None) -> dict[str, str]:
+    """Insert, update and delete students, in this order."""
+    return _run(spark, root, "tbl_student_data", [
+        ("student_insert", C.insert_students, inserts), ("student_update", C.update_students, updates),
+        ("student_delete", C.delete_students, deletes)])
+
+
+def run_user_changes(spark: SparkSession, root: str, inserts: DataFrame | None = None,
+                     updates: DataFrame | None = None, deactivations: DataFrame | None = None,
+                     activations: DataFrame | None = None, deletes: DataFrame | None = None,
+                     as_of=None) -> dict[str, str]:
+    """Change accounts, in the order of the arguments."""
+    ts = _clock(as_of)
+    return _run(spark, root, "users", [
+        ("user_insert", lambda t, r: C.insert_users(t, r, ts), inserts), ("user_update", C.update_users, updates),
+        ("user_deactivate", lambda t, r: C.deactivate_users(t, r, ts), deactivations),
+        ("user_activate", C.activate_users, activations), ("user_delete", C.delete_users, deletes)])
+
+
+def run_mark_read(spark: SparkSession, root: str, requests: DataFrame) -> dict[str, str]:
+    """Mark single notifications as read."""
+    res = I.mark_read(_table(spark, root, "tbl_notifications"), requests)
+    return write_batch({"tbl_notifications": res.table, "mark_read_status": res.status}, root)
 
 
 def _with_notifications(spark: SparkSession, root: str, notes: list[DataFrame],
@@ -69,6 +128,7 @@ def run_referral_confirmations(spark: SparkSession, root: str, case_ids: DataFra
     the first counselling sessions are published together."""
     from pyspark.sql import functions as F
     from campusledger.functions.semantics import as_of_column
+    as_of = _clock(as_of)
     outputs: dict[str, DataFrame] = {}
     notes, sessions = [], []
     if case_ids is not None:
@@ -115,4 +175,4 @@ def run_student_import(spark: SparkSession, root: str, mapped: DataFrame) -> dic
     """Import mapped student rows (``imports.map_csv_rows`` / ``map_sheet_cells``)."""
     res = IM.import_students(_table(spark, root, "tbl_student_data"), mapped)
     return write_batch({"tbl_student_data": res.table, "import_summary": res.summary,
-                        "import_messages": res.messages, "import_rejected": res.rejected}, root)
+                        "import_messages": res.messages, "import_failed": res.failed, "import_rejected": res.rejected}, root)

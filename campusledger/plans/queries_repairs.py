@@ -198,7 +198,7 @@ FROM users""")
 def update_users_one_username(t):
     u = t["users"]
     return C.update_users(u, u.select(_user_seq().alias("seq"), F.col("u_email").alias("email"),
-                                      F.lit("the.same").alias("username"))).status
+                                      F.concat(F.lit("the.same"), F.substring("u_email", 1, 0)).alias("username"))).status
 
 
 @register("insert_users_table", f"""

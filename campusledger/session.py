@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -37,23 +38,22 @@ def get_session(master: str | None = None, app_name: str = "campusledger",
     conf.update(extra_conf or {})
     for key, value in conf.items():
         builder = builder.config(key, value)
-    spark = builder.getOrCreate()
-    checkpoint_dir(spark)
-    return spark
+    return builder.getOrCreate()
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder used to cut lineage (checkpoints, written versions).
+    """The shared folder used to cut lineage (checkpoints, written tables).
 
     The cluster names it in ``spark.checkpoint.dir``; that value always wins.
-    Only when it is unset (local runs and tests) a scratch folder is made.
+    Where it is unset, a session in one process takes a scratch folder, any
+    other one a folder in the warehouse, which all its executors share.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
-        master = spark.sparkContext.master or ""
-        if not master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
-        configured = tempfile.mkdtemp(prefix="campusledger-ckpt-")
+        if re.match(r"local($|\[)", spark.sparkContext.master or ""):
+            configured = tempfile.mkdtemp(prefix="campusledger-ckpt-")
+        else:
+            configured = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
         spark.conf.set("spark.checkpoint.dir", configured)
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(configured)

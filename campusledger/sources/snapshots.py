@@ -1,136 +1,87 @@
-"""Versioned table snapshots.
-
-A batch change produces whole new tables. They are written to **new**
-version folders, and only after every write succeeded one small pointer file
-is replaced, with an atomic overwrite-rename. Readers resolve the pointer, so
-they never see a half-written version and never read a path that is being
-overwritten. A written version also cuts the lineage of long change chains
-(the write is the checkpoint; no local checkpointing is used).
-
-* ``write_snapshot(df, root)`` / ``read_snapshot(spark, root)``: one table;
-  ``root/_CURRENT`` names the live version folder.
-* ``write_batch(outputs, root)`` / ``read_batch_table(spark, root, name)``:
-  several tables switched together; ``root/_CURRENT`` names a manifest that
-  maps each table to its version folder.
+"""Versioned table writes.
+
+A batch change produces whole new tables. Each is written to a **new** folder
+``<root>/<table>/<version>``, and only after every write of the batch succeeded
+one row per table is appended to the log table ``<root>/_published``. Readers
+take, per table, the version of the latest logged batch, so they never see a
+half-written version and never read a folder that is being overwritten. Two
+batches that publish at the same time both stay in the log; of a table that
+both wrote, the later one counts. Everything goes through Spark's own readers
+and writers, so any storage Spark can use will do.
 """
 
 from __future__ import annotations
 
-import json
-import os
 import time
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-POINTER = "_CURRENT"
-MANIFESTS = "_manifests"
+LOG = "_published"
+LOG_SCHEMA = "batch string, name string, version string"
+_ONE = "_table"
 
 
 def _new_version() -> str:
-    return f"v{int(time.time() * 1000)}-{uuid.uuid4().hex[:8]}"
+    return f"v{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
 
 
-def _hadoop(spark: SparkSession, path: str):
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return jvm, conf, p
-
-
-def _write_text_atomic(spark: SparkSession, path: str, text: str) -> None:
-    """Write a small file next to ``path`` and rename it over ``path`` in one step."""
-    jvm, conf, target = _hadoop(spark, path)
-    tmp = jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}.tmp")
-    fs = tmp.getFileSystem(conf)
-    out = fs.create(tmp, True)
+def current_manifest(spark: SparkSession, root: str) -> dict[str, str]:
+    """Table name -> folder below ``root`` of its latest published version."""
     try:
-        out.write(bytearray(text.encode("utf-8")))
-    finally:
-        out.close()
-    fc = jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri(), conf)
-    rename = jvm.org.apache.hadoop.fs.Options.Rename
-    opts = spark.sparkContext._gateway.new_array(rename, 1)
-    opts[0] = rename.OVERWRITE
-    fc.rename(tmp, target, opts)
-
-
-def _read_text(spark: SparkSession, path: str) -> str | None:
-    jvm, conf, p = _hadoop(spark, path)
-    fs = p.getFileSystem(conf)
-    if not fs.exists(p):
-        return None
-    stream = fs.open(p)
-    try:
-        reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(stream, "UTF-8"))
-        lines = []
-        line = reader.readLine()
-        while line is not None:
-            lines.append(line)
-            line = reader.readLine()
-        return "\n".join(lines)
-    finally:
-        stream.close()
-
-
-# ---- one table --------------------------------------------------------------------
-
-def current_version(spark: SparkSession, root: str) -> str | None:
-    return _read_text(spark, os.path.join(root, POINTER))
-
-
-def read_snapshot(spark: SparkSession, root: str) -> DataFrame:
-    version = current_version(spark, root)
-    if version is None:
-        raise FileNotFoundError(f"no version written under {root}")
-    return spark.read.parquet(os.path.join(root, version))
-
-
-def write_snapshot(df: DataFrame, root: str, partition_by: list[str] | None = None,
-                   max_records_per_file: int | None = None) -> str:
-    """Write ``df`` as a new version of one table and switch its pointer."""
-    version = _new_version()
-    writer = df.write.mode("errorifexists")
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    if max_records_per_file:
-        writer = writer.option("maxRecordsPerFile", str(max_records_per_file))
-    writer.parquet(os.path.join(root, version))
-    _write_text_atomic(df.sparkSession, os.path.join(root, POINTER), version)
-    return version
+        log = spark.read.schema(LOG_SCHEMA).parquet(f"{root}/{LOG}")
+        rows = log.groupBy("name").agg(F.max_by("version", "batch").alias("version")).collect()
+    except AnalysisException:       # nothing published yet
+        return {}
+    return {r["name"]: f"{r['name']}/{r['version']}" for r in rows}
 
 
-# ---- several tables, switched together ---------------------------------------------
-
-def write_batch(outputs: dict[str, DataFrame], root: str) -> dict[str, str]:
+def write_batch(outputs: dict[str, DataFrame], root: str, partition_by: list[str] | None = None,
+                max_records_per_file: int | None = None) -> dict[str, str]:
     """Write every output of one batch (new tables, derived rows) as a new
-    version, then publish them with one pointer switch.
+    version, then publish them together. Returns the new manifest.
 
-    Tables not in ``outputs`` keep their current version in the new manifest.
-    A failure before the switch leaves every table at its previous version.
+    Tables not in ``outputs`` keep their version. A failure before the log entry
+    leaves every table at its previous version.
     """
     spark = next(iter(outputs.values())).sparkSession
-    manifest = dict(current_manifest(spark, root) or {})
+    written = []
     for name, df in outputs.items():
         version = _new_version()
-        df.write.mode("errorifexists").parquet(os.path.join(root, name, version))
-        manifest[name] = f"{name}/{version}"
-    batch_id = _new_version()
-    _write_text_atomic(spark, os.path.join(root, MANIFESTS, f"{batch_id}.json"),
-                       json.dumps(manifest, sort_keys=True))
-    _write_text_atomic(spark, os.path.join(root, POINTER), batch_id)
-    return manifest
-
-
-def current_manifest(spark: SparkSession, root: str) -> dict[str, str] | None:
-    batch_id = _read_text(spark, os.path.join(root, POINTER))
-    if batch_id is None:
-        return None
-    return json.loads(_read_text(spark, os.path.join(root, MANIFESTS, f"{batch_id}.json")))
+        writer = df.write.mode("errorifexists")
+        if partition_by:
+            writer = writer.partitionBy(*partition_by)
+        if max_records_per_file:
+            writer = writer.option("maxRecordsPerFile", str(max_records_per_file))
+        writer.parquet(f"{root}/{name}/{version}")
+        written.append((name, version))
+    batch = _new_version()
+    entries = spark.createDataFrame([(batch, n, v) for n, v in written], LOG_SCHEMA)
+    entries.coalesce(1).write.mode("append").parquet(f"{root}/{LOG}")
+    return current_manifest(spark, root)
 
 
 def read_batch_table(spark: SparkSession, root: str, name: str) -> DataFrame:
-    manifest = current_manifest(spark, root) or {}
-    if name not in manifest:
+    folder = current_manifest(spark, root).get(name)
+    if folder is None:
         raise FileNotFoundError(f"table {name} not published under {root}")
-    return spark.read.parquet(os.path.join(root, manifest[name]))
+    return spark.read.parquet(f"{root}/{folder}")
+
+
+# ---- one table ----------------------------------------------------------------------
+
+def current_version(spark: SparkSession, root: str) -> str | None:
+    folder = current_manifest(spark, root).get(_ONE)
+    return folder.split("/")[-1] if folder else None
+
+
+def read_snapshot(spark: SparkSession, root: str) -> DataFrame:
+    return read_batch_table(spark, root, _ONE)
+
+
+def write_snapshot(df: DataFrame, root: str, partition_by: list[str] | None = None,
+                   max_records_per_file: int | None = None) -> str:
+    """Write ``df`` as a new version of the one table under ``root``."""
+    return write_batch({_ONE: df}, root, partition_by, max_records_per_file)[_ONE].split("/")[-1]

@@ -243,8 +243,8 @@ def load_tables(spark: SparkSession, root: str) -> dict[str, DataFrame]:
 
 
 def load_published_tables(spark: SparkSession, root: str) -> dict[str, DataFrame]:
-    """The six tables at the versions the current batch manifest under ``root``
-    names (see ``sources.snapshots.write_batch``)."""
+    """The six tables at their latest published versions under ``root`` (see
+    ``sources.snapshots.write_batch``)."""
     from campusledger.sources.snapshots import read_batch_table
     return {name: read_batch_table(spark, root, name) for name in RECORD_TABLES}
 

@@ -1,4 +1,4 @@
-"""Sources, sinks and the streaming inbox."""
+"""Sources and sinks."""
 
 import os
 
@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from campusledger.operators import kpis
 from campusledger.sources import jdbc, snapshots
 from campusledger.sources.files import list_case_files
-from campusledger.streaming import inbox as stream
 
 
 def test_jdbc_options():
@@ -52,43 +51,6 @@ def test_case_file_listing(spark, tmp_dir):
     assert r.filePath == "/uploads/case-files/7_1700000000000_report_final.pdf"
 
 
-def test_unread_stream_matches_batch(spark, tables, tmp_dir):
-    n = tables["tbl_notifications"]
-    created_dir, reads_dir = os.path.join(tmp_dir, "created"), os.path.join(tmp_dir, "reads")
-    n.select("n_id", "n_sender", "n_receiver", "n_type", "n_message",
-             F.lit("No").alias("n_is_read"), "n_created_at", "n_related_record_id",
-             "n_related_record_type").write.parquet(created_dir)
-    reads = n.where(F.col("n_is_read") == "Yes").select(
-        "n_id", "n_receiver", "n_type", F.col("n_created_at").alias("read_at"))
-    reads.unionByName(reads).write.parquet(reads_dir)     # a read twice counts once
-    q = stream.start_unread_counts(spark, created_dir, reads_dir, name="unread_test")
-    try:
-        q.processAllAvailable()
-        got = {(r.receiver, r.n_type): r.unread for r in spark.table("unread_test").collect()
-               if r.unread}
-    finally:
-        q.stop()
-    expected = {}
-    for receiver in ("OPD", "GCO", "INF"):
-        for r in kpis.unread_counts(n, receiver).where("NOT is_total").collect():
-            expected[(receiver.lower(), r.n_type)] = r["count"]
-    assert got == expected
-
-
-def test_inbox_feed_stream(spark, tables, tmp_dir):
-    n = tables["tbl_notifications"]
-    path = os.path.join(tmp_dir, "created")
-    n.write.parquet(path)
-    feed = stream.inbox_feed(stream.read_events(spark, path, stream.CREATED_SCHEMA), "inf")
-    q = feed.writeStream.format("memory").queryName("feed_test").start()
-    try:
-        q.processAllAvailable()
-        got = spark.table("feed_test").count()
-    finally:
-        q.stop()
-    assert got == n.where(F.lower("n_receiver") == "inf").count()
-
-
 def test_load_published_tables(spark, tables, tmp_dir):
     from campusledger.sources.tables import RECORD_TABLES, load_published_tables
     root = os.path.join(tmp_dir, "pub")
