@@ -14,6 +14,7 @@ from campusledger.session import checkpoint_dir
 # Rows per Arrow batch handed to Python. Texts can be long, so batches are cut
 # small: a batch of ordinary documents is then well under a few megabytes.
 ARROW_ROWS = 256
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,11 +26,22 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet below the shared folder and read it back.
 
     This cuts the lineage: a lost executor then costs a re-read, not a re-run.
-    The folder is the one the cluster names in ``spark.checkpoint.dir``.
+    The folder is the one the cluster names in ``spark.checkpoint.dir``. Once
+    the table is written the step's shuffle files are of no use, so Spark is
+    asked to delete them when the write ends, and the disk a chain of steps
+    needs is that of its largest step.
     """
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

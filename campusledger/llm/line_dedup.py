@@ -3,9 +3,10 @@
 Every line with a word is a node of its distinct text. Its character shingles
 are hashed once; a signature value is the smallest shingle hash after an
 exclusive or with a constant, which orders the hashes anew for each constant.
-Lines that share a band of signature values are candidates, candidates are
-confirmed by the exact Jaccard similarity of their shingle sets, and confirmed
-links are joined by distributed union-find. Of each component the first line
+Lines that share a band of signature values, and about half of all their values
+(compared by one byte of each), are candidates. Candidates are confirmed by the
+exact Jaccard similarity of their shingle sets, and confirmed links are joined
+by distributed union-find. Of each component the first line
 (by document, then place) stays.
 
 Shuffles: the distinct lines once, with their text; band keys and line numbers;
@@ -26,6 +27,8 @@ its line places: a line kept in one is kept in both. Extra columns are ignored.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,10 +36,12 @@ from campusledger.llm.common import stored
 from campusledger.llm.components import components
 
 SHINGLE_CHARS = 8
-BANDS, BAND_VALUES = 8, 3      # a pair at 0.8 shares no band with probability 0.3 %
+BANDS, BAND_VALUES = 7, 3      # a pair at 0.8 shares no band with probability 0.7 %
+MIN_EQUAL = 10                 # of the 21 values, for a candidate: a pair at 0.8 has fewer with probability 0.02 %
 SIMILARITY_PERCENT = 80
 SPACES = " \t\n\x0b\x0c\r"
 KEY = ["k1", "k2"]
+BYTES = ["s0", "s1", "s2"]     # 3 x 7 = BANDS * BAND_VALUES
 
 _GOLDEN = 0x9E3779B97F4A7C15
 
@@ -60,16 +65,30 @@ def _first(column: str = "first") -> Column:
                           F.col("line_no").alias("line_no"))).alias(column)
 
 
-def signatures(lines: DataFrame, shingle: int, bands: int, values: int) -> DataFrame:
-    """``lines`` (k1, k2, line), one row per key -> k1, k2, array of band keys."""
-    d = lines.select(*KEY, F.encode("line", "UTF-16BE").alias("units"))
+def signatures(lines: DataFrame, shingle: int) -> DataFrame:
+    """``lines`` (k1, k2, line, first), one row per key -> k1, k2, band keys, one byte of each value."""
+    # ``place`` keeps this side's columns those of ``lines``, so that a join of
+    # the two shuffles (and dedups) the lines once, not once for each side.
+    d = lines.select(*KEY, F.encode("line", "UTF-16BE").alias("units"), F.hash("first").alias("place"))
     last = F.greatest((F.octet_length("units") / 2).cast("int") - shingle, F.lit(0))
-    d = d.select(*KEY, "units", F.explode(F.sequence(F.lit(0), last)).alias("i"))
-    d = d.select(*KEY, F.xxhash64(F.substr("units", 2 * F.col("i") + 1, F.lit(2 * shingle))).alias("h"))
-    low = [F.min(F.col("h").bitwiseXOR(F.lit(c))).alias(f"m{n}") for n, c in enumerate(_constants(bands * values))]
-    d = d.groupBy(*KEY).agg(*low)
-    keys = [F.xxhash64(F.lit(b), *(f"m{b * values + j}" for j in range(values))) for b in range(bands)]
-    return d.select(*KEY, F.array(*keys).alias("bands"))
+    d = d.select(*KEY, "place", "units", F.explode(F.sequence(F.lit(0), last)).alias("i"))
+    d = d.select(*KEY, "place", F.xxhash64(F.substr("units", 2 * F.col("i") + 1, F.lit(2 * shingle))).alias("h"))
+    low = [F.min(F.col("h").bitwiseXOR(F.lit(c))).alias(f"m{n}") for n, c in enumerate(_constants(BANDS * BAND_VALUES))]
+    d = d.groupBy(*KEY).agg(*low, F.max("place").alias("place"))
+    keys = [F.xxhash64(F.lit(b), *(f"m{b * BAND_VALUES + j}" for j in range(BAND_VALUES))) for b in range(BANDS)]
+
+    def packed(n):     # seven bytes: the eighth stays free, so that sums of bytes cannot overflow
+        return reduce(Column.bitwiseOR, (F.shiftleft(F.col(f"m{n + j}").bitwiseAND(F.lit(255)), 8 * j) for j in range(7)))
+    return d.select(*KEY, F.array(*keys).alias("bands"), *(packed(7 * n).alias(c) for n, c in enumerate(BYTES)), "place")
+
+
+def equal_values(x: str, y: str) -> Column:
+    """How many of the packed bytes agree."""
+    def differing(c):
+        d = F.col(f"{x}.{c}").bitwiseXOR(F.col(f"{y}.{c}"))
+        carried = (d.bitwiseAND(F.lit(0x7F7F7F7F7F7F7F)) + F.lit(0x7F7F7F7F7F7F7F)).bitwiseOR(d)
+        return F.bit_count(carried.bitwiseAND(F.lit(0x80808080808080)))
+    return F.lit(BANDS * BAND_VALUES) - sum((differing(c) for c in BYTES), F.lit(0))
 
 
 def shingles(line: Column, shingle: int) -> Column:
@@ -79,7 +98,9 @@ def shingles(line: Column, shingle: int) -> Column:
 
 
 def _confirmed(pairs: DataFrame, lines: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """Of the pairs ``(a, b)`` of line numbers, those similar enough."""
+    """Of the stored pairs ``(a, b)`` of line numbers, those similar enough."""
+    ids = pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).distinct()
+    lines = stored(lines.select("sid", "line").join(ids, "sid", "left_semi"), "lines-some")
     x = lines.select(F.col("sid").alias("a"), F.col("line").alias("x"))
     y = lines.select(F.col("sid").alias("b"), F.col("line").alias("y"))
     both = pairs.join(x, "a").join(y, "b")
@@ -91,8 +112,7 @@ def _confirmed(pairs: DataFrame, lines: DataFrame, shingle: int, percent: int) -
                   .select("a", "b"), "lines-confirmed")
 
 
-def line_classes(docs: DataFrame, shingle: int = SHINGLE_CHARS, bands: int = BANDS, values: int = BAND_VALUES,
-                 percent: int = SIMILARITY_PERCENT) -> DataFrame:
+def line_classes(docs: DataFrame, shingle: int = SHINGLE_CHARS, percent: int = SIMILARITY_PERCENT) -> DataFrame:
     """One row per line with a word: doc_id, line_no, class_doc_id, class_line_no, kept.
 
     The class is named by its first line, the one that is kept.
@@ -100,30 +120,34 @@ def line_classes(docs: DataFrame, shingle: int = SHINGLE_CHARS, bands: int = BAN
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     found = line_occurrences(docs)
     distinct = found.groupBy(*KEY).agg(F.first("line").alias("line"), _first())
-    signed = signatures(distinct, shingle, bands, values)
-    lines = stored(distinct.join(signed, KEY).withColumn("sid", F.monotonically_increasing_id()), "lines")
+    signed = signatures(distinct, shingle)
+    lines = stored(distinct.join(signed, KEY).where(F.col("place").isNotNull())
+                   .select(*KEY, "line", "first", "bands", *BYTES, F.monotonically_increasing_id().alias("sid")), "lines")
 
     member = lines.select("sid", F.explode("bands").alias("band"))
     lead = (member.groupBy("band").agg(F.min("sid").alias("lead"), F.max("sid").alias("last"))
             .where("lead != last").select("band", "lead"))
     shared = stored(member.join(lead, "band"), "lines-shared")
-    stars = stored(shared.where("sid != lead").select(F.col("lead").alias("a"), F.col("sid").alias("b")).distinct(),
-                   "lines-pairs")
-    ids = stars.select(F.col("a").alias("sid")).union(stars.select("b")).distinct()
-    some = stored(lines.select("sid", "line").join(ids, "sid", "left_semi"), "lines-some")
-    links = _confirmed(stars, some, shingle, percent)
+    values = lines.select("sid", F.struct(*BYTES).alias("values"))
+    stars = shared.where("sid != lead").select(F.col("lead").alias("a"), F.col("sid").alias("b")).distinct()
+    stars = (stars.join(values.select(F.col("sid").alias("a"), F.col("values").alias("x")), "a")
+             .join(values.select(F.col("sid").alias("b"), F.col("values").alias("y")), "b")
+             .where(equal_values("x", "y") >= MIN_EQUAL).select("a", "b"))
+    stars = stored(stars, "lines-pairs")
+    links = _confirmed(stars, lines, shingle, percent)
     roots = stored(components(links), "lines-roots")
 
     placed = (shared.select("band", "sid").join(roots.withColumnRenamed("node", "sid"), "sid", "left")
               .select("band", "sid", F.coalesce("root", "sid").alias("root")))
     split = placed.groupBy("band").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 != r1")
-    open_ = stored(placed.join(split.select("band"), "band"), "lines-open")
-    x, y = open_.alias("x"), open_.alias("y")
-    rest = (x.join(y, F.col("x.band") == F.col("y.band"))
-            .where((F.col("x.sid") < F.col("y.sid")) & (F.col("x.root") != F.col("y.root")))
+    open_ = stored(placed.join(split.select("band"), "band").join(values, "sid"), "lines-open")
+    x, y = (open_.select("band", F.struct("sid", "root", "values.*").alias(n)) for n in "xy")
+    rest = (x.join(y, "band")
+            .where((F.col("x.sid") < F.col("y.sid")) & (F.col("x.root") != F.col("y.root"))
+                   & (equal_values("x", "y") >= MIN_EQUAL))
             .select(F.col("x.sid").alias("a"), F.col("y.sid").alias("b")).distinct()
             .join(stars, ["a", "b"], "left_anti"))
-    more = _confirmed(rest, some, shingle, percent)
+    more = _confirmed(stored(rest, "lines-pairs"), lines, shingle, percent)
     roots = stored(components(links.unionByName(more)), "lines-roots")
 
     # The first line of each class of several texts; other texts stand for themselves.
@@ -136,3 +160,25 @@ def line_classes(docs: DataFrame, shingle: int = SHINGLE_CHARS, bands: int = BAN
     kept = F.col("doc_id").eqNullSafe(F.col("class.doc_id")) & (F.col("line_no") == F.col("class.line_no"))
     return out.select("doc_id", "line_no", F.col("class.doc_id").alias("class_doc_id"),
                       F.col("class.line_no").alias("class_line_no"), kept.alias("kept"))
+
+
+def drop_duplicate_lines(docs: DataFrame, **settings) -> DataFrame:
+    """``docs`` with only the first line of each class left; columns unchanged.
+
+    A document that loses all its lines with a word is dropped: all it says is
+    said elsewhere. Documents that lose nothing, have no such line, or have no
+    ``doc_id`` stay as they are. ``n_chars``, if there, follows the new text.
+    """
+    gone = (line_classes(docs, **settings).where(~F.col("kept") & F.col("doc_id").isNotNull())
+            .groupBy("doc_id").agg(F.collect_set("line_no").alias("_gone")))     # bounded by a document's lines
+    columns = docs.columns
+    d = docs.join(stored(gone, "lines-gone"), "doc_id", "left")
+    same = d.where(F.col("_gone").isNull()).select(columns)
+    d = d.where(F.col("_gone").isNotNull()).withColumn("_lines", F.explode(F.array(F.split("text", "\n"))))
+    places = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_gone"))
+    d = d.withColumn("_left", F.explode(F.array(places)))
+    left = F.transform("_left", lambda i: F.get(F.col("_lines"), i))
+    d = d.withColumn("text", F.array_join(left, "\n")).where(F.length(F.btrim("text", F.lit(SPACES))) > 0)
+    if "n_chars" in columns:
+        d = d.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return same.unionByName(d.select(columns))
