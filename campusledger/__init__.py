@@ -11,7 +11,6 @@ Sub-packages:
                    projections, filters and searches, attachment flattening,
                    referrals, inbox, batch changes and bulk import.
 * ``plans``     -- the registered query catalog (Spark side and SQL oracle).
-* ``streaming`` -- incremental form of the notification inbox.
 """
 
 from campusledger.session import get_session, checkpoint_dir

@@ -14,6 +14,7 @@ from campusledger.operators import attachments as A
 from campusledger.operators import changes as C
 from campusledger.operators import filters as Fl
 from campusledger.operators import joins as J
+from campusledger.operators import projections as P
 from campusledger.operators import summaries as S
 from campusledger.plans.catalog import register
 from campusledger.plans.queries_changes import (_USER_SEQ, AS_OF, AS_OF_ISO, HISTORY_ENTRY, _att_sql,
@@ -243,3 +244,50 @@ WHERE u.u_status = 'Active'
 def delete_users_table(t):
     u = t["users"]
     return C.delete_users(u, u.select(_user_seq().alias("seq"), F.col("u_email").alias("email"))).table.select("u_email")
+
+
+# ---- the parsed form of the JSON columns (O7-O10) ------------------------------------------------
+
+def _parsed(df, key):
+    """Each typed list flattened to one text, so that the parsed fields are compared."""
+    files = F.transform("attachments", lambda f: F.concat_ws(
+        "|", f["filename"], f["mimetype"], f["size"].cast("string"), f["isMedical"].cast("string"), f["uploadedBy"]))
+    edits = F.transform("editDate", lambda e: F.concat_ws("|", e["editedBy"], e["timestamp"].cast("string")))
+    return df.select(F.col(key).alias("record"), F.array_join(files, ";").alias("files"), F.size("attachments").alias("n_files"),
+                     F.array_join(edits, ";").alias("edits"))
+
+
+def _parsed_sql(table, key, attachments, history):
+    def fields(x, names):
+        return "concat_ws('|', " + ", ".join(f"{x}->>'{n}'" for n in names) + ")"
+    files = f"coalesce(CAST(nullif({attachments}, '') AS JSON[]), [])"
+    edits = f"coalesce(CAST(nullif({history}, '') AS JSON[]), [])"
+    return f"""
+SELECT {key} AS record,
+       array_to_string(list_transform({files}, lambda f: {fields('f', ['filename', 'mimetype', 'size', 'isMedical', 'uploadedBy'])}), ';') AS files,
+       CAST(len({files}) AS INTEGER) AS n_files,
+       array_to_string(list_transform({edits}, lambda e: {fields('e', ['editedBy', 'timestamp'])}), ';') AS edits
+FROM {table}"""
+
+
+@register("case_records_parsed", _parsed_sql("tbl_case_records", "cr_case_id", "cr_attachments", "cr_edit_history"))
+def case_records_parsed(t):
+    return _parsed(P.case_projection(t["tbl_case_records"]), "caseNo")
+
+
+@register("counseling_records_parsed",
+          _parsed_sql("tbl_counseling_records", "cor_record_id", "cor_attachments", "cor_edit_history"))
+def counseling_records_parsed(t):
+    return _parsed(P.counseling_projection(t["tbl_counseling_records"]), "recordId")
+
+
+@register("medical_records_parsed",
+          _parsed_sql("tbl_medical_records", "mr_medical_id", "mr_attachments", "mr_edit_history"))
+def medical_records_parsed(t):
+    return _parsed(P.medical_projection(t["tbl_medical_records"]), "recordId")
+
+
+@register("infirmary_records_parsed",
+          _parsed_sql("tbl_medical_records", "mr_medical_id", "mr_attachments", "mr_edit_history"))
+def infirmary_records_parsed(t):
+    return _parsed(P.infirmary_projection(t["tbl_medical_records"]), "recordId")

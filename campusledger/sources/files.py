@@ -17,15 +17,23 @@ def read_import_csv(spark: SparkSession, path: str) -> DataFrame:
     ``pos`` orders rows as in the file(s): file path, then the row's place
     (``monotonically_increasing_id`` increases within a task).
     """
-    df = (spark.read.option("header", True).option("inferSchema", False).option("multiLine", True)
-          .option("quote", '"').option("escape", '"').option("mode", "PERMISSIVE")
-          .option("enforceSchema", False).csv(path))
+    reader = (spark.read.option("header", True).option("inferSchema", False).option("multiLine", True)
+              .option("quote", '"').option("escape", '"').option("mode", "PERMISSIVE"))
+    df = reader.csv(path)
+    # Spark numbers equal headers by their place: the last of them keeps the name.
+    plain = [c[:-len(str(i))] if c.endswith(str(i)) else c for i, c in enumerate(df.columns)]
+    repeated = {i for i, c in enumerate(plain) if plain.count(c) > 1}
+    if not repeated:      # then files whose headers differ are an error, not mixed up by position
+        df = reader.option("enforceSchema", False).csv(path)
+    last = {c: i for i, c in enumerate(plain)}
     meta = F.col("_metadata")
-    return (df.withColumn("_file", meta["file_path"])
+    named = [F.col(f"`{c}`").alias(plain[i]) if i in repeated else F.col(f"`{c}`")
+             for i, c in enumerate(df.columns) if i not in repeated or last[plain[i]] == i]
+    return (df.select(*named, meta).withColumn("_file", meta["file_path"])
             .withColumn("_block", meta["file_block_start"])
             .withColumn("_row", F.monotonically_increasing_id())
             .withColumn("pos", F.struct("_file", "_block", "_row"))
-            .drop("_file", "_block", "_row"))
+            .drop("_file", "_block", "_row", "_metadata"))
 
 
 def read_import_cells(cells: DataFrame, row_no: str = "row_no",
