@@ -16,8 +16,10 @@ line that a third of all documents hold is one row per map task. Signatures are
 built by exploding shingles straight into a partial aggregate: nothing of that
 size is shuffled or kept. Lines are told apart by two independent 64-bit hashes.
 
-In each band the members are held against the smallest; members of one band
-that are in different components after that are held against each other.
+In each band the members are held against the smallest. Members of one band that
+are in different components after that are held against each other, block by
+block inside single rows, so that no pair but those near the threshold is ever
+a row of its own.
 
 Cases: null or empty texts have no lines; lines without a word are left alone.
 Lines shorter than a shingle are one shingle. A null ``doc_id`` sorts last, so
@@ -43,6 +45,8 @@ SPACES = " \t\n\x0b\x0c\r"
 KEY = ["k1", "k2"]
 BYTES = ["s0", "s1", "s2"]     # 3 x 7 = BANDS * BAND_VALUES
 
+BLOCK = 64                     # lines held against each other at once in a crowded band
+
 _GOLDEN = 0x9E3779B97F4A7C15
 
 
@@ -91,10 +95,14 @@ def equal_values(x: str, y: str) -> Column:
     return F.lit(BANDS * BAND_VALUES) - sum((differing(c) for c in BYTES), F.lit(0))
 
 
-def shingles(line: Column, shingle: int) -> Column:
-    """The distinct character shingles of a line."""
-    every = F.regexp_extract_all(line, F.lit(f"(?s)(?=(.{{{shingle}}}))"), F.lit(1))
-    return F.array_distinct(F.when(F.length(line) > shingle, every).otherwise(F.array(line)))
+def shingles(line: Column, shingle: int, hashed=F.xxhash64) -> Column:
+    """The distinct character shingles of a line, as hashes."""
+    def of(units):
+        last = F.greatest((F.octet_length(units) / 2).cast("int") - shingle, F.lit(0))
+        return F.array_distinct(F.transform(F.sequence(F.lit(0), last), lambda i: hashed(
+            F.substr(units, 2 * i + 1, F.lit(2 * shingle)))))
+    # the one-element array binds the encoded line, so it is encoded once
+    return F.get(F.transform(F.array(F.encode(line, "UTF-16BE")), of), F.lit(0))
 
 
 def _confirmed(pairs: DataFrame, lines: DataFrame, shingle: int, percent: int) -> DataFrame:
@@ -112,6 +120,46 @@ def _confirmed(pairs: DataFrame, lines: DataFrame, shingle: int, percent: int) -
                   .select("a", "b"), "lines-confirmed")
 
 
+def _block_pairs(members: DataFrame, lines: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """Pairs ``(a, b)`` of one band and different components that may reach the threshold.
+
+    The members of a band are dealt into blocks, and each pair of blocks is one
+    row holding at most ``2 * BLOCK`` lines. All its pairs are compared inside the
+    row, by 32-bit hashes of the shingles; only those near or above the threshold
+    leave it. (Hashes that collide can only add to an intersection.)
+    """
+    ids = members.select("sid").distinct()
+    text = lines.select("sid", "bands", "line").join(ids, "sid", "left_semi")
+    parts = F.ceil(F.col("members") / BLOCK)
+    m = (members.withColumn("part", F.pmod(F.xxhash64("sid"), parts).cast("long"))
+         .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
+         .select("band", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"),
+                 "part", "sid", "root").join(text, "sid"))
+    rows = m.groupBy("band", "i", "j").agg(F.collect_list(F.struct("part", "sid", "root", "bands", "line")).alias("all"))
+    rows = rows.select("band", "i", "j", F.explode(F.array(F.transform("all", lambda v: F.struct(
+        v["part"].alias("part"), v["sid"].alias("sid"), v["root"].alias("root"), v["bands"].alias("bands"),
+        shingles(v["line"], shingle, F.hash).alias("h"))))).alias("all"))
+
+    def compared(x):
+        def worth(y):
+            smaller, larger = F.least(F.size(x["h"]), F.size(y["h"])), F.greatest(F.size(x["h"]), F.size(y["h"]))
+            once = F.array_min(F.array_intersect(x["bands"], y["bands"])) == F.col("band")
+            return ((x["root"] != y["root"]) & ((F.col("i") < F.col("j")) | (x["sid"] < y["sid"]))
+                    & (100 * smaller >= (percent - 1) * larger) & once)
+
+        def pair(y):
+            return F.struct(x["sid"].alias("a"), y["sid"].alias("b"),
+                            F.size(F.array_intersect(x["h"], y["h"])).alias("k"),
+                            (F.size(x["h"]) + F.size(y["h"])).alias("n"))
+        return F.transform(F.filter("y", worth), pair)
+
+    rows = rows.select("band", "i", "j", F.filter("all", lambda v: v["part"] == F.col("i")).alias("x"),
+                       F.filter("all", lambda v: v["part"] == F.col("j")).alias("y"))
+    near = F.filter(F.flatten(F.transform("x", compared)),
+                    lambda p: 100 * p["k"] >= (percent - 1) * (p["n"] - p["k"]))
+    return rows.select(F.explode(near).alias("p")).select("p.a", "p.b")
+
+
 def line_classes(docs: DataFrame, shingle: int = SHINGLE_CHARS, percent: int = SIMILARITY_PERCENT) -> DataFrame:
     """One row per line with a word: doc_id, line_no, class_doc_id, class_line_no, kept.
 
@@ -137,17 +185,13 @@ def line_classes(docs: DataFrame, shingle: int = SHINGLE_CHARS, percent: int = S
     links = _confirmed(stars, lines, shingle, percent)
     roots = stored(components(links), "lines-roots")
 
+    # Residual: members of one band in different components.
     placed = (shared.select("band", "sid").join(roots.withColumnRenamed("node", "sid"), "sid", "left")
               .select("band", "sid", F.coalesce("root", "sid").alias("root")))
-    split = placed.groupBy("band").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 != r1")
-    open_ = stored(placed.join(split.select("band"), "band").join(values, "sid"), "lines-open")
-    x, y = (open_.select("band", F.struct("sid", "root", "values.*").alias(n)) for n in "xy")
-    rest = (x.join(y, "band")
-            .where((F.col("x.sid") < F.col("y.sid")) & (F.col("x.root") != F.col("y.root"))
-                   & (equal_values("x", "y") >= MIN_EQUAL))
-            .select(F.col("x.sid").alias("a"), F.col("y.sid").alias("b")).distinct()
-            .join(stars, ["a", "b"], "left_anti"))
-    more = _confirmed(stored(rest, "lines-pairs"), lines, shingle, percent)
+    split = (placed.groupBy("band").agg(F.min("root").alias("r0"), F.max("root").alias("r1"),
+                                        F.count("*").alias("members")).where("r0 != r1"))
+    open_ = stored(placed.join(split.select("band", "members"), "band"), "lines-open")
+    more = _confirmed(stored(_block_pairs(open_, lines, shingle, percent), "lines-pairs"), lines, shingle, percent)
     roots = stored(components(links.unionByName(more)), "lines-roots")
 
     # The first line of each class of several texts; other texts stand for themselves.
