@@ -45,7 +45,7 @@ SPACES = " \t\n\x0b\x0c\r"
 KEY = ["k1", "k2"]
 BYTES = ["s0", "s1", "s2"]     # 3 x 7 = BANDS * BAND_VALUES
 
-BLOCK = 64                     # lines held against each other at once in a crowded band
+BLOCK = 256                    # lines held against each other at once in a crowded band
 
 _GOLDEN = 0x9E3779B97F4A7C15
 
@@ -108,7 +108,7 @@ def shingles(line: Column, shingle: int, hashed=F.xxhash64) -> Column:
 def _confirmed(pairs: DataFrame, lines: DataFrame, shingle: int, percent: int) -> DataFrame:
     """Of the stored pairs ``(a, b)`` of line numbers, those similar enough."""
     ids = pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).distinct()
-    lines = stored(lines.select("sid", "line").join(ids, "sid", "left_semi"), "lines-some")
+    lines = stored(lines.select("sid", "line").join(ids.hint("merge"), "sid", "left_semi"), "lines-some")
     x = lines.select(F.col("sid").alias("a"), F.col("line").alias("x"))
     y = lines.select(F.col("sid").alias("b"), F.col("line").alias("y"))
     both = pairs.join(x, "a").join(y, "b")
@@ -129,7 +129,7 @@ def _block_pairs(members: DataFrame, lines: DataFrame, shingle: int, percent: in
     leave it. (Hashes that collide can only add to an intersection.)
     """
     ids = members.select("sid").distinct()
-    text = lines.select("sid", "bands", "line").join(ids, "sid", "left_semi")
+    text = lines.select("sid", "bands", "line").join(ids.hint("merge"), "sid", "left_semi")
     parts = F.ceil(F.col("members") / BLOCK)
     m = (members.withColumn("part", F.pmod(F.xxhash64("sid"), parts).cast("long"))
          .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
@@ -216,13 +216,17 @@ def drop_duplicate_lines(docs: DataFrame, **settings) -> DataFrame:
     gone = (line_classes(docs, **settings).where(~F.col("kept") & F.col("doc_id").isNotNull())
             .groupBy("doc_id").agg(F.collect_set("line_no").alias("_gone")))     # bounded by a document's lines
     columns = docs.columns
-    d = docs.join(stored(gone, "lines-gone"), "doc_id", "left")
-    same = d.where(F.col("_gone").isNull()).select(columns)
-    d = d.where(F.col("_gone").isNotNull()).withColumn("_lines", F.explode(F.array(F.split("text", "\n"))))
+    # Both sides grow with the corpus: always a sort-merge join, which AQE may split.
+    d = docs.join(stored(gone, "lines-gone").hint("merge"), "doc_id", "left")
+    changed = F.col("_gone").isNotNull()
+    lines = F.when(changed, F.split("text", "\n"))
+    d = d.select("*", F.explode(F.array(lines)).alias("_lines"))
     places = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_gone"))
-    d = d.withColumn("_left", F.explode(F.array(places)))
-    left = F.transform("_left", lambda i: F.get(F.col("_lines"), i))
-    d = d.withColumn("text", F.array_join(left, "\n")).where(F.length(F.btrim("text", F.lit(SPACES))) > 0)
+    d = d.select("*", F.explode(F.array(F.when(changed, places))).alias("_left"))
+    left = F.array_join(F.transform("_left", lambda i: F.get(F.col("_lines"), i)), "\n")
+    d = d.withColumn("text", F.when(changed, left).otherwise(F.col("text")))
+    d = d.where(~changed | (F.length(F.btrim("text", F.lit(SPACES))) > 0))
     if "n_chars" in columns:
-        d = d.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return same.unionByName(d.select(columns))
+        d = d.withColumn("n_chars", F.when(changed, F.length("text").cast(docs.schema["n_chars"].dataType))
+                         .otherwise(F.col("n_chars")))
+    return d.select(columns)
