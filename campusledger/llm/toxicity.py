@@ -159,14 +159,33 @@ def fit_from_tables(documents: DataFrame, labels: DataFrame) -> ToxicityModel:
              .unionByName(known.where("toxic = 0").orderBy(*order).limit(MAX_ORDINARY)))
     # The sample is bounded by the two limits above, so it may be broadcast.
     sample = documents.select("doc_id", "text").join(F.broadcast(drawn), "doc_id")
-    sample = sample.where("length(text) > 0").orderBy(*order, "text")
+    sample = sample.where("length(text) > 0")
+    # The sample is bounded, so one task can train on it; the driver gets the model only.
+    trained = (sample.select("doc_id", "text", "toxic").repartition(1).sortWithinPartitions(*order, "text")
+               .mapInArrow(_fit_task, _MODEL_SQL))
+    row = trained.first()
+    if row is None:
+        return ToxicityModel()
+    return ToxicityModel(bytes(row["ordinary"]), bytes(row["toxic"]), *(np.array(row[c]) for c in
+                                                                        ("mean", "scale", "weights")), row["base_rate"])
+
+
+_MODEL = pa.schema([("ordinary", pa.binary()), ("toxic", pa.binary()), ("mean", pa.list_(pa.float64())),
+                    ("scale", pa.list_(pa.float64())), ("weights", pa.list_(pa.float64())), ("base_rate", pa.float64())])
+_MODEL_SQL = ("ordinary binary, toxic binary, mean array<double>, scale array<double>, weights array<double>, "
+              "base_rate double")
+
+
+def _fit_task(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     rows, room = [], MAX_SAMPLE_CHARS
-    for r in sample.select("text", "toxic").toLocalIterator():
-        room -= len(r[0])
-        if room < 0:
-            break
-        rows.append((r[0], r[1]))
-    return fit(rows)
+    for b in batches:
+        for text, toxic in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
+            room -= len(text)
+            if room >= 0:
+                rows.append((text, toxic))
+    m = fit(rows)
+    yield record_batch(_MODEL, [[m.ordinary], [m.toxic], [m.mean.tolist()], [m.scale.tolist()], [m.weights.tolist()],
+                                [m.base_rate]])
 
 
 _SCORED = pa.schema([("doc_id", pa.int64()), ("score", pa.float64())])
