@@ -22,6 +22,12 @@ def test_jdbc_options():
     assert auto["partitionColumn"] == "n_id"
 
 
+def test_jdbc_predicates_part_text_keys():
+    parts = jdbc.key_predicates("tbl_student_data", 3)
+    assert parts == [f"MOD(CRC32(COALESCE(sd_id_number, '')), 3) = {i}" for i in range(3)]
+    assert jdbc.key_predicates("users", 1) == ["MOD(CRC32(COALESCE(u_email, '')), 1) = 0"]
+
+
 def test_snapshot_versions(spark, tmp_dir):
     root = os.path.join(tmp_dir, "cases")
     df = spark.range(5).withColumn("x", F.col("id") * 2)
