@@ -38,12 +38,12 @@ from campusledger.llm.common import stored
 from campusledger.llm.components import components
 
 SHINGLE_CHARS = 8
-BANDS, BAND_VALUES = 7, 3      # a pair at 0.8 shares no band with probability 0.7 %
-MIN_EQUAL = 10                 # of the 21 values, for a candidate: a pair at 0.8 has fewer with probability 0.02 %
+BANDS, BAND_VALUES = 8, 3      # a pair at 0.8 shares no band with probability 0.3 %
+MIN_EQUAL = 10                 # of the 24 values, for a candidate: a pair at 0.8 has fewer with probability 0.001 %
 SIMILARITY_PERCENT = 80
 SPACES = " \t\n\x0b\x0c\r"
 KEY = ["k1", "k2"]
-BYTES = ["s0", "s1", "s2"]     # 3 x 7 = BANDS * BAND_VALUES
+BYTES = ["s0", "s1", "s2", "s3"]     # 4 x 6 = BANDS * BAND_VALUES
 
 BLOCK = 256                    # lines held against each other at once in a crowded band
 
@@ -81,17 +81,17 @@ def signatures(lines: DataFrame, shingle: int) -> DataFrame:
     d = d.groupBy(*KEY).agg(*low, F.max("place").alias("place"))
     keys = [F.xxhash64(F.lit(b), *(f"m{b * BAND_VALUES + j}" for j in range(BAND_VALUES))) for b in range(BANDS)]
 
-    def packed(n):     # seven bytes: the eighth stays free, so that sums of bytes cannot overflow
-        return reduce(Column.bitwiseOR, (F.shiftleft(F.col(f"m{n + j}").bitwiseAND(F.lit(255)), 8 * j) for j in range(7)))
-    return d.select(*KEY, F.array(*keys).alias("bands"), *(packed(7 * n).alias(c) for n, c in enumerate(BYTES)), "place")
+    def packed(n):     # six bytes: the eighth stays free, so that sums of bytes cannot overflow
+        return reduce(Column.bitwiseOR, (F.shiftleft(F.col(f"m{n + j}").bitwiseAND(F.lit(255)), 8 * j) for j in range(6)))
+    return d.select(*KEY, F.array(*keys).alias("bands"), *(packed(6 * n).alias(c) for n, c in enumerate(BYTES)), "place")
 
 
 def equal_values(x: str, y: str) -> Column:
     """How many of the packed bytes agree."""
     def differing(c):
         d = F.col(f"{x}.{c}").bitwiseXOR(F.col(f"{y}.{c}"))
-        carried = (d.bitwiseAND(F.lit(0x7F7F7F7F7F7F7F)) + F.lit(0x7F7F7F7F7F7F7F)).bitwiseOR(d)
-        return F.bit_count(carried.bitwiseAND(F.lit(0x80808080808080)))
+        carried = (d.bitwiseAND(F.lit(0x7F7F7F7F7F7F)) + F.lit(0x7F7F7F7F7F7F)).bitwiseOR(d)
+        return F.bit_count(carried.bitwiseAND(F.lit(0x808080808080)))
     return F.lit(BANDS * BAND_VALUES) - sum((differing(c) for c in BYTES), F.lit(0))
 
 

@@ -114,3 +114,16 @@ def test_no_python_in_the_plans(make_docs, rows, capsys, monkeypatch):
         df.explain()
     shown = capsys.readouterr().out
     assert len(plans) > 5 and not re.search("Python|Pandas|Arrow|CartesianProduct|BroadcastNestedLoop", shown)
+
+
+def test_bands_and_packed_values(spark):
+    assert (1 - (m.SIMILARITY_PERCENT / 100) ** m.BAND_VALUES) ** m.BANDS < 0.004
+    x = "one line of words that stands in several documents"
+    lines = spark.createDataFrame([(1, 1, x), (2, 2, x), (3, 3, "nothing of these words is shared here, not one bit")],
+                                  "k1 long, k2 long, line string").withColumn("first", m.F.lit(0))
+    d = m.signatures(lines, m.SHINGLE_CHARS).select("k1", "bands", m.F.struct(*m.BYTES).alias("v"))
+    got = {(r["a"], r["b"]): (r["n"], r["same"]) for r in d.alias("x").join(d.alias("y"), m.F.expr("x.k1 < y.k1")).select(
+        m.F.col("x.k1").alias("a"), m.F.col("y.k1").alias("b"), m.equal_values("x.v", "y.v").alias("n"),
+        m.F.size(m.F.array_intersect("x.bands", "y.bands")).alias("same")).collect()}
+    assert got[1, 2] == (24, 8)
+    assert got[1, 3][0] <= 2 and got[1, 3][1] == 0
