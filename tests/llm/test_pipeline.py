@@ -93,6 +93,17 @@ def test_every_stage_against_brute_force(spark, sf_dir):
     assert list(seen) == ["toxicity", "line_dedup", "near_dedup", "decontamination", "packing"]
 
 
+def test_near_dedup_links_at_four_fifths(spark, make_docs):
+    """Similarity 176 / 216 = 0.81 is a link, 166 / 226 = 0.73 is none."""
+    base = [f"word{i}" for i in range(200)]
+
+    def changed(places, name):
+        return " ".join(f"{name}{i}" if i in places else w for i, w in enumerate(base))
+    rows = [(1, " ".join(base)), (2, changed({20, 60, 100, 140}, "x")), (3, changed({30, 50, 70, 90, 110, 130}, "y"))]
+    kept = corpus_pipeline.near_dedup(spark, make_docs(rows), "")
+    assert sorted(x["doc_id"] for x in kept.collect()) == [1, 3]
+
+
 def test_run_returns_the_last_stage(spark, sf_dir):
     out = corpus_pipeline.run(spark, sf_dir)
     assert set(out.columns) == {"doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"}
