@@ -7,8 +7,7 @@ import pytest
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 sys.path.insert(0, ROOT)
 
-SF_SMALL = "/root/testdata/sf0.001"
-SF_ORACLE = os.environ.get("ORACLE_SF_DIR", "/root/testdata/sf0.001")
+from data_paths import SF_SMALL  # noqa: E402
 
 
 @pytest.fixture(scope="session")

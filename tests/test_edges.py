@@ -5,7 +5,7 @@ import os
 
 import duckdb
 import pytest
-from conftest import SF_SMALL
+from data_paths import SF_SMALL
 from pyspark.sql import functions as F
 
 from campusledger.functions.dates import parse_import_date, unparsed

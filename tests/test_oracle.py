@@ -2,7 +2,7 @@
 
 import pytest
 
-from conftest import SF_ORACLE
+from data_paths import SF_ORACLE
 from oracle_harness import compare, duckdb_conn
 
 from campusledger.plans import ORACLE, QUERIES, load_all

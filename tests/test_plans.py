@@ -2,7 +2,7 @@
 
 import pytest
 
-from conftest import SF_SMALL
+from data_paths import SF_SMALL
 from campusledger.plans import QUERIES, load_all
 
 load_all()
