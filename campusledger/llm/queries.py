@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from campusledger.llm.collocations import ORACLE_SQL as COLLOCATIONS_SQL
+from campusledger.llm.collocations import collocations
 from campusledger.llm.common import read_table
 from campusledger.llm.decontaminate import contaminated
 from campusledger.llm.language_id import predict, train
@@ -62,6 +64,10 @@ def op10_minmax_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+def op12_stripes_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_host_quality": op1_host_quality,
     "op2_wrapper_extraction": op2_wrapper_extraction,
@@ -73,8 +79,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secret_scan": op8_secret_scan,
     "op9_compression_toxicity": op9_compression_toxicity,
     "op10_minmax_dedup": op10_minmax_dedup,
+    "op12_stripes_collocations": op12_stripes_collocations,
 }
 
 ORACLE: dict[str, str] = {
     "op1_host_quality": QUALITY_SQL,
+    "op12_stripes_collocations": COLLOCATIONS_SQL,
 }
