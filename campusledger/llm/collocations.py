@@ -14,18 +14,20 @@ the empty word, so that
 It suffices to look one word ahead or back: a longer phrase as frequent as one it
 holds has every phrase between the two exactly as frequent.
 
-A phrase can reach ``least`` only if all its parts do, so three passes read the
-texts: words; stripes of single words over frequent words; stripes of two to four
-words over frequent pairs. "Frequent" is tested against a bitmap of hashes, built
-from the exact counts of the pass before, of at most ``MAX_BITS`` bits (16 MB).
-It holds every frequent word or pair; what it lets through by accident is counted
-exactly and falls out at the end, so its size changes the work and never the
-result.
-
-Shuffles: word counts and stripes, each summed in the task first. The stripe of a
-very common prefix is dealt out in ``SEGMENTS`` segments by its next words, and
-merging is a hash aggregate that may spill: no stripe has to fit one task's
-memory. Counts of occurrences are longs, scores are exact decimals.
+A phrase can reach ``least`` only if all its parts do, so four passes read the
+texts: words; stripes of single words over frequent words; stripes of pairs over
+frequent pairs; stripes of three and four words over frequent triples. "Frequent" is
+tested against a bitmap of hashes, built from the exact counts of the pass before,
+of at most ``MAX_BITS`` bits (16 MB). It holds every frequent word, pair or triple;
+what it lets through by accident is counted exactly and falls out at the end, so its
+size changes the work and never the result.
+
+Shuffles: word counts and stripes, each summed in the task first; a stripe travels
+as one row. A prefix of words that occur ``HOT`` times or more is dealt out in
+``SEGMENTS`` segments by its next words; any other stripe has fewer than ``HOT``
+entries. Merging is a hash aggregate that may spill: no stripe has to fit one
+task's memory, and only its entries of ``least`` and more are kept. Counts of
+occurrences are longs, scores are exact decimals.
 
 Cases: a null text is empty; a null language is ``und``. Empty texts and tables
 give nothing. Repeated rows count as often as they occur; texts are read whole;
@@ -37,7 +39,8 @@ from __future__ import annotations
 
 from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
-from itertools import count
+from functools import reduce
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -54,7 +57,8 @@ LONGEST = 5             # words of a candidate
 TOP = 2000              # phrases returned per language
 NO_LANG = "und"
 
-SEGMENTS = 16           # parts of a stripe, by next word
+HOT = 1 << 18           # occurrences of each of a prefix's words from which its stripe is dealt out
+SEGMENTS = 64           # parts of such a stripe, by next word
 MAX_BITS = 1 << 27      # bits of a bitmap of frequent words or pairs
 _MIN_BITS = 1 << 16
 _SLICE_BITS = 1 << 19   # bits of a bitmap put together in one task
@@ -85,8 +89,12 @@ def _has(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return (bitmap[(at >> U(3)).astype(np.int64)] >> (at & U(7)).astype(np.uint8)) & 1 == 1
 
 
-def _pair(left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    return mix64(left * U(0x9E3779B97F4A7C15) + right)
+def _joined(*hashes: np.ndarray) -> np.ndarray:
+    """Hash of a sequence of words from the words' hashes."""
+    out = hashes[0]
+    for h in hashes[1:]:
+        out = mix64(out * U(0x9E3779B97F4A7C15) + h)
+    return out
 
 
 _WORDS = pa.schema([("lang", pa.string()), ("word", pa.string()), ("f", pa.int64())])
@@ -134,17 +142,31 @@ class _Ids(dict):
         return _RARE
 
 
+class _Filters(NamedTuple):
+    """Bitmaps: frequent words, hot words, and frequent runs of ``size`` words (``None``: the words)."""
+
+    words: np.ndarray
+    hot: np.ndarray
+    size: int
+    runs: np.ndarray | None
+
+
 _STRIPE = pa.schema([("lang", pa.string()), ("size", pa.int32()), ("prefix", pa.string()), ("segment", pa.int32()),
-                     ("next", pa.list_(pa.string())), ("f", pa.list_(pa.int64()))])
+                     ("next", pa.string()), ("f", pa.list_(pa.int32()))])
+_STRIPE_DDL = "lang string, size int, prefix string, segment int, next string, f array<int>"
+_WHOLE = -1             # segment of a stripe in one piece
 
 
-def _stripe_rows(lang: str, size: int, phrases: pa.Array, vocabulary: pa.Array, hashes: np.ndarray,
+def _stripe_rows(lang: str, size: int, phrases: pa.Array, hot: np.ndarray, vocabulary: pa.Array, hashes: np.ndarray,
                  prefix: np.ndarray, following: np.ndarray) -> pa.RecordBatch:
-    """Count (prefix, next) pairs; one row per prefix and segment. ``following`` holds word ids, ``_END`` for no word."""
+    """Count (prefix, next) pairs; one row per prefix and segment, the next words joined by spaces.
+
+    ``following`` holds word ids, ``_END`` for no word (an empty next word).
+    """
     width = len(vocabulary)
     keys, f = np.unique(prefix * width + following, return_counts=True)
     prefix, following = keys // width, keys % width
-    segment = np.where(following == _END, U(0), mix64(hashes[following]) % U(SEGMENTS)).astype(np.int64)
+    segment = np.where(hot[prefix], (mix64(hashes[following]) % U(SEGMENTS)).astype(np.int64), _WHOLE)
     order = np.lexsort((following, segment, prefix))
     prefix, following, segment, f = prefix[order], following[order], segment[order], f[order]
     first = np.flatnonzero(np.concatenate([[True], (prefix[1:] != prefix[:-1]) | (segment[1:] != segment[:-1])]))
@@ -152,60 +174,60 @@ def _stripe_rows(lang: str, size: int, phrases: pa.Array, vocabulary: pa.Array,
     return record_batch(_STRIPE, [
         pa.repeat(lang, len(first)), pa.array(np.full(len(first), size), pa.int32()),
         phrases.take(pa.array(prefix[first])), pa.array(segment[first], pa.int32()),
-        pa.ListArray.from_arrays(offsets, vocabulary.take(pa.array(following))),
-        pa.ListArray.from_arrays(offsets, pa.array(f, pa.int64()))])
+        pc.binary_join(pa.ListArray.from_arrays(offsets, vocabulary.take(pa.array(following))), " "),
+        pa.ListArray.from_arrays(offsets, pa.array(f, pa.int32()))])
 
 
-def _chunk_stripes(lang: str, ids: _Ids, chunk: list[np.ndarray], pairs: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+def _chunk_stripes(lang: str, ids: _Ids, chunk: list[np.ndarray], filters: _Filters) -> Iterator[pa.RecordBatch]:
     x = np.concatenate([*chunk, np.full(LONGEST, _END, np.int64)])
     vocabulary = pa.array(ids.words, pa.binary()).cast(pa.string())
     hashes = np.array(ids.hashes, U)
-    word = x > _RARE
-    if pairs is None:
-        at = np.flatnonzero(word[:-1])
-        if len(at):
-            yield _stripe_rows(lang, 1, vocabulary, vocabulary, hashes, x[at], np.where(word[at + 1], x[at + 1], _END))
-        return
-    joined = np.flatnonzero(word[:-1] & word[1:])       # places of a frequent pair
-    joined = joined[_has(pairs, _pair(hashes[x[joined]], hashes[x[joined + 1]]))]
-    good = np.zeros(len(x), bool)
-    good[joined] = True
-    at, part, phrases = joined, x[joined], vocabulary
-    for size in range(2, LONGEST):                      # prefix = part (size - 1 words) and one word more
-        if not len(at):
-            return
-        keys, part = np.unique(part * len(vocabulary) + x[at + size - 1], return_inverse=True)
-        phrases = pc.binary_join_element_wise(phrases.take(pa.array(keys // len(vocabulary))),
-                                              vocabulary.take(pa.array(keys % len(vocabulary))), " ")
-        more = good[at + size - 1]
-        yield _stripe_rows(lang, size, phrases, vocabulary, hashes, part, np.where(more, x[at + size], _END))
-        at, part = at[more], part[more]
-
-
-def _count_stripes(words: np.ndarray, pairs: np.ndarray | None):
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids: dict[str, _Ids] = {}
-        chunks: dict[str, list[np.ndarray]] = defaultdict(list)
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            for lang, chunk in chunks.items():
-                yield from _chunk_stripes(lang, ids[lang], chunk, pairs)
-            chunks.clear()
-            ids.clear()
-
-        held = 0
-        for b in each_batch(batches):
-            for lang, text in zip(b.column(0).to_pylist(), texts(b)):
-                if lang not in ids:
-                    ids[lang] = _Ids(lang, words)
-                found = words_of(text)
-                chunks[lang].append(np.fromiter(map(ids[lang].__getitem__, found), np.int64, len(found)))
-                held += len(found)
-                if held > _CHUNK_WORDS:
-                    yield from flush()
-                    held = 0
-        yield from flush()
-    return run
+    hot = _has(filters.hot, hashes)
+    span = filters.size
+    end = len(x) - LONGEST
+    good = x > _RARE                                    # places where a frequent run of ``span`` words starts
+    for j in range(1, span):
+        good[:end] &= x[j:end + j] > _RARE
+    if filters.runs is not None:
+        at = np.flatnonzero(good)
+        good[at] = _has(filters.runs, _joined(*(hashes[x[at + j]] for j in range(span))))
+    at = np.flatnonzero(good)
+    part, phrases, width = x[at], vocabulary, len(vocabulary)
+    for size in range(2, (LONGEST if span == LONGEST - 2 else span + 1)):       # prefixes of ``size`` words
+        if size > span:
+            at, part = at[good[at + size - span]], part[good[at + size - span]]
+        keys, part = np.unique(part * width + x[at + size - 1], return_inverse=True)
+        phrases = pc.binary_join_element_wise(phrases.take(pa.array(keys // width)), vocabulary.take(pa.array(keys % width)), " ")
+        hot = hot[keys // width] & _has(filters.hot, hashes[keys % width])
+        if size >= span and len(at):
+            yield _stripe_rows(lang, size, phrases, hot, vocabulary, hashes, part,
+                               np.where(good[at + size - span + 1], x[at + size], _END))
+    if span == 1 and len(at):
+        yield _stripe_rows(lang, 1, vocabulary, hot, vocabulary, hashes, part, np.where(good[at + 1], x[at + 1], _END))
+
+
+def _count_stripes(filters: _Filters, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    ids: dict[str, _Ids] = {}
+    chunks: dict[str, list[np.ndarray]] = defaultdict(list)
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        for lang, chunk in chunks.items():
+            yield from _chunk_stripes(lang, ids[lang], chunk, filters)
+        chunks.clear()
+        ids.clear()
+
+    held = 0
+    for b in each_batch(batches):
+        for lang, text in zip(b.column(0).to_pylist(), texts(b)):
+            if lang not in ids:
+                ids[lang] = _Ids(lang, filters.words)
+            found = words_of(text)
+            chunks[lang].append(np.fromiter(map(ids[lang].__getitem__, found), np.int64, len(found)))
+            held += len(found)
+            if held > _CHUNK_WORDS:
+                yield from flush()
+                held = 0
+    yield from flush()
 
 
 def _bitmap(hashed: DataFrame, name: str) -> np.ndarray:
@@ -234,38 +256,43 @@ _HASH = pa.schema([("h", pa.int64())])
 
 
 def _hashes(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Hash of the word, or of the pair of words, in the column ``phrase``."""
+    """Hash of the words (equally many in each row) in the column ``phrase``."""
     for b in each_batch(batches):
         made = []
         for lang, phrase in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
             seed = xxhash.xxh64_intdigest(lang.encode())
             made.append([xxhash.xxh64_intdigest(w.encode(), seed) for w in phrase.split(" ")])
-        if len(made[0]) == 1:
-            h = np.array(made, U)[:, 0]
-        else:
-            left, right = np.array(made, U).T
-            h = _pair(left, right)
-        yield record_batch(_HASH, [h.view(np.int64)])
+        yield record_batch(_HASH, [_joined(*np.array(made, U).T).view(np.int64)])
 
 
-def stripes(docs: DataFrame, words: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
-    """lang, size, prefix, next, f: merged stripes; of single words, or, given frequent ``pairs``, of two to four words.
+def _bits_of(phrases: DataFrame, name: str) -> np.ndarray:
+    return _bitmap(phrases.select("lang", "phrase").mapInArrow(_hashes, "h long"), name)
 
-    ``words`` and ``pairs`` (lang, phrase) name the frequent ones; the empty
-    ``next`` counts what is followed by no word that matters.
+
+def stripes(docs: DataFrame, filters: _Filters, least: int) -> DataFrame:
+    """lang, size, prefix, total, entries: merged stripes, one row per prefix and segment.
+
+    ``total`` counts the prefix (in its segment), ``entries`` holds the next words
+    counted ``least`` times or more. Prefixes below ``least`` are left out.
     """
-    sc = docs.sparkSession.sparkContext
-    kept = sc.broadcast((_bitmap(words.mapInArrow(_hashes, "h long"), "words"),
-                         None if pairs is None else _bitmap(pairs.mapInArrow(_hashes, "h long"), "pairs")))
+    kept = docs.sparkSession.sparkContext.broadcast(filters)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _count_stripes(*kept.value)(batches)
+        return _count_stripes(kept.value, batches)
 
     key = ["lang", "size", "prefix", "segment"]
-    sent = docs.mapInArrow(run, "lang string, size int, prefix string, segment int, next array<string>, f array<long>")
-    return (sent.repartition(*key)
-            .select(*key, F.explode(F.arrays_zip("next", "f")).alias("e"))
-            .groupBy(*key, F.col("e.next").alias("next")).agg(F.sum("e.f").alias("f")).drop("segment"))
+    sent = docs.mapInArrow(run, _STRIPE_DDL).repartition(*key)
+    merged = (sent.select(*key, F.explode(F.arrays_zip(F.split("next", " ").alias("next"), "f")).alias("e"))
+              .groupBy(*key, F.col("e.next").alias("next")).agg(F.sum("e.f").alias("f")))
+    frequent = F.when((F.col("next") != "") & (F.col("f") >= least), F.struct("next", "f"))
+    return (merged.groupBy(*key).agg(F.sum("f").alias("total"), F.collect_list(frequent).alias("entries"))
+            .where((F.col("segment") != _WHOLE) | (F.col("total") >= least)).drop("segment"))
+
+
+def _extensions(found: DataFrame) -> DataFrame:
+    """lang, size, prefix, phrase, f: the phrases one word longer than the prefixes."""
+    return (found.select("lang", "size", "prefix", F.explode("entries").alias("e"))
+            .select("lang", "size", "prefix", F.concat_ws(" ", "prefix", "e.next").alias("phrase"), F.col("e.f").alias("f")))
 
 
 def phrase_counts(documents: DataFrame, least: int = LEAST) -> tuple[DataFrame, DataFrame]:
@@ -277,26 +304,30 @@ def phrase_counts(documents: DataFrame, least: int = LEAST) -> tuple[DataFrame,
     small_batches(documents.sparkSession)
     docs = documents.select(F.coalesce(F.col("lang").cast("string"), F.lit(NO_LANG)).alias("lang"),
                             F.col("text").cast("string").alias("text")).where(F.length("text") > 0)
-    words = stored(docs.mapInArrow(_count_words, "lang string, word string, f long")
-                   .groupBy("lang", "word").agg(F.sum("f").alias("f")), "collocation-words")
+    counts = (docs.mapInArrow(_count_words, "lang string, word string, f long")
+              .groupBy("lang", F.col("word").alias("phrase")).agg(F.sum("f").alias("f")))
+    # Rare words only matter for the totals, so they are kept as one row a language and task.
+    words = stored(counts.groupBy("lang", F.when(F.col("f") >= least, F.col("phrase")).alias("phrase"))
+                   .agg(F.sum("f").alias("f")), "collocation-words")
     totals = words.groupBy("lang").agg(F.sum("f").alias("n"))
-    enough = words.where(F.col("f") >= least).select("lang", F.col("word").alias("phrase"))
-    extension = F.concat_ws(" ", "prefix", "next").alias("phrase")
-    one = stored(stripes(docs, enough), "collocation-stripes")
-    frequent_pairs = one.where((F.col("next") != "") & (F.col("f") >= least)).select("lang", extension)
-    more = stored(stripes(docs, enough, frequent_pairs), "collocation-stripes")
-    every = one.unionByName(more)
-    prefixes = (every.groupBy("lang", "size", F.col("prefix").alias("phrase"))
-                .agg(F.sum("f").alias("f"), F.max(F.when(F.col("next") != "", F.col("f"))).alias("right"))
-                .where(F.col("f") >= least))
-    longest = (more.where((F.col("size") == LONGEST - 1) & (F.col("next") != "") & (F.col("f") >= least))
-               .select("lang", F.lit(LONGEST).alias("size"), extension, "f", F.lit(None).cast("long").alias("right")))
-    rest = (every.where((F.col("next") != "") & (F.col("f") >= least) & (F.col("size") > 1))
-            .select("lang", F.expr("substring(concat_ws(' ', prefix, next), instr(prefix, ' ') + 1)").alias("phrase"), "f")
-            .groupBy("lang", "phrase").agg(F.max("f").alias("left")))
-    phrases = prefixes.unionByName(longest).join(rest, ["lang", "phrase"], "left")
-    longer = F.coalesce(F.greatest("left", "right") >= F.col("f"), F.lit(False))
-    return stored(phrases.select("lang", "size", "phrase", "f", longer.alias("longer")), "collocation-phrases"), totals
+    words = words.where(F.col("phrase").isNotNull())
+    common, hot = _bits_of(words, "words"), _bits_of(words.where(F.col("f") >= HOT), "words")
+    runs, found = None, []
+    for size in range(1, LONGEST - 1):
+        found.append(stored(stripes(docs, _Filters(common, hot, size, runs), least), "collocation-stripes"))
+        if size < LONGEST - 2:
+            runs = _bits_of(_extensions(found[-1]), "runs")
+    every = reduce(DataFrame.unionByName, found)
+    longer = _extensions(every).where(F.col("size") > 1)
+    right = longer.groupBy("lang", F.col("prefix").alias("phrase")).agg(F.max("f").alias("right"))
+    left = (longer.groupBy("lang", F.expr("substring(phrase, instr(phrase, ' ') + 1)").alias("phrase"))
+            .agg(F.max("f").alias("left")))
+    phrases = (every.groupBy("lang", "size", F.col("prefix").alias("phrase")).agg(F.sum("total").alias("f"))
+               .where(F.col("f") >= least)
+               .unionByName(longer.where(F.col("size") == LONGEST - 1).select("lang", F.lit(LONGEST).alias("size"), "phrase", "f")))
+    held = F.coalesce(F.greatest("left", "right") >= F.col("f"), F.lit(False))
+    phrases = phrases.join(left, ["lang", "phrase"], "left").join(right, ["lang", "phrase"], "left")
+    return stored(phrases.select("lang", "size", "phrase", "f", held.alias("longer")), "collocation-phrases"), totals
 
 
 def collocations(documents: DataFrame, least: int = LEAST, top: int = TOP) -> DataFrame:
