@@ -1,8 +1,10 @@
 """JSON text columns: attachment lists and edit histories.
 
 Both are stored as JSON text. They are parsed with ``from_json`` into typed
-arrays of structs, once per query, and written back with ``to_json``. Parsing
-rules (see README, "Semantics"):
+arrays of structs where a query reads their fields. Changes work on the text of
+each element instead (:func:`raw_elements`, :func:`with_members`), so whatever a
+change does not touch is stored as it was: unknown fields, nested values, strings,
+nulls and numbers such as ``2.50``. Parsing rules (see README, "Semantics"):
 
 * falsy text (NULL, ``''``) reads as an empty list;
 * malformed text reads as NULL and is flagged, never fails a whole query;
@@ -21,6 +23,8 @@ from pyspark.sql import types as T
 ATTACHMENTS = T.ArrayType(ATTACHMENT_FIELDS)
 EDIT_HISTORY = T.ArrayType(EDIT_FIELDS)
 
+_BLANKS = " \t\n\r"
+
 
 def _c(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
@@ -42,12 +46,66 @@ def parse_edit_history(c) -> Column:
     return F.coalesce(parse_json_array(c, EDIT_HISTORY), F.array().cast(EDIT_HISTORY))
 
 
+# Strings, structural signs, and whatever stands between them.
+_TOKENS = r'(?s)"[^"\\]*+(?:\\.[^"\\]*+)*+"|[\[\]{},]|[^"\[\]{},]++'
+
+
+def _parts(text: Column) -> Column:
+    """The texts of an array's elements, or of an object's members, as written.
+
+    One pass over the tokens of a well-formed text: a part ends at a comma or
+    bracket at depth one. NULL when anything follows the closing bracket.
+    """
+    none = F.array().cast("array<string>")
+    state = F.struct(F.lit(0).alias("depth"), F.lit("").alias("part"), none.alias("done"))
+
+    def step(s, token):
+        opens, closes = token.isin("[", "{"), token.isin("]", "}")
+        ends = (s["depth"] == 1) & (closes | (token == ","))
+        part = F.btrim(s["part"], F.lit(_BLANKS))
+        return F.struct(
+            (s["depth"] + F.when(opens, 1).when(closes, -1).otherwise(0)).alias("depth"),
+            F.when(ends | ((s["depth"] == 0) & opens), F.lit("")).otherwise(F.concat(s["part"], token)).alias("part"),
+            F.when(ends & (part != ""), F.concat(s["done"], F.array(part))).otherwise(s["done"]).alias("done"))
+
+    tokens = F.regexp_extract_all(F.btrim(text, F.lit(_BLANKS)), F.lit(_TOKENS), F.lit(0))
+    return F.aggregate(tokens, state, step, lambda s: F.when(s["part"] == "", s["done"]))
+
+
 def raw_elements(c) -> Column:
-    """The JSON text of each element; empty for NULL or '', NULL for text that is no array."""
+    """The text of each element as stored; empty for NULL or '', NULL for text that is no array."""
     text = _c(c)
     blank = F.coalesce(F.trim(text), F.lit("")) == ""
-    parts = F.when(looks_like_array(text), F.from_json(text, T.ArrayType(T.StringType())))
-    return F.when(blank, F.array().cast("array<string>")).otherwise(parts)
+    well_formed = looks_like_array(text) & F.from_json(text, T.ArrayType(T.StringType())).isNotNull()
+    return F.when(blank, F.array().cast("array<string>")).when(well_formed, _parts(text))
+
+
+def is_object(part: Column) -> Column:
+    """The element is an object (not a string, number, list, true, false or null)."""
+    return part.startswith("{")
+
+
+def with_members(part: Column, members: dict[str, Column]) -> Column:
+    """An object's text with members set (values as JSON text), the others as they were.
+
+    A member that is there keeps its place, a new one goes to the end. Elements
+    that are no objects stay as they are.
+    """
+    def key(m):
+        return F.regexp_extract(m, r'^"((?:[^"\\]|\\.)*)"', 1)
+
+    found = _parts(part)
+
+    def put(m):
+        out = m
+        for name, value in members.items():
+            out = F.when(key(m) == name, F.concat(F.lit(f'"{name}":'), value)).otherwise(out)
+        return out
+
+    keys = F.transform(found, key)
+    absent = [F.when(~F.array_contains(keys, name), F.concat(F.lit(f'"{name}":'), value)) for name, value in members.items()]
+    every = F.concat(F.transform(found, put), F.filter(F.array(*absent), lambda x: x.isNotNull()))
+    return F.when(is_object(part), F.concat(F.lit("{"), F.array_join(every, ","), F.lit("}"))).otherwise(part)
 
 
 def raw_array(parts: Column) -> Column:
@@ -55,6 +113,11 @@ def raw_array(parts: Column) -> Column:
     return F.concat(F.lit("["), F.array_join(parts, ","), F.lit("]"))
 
 
+def raw_array_or_null(parts: Column) -> Column:
+    """JSON text of an array; an empty one is stored as NULL."""
+    return F.when(F.size(parts) > 0, raw_array(parts))
+
+
 def is_malformed(c, schema: T.ArrayType = ATTACHMENTS) -> Column:
     """True when the text is present but not parseable (audit flag)."""
     text = _c(c)
@@ -63,7 +126,7 @@ def is_malformed(c, schema: T.ArrayType = ATTACHMENTS) -> Column:
 
 def looks_like_array(c) -> Column:
     """The text starts with ``[`` (an object is not a list for the file screens)."""
-    return F.coalesce(F.ltrim(_c(c)).startswith("["), F.lit(False))
+    return F.coalesce(F.ltrim(_c(c), F.lit(_BLANKS)).startswith("["), F.lit(False))
 
 
 def has_medical_file(c) -> Column:

@@ -11,9 +11,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from campusledger.functions.jsoncols import (ATTACHMENTS, is_malformed, looks_like_array,
-                                             parse_attachments, parse_edit_history, raw_array,
-                                             raw_elements, to_json_or_null, EDIT_HISTORY)
+from campusledger.functions.jsoncols import (ATTACHMENTS, EDIT_HISTORY, is_malformed, is_object,
+                                             looks_like_array, parse_attachments, parse_edit_history,
+                                             raw_array, raw_array_or_null, raw_elements, with_members)
 from campusledger.functions.semantics import epoch_millis, first_present, iso_millis
 
 # Accepted uploads.
@@ -176,10 +176,14 @@ def attachment_lookup(records: DataFrame, id_col: str, attachments: str, request
 
 # ---- O51: merging attachment lists --------------------------------------------
 
-def _without(files: Column, to_delete: Column) -> Column:
+def _field(element: Column, name: str) -> Column:
+    """A field of an element's JSON text; NULL where it is no object or lacks the field."""
+    return F.when(is_object(element), F.get_json_object(element, f"$.{name}"))
+
+
+def _without(elements: Column, to_delete: Column) -> Column:
     dels = F.coalesce(to_delete, F.array().cast("array<string>"))
-    return F.filter(files, lambda f: ~F.coalesce(F.array_contains(dels, f["filename"]),
-                                                  F.lit(False)))
+    return F.filter(elements, lambda e: ~F.coalesce(F.array_contains(dels, _field(e, "filename")), F.lit(False)))
 
 
 def _flag_lookup(classes: Column, name: Column, field: str) -> Column:
@@ -223,10 +227,21 @@ def new_file_entries(new_files: Column, classes: Column | None, uploader: Column
         entry)
 
 
+def _reflag(element: Column, classes: Column) -> Column:
+    """A kept file with ``class.flag OR file.flag`` for both flags, its other members as they were."""
+    name = first_present(_field(element, "originalname"), _field(element, "filename"))
+
+    def flag(field):
+        own = F.coalesce(_field(element, field) == "true", F.lit(False))
+        return (F.coalesce(_flag_lookup(classes, name, field), F.lit(False)) | own).cast("string")
+
+    return with_members(element, {f: flag(f) for f in ("isMedical", "isPsychological")})
+
+
 def merge_attachments(existing: Column, to_delete: Column, new_files: Column, mode: str, *,
                       classes: Column | None = None, uploader: Column | None = None,
                       upload_date: Column | None = None) -> Column:
-    """Final attachment array of a record after an edit.
+    """The elements (JSON texts) of a record's attachment list after an edit.
 
     ``existing`` is the client's JSON text of the files it keeps (unparsable
     text counts as none). Modes:
@@ -237,39 +252,27 @@ def merge_attachments(existing: Column, to_delete: Column, new_files: Column, mo
     * ``medical_update``: as counselling, and each kept file's flags become
       ``class.flag OR file.flag`` (looked up by original name, else stored
       name), so a flag is never unset; new files carry uploader and date.
+
+    Kept elements are stored as the client sent them, whatever they hold; the flag
+    merge sets two members of an object and leaves its other members as sent.
     """
-    old = F.coalesce(F.from_json(existing, ATTACHMENTS), F.array().cast(ATTACHMENTS))
-    kept = _without(old, to_delete)
+    none = F.array().cast("array<string>")
+    old = _without(F.coalesce(raw_elements(existing), none), to_delete)
     is_medical = mode == "medical_update"
-    new = new_file_entries(new_files, classes if is_medical else None,
-                           uploader if is_medical else None,
-                           upload_date if is_medical else None)
+    new = F.transform(new_file_entries(new_files, classes if is_medical else None, uploader if is_medical else None,
+                                       upload_date if is_medical else None), lambda f: F.to_json(f))
     if mode == "case_update":
-        return F.when(F.size(new) > 0, new).otherwise(kept)
+        return F.when(F.size(new) > 0, new).otherwise(old)
     if mode in ("case_insert", "counseling_update"):
-        return F.concat(kept, new)
+        return F.concat(old, new)
     if is_medical:
-        def reflag(f):
-            name = first_present(f["originalname"], f["filename"])
-            return f.withField("isMedical", F.coalesce(
-                _flag_lookup(classes, name, "isMedical"), F.lit(False))
-                | F.coalesce(f["isMedical"], F.lit(False))) \
-                .withField("isPsychological", F.coalesce(
-                    _flag_lookup(classes, name, "isPsychological"), F.lit(False))
-                    | F.coalesce(f["isPsychological"], F.lit(False)))
-        flagged = F.transform(old, reflag) if classes is not None else old
-        return F.concat(_without(flagged, to_delete), new)
+        return F.concat(F.transform(old, lambda e: _reflag(e, classes)) if classes is not None else old, new)
     raise ValueError(f"unknown mode {mode}")
 
 
-def merged_json(existing, to_delete, new_files, mode, keep_missing: bool = True, **kw) -> Column:
-    """JSON text of :func:`merge_attachments`; an empty list is stored as NULL.
-
-    ``keep_missing=False`` writes NULL when the caller sent neither existing
-    nor new files (the record screens' behaviour).
-    """
-    merged = merge_attachments(existing, to_delete, new_files, mode, **kw)
-    return to_json_or_null(merged)
+def merged_json(existing, to_delete, new_files, mode, **kw) -> Column:
+    """JSON text of :func:`merge_attachments`; an empty list is stored as NULL."""
+    return raw_array_or_null(merge_attachments(existing, to_delete, new_files, mode, **kw))
 
 
 def remove_attachment(records: DataFrame, id_col: str, attachments: str,
@@ -283,9 +286,7 @@ def remove_attachment(records: DataFrame, id_col: str, attachments: str,
     req = requests.groupBy("record_id").agg(F.collect_set("filename").alias("_del"))
     joined = records.join(req.withColumnRenamed("record_id", id_col), id_col, "left")
     parts = raw_elements(attachments)
-    left = F.filter(parts, lambda e: ~F.coalesce(
-        F.array_contains(F.col("_del"), F.get_json_object(e, "$.filename")), F.lit(False)))
-    new = F.when(F.size(left) > 0, raw_array(left))
+    new = raw_array_or_null(_without(parts, F.col("_del")))
     return joined.withColumn(attachments, F.when(F.col("_del").isNull() | parts.isNull(), F.col(attachments))
                              .otherwise(new)).drop("_del")
 

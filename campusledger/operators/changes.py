@@ -17,7 +17,8 @@ Rules shared by all operators:
   dense ids). The maximum is a scalar subquery, computed once.
 * several requests for one key are applied in the order of ``seq``: a full
   overwrite leaves the values of the last, a partial one (accounts) the last
-  sent value of each field; every request adds its history entry and its
+  sent value of each field, a kept file list (``keep_missing``) that of the last
+  request that sent one; every request adds its history entry and its
   notices. All of this comes from one aggregate per key over the batch.
 * a record whose stored history does not parse is not touched; its requests
   are reported as ``rejected:malformed``.
@@ -28,6 +29,8 @@ Rules shared by all operators:
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
@@ -38,6 +41,7 @@ from campusledger.functions.semantics import as_of_column, blank_to_null, ci_eq,
 from campusledger.operators.attachments import (DEFAULT_EDITOR, append_edit_history, merged_json,
                                                 new_file_entries, plain_file_entries)
 from campusledger.functions.jsoncols import raw_elements, to_json_or_null
+from campusledger.operators.ordering import first_takers, names_in_order
 from campusledger.operators.referrals import (case_referral_notifications,
                                               medical_referral_notifications,
                                               upload_notifications)
@@ -93,30 +97,39 @@ def new_ids(table: DataFrame, id_col: str, seq: str = "seq") -> Column:
     return (F.coalesce(base, F.lit(0)).cast("bigint") + F.col(seq).cast("bigint"))
 
 
-def one_per_key(changes: DataFrame, key: str, seq: str = "seq", editor: Column | None = None) -> DataFrame:
-    """One row per key: the request with the highest ``seq``, and ``_editors``,
-    the editors of all its requests in order.
+def one_per_key(changes: DataFrame, key: str, seq: str = "seq", editor: Column | None = None,
+                sent: dict[str, Column] | None = None) -> DataFrame:
+    """One row per key: what its requests leave when they are applied in the order of ``seq``.
 
-    The row is carried through the aggregate as one struct (``max_by``); the
-    editors are bounded by the requests for one record.
+    A request overwrites every column, except that a column of ``sent`` is
+    overwritten only by requests for which the condition holds; ``_sent_<column>``
+    tells whether any did. ``_editors`` holds the editors of all requests in
+    order. Overwriting is associative (the later request wins), so the fold is a
+    partial aggregate: the row goes through as one struct (``max_by``), and only
+    the editors, bounded by the requests for one record, are gathered.
     """
     editor = editor if editor is not None else F.lit(None).cast("string")
-    rest = [c for c in changes.columns if c != key]
+    sent = sent or {}
+    rest = [c for c in changes.columns if c != key and c not in sent]
+    kept = [x for c, cond in sent.items() for x in (
+        F.max_by(c, F.when(cond, F.col(seq))).alias(c), F.coalesce(F.bool_or(cond), F.lit(False)).alias(f"_sent{c}"))]
     one = changes.withColumn("_by", editor).groupBy(key).agg(
         F.max_by(F.struct(*rest), F.col(seq)).alias("_last"),
         F.transform(F.sort_array(F.collect_list(F.struct(F.col(seq).alias("s"), F.col("_by").alias("e")))),
-                    lambda x: x["e"]).alias("_editors"))
-    return one.select(key, "_last.*", "_editors")
+                    lambda x: x["e"]).alias("_editors"), *kept)
+    return one.select(key, "_last.*", "_editors", *(x for c in sent for x in (c, f"_sent{c}")))
 
 
 def _apply(table: DataFrame, changes: DataFrame, key: str, set_cols: dict[str, Column],
            order: list[str], editor: Column | None = None, history: str | None = None,
-           ts: Column | None = None) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+           ts: Column | None = None, sent: dict[str, Column] | None = None,
+           ) -> tuple[DataFrame, DataFrame, DataFrame | None]:
     """Left-join the table to its changes per key and overwrite ``set_cols`` on
-    matched rows (NULLs in the change do overwrite). With ``history`` each
+    matched rows (NULLs in the change do overwrite; for ``sent`` see
+    :func:`one_per_key`). With ``history`` each
     request appends its entry, and rows whose history does not parse stay.
     Returns the new table, the updated rows, and the keys of rows left alone."""
-    ch = one_per_key(changes, key, editor=editor).withColumn("_hit", F.lit(True))
+    ch = one_per_key(changes, key, editor=editor, sent=sent).withColumn("_hit", F.lit(True))
     j = table.join(ch, key, "left")
     hit = F.coalesce(F.col("_hit"), F.lit(False))
     bad = F.lit(False)
@@ -183,22 +196,21 @@ def _new_record_attachments(mode: str) -> Column:
 
 
 def _merge_on_change_side(ch: DataFrame, mode: str, keep_missing: bool, stored: str,
-                          **kw) -> tuple[DataFrame, Column]:
+                          **kw) -> tuple[DataFrame, Column, dict[str, Column]]:
     """Compute the merged attachment text on the request rows, before the join.
 
     The merge only reads request fields, so it runs once per request on the
-    (smaller) change side instead of inside the join's projection; the
-    stored value is consulted after the join only for ``keep_missing``.
+    (smaller) change side instead of inside the join's projection. With
+    ``keep_missing`` a request that sends neither a list nor files leaves the
+    list that the requests before it left, and the stored one if none did.
+    Returns the requests, the value to store, and when a request sends a list.
     """
-    merged = merged_json(_c("existingAttachments"), _c("filesToDelete"), _c("newFiles"), mode,
-                         **kw)
-    none_sent = _c("existingAttachments").isNull() & \
-        (F.coalesce(F.size(_c("newFiles")), F.lit(0)) <= 0)
-    ch = ch.withColumns({"_att": merged, "_none_sent": none_sent})
-    value = F.col("_att")
-    if keep_missing:
-        value = F.when(F.col("_none_sent"), F.col(stored)).otherwise(value)
-    return ch, value
+    merged = merged_json(_c("existingAttachments"), _c("filesToDelete"), _c("newFiles"), mode, **kw)
+    ch = ch.withColumn("_att", merged)
+    if not keep_missing:
+        return ch, F.col("_att"), {}
+    ch = ch.withColumn("_lists", _c("existingAttachments").isNotNull() | (F.coalesce(F.size(_c("newFiles")), F.lit(0)) > 0))
+    return ch, F.when(F.col("_sent_att"), F.col("_att")).otherwise(F.col(stored)), {"_att": F.col("_lists")}
 
 
 def insert_cases(cases: DataFrame, changes: DataFrame, as_of=None) -> Written:
@@ -229,9 +241,8 @@ def update_cases(cases: DataFrame, changes: DataFrame, as_of=None,
     ts = as_of_column(as_of)
     ch = with_optional(changes).withColumnRenamed("caseId", "cr_case_id")
     sets = _case_fields()
-    ch, sets["cr_attachments"] = _merge_on_change_side(ch, "case_update", keep_missing,
-                                                       "cr_attachments")
-    table, rows, bad = _apply(cases, ch, "cr_case_id", sets, CASE_ORDER, history="cr_edit_history", ts=ts,
+    ch, sets["cr_attachments"], sent = _merge_on_change_side(ch, "case_update", keep_missing, "cr_attachments")
+    table, rows, bad = _apply(cases, ch, "cr_case_id", sets, CASE_ORDER, history="cr_edit_history", ts=ts, sent=sent,
                               editor=F.coalesce(_c("userType"), F.lit(DEFAULT_EDITOR["case"])))
     status = _status(ch, cases, "cr_case_id", malformed=bad)
     done = _applied(ch, status).withColumns({k: v for k, v in _case_fields().items()})
@@ -293,10 +304,10 @@ def update_counseling(counseling: DataFrame, changes: DataFrame, as_of=None,
     ch = ch.withColumn("_missing", required_fields(ch, "counseling"))
     valid = ch.where(F.size("_missing") == 0).drop("_missing")
     sets = _counseling_fields()
-    valid, sets["cor_attachments"] = _merge_on_change_side(valid, "counseling_update",
-                                                           keep_missing, "cor_attachments")
+    valid, sets["cor_attachments"], sent = _merge_on_change_side(valid, "counseling_update", keep_missing,
+                                                                 "cor_attachments")
     table, rows, bad = _apply(counseling, valid, "cor_record_id", sets, COUNSELING_ORDER,
-                              history="cor_edit_history", ts=ts,
+                              history="cor_edit_history", ts=ts, sent=sent,
                               editor=F.coalesce(_c("userType"), F.lit(DEFAULT_EDITOR["counseling"])))
     status = _status(ch, counseling, "cor_record_id",
                      F.transform("_missing", lambda m: F.concat(F.lit("missing:"), m)), malformed=bad)
@@ -384,12 +395,12 @@ def update_medical(medical: DataFrame, changes: DataFrame, as_of=None,
     sets["mr_referred"] = F.coalesce(blank_to_null(_c("referredToGCO")), F.lit("No"))
     sets["mr_school_year_semester"] = blank_to_null(_c("schoolYearSemester"))
     sets["mr_additional_remarks"] = F.coalesce(blank_to_null(_c("remarks")), F.lit(""))
-    valid, sets["mr_attachments"] = _merge_on_change_side(
+    valid, sets["mr_attachments"], sent = _merge_on_change_side(
         valid, "medical_update", keep_missing, "mr_attachments",
         classes=_c("fileClassifications"), uploader=uploader,
         upload_date=F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"))
     table, rows, bad = _apply(medical, valid, "mr_medical_id", sets, MEDICAL_ORDER,
-                              editor=uploader, history="mr_edit_history", ts=ts)
+                              editor=uploader, history="mr_edit_history", ts=ts, sent=sent)
     status = _status(ch, medical, "mr_medical_id", F.col("_bad"), malformed=bad)
     done = _applied(ch, status).withColumns({"mr_student_id": _c("studentId"), "mr_student_name": _c("studentName")})
     notes = upload_notifications(_uploads(done, "mr_medical_id", F.col("newFiles"), uploader))
@@ -454,9 +465,9 @@ USER_ORDER = ["u_email", "u_username", "u_name", "u_department", "u_type", "u_st
 
 def insert_users(users: DataFrame, changes: DataFrame, as_of=None) -> Written:
     """New accounts, status Active (O48e). Rejected: missing fields (O66),
-    an e-mail or username already taken (ignoring case) or taken by an
-    earlier request of the batch (O69); the failing field is named, e-mail
-    first."""
+    an e-mail or username already taken (ignoring case), or taken by an
+    earlier request of the batch that was not rejected itself (O69); the failing
+    field is named, e-mail first."""
     ts = as_of_column(as_of)
     ch = with_optional(changes)
     ch = ch.withColumn("_missing", required_fields(ch, "user"))
@@ -469,18 +480,17 @@ def insert_users(users: DataFrame, changes: DataFrame, as_of=None) -> Written:
                .join(ch.select("_u"), "_u", "left_semi").distinct()
                .withColumn("_tu", F.lit(True)))
     ch = ch.join(taken_e, "_e", "left").join(taken_u, "_u", "left")
-    # A rejected request takes no name: first among those that miss nothing and
-    # clash with no account; of these, first e-mails decide before usernames do.
+    # Among those that miss nothing and clash with no account, names go out in order.
     could = (F.size("_missing") == 0) & F.col("_te").isNull() & F.col("_tu").isNull()
-    ch = first_in_batch(ch, [F.when(could, F.col("_e"))], flag="_first_email", among=could)
-    ch = first_in_batch(ch, [F.when(could & F.col("_first_email"), F.col("_u"))], flag="_first_user",
-                        among=could & F.col("_first_email"))
-    dup_email = F.coalesce(F.col("_te"), F.lit(False)) | (could & ~F.col("_first_email"))
-    dup_user = F.coalesce(F.col("_tu"), F.lit(False)) | (could & F.col("_first_email") & ~F.col("_first_user"))
+    got = first_takers(ch.where(could), ["_e", "_u"]).withColumn("_got", F.lit(True))
+    ch = ch.join(got, "seq", "left")
+    owners = (ch.where("_got").groupBy("_e").agg(F.min("seq").alias("_owner")))
+    ch = ch.join(owners, "_e", "left")
+    dup_email = F.coalesce(F.col("_te"), F.col("_owner") < F.col("seq"), F.lit(False))
     st = (F.when(F.size("_missing") > 0, F.lit("rejected:missing_fields"))
+          .when(F.col("_got"), F.lit("applied"))
           .when(dup_email, F.lit("rejected:duplicate:email"))
-          .when(dup_user, F.lit("rejected:duplicate:username"))
-          .otherwise(F.lit("applied")))
+          .otherwise(F.lit("rejected:duplicate:username")))
     ch = ch.withColumn("status", st)
     rows = ch.where(F.col("status") == "applied").select(
         F.col("email").alias("u_email"), F.col("username").alias("u_username"),
@@ -492,28 +502,21 @@ def insert_users(users: DataFrame, changes: DataFrame, as_of=None) -> Written:
 
 def update_users(users: DataFrame, changes: DataFrame) -> Written:
     """Change only the supplied fields of an account (O49e). A request with
-    no field is rejected; a username taken by another account is rejected."""
-    ch = with_optional(changes)
+    no field is rejected; so is one for a username that another account holds when
+    its turn comes. A granted change frees the account's former username; requests
+    for unknown accounts take none."""
+    ch = with_optional(changes).withColumn("u_email", F.lower("email"))
     fields = {"u_username": "username", "u_name": "name", "u_department": "department",
               "u_type": "userType"}     # NULL: not sent; '' clears a field
-    supplied = [F.col(f).isNotNull() for f in list(fields.values()) + ["password"]]
-    any_supplied = supplied[0]
-    for s in supplied[1:]:
-        any_supplied = any_supplied | s
-    others = users.select(F.col("u_email").alias("_owner"), F.lower("u_username").alias("_u"))
-    clash = (ch.where(F.col("username").isNotNull())
-             .join(others, F.lower(ch["username"]) == others["_u"], "inner")
-             .where(F.lower("_owner") != F.lower("email"))
-             .select("seq").distinct().withColumn("_clash", F.lit(True)))
-    ch = ch.join(clash, "seq", "left").withColumn("_e", F.lower("email"))
-    # Of several accounts that ask for one username in a batch the first gets it.
-    wants = F.col("username").isNotNull() & F.col("_clash").isNull()
-    owner = (ch.where(wants).groupBy(F.lower("username").alias("_u"))
-             .agg(F.min_by("_e", "seq").alias("_first_owner")))
-    ch = ch.withColumn("_u", F.lower("username")).join(owner, "_u", "left")
-    taken = F.coalesce(F.col("_clash"), wants & (F.col("_first_owner") != F.col("_e")), F.lit(False))
-    bad = reasons((~any_supplied, "no_fields"), (taken, "duplicate:username"))
-    ch = ch.withColumn("_bad", bad).withColumn("u_email", F.col("_e")).drop("_u", "_first_owner", "_e")
+    supplied = reduce(or_, (F.col(f).isNotNull() for f in [*fields.values(), "password"]))
+    held = users.select(F.lower("u_email").alias("account"), F.lower("u_username").alias("name"))
+    wanted = (ch.where(F.col("username").isNotNull() & F.col("u_email").isNotNull())
+              .select("seq", F.col("u_email").alias("account"), F.lower("username").alias("name")))
+    wanted = wanted.join(held.select("account"), "account", "left_semi")
+    decided = names_in_order(wanted, held.where(F.col("name").isNotNull()))
+    ch = ch.join(decided, "seq", "left")
+    bad = reasons((~supplied, "no_fields"), (~F.coalesce(F.col("ok"), F.lit(True)), "duplicate:username"))
+    ch = ch.withColumn("_bad", bad).drop("ok")
     valid = ch.where(F.size("_bad") == 0)
     # The last sent value of each field, whichever request of the account sent it.
     last = valid.groupBy("u_email").agg(

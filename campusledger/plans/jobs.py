@@ -14,6 +14,7 @@ import datetime as dt
 from pyspark.sql import DataFrame, SparkSession
 
 from campusledger.operators import changes as C, imports as IM, inbox as I, referrals as R
+from campusledger.operators.account_stream import account_stream
 from campusledger.sources.snapshots import read_batch_table, write_batch
 
 
@@ -98,6 +99,12 @@ def run_user_changes(spark: SparkSession, root: str, inserts: DataFrame | None =
         ("user_activate", C.activate_users, activations), ("user_delete", C.delete_users, deletes)])
 
 
+def run_account_stream(spark: SparkSession, root: str, requests: DataFrame, as_of=None) -> dict[str, str]:
+    """Activate, deactivate and delete accounts in the order of the requests' ``seq``."""
+    ts = _clock(as_of)
+    return _run(spark, root, "users", [("account_stream", lambda t, r: account_stream(t, r, ts), requests)], ts)
+
+
 def run_mark_read(spark: SparkSession, root: str, requests: DataFrame) -> dict[str, str]:
     """Mark single notifications as read."""
     res = I.mark_read(_table(spark, root, "tbl_notifications"), requests)
