@@ -230,7 +230,9 @@ def _tiles(anchors: DataFrame, rows: DataFrame, n_anchors: int, n_rows: int, wor
     across, down = -(-n_anchors // ANCHORS_IN_TILE), -(-n_rows // ROWS_IN_TILE)
     left = (anchors.withColumn("tile_a", F.pmod(F.xxhash64("row"), F.lit(across)))
             .withColumn("tile_r", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(down - 1).cast("long")))))
-    right = (rows.withColumn("tile_r", F.pmod(F.xxhash64("row"), F.lit(down)))
+    # Aliases tell the columns of the two sides apart: both stem from one table.
+    right = (rows.select(*(F.col(c).alias(c) for c in rows.columns))
+             .withColumn("tile_r", F.pmod(F.xxhash64("row"), F.lit(down)))
              .withColumn("tile_a", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(across - 1).cast("long")))))
     return (left.groupBy("tile_a", "tile_r").cogroup(right.groupBy("tile_a", "tile_r"))
             .applyInArrow(work, _FOUND_DDL))
