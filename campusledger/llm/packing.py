@@ -4,14 +4,15 @@ Documents are tokenised, given an end id, and cut into pieces of at most the
 sequence length (only longer documents are cut). Pieces of full length are a
 sequence by themselves. The others are dealt into blocks of about
 ``BLOCK_PIECES`` and each block is packed by bin completion (Korf 2002): take
-the largest piece left, list the undominated ways to fill up its sequence with
-other pieces, go on with the one of least waste, and come back to the others
-while the waste so far leaves room to beat the incumbent, which is at first
-the best-fit-decreasing solution. A block stops at its lower bound.
+the largest piece left, list the undominated ways to fill up its sequence with any
+number of other pieces, go on with the one of least waste, and come back to the
+others while the waste so far leaves room to beat the incumbent, which is at first
+the best-fit-decreasing solution. A block stops at its lower bound, or after a
+bounded number of nodes.
 
-A filling dominates another of the same waste if it uses fewer, larger pieces:
-a single piece is tried before two, two before three. Blocks are independent,
-so each costs at most part of one sequence over the optimum of all pieces.
+A filling dominates another of the same waste if it uses larger pieces: they are
+tried first. Blocks are independent, so each costs at most part of one sequence over
+the optimum of all pieces.
 
 Cases: a null text reads as empty, and an empty document is one piece, the end
 id alone. Repeated rows are packed as often as they occur. Texts are
@@ -29,7 +30,6 @@ import zlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -198,57 +198,71 @@ def best_fit(lengths: list[int], size: int) -> list[list[int]]:
     return bins
 
 
-def fillings(counts: np.ndarray, room: int, most: int = 3) -> list[tuple[int, ...]]:
-    """Undominated ways to use ``room``, least waste first, at most ``most``.
+class Fillings:
+    """Ways to fill ``room`` with any number of the pieces at hand, least waste first.
 
-    One piece, two pieces, or one piece and the best pair for what it leaves
-    (largest first, bounded by the waste of the best found); the largest piece
-    that fits is always among them.
+    ``reach[i]`` is the set of sums (bits of a whole number) that the ``i`` shortest
+    distinct lengths can make, each as often as it is at hand, so every possible
+    filling of every size is known and one of a given sum can be traced back. The
+    fillings of least waste leave no length that would still fit; of equal sums those
+    with longer pieces come first, as they leave the shorter, more flexible ones.
     """
-    have = np.flatnonzero(counts[:room + 1])
-    have = have[have > 0]
-    if not len(have):
-        return [()]
-    if have[-1] == room:
-        return [(room,)]
-    index = np.zeros(room + 1, np.int64)
-    index[have] = have
-    below = np.maximum.accumulate(index)          # largest piece of at most this length
-
-    def pair(space: int, used: int = 0) -> tuple[int, int] | None:
-        first = have[have < space]
-        if not len(first):
-            return None
-        second = below[space - first]
-        twice = counts[first] - (first == used)
-        second = np.where((second == first) & (twice < 2), below[np.maximum(first - 1, 0)], second)
-        if used:
-            ok = (twice > 0) & ((second != used) | (counts[second] > 1) | (second == 0))
-            second = np.where(ok, second, 0)
-            first = np.where(twice > 0, first, 0)
-        total = first + second
-        total = np.where(total <= space, total, 0)
-        i = int(total.argmax())
-        return (int(first[i]), int(second[i])) if second[i] and total[i] else None
-
-    found: list[tuple[int, ...]] = []
-    if two := pair(room):
-        found.append(two)
-    if not two or sum(two) < room:
-        least = room - sum(two) if two else room - int(have[-1])
-        for a in have[::-1][:48].tolist():
-            if not least:
-                break
-            if a < room and (rest := pair(room - a, a)) and room - a - sum(rest) < least:
-                least = room - a - sum(rest)
-                found.append((a, *rest))
-    found.append((int(have[-1]),))
-    found.sort(key=lambda f: (room - sum(f), len(f)))
-    return list(dict.fromkeys(found))[:most]
-
 
-def bin_completion(lengths: list[int], size: int, nodes_per_bin: int = 3) -> list[list[int]]:
-    """Pack ``lengths`` into few bins of ``size``: bin completion with a bounded search."""
+    def __init__(self, counts: np.ndarray, room: int):
+        self.room = room
+        have = np.flatnonzero(counts[:room + 1])
+        self.lengths = have[have > 0].tolist()
+        self.counts = [min(int(counts[n]), room // n) for n in self.lengths]
+        full, sums = (1 << (room + 1)) - 1, 1
+        self.reach = [sums]
+        for n, c in zip(self.lengths, self.counts):
+            k = 1
+            while c > 0:                    # c copies as groups of 1, 2, 4, ... copies
+                k = min(k, c)
+                sums |= sums << (k * n) & full
+                c -= k
+                k *= 2
+            self.reach.append(sums)
+
+    def _trace(self, i: int, total: int) -> list[int]:
+        """Pieces of the ``i`` shortest lengths that add up to ``total``, longest first."""
+        found: list[int] = []
+        while total:
+            i -= 1
+            n, below = self.lengths[i], self.reach[i]
+            for k in range(min(self.counts[i], total // n), -1, -1):
+                if below >> (total - k * n) & 1:
+                    found += [n] * k
+                    total -= k * n
+                    break
+        return found
+
+    def best(self, most: int, slack: int) -> list[tuple[int, ...]]:
+        """At most ``most`` fillings that waste ``slack`` at most; one per choice of the longest piece and its copies."""
+        found: list[tuple[int, ...]] = []
+        reach = self.reach[-1]
+        for total in range(self.room, max(-1, self.room - slack - 1), -1):
+            if not reach >> total & 1:
+                continue
+            if not total:
+                found.append(())
+            for i in range(len(self.lengths) - 1, -1, -1):
+                n, below = self.lengths[i], self.reach[i]
+                for k in range(min(self.counts[i], total // n), 0, -1):
+                    if below >> (total - k * n) & 1:
+                        found.append((*[n] * k, *self._trace(i, total - k * n)))
+                        if len(found) == most:
+                            return found
+        return found
+
+
+def bin_completion(lengths: list[int], size: int, nodes_per_bin: int = 3, most: int = 3) -> list[list[int]]:
+    """Pack ``lengths`` into few bins of ``size``: bin completion with a bounded search.
+
+    Each bin is built around the longest piece left, by the ``most`` fillings of
+    least waste; a branch whose waste rules out a better solution than the incumbent
+    is cut. The search ends after ``nodes_per_bin`` nodes a bin.
+    """
     incumbent = best_fit(lengths, size)
     total = sum(lengths)
     bound = -(-total // size)
@@ -272,7 +286,7 @@ def bin_completion(lengths: list[int], size: int, nodes_per_bin: int = 3) -> lis
         if options is None:
             largest = int(np.flatnonzero(counts)[-1])
             counts[largest] -= 1
-            options = [(largest, *f) for f in fillings(counts, size - largest)]
+            options = [(largest, *f) for f in Fillings(counts, size - largest).best(most, max(0, spare - waste))]
             counts[largest] += 1
         chosen = None
         while options:
@@ -296,24 +310,26 @@ def bin_completion(lengths: list[int], size: int, nodes_per_bin: int = 3) -> lis
     return incumbent
 
 
+_PACKED = pa.schema([*_PIECE, ("sequence_id", pa.int64()), ("offset", pa.int64())])
+
+
 def _packer(size: int):
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["length", "row"], kind="stable").reset_index(drop=True)
-        lengths = group["length"].to_numpy()
+    def run(group: pa.Table) -> pa.Table:
+        group = group.sort_by([("length", "ascending"), ("row", "ascending")])
+        lengths = group.column("length").to_pylist()
         by_length: dict[int, list[int]] = {}
-        for i, n in enumerate(lengths.tolist()):
+        for i, n in enumerate(lengths):
             by_length.setdefault(n, []).append(i)
-        place, offset = np.zeros(len(group), np.int64), np.zeros(len(group), np.int64)
-        for number, content in enumerate(bin_completion(lengths.tolist(), size)):
+        place, offset = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
+        for number, content in enumerate(bin_completion(lengths, size)):
             at = 0
             for n in content:
                 i = by_length[n].pop()
                 place[i], offset[i] = number, at
                 at += n
         # Even numbers; full pieces take the odd ones.
-        group["sequence_id"] = (int(group["block"].iloc[0]) * (1 << 24) + place) * 2
-        group["offset"] = offset
-        return group[["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]]
+        sequence = (group.column("block")[0].as_py() * (1 << 24) + place) * 2
+        return pa.table([*(group.column(n) for n in _PIECE.names), pa.array(sequence), pa.array(offset)], schema=_PACKED)
     return run
 
 
@@ -327,7 +343,7 @@ def pack(docs: DataFrame, vocabulary: str = VOCABULARY, end_id: int = END_ID, si
     open_ = cut.where(F.col("length") < size)
     blocks = max(1, -(-open_.count() // block_pieces))
     packed = (open_.withColumn("block", F.pmod(F.xxhash64("row"), F.lit(blocks)))
-              .groupBy("block").applyInPandas(_packer(size), _PACKED_SQL))
+              .groupBy("block").applyInArrow(_packer(size), _PACKED_SQL))
     full = cut.where(F.col("length") == size).select(
         "doc_id", "piece", "start", "length", "ids_crc32", (F.col("row") * 2 + 1).alias("sequence_id"),
         F.lit(0).cast("long").alias("offset"))

@@ -88,3 +88,20 @@ def test_round_trip(make_docs, edge_rows, reference):
 
 def test_empty_table(make_docs):
     assert p.pack(make_docs([])).collect() == []
+
+
+def test_null_ids_beside_large_ones(make_docs):
+    rows = [(9007199254740993, "one"), (None, "two"), (-9007199254740995, "three words here"), (None, None)]
+    out = p.pack(make_docs(rows, parts=1)).collect()
+    assert Counter(x["doc_id"] for x in out) == Counter([9007199254740993, -9007199254740995, None, None])
+
+
+def test_fillings_of_many_pieces():
+    r = random.Random(1)
+    lengths = [r.randint(500, 800) for _ in range(600)]
+    assert len(p.best_fit(lengths, 4096)) == 101 and len(p.bin_completion(lengths, 4096)) <= 98
+    counts = np.bincount([7, 7, 5, 3, 3, 3])
+    found = p.Fillings(counts, 16).best(10, 2)
+    assert all(sum(f) <= 16 and sum(f) >= 14 for f in found) and (7, 3, 3, 3) in found and found[0] == (7, 3, 3, 3)
+    assert [sum(f) for f in found] == sorted((sum(f) for f in found), reverse=True)
+    assert p.Fillings(np.bincount([5, 9]), 4).best(3, 4) == [()]
