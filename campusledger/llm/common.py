@@ -50,6 +50,23 @@ def small_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+def keyed_rows(docs: DataFrame) -> DataFrame:
+    """``docs`` as ``row`` (a struct of all its columns) and ``key``, one long per distinct (doc_id, text).
+
+    The key is the ``doc_id``, but where rows repeat a ``doc_id`` with other texts the
+    others get keys of their own (hashes, above 2**62, so that plain ids come first).
+    Rows equal in both share a key; without a ``doc_id`` the key is null.
+    """
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    rows = rows.select("row", F.col("row.doc_id").cast("long").alias("id"), F.xxhash64("row.text").alias("text_hash"))
+    seen = rows.where(F.col("id").isNotNull()).select("id", "text_hash").distinct()
+    several = seen.groupBy("id").agg(F.min("text_hash").alias("first"), F.max("text_hash").alias("last")).where("first != last")
+    own = F.xxhash64("id", "text_hash").bitwiseAND(F.lit((1 << 62) - 1)).bitwiseOR(F.lit(1 << 62))
+    others = stored(seen.join(several, "id").where("text_hash != first").select("id", "text_hash", own.alias("own")), "keys")
+    return (rows.join(others, ["id", "text_hash"], "left")
+            .select("row", F.coalesce("own", "id").alias("key")))
+
+
 def crc32_bucket(key: str, buckets: int):
     """``crc32(key as text) mod buckets`` as a Column."""
     return F.pmod(F.crc32(F.col(key).cast("string").cast("binary")), F.lit(buckets))

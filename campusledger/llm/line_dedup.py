@@ -23,8 +23,9 @@ a row of its own.
 
 Cases: null or empty texts have no lines; lines without a word are left alone.
 Lines shorter than a shingle are one shingle. A null ``doc_id`` sorts last, so
-other documents keep the line before it. Rows that repeat a ``doc_id`` share
-its line places: a line kept in one is kept in both. Extra columns are ignored.
+other documents keep the line before it. In ``line_classes`` rows that repeat a
+``doc_id`` share its line places: a line kept in one is kept in both;
+``drop_duplicate_lines`` tells them apart by their text. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,7 +35,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from campusledger.llm.common import stored
+from campusledger.llm.common import keyed_rows, stored
 from campusledger.llm.components import components
 
 SHINGLE_CHARS = 8
@@ -211,22 +212,24 @@ def drop_duplicate_lines(docs: DataFrame, **settings) -> DataFrame:
 
     A document that loses all its lines with a word is dropped: all it says is
     said elsewhere. Documents that lose nothing, have no such line, or have no
-    ``doc_id`` stay as they are. ``n_chars``, if there, follows the new text.
+    ``doc_id`` stay as they are. Rows that repeat a ``doc_id`` with other texts are
+    documents of their own; rows equal in both keep the same lines. ``n_chars``, if
+    there, follows the new text.
     """
-    gone = (line_classes(docs, **settings).where(~F.col("kept") & F.col("doc_id").isNotNull())
-            .groupBy("doc_id").agg(F.collect_set("line_no").alias("_gone")))     # bounded by a document's lines
-    columns = docs.columns
+    keyed = keyed_rows(docs)
+    classes = line_classes(keyed.select(F.col("key").alias("doc_id"), F.col("row.text").alias("text")), **settings)
+    gone = (classes.where(~F.col("kept") & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("key"))
+            .agg(F.collect_set("line_no").alias("gone")))                       # bounded by a document's lines
     # Both sides grow with the corpus: always a sort-merge join, which AQE may split.
-    d = docs.join(stored(gone, "lines-gone").hint("merge"), "doc_id", "left")
-    changed = F.col("_gone").isNotNull()
-    lines = F.when(changed, F.split("text", "\n"))
-    d = d.select("*", F.explode(F.array(lines)).alias("_lines"))
-    places = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_gone"))
-    d = d.select("*", F.explode(F.array(F.when(changed, places))).alias("_left"))
-    left = F.array_join(F.transform("_left", lambda i: F.get(F.col("_lines"), i)), "\n")
-    d = d.withColumn("text", F.when(changed, left).otherwise(F.col("text")))
-    d = d.where(~changed | (F.length(F.btrim("text", F.lit(SPACES))) > 0))
-    if "n_chars" in columns:
-        d = d.withColumn("n_chars", F.when(changed, F.length("text").cast(docs.schema["n_chars"].dataType))
-                         .otherwise(F.col("n_chars")))
-    return d.select(columns)
+    d = keyed.join(stored(gone, "lines-gone").hint("merge"), "key", "left")
+    changed = F.col("gone").isNotNull()
+    d = d.select("row", "gone", F.explode(F.array(F.when(changed, F.split("row.text", "\n")))).alias("lines"))
+    places = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("gone"))
+    d = d.select("row", "gone", "lines", F.explode(F.array(F.when(changed, places))).alias("left"))
+    left = F.array_join(F.transform("left", lambda i: F.get(F.col("lines"), i)), "\n")
+    d = d.select("row", "gone", F.when(changed, left).otherwise(F.col("row.text")).alias("now"))
+    d = d.where(~changed | (F.length(F.btrim("now", F.lit(SPACES))) > 0))
+    new = {"text": F.col("now")}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(changed, F.length("now").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("row.n_chars"))
+    return d.select(*(new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns))

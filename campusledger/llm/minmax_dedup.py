@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from campusledger.llm.common import each_batch, record_batch, small_batches, stored, texts
+from campusledger.llm.common import keyed_rows, each_batch, record_batch, small_batches, stored, texts
 from campusledger.llm.components import components
 from campusledger.llm.words import U, distinct, mix64, seeds, shingle_hashes, word_hashes
 
@@ -239,11 +239,14 @@ def near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, permuta
 def drop_near_duplicates(docs: DataFrame, **settings) -> DataFrame:
     """The rows of ``docs`` whose document is the one kept of its group.
 
-    Of rows that repeat a ``doc_id`` one stays. Rows without one stay.
+    Rows that repeat a ``doc_id`` with other texts are documents of their own; of
+    rows equal in both one stays. Rows without a ``doc_id`` stay.
     """
-    gone = near_duplicates(docs, **settings).where(~F.col("kept")).select("doc_id").distinct()
-    repeated = docs.groupBy("doc_id").count().where("count > 1 AND doc_id IS NOT NULL").select("doc_id")
+    keyed = keyed_rows(docs)
+    near = near_duplicates(keyed.select(F.col("key").alias("doc_id"), F.col("row.text").alias("text")), **settings)
+    gone = near.where(~F.col("kept")).select(F.col("doc_id").alias("key")).distinct()
+    repeated = keyed.where(F.col("key").isNotNull()).groupBy("key").count().where("count > 1").select("key")
     repeated = stored(repeated, "repeated")
-    kept = docs.join(gone, "doc_id", "left_anti")
-    once = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.join(repeated, "doc_id", "left_anti").unionByName(once)
+    kept = keyed.join(gone, "key", "left_anti")
+    once = kept.join(repeated, "key", "left_semi").dropDuplicates(["key"])
+    return kept.join(repeated, "key", "left_anti").unionByName(once).select("row.*")

@@ -127,3 +127,20 @@ def test_bands_and_packed_values(spark):
         m.F.size(m.F.array_intersect("x.bands", "y.bands")).alias("same")).collect()}
     assert got[1, 2] == (24, 8)
     assert got[1, 3][0] <= 2 and got[1, 3][1] == 0
+
+
+def test_rows_that_repeat_an_id_keep_their_own_lines(make_docs):
+    own, common = "a line that stands in one row only", "a common line of several documents"
+    docs = make_docs([(1, common), (5, own), (5, common), (5, f"{common}\n{own} too, but not quite the same one\n"), (None, common)])
+    out = sorted((x["doc_id"] or 0, x["text"]) for x in m.drop_duplicate_lines(docs).collect())
+    assert (5, own) in out and (1, common) in out and (5, common) not in out and (0, common) in out
+
+
+def test_clashing_columns(spark):
+    from pyspark.sql import functions as F
+    docs = spark.createDataFrame([(1, "same line here", 3), (2, "same line here\nother words", 4)], "doc_id long, text string, n_chars int")
+    docs = docs.withColumns({c: F.lit(c) for c in ("_gone", "_lines", "_left", "gone", "lines", "left", "now", "row", "key", "id", "own")})
+    out = m.drop_duplicate_lines(docs)
+    assert out.columns == docs.columns
+    assert sorted((x["doc_id"], x["text"], x["n_chars"], x["row"]) for x in out.collect()) == [
+        (1, "same line here", 3, "row"), (2, "other words", 11, "row")]

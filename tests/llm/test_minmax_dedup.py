@@ -82,3 +82,13 @@ def test_overlaps(monkeypatch):
     x = [np.array(v, np.uint64) for v in ([1, 2, 3], [4, 5], [1, 9])]
     y = [np.array(v, np.uint64) for v in ([2, 3, 4], [9])]
     assert m._overlaps(x, y).tolist() == [[2, 0], [1, 0], [0, 1]]
+
+
+def test_rows_that_repeat_an_id_with_another_text(make_docs):
+    rows = [(5, prose(1, 90)), (5, prose(2, 90)), (5, prose(2, 90)), (6, prose(1, 90)), (7, prose(3, 90)), (4, prose(2, 90)),
+            (None, prose(1, 90)), (5, None), (5, None)]
+    out = m.drop_near_duplicates(make_docs(rows))
+    got = sorted((x["doc_id"] or 0, x["text"] or "") for x in out.collect())
+    assert sorted(t for d, t in got if d) == sorted(["", prose(1, 90), prose(2, 90), prose(3, 90)])     # each text once
+    assert (0, prose(1, 90)) in got and (5, "") in got and {d for d, t in got if t == prose(1, 90)} <= {0, 5, 6}
+    assert out.columns == make_docs(rows).columns
