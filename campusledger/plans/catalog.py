@@ -48,6 +48,8 @@ def with_views(body: str) -> str:
     body = body.strip()
     if not ctes:
         return body
+    if body[:14].upper() == "WITH RECURSIVE":
+        return "WITH RECURSIVE " + ",\n".join(ctes) + ",\n" + body[14:].lstrip()
     if body[:4].upper() == "WITH":
         return "WITH " + ",\n".join(ctes) + ",\n" + body[4:].lstrip()
     return "WITH " + ",\n".join(ctes) + "\n" + body
@@ -55,5 +57,5 @@ def with_views(body: str) -> str:
 
 def load_all() -> None:
     """Import every module that registers queries."""
-    from campusledger.plans import (queries_changes, queries_core, queries_records,  # noqa: F401
-                                    queries_repairs)
+    from campusledger.plans import (queries_changes, queries_core, queries_ordered,  # noqa: F401
+                                    queries_records, queries_repairs)

@@ -13,22 +13,26 @@ def read_import_csv(spark: SparkSession, path: str) -> DataFrame:
     spaces (normalised later by ``map_csv_rows``); blank cells read as NULL.
     Quotes inside a quoted cell are doubled, and a quoted cell may hold line
     breaks, so a file is read by one task (uploads are limited to 10 MiB; a
-    folder of them is read in parallel). All files share one header.
+    folder of them is read in parallel). All files share one header. Of headers that
+    are equal (ignoring case) the last counts, as in the upload screen's row objects.
     ``pos`` orders rows as in the file(s): file path, then the row's place
     (``monotonically_increasing_id`` increases within a task).
     """
-    reader = (spark.read.option("header", True).option("inferSchema", False).option("multiLine", True)
+    reader = (spark.read.option("inferSchema", False).option("multiLine", True)
               .option("quote", '"').option("escape", '"').option("mode", "PERMISSIVE"))
-    df = reader.csv(path)
-    # Spark numbers equal headers by their place: the last of them keeps the name.
-    plain = [c[:-len(str(i))] if c.endswith(str(i)) else c for i, c in enumerate(df.columns)]
-    repeated = {i for i, c in enumerate(plain) if plain.count(c) > 1}
-    if not repeated:      # then files whose headers differ are an error, not mixed up by position
-        df = reader.option("enforceSchema", False).csv(path)
-    last = {c: i for i, c in enumerate(plain)}
+    df = reader.option("header", True).csv(path)
+    # Spark numbers headers that are equal (ignoring case) by their place; the header
+    # row itself tells them from a header that ends in a digit. The last one keeps the name.
+    header = reader.option("header", False).csv(path).first() or ()     # one row
+    written = [h if h is not None else "" for h in header] + [""] * (len(df.columns) - len(header))
+    repeated = {i for i, (c, h) in enumerate(zip(df.columns, written)) if h and c == f"{h}{i}"}
+    if not repeated and all(written):   # then files whose headers differ are an error, not mixed up by position
+        df = reader.option("header", True).option("enforceSchema", False).csv(path)
+    plain = [h if i in repeated else c for i, (c, h) in enumerate(zip(df.columns, written))]
+    last = {plain[i].lower(): i for i in sorted(repeated)}
     meta = F.col("_metadata")
     named = [F.col(f"`{c}`").alias(plain[i]) if i in repeated else F.col(f"`{c}`")
-             for i, c in enumerate(df.columns) if i not in repeated or last[plain[i]] == i]
+             for i, c in enumerate(df.columns) if i not in repeated or last[plain[i].lower()] == i]
     return (df.select(*named, meta).withColumn("_file", meta["file_path"])
             .withColumn("_block", meta["file_block_start"])
             .withColumn("_row", F.monotonically_increasing_id())

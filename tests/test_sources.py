@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from campusledger.operators import kpis
 from campusledger.sources import jdbc, snapshots
-from campusledger.sources.files import list_case_files
+from campusledger.sources.files import list_case_files, read_import_csv
 
 
 def test_jdbc_options():
@@ -66,3 +66,19 @@ def test_load_published_tables(spark, tables, tmp_dir):
     assert loaded["users"].count() == tables["users"].count()
     assert kpis.case_totals(loaded["tbl_case_records"]).first() == \
         kpis.case_totals(tables["tbl_case_records"]).first()
+
+
+def test_headers_that_end_in_a_digit_are_not_repeated(spark, tmp_dir):
+    def read(name, text):
+        path = os.path.join(tmp_dir, name)
+        with open(path, "w") as fh:
+            fh.write(text)
+        df = read_import_csv(spark, path).drop("pos")
+        return df.columns, [tuple(r) for r in df.collect()]
+
+    assert read("a.csv", "Section,Section1,ID\ns,t,1\n") == (["Section", "Section1", "ID"], [("s", "t", "1")])
+    assert read("b.csv", "ID,Name,Name\n1,a,b\n") == (["ID", "Name"], [("1", "b")])
+    assert read("c.csv", "ID,Name,Name,Name1,Name1\n1,a,b,c,d\n") == (["ID", "Name", "Name1"], [("1", "b", "d")])
+    assert read("d.csv", "Id,x,ID\n1,a,2\n") == (["x", "ID"], [("a", "2")])
+    assert read("e.csv", "Section0,b\ns,t\n") == (["Section0", "b"], [("s", "t")])
+    assert read("f.csv", "A,,B\n1,2,3\n")[1] == [("1", "2", "3")]
