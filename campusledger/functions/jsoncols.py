@@ -14,7 +14,7 @@ nulls and numbers such as ``2.50``. Parsing rules (see README, "Semantics"):
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from campusledger.sources.tables import ATTACHMENT_FIELDS, EDIT_FIELDS
@@ -129,11 +129,24 @@ def looks_like_array(c) -> Column:
     return F.coalesce(F.ltrim(_c(c), F.lit(_BLANKS)).startswith("["), F.lit(False))
 
 
+def listed(text: Column) -> Column:
+    """Rows the certificate screen reads: text present, not 'null', not '[]', not '', and an actual JSON array."""
+    return (text.isNotNull() & (F.lower(text) != "null") & (text != "[]") & (text != "")
+            & looks_like_array(text))
+
+
+def stored_files(df: DataFrame, column: str) -> tuple[Column, Column]:
+    """The typed list of a JSON column and whether it is a list: as stored by a clustered table, else parsed here."""
+    if f"_f_{column}" in df.columns:
+        return F.col(f"_f_{column}"), F.coalesce(F.col(f"_l_{column}"), F.lit(False))
+    return F.from_json(F.col(column), ATTACHMENTS), listed(F.col(column))
+
+
 def has_medical_file(c) -> Column:
-    """Any element has ``isMedical`` true; missing fields and bad text are false."""
-    arr = F.from_json(_c(c), ATTACHMENTS)
-    return F.coalesce(F.exists(arr, lambda x: F.coalesce(x["isMedical"], F.lit(False))),
-                      F.lit(False))
+    """Any element has ``isMedical`` true; missing fields and bad text are false. ``c``: the text, or the typed list."""
+    arr = c if isinstance(c, Column) else F.from_json(_c(c), ATTACHMENTS)
+    # the field of all elements, so that only this field is read or parsed
+    return F.coalesce(F.array_contains(arr["isMedical"], True), F.lit(False))
 
 
 def to_json_or_null(arr: Column) -> Column:

@@ -12,8 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from campusledger.functions.jsoncols import (ATTACHMENTS, EDIT_HISTORY, is_malformed, is_object,
-                                             looks_like_array, parse_attachments, parse_edit_history,
-                                             raw_array, raw_array_or_null, raw_elements, with_members)
+                                             parse_attachments, parse_edit_history, raw_array,
+                                             raw_array_or_null, raw_elements, stored_files, with_members)
 from campusledger.functions.semantics import epoch_millis, first_present, iso_millis
 
 # Accepted uploads.
@@ -60,20 +60,12 @@ def attachment_stats(df: DataFrame, id_col: str, attachments: str, history: str)
 
 # ---- O41 / O42: flattened certificate files ---------------------------------
 
-def _listed(text: Column) -> Column:
-    """Rows the certificate screen reads: text present, not 'null', not '[]',
-    not '', and an actual JSON array."""
-    return (text.isNotNull() & (F.lower(text) != "null") & (text != "[]") & (text != "")
-            & looks_like_array(text))
-
-
 def attachment_files(medical: DataFrame, ordered: bool = True) -> DataFrame:
     """One row per stored file of the medical records."""
-    text = F.col("mr_attachments")
-    recs = medical.where(_listed(text)).select(
+    stored, is_list = stored_files(medical, "mr_attachments")
+    recs = medical.where(is_list).select(
         "mr_medical_id", "mr_student_id", "mr_student_name", "mr_record_date",
-        "mr_is_medical", "mr_is_psychological",
-        F.from_json(text, ATTACHMENTS).alias("_files"))
+        "mr_is_medical", "mr_is_psychological", stored.alias("_files"))
     files = recs.select("*", F.posexplode("_files").alias("_idx", "f"))
     out = files.select(
         # the id's time part is the record date's epoch milliseconds at whole
@@ -133,11 +125,10 @@ def opd_uploads(medical: DataFrame, uploader: str = "OPD") -> DataFrame:
 
     The array is filtered before it is exploded.
     """
-    text = F.col("mr_attachments")
-    recs = medical.where((F.coalesce(text, F.lit("")) != "") & looks_like_array(text)).select(
+    stored, is_list = stored_files(medical, "mr_attachments")
+    recs = medical.where(is_list).select(
         "mr_medical_id", "mr_student_id", "mr_student_name", "mr_record_date",
-        F.filter(F.from_json(text, ATTACHMENTS), lambda f: f["uploadedBy"] == uploader)
-        .alias("_files"))
+        F.filter(stored, lambda f: f["uploadedBy"] == uploader).alias("_files"))
     return (recs.where(F.size("_files") > 0)
             .select("*", F.posexplode("_files").alias("_idx", "f"))
             .select(F.col("mr_medical_id").alias("recordId"),

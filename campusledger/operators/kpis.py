@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from campusledger.functions.jsoncols import has_medical_file
+from campusledger.functions.jsoncols import has_medical_file, stored_files
 from campusledger.functions.semantics import as_of_column, ci_eq
 
 
@@ -83,7 +83,7 @@ def user_status_breakdown(users: DataFrame) -> DataFrame:
 
 def certificate_totals(medical: DataFrame) -> DataFrame:
     """Records with / without a medical certificate, grades 11 and 12."""
-    has_cert = has_medical_file("mr_attachments")
+    has_cert = has_medical_file(stored_files(medical, "mr_attachments")[0])
     g11, g12 = F.col("mr_grade_level") == "11", F.col("mr_grade_level") == "12"
     return medical.agg(
         _count_if(has_cert & g11).alias("with_certificates_grade_11"),

@@ -69,20 +69,24 @@ def _sorted_join(c) -> F.Column:
     return F.when(F.size(arr) > 0, F.array_join(arr, ","))
 
 
-def _per_student(records: DataFrame, kind: RecordKind, with_semesters: bool) -> DataFrame:
+def partial_counts(records: DataFrame, kind: RecordKind, with_semesters: bool = True) -> DataFrame:
+    """Level 1: rows, latest date and newest id per student, status (as spelled), semester and flags.
+
+    Fixed-width buffers only, so it is a code-generated hash aggregate with map-side
+    partial aggregation. Record ids are the tables' primary keys, so counting rows
+    per student before any join equals the distinct count of ids. These partial
+    results can be stored and kept up to date by batches (``operators.rollups``).
+    """
     keys = [ci_key(kind.student).alias("id"), F.col(kind.status).alias("_status")]
     if with_semesters:
         keys.append(F.col(kind.semester).alias("_sem"))
     keys += [F.col(src).alias("_" + name) for name, src in kind.flag_lists]
+    return records.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"),
+                                      F.max(kind.date).alias("_last_date"),
+                                      F.max(kind.id).alias("_last_id"))
 
-    # Level 1 over the records: fixed-width buffers only (count, max), so it is
-    # a code-generated hash aggregate with map-side partial aggregation.
-    # Record ids are the tables' primary keys, so counting rows per student
-    # before any join equals the distinct count of ids.
-    level1 = records.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"),
-                                        F.max(kind.date).alias("_last_date"),
-                                        F.max(kind.id).alias("_last_id"))
 
+def _per_student(level1: DataFrame, kind: RecordKind, with_semesters: bool) -> DataFrame:
     # The level-1 output is small (students x statuses x semesters). One
     # explicit exchange by student id serves the two small aggregates below
     # and the final join: hash partitioning on the id satisfies all three.
@@ -112,12 +116,14 @@ def _per_student(records: DataFrame, kind: RecordKind, with_semesters: bool) ->
                  *extra2))
 
 
-def student_summary(students: DataFrame, records: DataFrame, kind: RecordKind, *,
+def student_summary(students: DataFrame, records: DataFrame | None, kind: RecordKind, *,
                     with_date: bool = True, with_semesters: bool = True,
                     search: str | None = None, limit: int | None = None,
-                    ordered: bool = True) -> DataFrame:
+                    ordered: bool = True, partials: DataFrame | None = None) -> DataFrame:
     """Shared builder behind O23-O25.
 
+    ``partials`` (stored :func:`partial_counts`) are used in place of ``records``.
+
     ``search`` is a LIKE pattern matched (ignoring case) against the student's
     id, name and strand; the matching ids also prune the records before
     aggregation (a semi join that AQE broadcasts when the match set is small).
@@ -128,8 +134,13 @@ def student_summary(students: DataFrame, records: DataFrame, kind: RecordKind, *
     if search is not None:
         keys = keys.where(ci_like_any(["id", "name", "strand"], search))
         wanted = keys.select(ci_key("id").alias("_id")).distinct()
-        records = records.join(wanted, ci_key(records[kind.student]) == wanted["_id"], "left_semi")
-    agg = _per_student(records, kind, with_semesters).withColumnRenamed("id", "_id")
+        if partials is None:
+            records = records.join(wanted, ci_key(records[kind.student]) == wanted["_id"], "left_semi")
+        else:
+            partials = partials.join(wanted, partials["id"] == wanted["_id"], "left_semi")
+    if partials is None:
+        partials = partial_counts(records, kind, with_semesters)
+    agg = _per_student(partials, kind, with_semesters).withColumnRenamed("id", "_id")
     status_list = F.col("_ordered")
     cols = [F.col(a) for _, a in STUDENT_KEYS] + [F.col(kind.count_name)]
     if with_date:

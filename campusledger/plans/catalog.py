@@ -22,8 +22,9 @@ QUERIES: dict[str, QueryFn] = {}
 ORACLE: dict[str, str] = {}
 
 
-def register(name: str, oracle: str | None = None):
-    """Decorator: ``fn(t)`` receives the dict of record tables."""
+def register(name: str, oracle: str | None = None, same_as: str | None = None):
+    """Decorator: ``fn(t)`` receives the dict of record tables. ``same_as`` names a
+    registered query with the same rows, whose SQL is the oracle of this one too."""
     def deco(fn):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             return fn(fixture_tables(spark, sf_dir))
@@ -34,6 +35,8 @@ def register(name: str, oracle: str | None = None):
         QUERIES[name] = run
         if oracle is not None:
             ORACLE[name] = with_views(oracle)
+        elif same_as is not None:
+            ORACLE[name] = ORACLE[same_as]
         return fn
     return deco
 
@@ -57,5 +60,5 @@ def with_views(body: str) -> str:
 
 def load_all() -> None:
     """Import every module that registers queries."""
-    from campusledger.plans import (queries_changes, queries_core, queries_ordered,  # noqa: F401
-                                    queries_records, queries_repairs)
+    from campusledger.plans import (queries_changes, queries_core, queries_layout,  # noqa: F401
+                                    queries_ordered, queries_records, queries_repairs)

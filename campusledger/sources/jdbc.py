@@ -65,14 +65,61 @@ def jdbc_options(url: str, table: str, user: str | None = None, password: str |
     return opts
 
 
-# Text keys of the tables without a numeric id.
+# Text keys of the tables without a numeric id, and how many keys are sampled to part one.
 KEY_COLUMNS = {"tbl_student_data": "sd_id_number", "users": "u_email"}
+SAMPLE_KEYS = 10_000
 
 
-def key_predicates(table: str, parts: int) -> list[str]:
-    """``parts`` disjoint conditions that cover a table with a text key, by a hash of the key."""
-    key = f"CRC32(COALESCE({KEY_COLUMNS[table]}, ''))"
-    return [f"MOD({key}, {parts}) = {i}" for i in range(parts)]
+def text_literal(value: str) -> str:
+    """A text as an SQL literal of the database (quotes doubled, backslashes escaped)."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "''") + "'"
+
+
+def boundaries(sample: list[str], parts: int) -> list[str]:
+    """At most ``parts - 1`` keys that cut a sample, sorted by the database, into even ranges.
+
+    A key that fills several ranges is one boundary: rows of one key stay together.
+    """
+    found: list[str] = []
+    for i in range(1, parts):
+        at = len(sample) * i // parts
+        if at < len(sample) and sample[at] not in found and sample[at] != sample[0]:
+            found.append(sample[at])
+    return found
+
+
+def range_predicates(key: str, cuts: list[str]) -> list[str]:
+    """Disjoint conditions on the indexed ``key`` that cover the table; rows without a key go with the first."""
+    if not cuts:
+        return ["1 = 1"]
+    text = [text_literal(c) for c in cuts]
+    inner = [f"{key} >= {a} AND {key} < {b}" for a, b in zip(text, text[1:])]
+    return [f"{key} < {text[0]} OR {key} IS NULL", *inner, f"{key} >= {text[-1]}"]
+
+
+def sample_query(table: str, key: str, share: float) -> str:
+    """A derived table of about ``share`` of the keys, read from the key's index."""
+    return f"(SELECT {key} AS k FROM {table} WHERE {key} IS NOT NULL AND RAND() < {share:.9f}) AS sampled"
+
+
+def key_predicates(spark: SparkSession, url: str, table: str, parts: int, **kw) -> list[str]:
+    """Range conditions that part a table with a text key evenly, from quantiles of its keys.
+
+    Two index scans in the database: the number of keys and a sample of about
+    ``SAMPLE_KEYS``, sorted by the database, whose order the ranges must follow.
+    """
+    key = KEY_COLUMNS[table]
+    properties = {k: v for k, v in jdbc_options(url, table, **kw).items() if k not in ("url", "dbtable")}
+
+    def ask(query: str) -> list:
+        return [r[0] for r in spark.read.jdbc(url, query, properties=properties).collect()]     # bounded
+
+    n = ask(f"(SELECT COUNT({key}) AS n FROM {table}) AS counted")[0]
+    share = min(1.0, SAMPLE_KEYS / max(1, int(n)))
+    inner = sample_query(table, key, share)
+    # LIMIT makes the database keep the order of the derived table
+    sample = ask(f"(SELECT k FROM {inner} ORDER BY k LIMIT {4 * SAMPLE_KEYS}) AS sorted")
+    return range_predicates(key, boundaries(sample, parts))
 
 
 def load_jdbc(spark: SparkSession, url: str, table: str, predicates: list[str] | None = None,
@@ -80,11 +127,12 @@ def load_jdbc(spark: SparkSession, url: str, table: str, predicates: list[str] |
     """One table by JDBC, read in parallel.
 
     Tables with a numeric id take its bounds (see ``jdbc_options``); students
-    and users are parted by ``predicates``, one task each, made from their key
-    when only ``num_partitions`` is given.
+    and users are parted by ``predicates``, one task each, made from quantiles of
+    their key when only ``num_partitions`` is given. Each task reads one range of the
+    key's index.
     """
     if predicates is None and num_partitions and table in KEY_COLUMNS:
-        predicates = key_predicates(table, num_partitions)
+        predicates = key_predicates(spark, url, table, num_partitions, **kw)
     if predicates is None:
         opts = jdbc_options(url, table, num_partitions=num_partitions, **kw)
         return spark.read.format("jdbc").options(**opts).load()
