@@ -1,6 +1,8 @@
 import html
+import random
 import re
 
+import pytest
 from llm_fixtures import prose
 
 from campusledger.llm import wrapper as w
@@ -78,16 +80,64 @@ def brute_match(a, b):
     return 1 + go(0, 0)
 
 
-def test_alignment_matches_as_many_blocks_as_the_definition():
-    one = "<div>a</div><p>b</p><ul><li>c</li><li>d</li></ul><div><p>e</p></div>"
-    two = "<p>x</p><ul><li>y</li></ul><div>z</div><div><p>q</p><p>r</p></div>"
-    a, blocks = w.parse(one)
-    b, _ = w.parse(two)
-    pairs = w.align(a, b)
-    assert len(set(pairs.values())) == len(pairs)
-    assert list(pairs.values()) == sorted(pairs.values(), key=lambda v: v) or sorted(pairs.items()) == sorted(
-        zip(sorted(pairs), [pairs[k] for k in sorted(pairs)]))
-    assert brute_match(a, b) > len(pairs) >= 3
+def random_tree(r, depth=0):
+    label = r.choice(["div", "p", "#text"])
+    n = w.Node(label, "t" if label == "#text" else None)
+    if label != "#text" and depth < 4:
+        n.children = [random_tree(r, depth + 1) for _ in range(r.randrange(5))]
+    return n
+
+
+def numbered(tree):
+    blocks, stack = [], [tree]
+    while stack:
+        n = stack.pop()
+        if n.text is not None:
+            n.number = len(blocks)
+            blocks.append(n)
+        stack.extend(reversed(n.children))
+    return blocks
+
+
+@pytest.mark.parametrize("cells", [1, 5, 1 << 20])
+def test_weights_are_those_of_the_definition(monkeypatch, cells):
+    monkeypatch.setattr(w, "_CELLS", cells)
+    r = random.Random(1)
+    for _ in range(120):
+        a, b = w.Node("div"), w.Node("div")
+        a.children, b.children = ([random_tree(r) for _ in range(r.randrange(6))] for _ in range(2))
+        numbered(a), numbered(b)
+        m = w.Matcher()
+        m.number(a), m.number(b)
+        assert m.weight(a.shape, b.shape) == brute_match(a, b)
+        pairs = m.align(a, b)
+        assert sorted(pairs.values()) == [pairs[k] for k in sorted(pairs)] and len(set(pairs.values())) == len(pairs)
+        places = m._pairs(tuple(c.shape for c in a.children), tuple(c.shape for c in b.children))
+        assert sum(m.weight(a.children[i].shape, b.children[j].shape) for i, j in places) == brute_match(a, b) - 1
+
+
+def test_deep_and_long_pages(spark):
+    deep = "<div>" * 20_000 + "words" + "</div>" * 20_000
+    half = "<div>" * 9_000 + "other words" + "</div><p>more</p>" * 9_000
+    many = "".join(f"<p>{i}</p>" if i % 3 else f"<div>{i}</div>" for i in range(6_000))
+    some = "".join(f"<div>x{i}</div>" if i % 4 else f"<p>x{i}</p>" for i in range(6_000))
+    rows = [(i, "http://one.example.com/", h) for i, h in enumerate((deep, half, many, some))]
+    out = {x["page_id"]: x["text"] for x in w.extract(table(spark, rows)).collect()}
+    assert out[0] == "words" and out[1].startswith("other words\n\nmore") and out[2].startswith("0\n\n1\n\n2")
+    assert out[2].count("\n\n") == out[3].count("\n\n") == 5_999
+
+
+def test_a_second_layout_without_names(spark):
+    """Menus and notices of a layout that does not match the seed are told by host, path and text."""
+    def first(i):
+        return f"<div><b>Menu one</b></div><table><tr><td>{para(i, 40)}</td></tr></table>"
+
+    def second(i):
+        return f"<section><h2>Menu two</h2></section><blockquote>{para(100 + i, 40)}</blockquote><section><h5>Legal words</h5></section>"
+
+    rows = [(i, "https://two.example.com/", f"<html><body>{(first if i % 2 else second)(i)}</body></html>") for i in range(16)]
+    out = {x["page_id"]: x["text"] for x in w.extract(table(spark, rows)).collect()}
+    assert out == {i: para(i if i % 2 else 100 + i, 40) for i in range(16)}
 
 
 def test_against_the_article_markup(spark):
