@@ -163,12 +163,13 @@ def _stripe_rows(lang: str, size: int, phrases: pa.Array, hot: np.ndarray, vocab
 
     ``following`` holds word ids, ``_END`` for no word (an empty next word).
     """
-    width = len(vocabulary)
-    keys, f = np.unique(prefix * width + following, return_counts=True)
-    prefix, following = keys // width, keys % width
-    segment = np.where(hot[prefix], (mix64(hashes[following]) % U(SEGMENTS)).astype(np.int64), _WHOLE)
-    order = np.lexsort((following, segment, prefix))
-    prefix, following, segment, f = prefix[order], following[order], segment[order], f[order]
+    # one number per (prefix, segment, next), so that one sort counts and groups
+    width, parts = len(vocabulary), SEGMENTS + 1
+    part = np.where(hot[prefix], 1 + (mix64(hashes) % U(SEGMENTS)).astype(np.int64)[following], 0)
+    keys, f = np.unique((prefix * parts + part) * width + following, return_counts=True)
+    prefix, following = np.divmod(keys, width)
+    prefix, segment = np.divmod(prefix, parts)
+    segment -= 1                                        # ``_WHOLE`` where not dealt out
     first = np.flatnonzero(np.concatenate([[True], (prefix[1:] != prefix[:-1]) | (segment[1:] != segment[:-1])]))
     offsets = pa.array(np.append(first, len(f)), pa.int32())
     return record_batch(_STRIPE, [
