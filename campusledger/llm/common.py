@@ -42,7 +42,24 @@ def stored(df: DataFrame, name: str) -> DataFrame:
             spark.conf.unset(_CLEANUP)
         else:
             spark.conf.set(_CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._stored_at = path
+    return table
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete tables that :func:`stored` wrote, once nothing reads them any more.
+
+    Only for tables whose dependants are all written themselves: a lost executor then
+    has nothing to recompute from them. Other DataFrames are left alone.
+    """
+    for table in tables:
+        path = getattr(table, "_stored_at", None)
+        if path:
+            spark = table.sparkSession
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
+            table._stored_at = None
 
 
 def small_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:

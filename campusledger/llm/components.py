@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from campusledger.llm.common import stored
+from campusledger.llm.common import release, stored
 
 
 def _signature(edges: DataFrame):
@@ -42,7 +42,8 @@ def components(edges: DataFrame) -> DataFrame:
         small = (large.join(least, "u").where(F.col("v") != F.col("m"))
                  .select(F.col("v").alias("u"), F.col("m").alias("v"))
                  .unionByName(least.select("u", F.col("m").alias("v"))).distinct())
-        e = stored(small, "links")
+        before, e = e, stored(small, "links")
+        release(before)
         now = _signature(e)
         if now == seen:
             break

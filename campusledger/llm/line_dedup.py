@@ -18,8 +18,8 @@ size is shuffled or kept. Lines are told apart by two independent 64-bit hashes.
 
 In each band the members are held against the smallest. Members of one band that
 are in different components after that are held against each other, block by
-block inside single rows, so that no pair but those near the threshold is ever
-a row of its own.
+block inside single rows. A row gives one link per line at most, and rows that had
+more are looked at again with the components joined so far, until none is left.
 
 Cases: null or empty texts have no lines; lines without a word are left alone.
 Lines shorter than a shingle are one shingle. A null ``doc_id`` sorts last, so
@@ -35,7 +35,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from campusledger.llm.common import keyed_rows, stored
+from campusledger.llm.common import keyed_rows, release, stored
 from campusledger.llm.components import components
 
 SHINGLE_CHARS = 8
@@ -47,6 +47,7 @@ KEY = ["k1", "k2"]
 BYTES = ["s0", "s1", "s2", "s3"]     # 4 x 6 = BANDS * BAND_VALUES
 
 BLOCK = 256                    # lines held against each other at once in a crowded band
+_PLACES = 1 << 20              # more than the lines of a block
 
 _GOLDEN = 0x9E3779B97F4A7C15
 
@@ -117,48 +118,74 @@ def _confirmed(pairs: DataFrame, lines: DataFrame, shingle: int, percent: int) -
     both = both.select("a", "b", "y", F.explode(F.array(shingles(F.col("x"), shingle))).alias("sx"))
     both = both.select("a", "b", "sx", F.explode(F.array(shingles(F.col("y"), shingle))).alias("sy"))
     both = both.select("a", "b", "sx", "sy", F.explode(F.array(F.size(F.array_intersect("sx", "sy")))).alias("n"))
-    return stored(both.where(100 * F.col("n") >= percent * (F.size("sx") + F.size("sy") - F.col("n")))
-                  .select("a", "b"), "lines-confirmed")
+    found = stored(both.where(100 * F.col("n") >= percent * (F.size("sx") + F.size("sy") - F.col("n")))
+                   .select("a", "b"), "lines-confirmed")
+    release(lines)
+    return found
 
 
-def _block_pairs(members: DataFrame, lines: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """Pairs ``(a, b)`` of one band and different components that may reach the threshold.
+def _block_links(members: DataFrame, lines: DataFrame, shingle: int, percent: int, todo: DataFrame | None) -> DataFrame:
+    """band, i, j, links, more: links between members of one band in different components.
 
     The members of a band are dealt into blocks, and each pair of blocks is one
     row holding at most ``2 * BLOCK`` lines. All its pairs are compared inside the
-    row, by 32-bit hashes of the shingles; only those near or above the threshold
-    leave it. (Hashes that collide can only add to an intersection.)
+    row. Of the links found there each line keeps one, to the first line it is similar
+    to, so a row has no more links than lines (as in Boruvka's algorithm each component
+    with a link keeps one); ``more`` tells that there were others. ``todo`` names the
+    rows to look at (``None``: all).
     """
-    ids = members.select("sid").distinct()
-    text = lines.select("sid", "bands", "line").join(ids.hint("merge"), "sid", "left_semi")
     parts = F.ceil(F.col("members") / BLOCK)
     m = (members.withColumn("part", F.pmod(F.xxhash64("sid"), parts).cast("long"))
          .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
          .select("band", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"),
-                 "part", "sid", "root").join(text, "sid"))
+                 "part", "sid", "root"))
+    if todo is not None:
+        m = m.join(todo, ["band", "i", "j"], "left_semi")
+    ids = (members if todo is None else m).select("sid").distinct()
+    text = lines.select("sid", "bands", "line").join(ids.hint("merge"), "sid", "left_semi")
+    m = m.join(text, "sid")
     rows = m.groupBy("band", "i", "j").agg(F.collect_list(F.struct("part", "sid", "root", "bands", "line")).alias("all"))
     rows = rows.select("band", "i", "j", F.explode(F.array(F.transform("all", lambda v: F.struct(
         v["part"].alias("part"), v["sid"].alias("sid"), v["root"].alias("root"), v["bands"].alias("bands"),
-        shingles(v["line"], shingle, F.hash).alias("h"))))).alias("all"))
+        shingles(v["line"], shingle).alias("h"))))).alias("all"))
+
+    def similar(x, y):
+        smaller, larger = F.least(F.size(x["h"]), F.size(y["h"])), F.greatest(F.size(x["h"]), F.size(y["h"]))
+        once = F.array_min(F.array_intersect(x["bands"], y["bands"])) == F.col("band")
+        worth = ((x["root"] != y["root"]) & ((F.col("i") < F.col("j")) | (x["sid"] < y["sid"]))
+                 & (100 * smaller >= percent * larger) & once)
+        # (100 + percent) * both >= percent * (all of x + all of y) says 100 * both >= percent * union
+        return worth & ((100 + percent) * F.size(F.array_intersect(x["h"], y["h"]))
+                        >= percent * (F.size(x["h"]) + F.size(y["h"])))
+
+    def partners(x, at):        # pairs as numbers: places in x and y; nothing larger is kept of a pair
+        return F.filter(F.transform("y", lambda y, to: F.when(similar(x, y), at.cast("long") * _PLACES + to)),
+                        lambda c: c.isNotNull())
 
-    def compared(x):
-        def worth(y):
-            smaller, larger = F.least(F.size(x["h"]), F.size(y["h"])), F.greatest(F.size(x["h"]), F.size(y["h"]))
-            once = F.array_min(F.array_intersect(x["bands"], y["bands"])) == F.col("band")
-            return ((x["root"] != y["root"]) & ((F.col("i") < F.col("j")) | (x["sid"] < y["sid"]))
-                    & (100 * smaller >= (percent - 1) * larger) & once)
+    def turned(c):
+        return c % _PLACES * _PLACES + F.floor(c / _PLACES)
 
-        def pair(y):
-            return F.struct(x["sid"].alias("a"), y["sid"].alias("b"),
-                            F.size(F.array_intersect(x["h"], y["h"])).alias("k"),
-                            (F.size(x["h"]) + F.size(y["h"])).alias("n"))
-        return F.transform(F.filter("y", worth), pair)
+    def firsts(name):           # of the pairs of one line, which stand together, the first
+        return F.filter(name, lambda c, at: F.coalesce(
+            F.floor(F.get(F.col(name), at - 1) / _PLACES) != F.floor(c / _PLACES), F.lit(True)))
+
+    def link(c):
+        return F.struct(F.get(F.col("x"), F.floor(c / _PLACES).cast("int"))["sid"].alias("a"),
+                        F.get(F.col("y"), (c % _PLACES).cast("int"))["sid"].alias("b"))
 
     rows = rows.select("band", "i", "j", F.filter("all", lambda v: v["part"] == F.col("i")).alias("x"),
                        F.filter("all", lambda v: v["part"] == F.col("j")).alias("y"))
-    near = F.filter(F.flatten(F.transform("x", compared)),
-                    lambda p: 100 * p["k"] >= (percent - 1) * (p["n"] - p["k"]))
-    return rows.select(F.explode(near).alias("p")).select("p.a", "p.b")
+    near = F.explode(F.array(F.flatten(F.transform("x", partners)))).alias("near")
+
+    def bare(side):
+        return F.transform(side, lambda v: F.struct(v["sid"].alias("sid"))).alias(side)
+
+    rows = rows.select("band", "i", "j", "x", "y", near).where(F.size("near") > 0)
+    rows = rows.select("band", "i", "j", "near", bare("x"), bare("y"))
+    rows = rows.select("*", F.explode(F.array(F.sort_array(F.transform("near", turned)))).alias("back"))
+    links = F.array_union(F.transform(firsts("near"), link), F.transform(firsts("back"), lambda c: link(turned(c))))
+    return (rows.select("band", "i", "j", links.alias("links"), F.size("near").alias("n"))
+            .select("band", "i", "j", "links", (F.col("n") > F.size("links")).alias("more")))
 
 
 def line_classes(docs: DataFrame, shingle: int = SHINGLE_CHARS, percent: int = SIMILARITY_PERCENT) -> DataFrame:
@@ -184,22 +211,32 @@ def line_classes(docs: DataFrame, shingle: int = SHINGLE_CHARS, percent: int = S
              .where(equal_values("x", "y") >= MIN_EQUAL).select("a", "b"))
     stars = stored(stars, "lines-pairs")
     links = _confirmed(stars, lines, shingle, percent)
+    release(stars)
     roots = stored(components(links), "lines-roots")
 
-    # Residual: members of one band in different components.
-    placed = (shared.select("band", "sid").join(roots.withColumnRenamed("node", "sid"), "sid", "left")
-              .select("band", "sid", F.coalesce("root", "sid").alias("root")))
-    split = (placed.groupBy("band").agg(F.min("root").alias("r0"), F.max("root").alias("r1"),
-                                        F.count("*").alias("members")).where("r0 != r1"))
-    open_ = stored(placed.join(split.select("band", "members"), "band"), "lines-open")
-    more = _confirmed(stored(_block_pairs(open_, lines, shingle, percent), "lines-pairs"), lines, shingle, percent)
-    roots = stored(components(links.unionByName(more)), "lines-roots")
+    # Residual: members of one band in different components, until no link joins two of them.
+    todo, rounds = None, []
+    while True:
+        placed = (shared.select("band", "sid").join(roots.withColumnRenamed("node", "sid"), "sid", "left")
+                  .select("band", "sid", F.coalesce("root", "sid").alias("root")))
+        split = (placed.groupBy("band").agg(F.min("root").alias("r0"), F.max("root").alias("r1"),
+                                            F.count("*").alias("members")).where("r0 != r1"))
+        open_ = stored(placed.join(split.select("band", "members"), "band"), "lines-open")
+        rounds.append(stored(_block_links(open_, lines, shingle, percent, todo), "lines-linked"))
+        release(open_, roots)
+        more = [r.select(F.explode("links").alias("p")).select("p.a", "p.b") for r in rounds]
+        roots = stored(components(reduce(DataFrame.unionByName, more, links)), "lines-roots")
+        todo = rounds[-1].where("more").select("band", "i", "j")
+        if todo.isEmpty():
+            break
+    release(links, shared, *rounds)
 
     # The first line of each class of several texts; other texts stand for themselves.
     own = lines.select(*KEY, "sid", "first")
     in_class = roots.join(own, roots["node"] == own["sid"]).select(*KEY, "root", "first")
     leader = in_class.groupBy("root").agg(F.min("first").alias("class"))
     named = stored(in_class.join(leader, "root").select(*KEY, "class"), "lines-named")
+    release(roots)
     named = own.join(named, KEY, "left").select(*KEY, F.coalesce("class", "first").alias("class"))
     out = found.select("doc_id", "line_no", *KEY).join(named, KEY)
     kept = F.col("doc_id").eqNullSafe(F.col("class.doc_id")) & (F.col("line_no") == F.col("class.line_no"))

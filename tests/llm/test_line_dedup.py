@@ -144,3 +144,39 @@ def test_clashing_columns(spark):
     assert out.columns == docs.columns
     assert sorted((x["doc_id"], x["text"], x["n_chars"], x["row"]) for x in out.collect()) == [
         (1, "same line here", 3, "row"), (2, "other words", 11, "row")]
+
+
+def test_a_crowded_band_in_rounds(make_docs, monkeypatch):
+    """Many lines alike in most characters: chains of links, hubs, and rows with more links than they hand on."""
+    monkeypatch.setattr(m, "BLOCK", 6)
+    r = random.Random(3)
+    base = prose(1, 30).replace("\n", " ")
+    lines, x = [base], base
+    for i in range(40):
+        x = changed(x, r) if i % 3 else changed(changed(r.choice(lines), r), r)
+        lines.append(x)
+    seen = []
+    real = m._block_links
+
+    def watched(members, lines, shingle, percent, todo):
+        seen.append(todo is not None)
+        return real(members, lines, shingle, percent, todo)
+
+    monkeypatch.setattr(m, "_block_links", watched)
+    rows = [(i, line) for i, line in enumerate(lines)]
+    r.shuffle(rows)
+    got = {x["doc_id"]: x["class_doc_id"] for x in m.line_classes(make_docs(rows)).collect()}
+    assert got == {d: first for (d, _), (first, _) in brute(rows).items()}
+    assert seen[0] is False
+
+
+def test_a_row_hands_on_one_link_per_line(spark):
+    """Every line similar to every other: as many links as lines, and word that there are more."""
+    texts = [prose(5, 40).replace("\n", " ") + f" {i}" for i in range(20)]
+    lines = spark.createDataFrame([(i, [7], t) for i, t in enumerate(texts)], "sid long, bands array<long>, line string")
+    members = spark.createDataFrame([(7, i, i, 20) for i in range(20)], "band long, sid long, root long, members long")
+    row, = m._block_links(members, lines, m.SHINGLE_CHARS, 80, None).collect()
+    assert row["more"] and len(row["links"]) <= 2 * 20 and {p["a"] for p in row["links"]} | {p["b"] for p in row["links"]} == set(range(20))
+    todo = spark.createDataFrame([(7, 0, 0)], "band long, i long, j long")
+    assert m._block_links(members.withColumn("root", members["sid"] % 1), lines, m.SHINGLE_CHARS, 80, todo).collect() == []
+    assert m._block_links(members, lines, m.SHINGLE_CHARS, 80, todo.limit(0)).collect() == []
