@@ -50,6 +50,11 @@ def parse_edit_history(c) -> Column:
 _TOKENS = r'(?s)"[^"\\]*+(?:\\.[^"\\]*+)*+"|[\[\]{},]|[^"\[\]{},]++'
 
 
+def _bound(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` computed once, however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _parts(text: Column) -> Column:
     """The texts of an array's elements, or of an object's members, as written.
 
@@ -80,6 +85,29 @@ def raw_elements(c) -> Column:
     return F.when(blank, F.array().cast("array<string>")).when(well_formed, _parts(text))
 
 
+def is_array_text(c) -> Column:
+    """The text is a well-formed array and nothing more.
+
+    Where the only closing bracket is the last character, parsing the array proves it;
+    other texts are split.
+    """
+    def check(t):
+        parsed = F.from_json(t, T.ArrayType(T.StringType())).isNotNull()
+        return looks_like_array(t) & parsed & ((F.instr(t, "]") == F.length(t)) | _parts(t).isNotNull())
+
+    return F.coalesce(_bound(F.btrim(_c(c), F.lit(_BLANKS)), check), F.lit(False))
+
+
+def append_elements(c, added: Column) -> Column:
+    """The array's text with elements (texts) added at its end; NULL or '' is an empty array."""
+    def put(t):
+        inner = F.substring(t, F.lit(2), F.length(t) - 2)
+        return F.when(F.btrim(inner, F.lit(_BLANKS)) == "", raw_array(added)).otherwise(
+            F.concat(F.lit("["), inner, F.lit(","), F.array_join(added, ","), F.lit("]")))
+
+    return _bound(F.coalesce(F.btrim(_c(c), F.lit(_BLANKS)), F.lit("")), put)
+
+
 def is_object(part: Column) -> Column:
     """The element is an object (not a string, number, list, true, false or null)."""
     return part.startswith("{")
@@ -94,18 +122,19 @@ def with_members(part: Column, members: dict[str, Column]) -> Column:
     def key(m):
         return F.regexp_extract(m, r'^"((?:[^"\\]|\\.)*)"', 1)
 
-    found = _parts(part)
-
     def put(m):
         out = m
         for name, value in members.items():
             out = F.when(key(m) == name, F.concat(F.lit(f'"{name}":'), value)).otherwise(out)
         return out
 
-    keys = F.transform(found, key)
-    absent = [F.when(~F.array_contains(keys, name), F.concat(F.lit(f'"{name}":'), value)) for name, value in members.items()]
-    every = F.concat(F.transform(found, put), F.filter(F.array(*absent), lambda x: x.isNotNull()))
-    return F.when(is_object(part), F.concat(F.lit("{"), F.array_join(every, ","), F.lit("}"))).otherwise(part)
+    def rebuilt(found):
+        keys = F.transform(found, key)
+        absent = [F.when(~F.array_contains(keys, name), F.concat(F.lit(f'"{name}":'), value)) for name, value in members.items()]
+        every = F.concat(F.transform(found, put), F.filter(F.array(*absent), lambda x: x.isNotNull()))
+        return F.concat(F.lit("{"), F.array_join(every, ","), F.lit("}"))
+
+    return F.when(is_object(part), _bound(_parts(part), rebuilt)).otherwise(part)
 
 
 def raw_array(parts: Column) -> Column:
@@ -115,7 +144,7 @@ def raw_array(parts: Column) -> Column:
 
 def raw_array_or_null(parts: Column) -> Column:
     """JSON text of an array; an empty one is stored as NULL."""
-    return F.when(F.size(parts) > 0, raw_array(parts))
+    return _bound(parts, lambda p: F.when(F.size(p) > 0, raw_array(p)))
 
 
 def is_malformed(c, schema: T.ArrayType = ATTACHMENTS) -> Column:

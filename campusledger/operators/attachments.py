@@ -11,7 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from campusledger.functions.jsoncols import (ATTACHMENTS, EDIT_HISTORY, is_malformed, is_object,
+from campusledger.functions.jsoncols import (ATTACHMENTS, EDIT_HISTORY, append_elements, is_array_text,
+                                             is_malformed, is_object,
                                              parse_attachments, parse_edit_history, raw_array,
                                              raw_array_or_null, raw_elements, stored_files, with_members)
 from campusledger.functions.semantics import epoch_millis, first_present, iso_millis
@@ -221,12 +222,17 @@ def new_file_entries(new_files: Column, classes: Column | None, uploader: Column
 def _reflag(element: Column, classes: Column) -> Column:
     """A kept file with ``class.flag OR file.flag`` for both flags, its other members as they were."""
     name = first_present(_field(element, "originalname"), _field(element, "filename"))
+    flags = ("isMedical", "isPsychological")
 
     def flag(field):
         own = F.coalesce(_field(element, field) == "true", F.lit(False))
         return (F.coalesce(_flag_lookup(classes, name, field), F.lit(False)) | own).cast("string")
 
-    return with_members(element, {f: flag(f) for f in ("isMedical", "isPsychological")})
+    # without classes an element that has both flags stays as it is
+    flagged = F.coalesce(_field(element, flags[0]).isin("true", "false") & _field(element, flags[1]).isin("true", "false"),
+                         F.lit(False))
+    settled = (F.coalesce(F.size(classes), F.lit(0)) <= 0) & flagged
+    return F.when(settled, element).otherwise(with_members(element, {f: flag(f) for f in flags}))
 
 
 def merge_attachments(existing: Column, to_delete: Column, new_files: Column, mode: str, *,
@@ -295,8 +301,8 @@ def append_edit_history(history: Column, editors: Column, as_of: Column) -> Colu
         return F.to_json(F.struct(by.alias("editedBy"), iso_millis(as_of).alias("editedAt"),
                                   epoch_millis(as_of).alias("timestamp")))
     added = F.transform(editors, entry)
-    old = raw_elements(history)
-    return F.when(old.isNull(), history).otherwise(raw_array(F.concat(old, added)))
+    blank = F.coalesce(F.trim(history), F.lit("")) == ""
+    return F.when(blank | is_array_text(history), append_elements(history, added)).otherwise(history)
 
 
 # ---- O68 / O71: upload checks and stored names --------------------------------------

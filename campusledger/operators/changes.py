@@ -40,7 +40,7 @@ from pyspark.sql import types as T
 from campusledger.functions.semantics import as_of_column, blank_to_null, ci_eq, ci_key
 from campusledger.operators.attachments import (DEFAULT_EDITOR, append_edit_history, merged_json,
                                                 new_file_entries, plain_file_entries)
-from campusledger.functions.jsoncols import raw_elements, to_json_or_null
+from campusledger.functions.jsoncols import is_array_text, to_json_or_null
 from campusledger.operators.ordering import first_takers, names_in_order
 from campusledger.operators.referrals import (case_referral_notifications,
                                               medical_referral_notifications,
@@ -134,7 +134,7 @@ def _apply(table: DataFrame, changes: DataFrame, key: str, set_cols: dict[str, C
     hit = F.coalesce(F.col("_hit"), F.lit(False))
     bad = F.lit(False)
     if history is not None:
-        bad = hit & raw_elements(history).isNull()
+        bad = hit & (F.coalesce(F.trim(history), F.lit("")) != "") & ~is_array_text(history)
         hit = hit & ~bad
         set_cols = {**set_cols, history: append_edit_history(F.col(history), F.col("_editors"), ts)}
     cols = [F.when(hit, set_cols[c]).otherwise(F.col(c)).alias(c) if c in set_cols else F.col(c)
