@@ -10,7 +10,9 @@ still open, and each round decides all that no earlier open request can touch:
 Every round is written to the shared folder and read back, so a lost executor costs a
 re-read. Rounds are few unless requests form long chains (each conflicting with the
 next on another key). As soon as no more than ``REST`` requests are open, one task
-takes them one by one, which bounds what it holds.
+takes them one by one, which bounds what it holds. For names, a round that decides
+fewer than ``REST`` is followed by a task that takes the earliest ``REST`` open ones,
+so there are never more rounds than ``REST`` fits into the batch.
 """
 
 from __future__ import annotations
@@ -78,8 +80,8 @@ def _rename_in_turn(open_: pa.Table, held: pa.Table) -> pa.Table:
     for row in held.to_pylist():
         holders.setdefault(row["name"], set()).add(row["account"])
         own.setdefault(row["account"], set()).add(row["name"])
-    seqs, ok = [], []
-    for row in open_.sort_by("seq").to_pylist():
+    rows, ok = open_.sort_by("seq"), []
+    for row in rows.to_pylist():
         account, name = row["account"], row["name"]
         free = not holders.get(name, set()) - {account}
         if free:
@@ -87,9 +89,25 @@ def _rename_in_turn(open_: pa.Table, held: pa.Table) -> pa.Table:
                 holders[former].discard(account)
             holders.setdefault(name, set()).add(account)
             own[account] = {name}
-        seqs.append(row["seq"])
         ok.append(free)
-    return pa.table({"seq": pa.array(seqs, pa.int64()), "ok": pa.array(ok, pa.bool_())})
+    return rows.select(["seq", "account", "name"]).append_column("ok", pa.array(ok, pa.bool_()))
+
+
+def _one_by_one(open_: DataFrame, names: DataFrame) -> DataFrame:
+    """The open requests with their outcome, taken in turn by one task."""
+    return _in_one_task(open_, names, _rename_in_turn, "seq bigint, account string, name string, ok boolean")
+
+
+def _of_requests(names: DataFrame, requests: DataFrame) -> DataFrame:
+    """The names held by the requests' accounts, and the holders of the names they ask for."""
+    return names.join(requests.select("account").distinct(), "account", "left_semi").unionByName(
+        names.join(requests.select("name").distinct(), "name", "left_semi").select("account", "name")).distinct()
+
+
+def _after(names: DataFrame, turn: DataFrame) -> DataFrame:
+    """The names held once the decided requests of ``turn`` took effect."""
+    taken = turn.where("ok").groupBy("account").agg(F.max_by("name", "seq").alias("name"))
+    return names.join(taken.select("account"), "account", "left_anti").unionByName(taken)
 
 
 def names_in_order(requests: DataFrame, held: DataFrame, rest: int = REST) -> DataFrame:
@@ -99,14 +117,22 @@ def names_in_order(requests: DataFrame, held: DataFrame, rest: int = REST) -> Da
     another account holds the name when its turn comes; one that succeeds gives up
     the account's former names. A request touches its account, the name it asks for
     and the names it would free, so the earliest open one on everything it touches
-    can be decided.
+    can be decided. So can every request for a name whose holder has no open request
+    before it: only its own request makes an account give a name up.
     """
     wait = written(requests.select(F.col("seq").cast("bigint").alias("seq"), "account", "name"), "requests")
-    names = held.join(wait.select("account").distinct(), "account", "left_semi").unionByName(
-        held.join(wait.select("name").distinct(), "name", "left_semi").select("account", "name")).distinct()
-    names = written(names, "requests")
+    names = written(_of_requests(held, wait), "requests")
     done = wait.select("seq", F.lit(True).alias("ok")).limit(0)
+    never = F.lit((1 << 63) - 1)
     while (left := wait.count()) > rest:
+        turns = wait.groupBy("account").agg(F.min("seq").alias("_turn"))
+        steady = names.join(turns, "account", "left").groupBy("name").agg(F.max(F.struct(
+            F.coalesce("_turn", never).alias("until"), F.col("account").alias("holder"))).alias("_s"))
+        lost = (F.col("_s.until") > F.col("seq")) & (F.col("_s.holder") != F.col("account"))
+        marked = written(wait.join(steady, "name", "left").select(
+            "seq", "account", "name", F.coalesce(lost, F.lit(False)).alias("_lost")), "requests")
+        done = done.unionByName(marked.where("_lost").select("seq", F.lit(False).alias("ok")))
+        wait = marked.where("NOT _lost").drop("_lost")
         freed = wait.select("seq", "account").join(names, "account")
         touched = (wait.select("seq", F.concat(F.lit("a:"), "account").alias("key"))
                    .unionByName(wait.select("seq", F.concat(F.lit("n:"), "name").alias("key")))
@@ -118,10 +144,17 @@ def names_in_order(requests: DataFrame, held: DataFrame, rest: int = REST) -> Da
         clash = (turn.join(others, "name").where(F.col("_holder") != F.col("account")).select("seq").distinct()
                  .withColumn("_clash", F.lit(True)))
         turn = written(turn.join(clash, "seq", "left").select("seq", "account", "name", F.col("_clash").isNull().alias("ok")), "requests")
-        taken = turn.where("ok").select("account", "name")
-        names = written(names.join(taken.select("account"), "account", "left_anti").unionByName(taken), "requests")
+        names = written(_after(names, turn), "requests")
         done = done.unionByName(turn.select("seq", "ok"))
         wait = written(wait.join(turn.select("seq"), "seq", "left_anti").select("seq", "account", "name"), "requests")
+        still = wait.count()
+        if still > rest > left - still:
+            last = wait.orderBy("seq").select("seq").limit(rest).agg(F.max("seq")).first()[0]      # one number
+            early = wait.where(F.col("seq") <= last)
+            turn = written(_one_by_one(early, _of_requests(names, early)), "requests")
+            names = written(_after(names, turn), "requests")
+            done = done.unionByName(turn.select("seq", "ok"))
+            wait = wait.where(F.col("seq") > last)
     if left:
-        done = done.unionByName(_in_one_task(wait, names, _rename_in_turn, "seq bigint, ok boolean"))
+        done = done.unionByName(_one_by_one(wait, names).select("seq", "ok"))
     return done

@@ -228,3 +228,35 @@ def test_stream_job(spark, tmp_dir):
     assert [x.u_email for x in jobs._table(spark, tmp_dir, "users").collect()] == ["a@x"]
     status = jobs._table(spark, tmp_dir, "account_stream_status").collect()
     assert {x.seq: x.status for x in status} == {1: "applied", 2: "applied", 3: "rejected:last_active_administrator"}
+
+
+def take_names_in_turn(held, requests):
+    """Names per account as they are, and the outcome of each request, in plain Python."""
+    own, out = {}, {}
+    for account, name in held:
+        own.setdefault(account, set()).add(name)
+    for seq, account, name in sorted(requests):
+        out[seq] = not any(name in names for other, names in own.items() if other != account)
+        if out[seq]:
+            own[account] = {name}
+    return out
+
+
+@pytest.mark.parametrize("kind,most", [("one name", 3), ("few names", 8), ("there and back", 13)])
+def test_many_requests_for_few_names_take_few_rounds(spark, monkeypatch, kind, most):
+    """Rounds do not grow with the requests for one name, nor with chains of them."""
+    from campusledger.operators import ordering as O
+    n = 120
+    held = [(f"a{i}", f"own{i}") for i in range(n)]
+    if kind == "one name":
+        requests = [(i, f"a{i}", "same") for i in range(n)]
+    elif kind == "few names":
+        requests = [(2 * i + j, f"a{i * 7 % n}", f"own{(i * 7 + 1) % n}" if j == 0 else f"free{i % 5}") for i in range(n) for j in (0, 1)]
+    else:       # each takes the one name and gives it up again
+        requests = [(2 * i + j, f"a{i}", "same" if j == 0 else f"own{i}") for i in range(n) for j in (0, 1)]
+    rounds, plain = [], O.written
+    monkeypatch.setattr(O, "written", lambda df, name: rounds.append(name) or plain(df, name))
+    got = names_in_order(spark.createDataFrame(requests, "seq long, account string, name string"),
+                         spark.createDataFrame(held, "account string, name string"), 20)
+    assert {x.seq: x.ok for x in got.collect()} == take_names_in_turn(held, requests)
+    assert len(rounds) <= 2 + 6 * most
