@@ -41,7 +41,8 @@ def _clustered(table, layout) -> str:
 
 @register("update_cases_in_parts", same_as="update_cases")
 def update_cases_in_parts(t):
-    cases, layout = t["tbl_case_records"], L.LAYOUTS["tbl_case_records"]._replace(size=2_000)
+    cases = t["tbl_case_records"]
+    layout = L.fitted(cases, L.LAYOUTS["tbl_case_records"]._replace(size=2_000))
     path = _clustered(cases, layout)
     w = L.change_parts(cases.sparkSession, path, layout, _case_resolutions(cases), "caseId",
                        lambda table, requests: C.update_cases(table, requests, AS_OF))
@@ -73,7 +74,7 @@ def cases_of_student_in_part(t):
 def _through(t, name, text, **settings):
     table, (key, columns) = t[name], X.SEARCHES[name]
     spark, layout = table.sparkSession, L.LAYOUTS[name]
-    layout = layout._replace(size=64 if layout.text else 2_000)
+    layout = L.fitted(table, layout._replace(size=64 if layout.text else 2_000))
     path, postings = _clustered(table, layout), _folder(table)
     X.write_postings(table, key, columns, postings)
     return X.search_through(spark, name, text, postings, lambda c: X.narrowed_parts(spark, path, layout, c), **settings)

@@ -4,7 +4,9 @@ A clustered table is a Parquet folder partitioned by ``_part``, a range of numer
 record ids or a hash of a lower-cased text key. Rows are dealt by range of (part, key,
 sort columns), so a key that holds a third of all rows still spreads over several
 tasks and files, and they are sorted inside the files. Lower-cased copies of the key
-and look-up columns (``_k_<column>``) carry Parquet bloom filters.
+and look-up columns (``_k_<column>``) carry Parquet bloom filters, each as large as the
+values of its file need (a fixed size would be a megabyte for a part of a few rows).
+:func:`fitted` widens the ranges of a large table, so that it has a bounded number of parts.
 
 * A look-up of one key reads one part; in its files, and for other look-up columns in
   all files, sorting and bloom filters let the reader skip row groups.
@@ -62,6 +64,18 @@ BY_STUDENT = {
     "tbl_medical_records": Layout("mr_student_id", TEXT_PARTS, True, sort=("mr_medical_id",)),
 }
 _NO_KEY = -1
+PARTS = 512                 # ranges of ids that a fitted layout makes at most
+BLOOM_SIZES = 12            # sizes of a bloom filter to choose from, from 1 MB down by halves
+
+
+def fitted(table: DataFrame, layout: Layout) -> Layout:
+    """The layout with ranges wide enough for at most ``PARTS`` of them over the table's ids."""
+    if layout.text:
+        return layout
+    span = F.col("b").cast("decimal(20,0)") - F.col("a").cast("decimal(20,0)") + 1      # may pass 64 bits
+    row = table.agg(F.min(layout.key).alias("a"), F.max(layout.key).alias("b")).select(
+        F.ceil(span / PARTS).cast("decimal(20,0)").alias("size")).first()       # one number
+    return layout._replace(size=max(layout.size, int(row[0] or 0)))
 
 
 def part_of(layout: Layout, key: Column) -> Column:
@@ -88,6 +102,8 @@ def _arranged(df: DataFrame, layout: Layout) -> DataFrame:
 
 def _save(df: DataFrame, path: str, layout: Layout, mode: str) -> None:
     writer = df.write.mode(mode).partitionBy("_part").option("partitionOverwriteMode", "dynamic")
+    writer = writer.option("parquet.bloom.filter.adaptive.enabled", "true") \
+        .option("parquet.bloom.filter.candidates.number", str(BLOOM_SIZES))
     for c in _copies(layout):
         writer = writer.option(f"parquet.bloom.filter.enabled#_k_{c}", "true")
     writer.parquet(path)

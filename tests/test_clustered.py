@@ -242,3 +242,27 @@ def test_files_are_parsed_once(spark, tables, tmp_dir):
         F.lit('[{"filename":"f","isMedical":true,"uploadedBy":"OPD"}]').alias("existingAttachments"))
     K.change_parts(spark, path, layout, req, "recordId", lambda t, r: C.update_medical(t, r, AS_OF))
     check(C.update_medical(medical, req, AS_OF).table)
+
+
+# ---- sizes -----------------------------------------------------------------------------------
+
+def test_bloom_filters_are_as_large_as_their_part(spark, tmp_dir):
+    """A part of a few rows takes a few kilobytes, not the megabyte of a filter of fixed size."""
+    cases = spark.range(400).selectExpr("id AS cr_case_id", "cast(id % 90 AS string) AS cr_student_id")
+    K.write_clustered(cases, f"{tmp_dir}/t", LAYOUT)
+    sizes = [os.path.getsize(f) for f in files(f"{tmp_dir}/t")]
+    assert len(sizes) >= 4 and max(sizes) < 100_000
+    got = K.rows_of(spark, f"{tmp_dir}/t", LAYOUT, "cr_student_id", "7")
+    assert sorted(r.cr_case_id for r in got.collect()) == [7, 97, 187, 277, 367]
+
+
+def test_a_fitted_layout_has_a_bounded_number_of_parts(spark, tmp_dir):
+    ids = [(-2 ** 63,), (2 ** 63 - 1,), (None,)] + [(i * 10 ** 9,) for i in range(2000)]
+    wide = spark.createDataFrame(ids, "cr_case_id long")
+    layout = K.fitted(wide, LAYOUT)
+    n = wide.select(K.part_of(layout, F.col("cr_case_id")).alias("p")).distinct().count()
+    assert n <= K.PARTS + 3
+    near = wide.where("cr_case_id BETWEEN 0 AND 1999000000000")
+    n = near.select(K.part_of(K.fitted(near, LAYOUT), F.col("cr_case_id"))).distinct().count()
+    assert K.PARTS / 2 < n <= K.PARTS + 1
+    assert K.fitted(spark.range(90).toDF("cr_case_id"), LAYOUT) == K.fitted(wide.limit(0), LAYOUT) == LAYOUT
