@@ -3,7 +3,7 @@
 ``write_postings`` stores, for the searched columns of a table, which row (by its key)
 holds which three characters, lower-cased: one row per (gram, column, key), never a
 list, so a gram that a third of all rows hold spreads over files like any other. The
-folder is partitioned by a hash of the gram and sorted by gram.
+folder is partitioned by a hash of the gram, and its files are sorted by gram.
 
 A search reads the rows of the pattern's grams only, keeps the keys that have all of
 them in one column, reads those rows of the table, and applies the plain search to
@@ -39,9 +39,11 @@ SEARCHES = {
 
 def grams(text: Column) -> Column:
     """The distinct runs of three characters of the lower-cased text."""
-    low = F.lower(text)
-    places = F.when(F.length(low) >= GRAM, F.sequence(F.lit(1), F.length(low) - GRAM + 1))
-    return F.coalesce(F.array_distinct(F.transform(places, lambda i: F.substring(low, i, F.lit(GRAM)))),
+    def runs(low):      # lower-cased once, not once for each place
+        places = F.when(F.length(low) >= GRAM, F.sequence(F.lit(1), F.length(low) - GRAM + 1))
+        return F.transform(places, lambda i: F.substring(low, i, F.lit(GRAM)))
+
+    return F.coalesce(F.array_distinct(F.get(F.transform(F.array(F.lower(text)), runs), F.lit(0))),
                       F.array().cast("array<string>"))
 
 
@@ -53,14 +55,18 @@ def postings(table: DataFrame, key: str, columns: tuple[str, ...]) -> DataFrame:
     """gram, col (place in ``columns``), key, bucket: one row for each."""
     each = F.array(*(F.struct(F.lit(i).alias("col"), grams(F.col(c).cast("string")).alias("grams"))
                      for i, c in enumerate(columns)))
-    rows = table.select(F.col(key).alias("key"), F.explode(each).alias("e"))
+    # the searched columns alone are dealt first: a table of few row groups would keep few tasks busy
+    tasks = int(table.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    searched = table.select(*dict.fromkeys((key, *columns))).repartition(tasks, *dict.fromkeys((key, *columns)))
+    rows = searched.select(F.col(key).alias("key"), F.explode(each).alias("e"))
     rows = rows.select(F.explode("e.grams").alias("gram"), F.col("e.col").alias("col"), "key")
     return rows.withColumn("bucket", _bucket(F.col("gram")))
 
 
 def _save(rows: DataFrame, path: str, mode: str) -> None:
+    # by bucket, large ones split and small ones put together: no pass for ranges, and a task's rows do not grow with the table
     order = ["bucket", "gram", "col", "key"]
-    rows = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    rows = rows.hint("rebalance", "bucket").sortWithinPartitions(*order)
     rows.write.mode(mode).partitionBy("bucket").parquet(path)
 
 
