@@ -244,5 +244,11 @@ def medical_referred_search(medical: DataFrame, text: str, kind: str = "ALL") ->
 # ---- distinct (O39) --------------------------------------------------------
 
 def distinct_students(students: DataFrame) -> DataFrame:
-    """The full student list: DISTINCT over the 12 screen columns, by id."""
-    return P.student_projection(students).distinct().orderBy("id", "schoolYearSemesterr")
+    """The full student list: DISTINCT over the 12 screen columns, by id.
+
+    Rows are dealt over all shuffle partitions before any is compared: a task that reads
+    a whole row group would else hold all its students at once.
+    """
+    listed = P.student_projection(students)
+    tasks = int(students.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return listed.repartition(tasks, *listed.columns).distinct().orderBy("id", "schoolYearSemesterr")

@@ -266,3 +266,9 @@ def test_a_fitted_layout_has_a_bounded_number_of_parts(spark, tmp_dir):
     n = near.select(K.part_of(K.fitted(near, LAYOUT), F.col("cr_case_id"))).distinct().count()
     assert K.PARTS / 2 < n <= K.PARTS + 1
     assert K.fitted(spark.range(90).toDF("cr_case_id"), LAYOUT) == K.fitted(wide.limit(0), LAYOUT) == LAYOUT
+
+
+def test_postings_and_distinct_students_are_dealt_by_rows(spark, tables):
+    """No task holds what one row group of the table gives, whatever its size."""
+    for df in (X.postings(tables["tbl_student_data"], *X.SEARCHES["tbl_student_data"]), Fl.distinct_students(tables["tbl_student_data"])):
+        assert "REPARTITION_BY_NUM" in df._jdf.queryExecution().executedPlan().toString()
