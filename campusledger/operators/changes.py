@@ -105,8 +105,9 @@ def one_per_key(changes: DataFrame, key: str, seq: str = "seq", editor: Column |
     overwritten only by requests for which the condition holds; ``_sent_<column>``
     tells whether any did. ``_editors`` holds the editors of all requests in
     order. Overwriting is associative (the later request wins), so the fold is a
-    partial aggregate: the row goes through as one struct (``max_by``), and only
-    the editors, bounded by the requests for one record, are gathered.
+    partial aggregate: each column goes through on its own (``max_by``), so that those
+    nobody reads are neither shuffled nor sorted, and only the editors, bounded by the
+    requests for one record, are gathered.
     """
     editor = editor if editor is not None else F.lit(None).cast("string")
     sent = sent or {}
@@ -114,10 +115,10 @@ def one_per_key(changes: DataFrame, key: str, seq: str = "seq", editor: Column |
     kept = [x for c, cond in sent.items() for x in (
         F.max_by(c, F.when(cond, F.col(seq))).alias(c), F.coalesce(F.bool_or(cond), F.lit(False)).alias(f"_sent{c}"))]
     one = changes.withColumn("_by", editor).groupBy(key).agg(
-        F.max_by(F.struct(*rest), F.col(seq)).alias("_last"),
+        *(F.max_by(c, F.col(seq)).alias(c) for c in rest),
         F.transform(F.sort_array(F.collect_list(F.struct(F.col(seq).alias("s"), F.col("_by").alias("e")))),
                     lambda x: x["e"]).alias("_editors"), *kept)
-    return one.select(key, "_last.*", "_editors", *(x for c in sent for x in (c, f"_sent{c}")))
+    return one.select(key, *rest, "_editors", *(x for c in sent for x in (c, f"_sent{c}")))
 
 
 def _apply(table: DataFrame, changes: DataFrame, key: str, set_cols: dict[str, Column],

@@ -272,3 +272,11 @@ def test_postings_and_distinct_students_are_dealt_by_rows(spark, tables):
     """No task holds what one row group of the table gives, whatever its size."""
     for df in (X.postings(tables["tbl_student_data"], *X.SEARCHES["tbl_student_data"]), Fl.distinct_students(tables["tbl_student_data"])):
         assert "REPARTITION_BY_NUM" in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_requests_carry_the_columns_that_are_read(spark):
+    """The fold of a record's requests leaves out columns that nobody asks for."""
+    ch = spark.createDataFrame([(1, 5, "a", "x"), (2, 5, "b", None)], "seq long, id long, status string, unread string")
+    one = C.one_per_key(ch, "id")
+    assert [(r.seq, r.status, r.unread) for r in one.collect()] == [(2, "b", None)]
+    assert "max_by(unread" not in one.select("id", "status")._jdf.queryExecution().optimizedPlan().toString()
