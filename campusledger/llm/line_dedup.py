@@ -9,8 +9,8 @@ exact Jaccard similarity of their shingle sets, and confirmed links are joined
 by distributed union-find. Of each component the first line
 (by document, then place) stays.
 
-Shuffles: the distinct lines once, with their text; band keys and line numbers;
-then only lines that have a candidate; last, (line hashes, document, place) to
+Shuffles: the distinct lines once, with their text; band keys and line numbers; the
+lines by number once, to pick those that share a band; then only those; last, (line hashes, document, place) to
 mark every occurrence. Copies of a line collapse before they are shuffled, so a
 line that a third of all documents hold is one row per map task. Signatures are
 built by exploding shingles straight into a partial aggregate: nothing of that
@@ -204,13 +204,21 @@ def line_classes(docs: DataFrame, shingle: int = SHINGLE_CHARS, percent: int = S
     lead = (member.groupBy("band").agg(F.min("sid").alias("lead"), F.max("sid").alias("last"))
             .where("lead != last").select("band", "lead"))
     shared = stored(member.join(lead, "band"), "lines-shared")
-    values = lines.select("sid", F.struct(*BYTES).alias("values"))
+    # From here on only lines that share a band are read with their text. Text and signature
+    # are picked out one after the other, so that only one of them is shuffled at a time.
+    ids = shared.select("sid").distinct().hint("merge")
+    text = stored(lines.select("sid", "line").join(ids, "sid", "left_semi"), "lines-text")
+    signs = stored(lines.select("sid", "bands", *BYTES).join(ids, "sid", "left_semi"), "lines-signs")
+    own = stored(lines.select(*KEY, "sid", "first"), "lines-own")
+    release(lines)
+    lines = text.join(signs.select("sid", "bands"), "sid")
+    values = signs.select("sid", F.struct(*BYTES).alias("values"))
     stars = shared.where("sid != lead").select(F.col("lead").alias("a"), F.col("sid").alias("b")).distinct()
     stars = (stars.join(values.select(F.col("sid").alias("a"), F.col("values").alias("x")), "a")
              .join(values.select(F.col("sid").alias("b"), F.col("values").alias("y")), "b")
              .where(equal_values("x", "y") >= MIN_EQUAL).select("a", "b"))
     stars = stored(stars, "lines-pairs")
-    links = _confirmed(stars, lines, shingle, percent)
+    links = _confirmed(stars, text, shingle, percent)
     release(stars)
     roots = stored(components(links), "lines-roots")
 
@@ -229,10 +237,9 @@ def line_classes(docs: DataFrame, shingle: int = SHINGLE_CHARS, percent: int = S
         todo = rounds[-1].where("more").select("band", "i", "j")
         if todo.isEmpty():
             break
-    release(links, shared, *rounds)
+    release(links, shared, text, signs, *rounds)
 
     # The first line of each class of several texts; other texts stand for themselves.
-    own = lines.select(*KEY, "sid", "first")
     in_class = roots.join(own, roots["node"] == own["sid"]).select(*KEY, "root", "first")
     leader = in_class.groupBy("root").agg(F.min("first").alias("class"))
     named = stored(in_class.join(leader, "root").select(*KEY, "class"), "lines-named")

@@ -180,3 +180,20 @@ def test_a_row_hands_on_one_link_per_line(spark):
     todo = spark.createDataFrame([(7, 0, 0)], "band long, i long, j long")
     assert m._block_links(members.withColumn("root", members["sid"] % 1), lines, m.SHINGLE_CHARS, 80, todo).collect() == []
     assert m._block_links(members, lines, m.SHINGLE_CHARS, 80, todo.limit(0)).collect() == []
+
+
+def test_only_lines_that_share_a_band_go_on(make_docs, monkeypatch):
+    """The table of all lines is gone before pairs are compared; their texts are those of lines that share a band."""
+    made, real = {}, m.stored
+
+    def watched(df, name):
+        if name == "lines-pairs":
+            assert made["lines"]._stored_at is None and made["lines-text"].count() == 2
+        made.setdefault(name, real(df, name))
+        return made[name] if name in ("lines", "lines-text", "lines-pairs") else real(df, name)
+
+    monkeypatch.setattr(m, "stored", watched)
+    near = prose(1, 40).replace("\n", " ")
+    rows = [(i, prose(50 + i, 30).replace("\n", " ")) for i in range(40)] + [(90, near), (91, near + "X")]
+    got = {x["doc_id"]: x["class_doc_id"] for x in m.line_classes(make_docs(rows)).collect()}
+    assert got == {d: 90 if d == 91 else d for d, _ in rows}
