@@ -16,6 +16,9 @@ line that a third of all documents hold is one row per map task. Signatures are
 built by exploding shingles straight into a partial aggregate: nothing of that
 size is shuffled or kept. Lines are told apart by two independent 64-bit hashes.
 
+Before two lines are compared by their shingle sets, bit maps of the sets are: where the bits
+that differ are more than two similar lines can have, the pair is done with. That is exact.
+
 In each band the members are held against the smallest. Members of one band that
 are in different components after that are held against each other, block by
 block inside single rows. A row gives one link per line at most, and rows that had
@@ -46,6 +49,8 @@ SPACES = " \t\n\x0b\x0c\r"
 KEY = ["k1", "k2"]
 BYTES = ["s0", "s1", "s2", "s3"]     # 4 x 6 = BANDS * BAND_VALUES
 
+STRIDE = [f"h{j}" for j in range(8)]     # shingles hashed in one row
+MAP = [f"b{j}" for j in range(16)]       # a bit for each of 1,024 classes of shingle hashes
 BLOCK = 256                    # lines held against each other at once in a crowded band
 _PLACES = 1 << 20              # more than the lines of a block
 
@@ -71,15 +76,23 @@ def _first(column: str = "first") -> Column:
                           F.col("line_no").alias("line_no"))).alias(column)
 
 
+def _strides(lines: DataFrame, shingle: int) -> DataFrame:
+    """``lines`` with ``units`` (UTF-16BE) -> a row for every few shingles, with their hashes; the last one may repeat."""
+    others = [c for c in lines.columns if c != "units"]
+    last = F.greatest((F.octet_length("units") / 2).cast("int") - shingle, F.lit(0))
+    d = lines.select("*", last.alias("last"))
+    d = d.select("*", F.explode(F.sequence(F.lit(0), F.col("last"), F.lit(len(STRIDE)))).alias("i"))
+    return d.select(*others, *(F.xxhash64(F.substr("units", 2 * F.least(F.col("i") + j, F.col("last")) + 1, F.lit(2 * shingle)))
+                               .alias(h) for j, h in enumerate(STRIDE)))
+
+
 def signatures(lines: DataFrame, shingle: int) -> DataFrame:
     """``lines`` (k1, k2, line, first), one row per key -> k1, k2, band keys, one byte of each value."""
     # ``place`` keeps this side's columns those of ``lines``, so that a join of
     # the two shuffles (and dedups) the lines once, not once for each side.
-    d = lines.select(*KEY, F.encode("line", "UTF-16BE").alias("units"), F.hash("first").alias("place"))
-    last = F.greatest((F.octet_length("units") / 2).cast("int") - shingle, F.lit(0))
-    d = d.select(*KEY, "place", "units", F.explode(F.sequence(F.lit(0), last)).alias("i"))
-    d = d.select(*KEY, "place", F.xxhash64(F.substr("units", 2 * F.col("i") + 1, F.lit(2 * shingle))).alias("h"))
-    low = [F.min(F.col("h").bitwiseXOR(F.lit(c))).alias(f"m{n}") for n, c in enumerate(_constants(BANDS * BAND_VALUES))]
+    d = _strides(lines.select(*KEY, F.encode("line", "UTF-16BE").alias("units"), F.hash("first").alias("place")), shingle)
+    low = [F.min(F.least(*(F.col(h).bitwiseXOR(F.lit(c)) for h in STRIDE))).alias(f"m{n}")
+           for n, c in enumerate(_constants(BANDS * BAND_VALUES))]
     d = d.groupBy(*KEY).agg(*low, F.max("place").alias("place"))
     keys = [F.xxhash64(F.lit(b), *(f"m{b * BAND_VALUES + j}" for j in range(BAND_VALUES))) for b in range(BANDS)]
 
@@ -97,6 +110,33 @@ def equal_values(x: str, y: str) -> Column:
     return F.lit(BANDS * BAND_VALUES) - sum((differing(c) for c in BYTES), F.lit(0))
 
 
+def shingle_maps(lines: DataFrame, shingle: int) -> DataFrame:
+    """``lines`` (sid, line) -> sid, map: ``n`` (places of shingles) and the bits MAP of the shingles that are there."""
+    d = lines.select("sid", F.encode("line", "UTF-16BE").alias("units")).repartition("sid")
+    last = F.greatest((F.octet_length("units") / 2).cast("int") - shingle, F.lit(0))
+    d = d.select("sid", "units", last.alias("last")).select("sid", "units", "last", F.explode(F.sequence(F.lit(0), "last")).alias("i"))
+    d = d.select("sid", "last", F.xxhash64(F.substr("units", 2 * F.col("i") + 1, F.lit(2 * shingle))).alias("h"))
+    # ``sid`` deals out both groupings, so nothing of this size is shuffled
+    bit = F.expr("shiftleft(1L, cast(shiftrightunsigned(h, 4) & 63 AS int))")
+    d = d.groupBy("sid", "last", F.col("h").bitwiseAND(F.lit(15)).alias("slot")).agg(F.bit_or(bit).alias("bits"))
+    bits = (F.coalesce(F.bit_or(F.when(F.col("slot") == j, F.col("bits"))), F.lit(0).cast("long")).alias(c) for j, c in enumerate(MAP))
+    return d.groupBy("sid").agg((F.max("last") + 1).alias("n"), *bits).select("sid", F.struct("n", *MAP).alias("map"))
+
+
+def may_be_similar(x: Column, y: Column, percent: int) -> Column:
+    """False only if the MAP bits of ``x`` and ``y`` alone rule the similarity out.
+
+    Each bit that differs is a shingle of one side that the other lacks, and similar sets
+    differ in ``(100 - percent) / (100 + percent)`` of all their shingles at most.
+    """
+    most = (100 - percent) * (x["n"] + y["n"])
+
+    def differing(names):
+        return reduce(Column.__add__, (F.bit_count(x[c].bitwiseXOR(y[c])) for c in names))
+    half = len(MAP) // 2
+    return (most >= (100 + percent) * differing(MAP[:half])) & (most >= (100 + percent) * differing(MAP))
+
+
 def shingles(line: Column, shingle: int, hashed=F.xxhash64) -> Column:
     """The distinct character shingles of a line, as hashes."""
     def of(units):
@@ -129,7 +169,8 @@ def _block_links(members: DataFrame, lines: DataFrame, shingle: int, percent: in
 
     The members of a band are dealt into blocks, and each pair of blocks is one
     row holding at most ``2 * BLOCK`` lines. All its pairs are compared inside the
-    row. Of the links found there each line keeps one, to the first line it is similar
+    row, by their maps first; shingle sets are made of the lines in a pair that is left.
+    Of the links found there each line keeps one, to the first line it is similar
     to, so a row has no more links than lines (as in Boruvka's algorithm each component
     with a link keeps one); ``more`` tells that there were others. ``todo`` names the
     rows to look at (``None``: all).
@@ -141,27 +182,33 @@ def _block_links(members: DataFrame, lines: DataFrame, shingle: int, percent: in
                  "part", "sid", "root"))
     if todo is not None:
         m = m.join(todo, ["band", "i", "j"], "left_semi")
+    if "map" not in lines.columns:
+        lines = lines.join(shingle_maps(lines, shingle), "sid")
     ids = (members if todo is None else m).select("sid").distinct()
-    text = lines.select("sid", "bands", "line").join(ids.hint("merge"), "sid", "left_semi")
+    text = lines.select("sid", "bands", "map", "line").join(ids.hint("merge"), "sid", "left_semi")
     m = m.join(text, "sid")
-    rows = m.groupBy("band", "i", "j").agg(F.collect_list(F.struct("part", "sid", "root", "bands", "line")).alias("all"))
-    rows = rows.select("band", "i", "j", F.explode(F.array(F.transform("all", lambda v: F.struct(
-        v["part"].alias("part"), v["sid"].alias("sid"), v["root"].alias("root"), v["bands"].alias("bands"),
-        shingles(v["line"], shingle).alias("h"))))).alias("all"))
+    rows = m.groupBy("band", "i", "j").agg(F.collect_list(F.struct("part", "sid", "root", "bands", "map", "line")).alias("all"))
 
-    def similar(x, y):
-        smaller, larger = F.least(F.size(x["h"]), F.size(y["h"])), F.greatest(F.size(x["h"]), F.size(y["h"]))
+    def possible(x, y):
         once = F.array_min(F.array_intersect(x["bands"], y["bands"])) == F.col("band")
-        worth = ((x["root"] != y["root"]) & ((F.col("i") < F.col("j")) | (x["sid"] < y["sid"]))
-                 & (100 * smaller >= percent * larger) & once)
-        # (100 + percent) * both >= percent * (all of x + all of y) says 100 * both >= percent * union
-        return worth & ((100 + percent) * F.size(F.array_intersect(x["h"], y["h"]))
-                        >= percent * (F.size(x["h"]) + F.size(y["h"])))
+        return ((x["root"] != y["root"]) & ((F.col("i") < F.col("j")) | (x["sid"] < y["sid"]))
+                & may_be_similar(x["map"], y["map"], percent) & once)
 
     def partners(x, at):        # pairs as numbers: places in x and y; nothing larger is kept of a pair
-        return F.filter(F.transform("y", lambda y, to: F.when(similar(x, y), at.cast("long") * _PLACES + to)),
+        return F.filter(F.transform("y", lambda y, to: F.when(possible(x, y), at.cast("long") * _PLACES + to)),
                         lambda c: c.isNotNull())
 
+    def similar(c):
+        x, y = (F.get(F.col(side), at.cast("int")) for side, at in (("hx", F.floor(c / _PLACES)), ("hy", c % _PLACES)))
+        smaller, larger = F.least(F.size(x), F.size(y)), F.greatest(F.size(x), F.size(y))
+        # (100 + percent) * both >= percent * (all of x + all of y) says 100 * both >= percent * union
+        return ((100 * smaller >= percent * larger)
+                & ((100 + percent) * F.size(F.array_intersect(x, y)) >= percent * (F.size(x) + F.size(y))))
+
+    def hashed(side, places):   # the shingles of those lines of a side that are in a pair
+        return F.explode(F.array(F.transform(side, lambda v, at: F.when(
+            F.array_contains(places, at.cast("long")), shingles(v["line"], shingle)))))
+
     def turned(c):
         return c % _PLACES * _PLACES + F.floor(c / _PLACES)
 
@@ -175,7 +222,11 @@ def _block_links(members: DataFrame, lines: DataFrame, shingle: int, percent: in
 
     rows = rows.select("band", "i", "j", F.filter("all", lambda v: v["part"] == F.col("i")).alias("x"),
                        F.filter("all", lambda v: v["part"] == F.col("j")).alias("y"))
-    near = F.explode(F.array(F.flatten(F.transform("x", partners)))).alias("near")
+    rows = rows.select("*", F.explode(F.array(F.flatten(F.transform("x", partners)))).alias("near")).where(F.size("near") > 0)
+    rows = rows.select("*", F.explode(F.array(F.array_distinct(F.transform("near", lambda c: F.floor(c / _PLACES))))).alias("px"),
+                       F.array_distinct(F.transform("near", lambda c: c % _PLACES)).alias("py"))
+    rows = rows.select("*", hashed("x", F.col("px")).alias("hx")).select("*", hashed("y", F.col("py")).alias("hy"))
+    near = F.explode(F.array(F.filter("near", similar))).alias("near")
 
     def bare(side):
         return F.transform(side, lambda v: F.struct(v["sid"].alias("sid"))).alias(side)
@@ -211,12 +262,14 @@ def line_classes(docs: DataFrame, shingle: int = SHINGLE_CHARS, percent: int = S
     signs = stored(lines.select("sid", "bands", *BYTES).join(ids, "sid", "left_semi"), "lines-signs")
     own = stored(lines.select(*KEY, "sid", "first"), "lines-own")
     release(lines)
-    lines = text.join(signs.select("sid", "bands"), "sid")
-    values = signs.select("sid", F.struct(*BYTES).alias("values"))
+    maps = stored(shingle_maps(text, shingle), "lines-maps")
+    lines = text.join(signs.select("sid", "bands"), "sid").join(maps, "sid")
+    values = signs.join(maps, "sid").select("sid", F.struct(*BYTES, "map").alias("values"))
     stars = shared.where("sid != lead").select(F.col("lead").alias("a"), F.col("sid").alias("b")).distinct()
     stars = (stars.join(values.select(F.col("sid").alias("a"), F.col("values").alias("x")), "a")
              .join(values.select(F.col("sid").alias("b"), F.col("values").alias("y")), "b")
-             .where(equal_values("x", "y") >= MIN_EQUAL).select("a", "b"))
+             .where((equal_values("x", "y") >= MIN_EQUAL) & may_be_similar(F.col("x.map"), F.col("y.map"), percent))
+             .select("a", "b"))
     stars = stored(stars, "lines-pairs")
     links = _confirmed(stars, text, shingle, percent)
     release(stars)
@@ -237,7 +290,7 @@ def line_classes(docs: DataFrame, shingle: int = SHINGLE_CHARS, percent: int = S
         todo = rounds[-1].where("more").select("band", "i", "j")
         if todo.isEmpty():
             break
-    release(links, shared, text, signs, *rounds)
+    release(links, shared, text, signs, maps, *rounds)
 
     # The first line of each class of several texts; other texts stand for themselves.
     in_class = roots.join(own, roots["node"] == own["sid"]).select(*KEY, "root", "first")

@@ -3,6 +3,7 @@ import re
 
 import pytest
 from llm_fixtures import prose
+from pyspark.sql import functions as F
 
 from campusledger.llm import line_dedup as m
 
@@ -197,3 +198,38 @@ def test_only_lines_that_share_a_band_go_on(make_docs, monkeypatch):
     rows = [(i, prose(50 + i, 30).replace("\n", " ")) for i in range(40)] + [(90, near), (91, near + "X")]
     got = {x["doc_id"]: x["class_doc_id"] for x in m.line_classes(make_docs(rows)).collect()}
     assert got == {d: 90 if d == 91 else d for d, _ in rows}
+
+
+def test_maps_rule_out_only_pairs_that_are_not_similar(spark):
+    """No similar pair is ruled out, and nearly all pairs far from similar are, before shingle sets are made."""
+    r = random.Random(3)
+    base = [prose(i, 60).replace("\n", " ") for i in range(6)] + ["", "a", "short one", "x" * 3000, "\U0001f600 " * 40]
+    texts = base + ["".join(c for c in t if r.random() > e) for t in base for e in (0.005, 0.01, 0.02, 0.1)]
+    lines = spark.createDataFrame(list(enumerate(texts)), "sid long, line string")
+    maps = m.shingle_maps(lines, m.SHINGLE_CHARS)
+    assert maps.count() == len(texts)
+    x, y = maps.toDF("a", "x"), maps.toDF("b", "y")
+    may = {(p["a"], p["b"]): p["may"] for p in x.crossJoin(y).select(
+        "a", "b", m.may_be_similar(F.col("x"), F.col("y"), 80).alias("may")).collect()}
+    units = [t.encode("utf-16-be") for t in texts]
+    sets = [{u[2 * i:2 * i + 16] for i in range(max(1, len(u) // 2 - 7))} for u in units]
+    far = similar = 0
+    for (a, b), kept in may.items():
+        share = len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+        similar += a != b and share >= 0.8
+        assert kept or share < 0.8
+        if share < 0.3 and min(len(sets[a]), len(sets[b])) > 20:
+            far += 1
+            assert not kept
+    assert similar and far
+
+
+def test_strides_hash_every_shingle_of_a_line(spark):
+    """The rows of several shingles hold the hashes of all shingles and no others."""
+    texts = ["", "a", "sevench", "exactly8", "nine char", prose(2, 30).replace("\n", " ")] + ["abcdefghijklmnopqrstuvwxyz"[:n] for n in range(9, 26)]
+    lines = spark.createDataFrame(list(enumerate(texts)), "sid long, line string")
+    one = {x["sid"]: set(x["h"]) for x in lines.select("sid", m.shingles(F.col("line"), m.SHINGLE_CHARS).alias("h")).collect()}
+    got = {}
+    for x in m._strides(lines.select("sid", F.encode("line", "UTF-16BE").alias("units")), m.SHINGLE_CHARS).collect():
+        got.setdefault(x["sid"], set()).update(x[h] for h in m.STRIDE)
+    assert got == one
